@@ -4,13 +4,18 @@ The batch model of the reference is positional (chunk, repeat, reorder, pad,
 first-N splits).  A DataFrame has no position, so every positional operator
 takes an explicit total order and goes through ``with_global_index``.
 
-Plan: range-partition on the order key, sort inside each partition, count rows
-per partition (partial aggregate, one row per partition), turn counts into
-offsets (a table bounded by the partition count, so it is safe to broadcast),
-and add the in-partition position taken from ``monotonically_increasing_id``.
-Both branches read the same range exchange (Spark reuses it), so the offsets
-and the positions come from one partitioning.  The order key must be unique;
-ties make positions non-deterministic.
+Plan: range-partition on the order key, sort inside each partition and
+checkpoint the result to the shared checkpoint folder (``spark.checkpoint.dir``).
+Then count rows per partition (partial aggregate, one row per partition), turn
+counts into offsets (a table bounded by the partition count, so it is safe to
+broadcast) and add the in-partition position from ``monotonically_increasing_id``.
+
+The checkpoint is what makes this correct: the range partitioner samples its
+bounds with a seed tied to the RDD, so two independent evaluations of the same
+plan can cut partitions differently.  Reading one written copy twice gives the
+counting pass and the numbering pass the same partitions, and a lost executor
+re-reads the written copy instead of re-sampling.  The order key must be
+unique; ties make positions non-deterministic.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _cols(order_cols) -> list[Column]:
     if isinstance(order_cols, (str, Column)):
@@ -36,8 +43,10 @@ def with_global_index(df: DataFrame, order_cols, name: str = "idx",
     """Add a 0-based dense position ``name`` following ``order_cols``."""
     cols = _cols(order_cols)
     n = _num_partitions(df, num_partitions)
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *cols)
               .sortWithinPartitions(*cols)
+              .checkpoint(eager=True)
               .withColumn("_gw_pid", F.spark_partition_id())
               .withColumn("_gw_mid", F.monotonically_increasing_id()))
     # one row per partition: bounded by the partition count, not the data
