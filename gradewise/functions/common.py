@@ -27,3 +27,14 @@ def stable_hash(*parts) -> Column:
 def unit_uniform(*parts) -> Column:
     """Deterministic draw in [0, 1) from a hash of ``parts``."""
     return F.pmod(stable_hash(*parts), F.lit(1 << 30)).cast("double") / float(1 << 30)
+
+
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Expression builders that mention a sub-expression several times would
+    otherwise copy it into every use (and nested rules multiply the copies);
+    binding it through a one-element ``transform`` keeps the work per row
+    linear.
+    """
+    return F.element_at(F.transform(F.array(as_col(value)), fn), 1)

@@ -1 +1,388 @@
-"""Queries: scoring."""
+"""Scoring queries (R1-R32, T7) over responses derived from the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.common import rnd
+from ..operators import scoring as S
+from ..session import table
+from .registry import register
+
+# --- R1-R3: number answers built from lineitem -----------------------------------
+
+
+def number_responses(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    x = F.floor("l_extendedprice")
+    q = F.floor("l_quantity").cast("string")
+    v = F.col("l_linenumber") % 4
+    tail = (F.when(v == 0, F.concat(F.lit("Total: #### "), F.format_number(x, 0)))
+             .when(v == 1, F.concat(F.lit("Total: #### $"), x.cast("string")))
+             .when(v == 2, F.concat(F.lit("Total is "), x.cast("string"), F.lit(" dollars.")))
+             .otherwise(F.concat(F.lit("Total: #### "), x.cast("string"), F.lit(". Check "), q, F.lit("."))))
+    text = F.concat(F.lit("Line "), F.col("l_linenumber").cast("string"), F.lit(" ships "), q, F.lit(" units. "), tail)
+    return li.select("l_orderkey", "l_linenumber", text.alias("response"), x.cast("string").alias("ground_truth"))
+
+
+_NUM_SQL = r"""
+WITH r AS (
+  SELECT l_orderkey, l_linenumber, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS ground_truth,
+         'Line ' || l_linenumber || ' ships ' || CAST(floor(l_quantity) AS BIGINT) || ' units. ' ||
+         CASE l_linenumber % 4
+           WHEN 0 THEN 'Total: #### ' || format('{:,}', CAST(floor(l_extendedprice) AS BIGINT))
+           WHEN 1 THEN 'Total: #### $' || CAST(floor(l_extendedprice) AS BIGINT)
+           WHEN 2 THEN 'Total is ' || CAST(floor(l_extendedprice) AS BIGINT) || ' dollars.'
+           ELSE 'Total: #### ' || CAST(floor(l_extendedprice) AS BIGINT) || '. Check ' || CAST(floor(l_quantity) AS BIGINT) || '.' END AS response
+  FROM lineitem),
+e AS (
+  SELECT *, CASE WHEN regexp_matches(response, '#### (\-?[0-9\.\,]+)')
+                 THEN replace(replace(regexp_extract(response, '#### (\-?[0-9\.\,]+)', 1), ',', ''), '$', '') END AS strict,
+            regexp_extract_all(response, '(\-?[0-9\.\,]+)', 1) AS found
+  FROM r),
+f AS (
+  SELECT *, CASE WHEN len(found) > 0 THEN coalesce(list_filter(found, lambda x: x NOT IN ('', '.'))[-1], found[1]) END AS flexible
+  FROM e)
+"""
+
+
+@register("R1", _NUM_SQL + "SELECT l_orderkey, l_linenumber, strict FROM f")
+def r1_strict(spark, sf):
+    r = number_responses(spark, sf)
+    return r.select("l_orderkey", "l_linenumber", T.strict_number("response").alias("strict"))
+
+
+@register("R2", _NUM_SQL + "SELECT l_orderkey, l_linenumber, flexible FROM f")
+def r2_flexible(spark, sf):
+    r = number_responses(spark, sf)
+    return r.select("l_orderkey", "l_linenumber", T.flexible_number("response").alias("flexible"))
+
+
+@register("R3", _NUM_SQL + """
+SELECT l_orderkey, l_linenumber,
+       CAST(CASE WHEN strict IS NULL THEN 0.0 WHEN strict = ground_truth THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score_strict,
+       CAST(CASE WHEN flexible IS NULL THEN 0.0 WHEN flexible = ground_truth THEN 1.0 ELSE 0.1 END AS DOUBLE) AS score_flexible
+FROM f""")
+def r3_number_score(spark, sf):
+    r = number_responses(spark, sf)
+    return r.select("l_orderkey", "l_linenumber",
+                    S.number_answer_score("response", "ground_truth")["score"].alias("score_strict"),
+                    S.number_answer_score("response", "ground_truth", "flexible", 0.1)["score"].alias("score_flexible"))
+
+
+# --- T7 / R4: boxed answers built from part ---------------------------------------------
+
+
+def boxed_responses(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    a = F.col("p_size").cast("string")
+    b = (F.col("p_partkey") % 9 + 1).cast("string")
+    v = F.col("p_partkey") % 6
+    tail = (F.when(v == 0, F.concat(F.lit("finally \\boxed{"), a, F.lit("/"), b, F.lit("}")))
+             .when(v == 1, F.concat(F.lit("so \\fbox{"), a, F.lit("}")))
+             .when(v == 2, F.concat(F.lit("the answer is \\boxed{\\dfrac{"), a, F.lit("}{"), b, F.lit("}}.")))
+             .when(v == 3, F.lit("unbalanced \\boxed{\\frac{1}{2}"))
+             .when(v == 4, F.concat(F.lit("we get $\\boxed "), a, F.lit("$ here")))
+             .otherwise(F.lit("done")))
+    text = F.concat(F.lit("We compute \\boxed{\\frac{"), a, F.lit("}{"), b, F.lit("}} then "), tail)
+    gt = F.concat(F.lit("\\frac{"), a, F.lit("}{"), b, F.lit("}"))
+    return p.select("p_partkey", text.alias("response"), gt.alias("ground_truth"))
+
+
+_BOXED_SQL = r"""
+WITH r AS (
+  SELECT p_partkey, '\frac{' || p_size || '}{' || (p_partkey % 9 + 1) || '}' AS ground_truth,
+         'We compute \boxed{\frac{' || p_size || '}{' || (p_partkey % 9 + 1) || '}} then ' ||
+         CASE p_partkey % 6
+           WHEN 0 THEN 'finally \boxed{' || p_size || '/' || (p_partkey % 9 + 1) || '}'
+           WHEN 1 THEN 'so \fbox{' || p_size || '}'
+           WHEN 2 THEN 'the answer is \boxed{\dfrac{' || p_size || '}{' || (p_partkey % 9 + 1) || '}}.'
+           WHEN 3 THEN 'unbalanced \boxed{\frac{1}{2}'
+           WHEN 4 THEN 'we get $\boxed ' || p_size || '$ here'
+           ELSE 'done' END AS response
+  FROM part),
+t AS (
+  SELECT *, CASE WHEN contains(response, '\boxed') THEN '\boxed' || string_split(response, '\boxed')[-1]
+                 WHEN contains(response, '\fbox') THEN '\fbox' || string_split(response, '\fbox')[-1] END AS tail
+  FROM r),
+ch AS (SELECT p_partkey, unnest(string_split(tail, '')) AS c, generate_subscripts(string_split(tail, ''), 1) AS i
+       FROM t WHERE tail IS NOT NULL),
+d AS (SELECT *, sum(CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS depth
+      FROM ch),
+e AS (SELECT p_partkey, min(i) AS endpos FROM d WHERE c = '}' AND depth = 0 GROUP BY p_partkey),
+b AS (
+  SELECT t.*, CASE WHEN contains(response, '\boxed ') THEN '\boxed ' || split_part(string_split(response, '\boxed ')[-1], '$', 1)
+                   WHEN endpos IS NOT NULL THEN substr(tail, 1, endpos) END AS boxed
+  FROM t LEFT JOIN e USING (p_partkey))
+"""
+
+
+def _strip_latex_sql(x: str) -> str:
+    for a, b in [("chr(10)", "''"), (r"'\!'", "''"), (r"'\\'", r"'\'"), ("'tfrac'", "'frac'"), ("'dfrac'", "'frac'"),
+                 (r"'\left'", "''"), (r"'\right'", "''"), (r"'^{\circ}'", "''"), (r"'^\circ'", "''"), (r"'\$'", "''")]:
+        x = f"replace({x}, {a}, {b})"
+    x = (f"(CASE WHEN (length({x}) - length(replace({x}, '\\text{{ ', ''))) / 7 = 1 "
+         f"THEN split_part({x}, '\\text{{ ', 1) ELSE {x} END)")
+    x = f"replace({x}, '\\%', '')"
+    x = f"replace(replace({x}, ' .', ' 0.'), '{{.', '{{0.')"
+    x = f"(CASE WHEN starts_with({x}, '.') THEN '0' || {x} ELSE {x} END)"
+    x = (f"(CASE WHEN (length({x}) - length(replace({x}, '=', ''))) = 1 AND length(split_part({x}, '=', 1)) <= 2 "
+         f"THEN split_part({x}, '=', 2) ELSE {x} END)")
+    x = f"regexp_replace({x}, '\\\\sqrt([^{{])', '\\\\sqrt{{\\1}}', 'g')"
+    x = f"replace({x}, ' ', '')"
+    x = f"regexp_replace({x}, '\\\\frac([^{{])([^{{])', '\\\\frac{{\\1}}{{\\2}}', 'g')"
+    x = f"regexp_replace({x}, '\\\\frac([^{{])\\{{', '\\\\frac{{\\1}}{{', 'g')"
+    x = f"(CASE WHEN {x} = '0.5' THEN '\\frac{{1}}{{2}}' ELSE {x} END)"
+    x = f"regexp_replace({x}, '^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$', '\\\\frac{{\\1}}{{\\2}}')"
+    return x
+
+
+@register("T7", _BOXED_SQL + "SELECT p_partkey, boxed FROM b")
+def t7_last_boxed(spark, sf):
+    r = boxed_responses(spark, sf)
+    return r.select("p_partkey", T.last_boxed("response").alias("boxed"))
+
+
+@register("R4", _BOXED_SQL + f""",
+u AS (SELECT p_partkey, ground_truth,
+             CASE WHEN starts_with(boxed, '\\boxed ') THEN substr(boxed, 8)
+                  WHEN starts_with(boxed, '\\boxed{{') AND ends_with(boxed, '}}') THEN substr(boxed, 8, length(boxed) - 8) END AS ans
+      FROM b)
+SELECT p_partkey, CAST(CASE WHEN ans IS NOT NULL AND {_strip_latex_sql('ans')} = {_strip_latex_sql('ground_truth')}
+                       THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
+FROM u""")
+def r4_boxed_score(spark, sf):
+    r = boxed_responses(spark, sf)
+    return r.select("p_partkey", S.boxed_score("response", "ground_truth")["score"].alias("score"))
+
+
+# --- R5-R14: puzzle responses built from orders -----------------------------------------
+
+# Fixed values of this fixture: the people's names.
+NAMES = ["Zoey", "Oliver", "Mia", "Lucas", "Emma", "Noah", "Ava", "Liam"]
+MAX_RESPONSE_TOKENS = 120
+
+
+def puzzle_responses(spark, sf):
+    """One templated response per order: variant ``o_orderkey % 7`` is correct,
+    one role flipped, a name missing, an extra role word, no answer tags, two
+    answer blocks, or answer before thinking."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    names_arr = F.array(*[F.lit(x) for x in NAMES])
+    o = o.withColumn("n", (F.col("o_orderkey") % 5 + 2).cast("int")).withColumn("v", F.col("o_orderkey") % 7)
+    people = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
+        F.element_at(names_arr, (F.pmod(F.expr("o_orderkey div 5") + 3 * i, F.lit(8)) + 1).cast("int")).alias("name"),
+        F.when(F.call_function("shiftright", F.col("o_custkey"), i).bitwiseAND(F.lit(1)) == 1, F.lit("knight"))
+         .otherwise(F.lit("knave")).alias("role"),
+        i.alias("i")))
+    o = o.withColumn("people", people)
+
+    def lines(arr, flip_first=False):
+        def one(p):
+            role = p["role"]
+            if flip_first:
+                role = F.when(p["i"] == 0, F.when(role == "knight", "knave").otherwise("knight")).otherwise(role)
+            return F.concat(p["name"], F.lit(" is a "), role)
+        return F.array_join(F.transform(arr, one), ", ")
+    truth = F.array_join(F.transform("people", lambda p: F.concat(
+        F.lit("("), (p["i"] + 1).cast("string"), F.lit(") "), p["name"], F.lit(" is a "), p["role"])), "\n")
+    good, flipped = lines(F.col("people")), lines(F.col("people"), True)
+    partial = lines(F.slice("people", 1, F.col("n") - 1))
+    mentioned = F.when(F.col("o_orderkey") % 4 == 1, F.col("people")[0]["name"]).otherwise(
+        F.array_join(F.transform("people", lambda p: p["name"]), ", "))
+    think = F.concat(F.lit("Let me reason about "), mentioned, F.lit(". "),
+                     F.repeat(F.lit("step "), (F.col("o_custkey") % 250).cast("int")),
+                     F.when(F.col("o_orderkey") % 3 == 0, F.lit("Wait, let me verify with ∨ and ∧."))
+                      .otherwise(F.lit("Done.")))
+    th = F.concat(F.lit("<think>"), think, F.lit("</think>\n"))
+    ans = lambda x: F.concat(F.lit("<answer>"), x, F.lit("</answer>"))
+    v = F.col("v")
+    body = (F.when(v == 1, F.concat(th, ans(flipped)))
+             .when(v == 2, F.concat(th, ans(partial)))
+             .when(v == 3, F.concat(th, ans(F.concat(good, F.lit(" and maybe a knave")))))
+             .when(v == 4, F.concat(th, good))
+             .when(v == 5, F.concat(th, ans(flipped), F.lit("\n"), ans(good)))
+             .when(v == 6, F.concat(ans(good), F.lit("\n<think>"), think, F.lit("</think>")))
+             .otherwise(F.concat(th, ans(good))))
+    prefix = F.when(F.col("o_custkey") % 2 == 0, F.lit("<|im_start|>assistant\n")).otherwise(F.lit("Assistant: "))
+    resp = F.concat(prefix, body)
+    return o.select("o_orderkey", resp.alias("response"), truth.alias("solution_text"))
+
+
+def _py_slice_sql(s: str, a: str, b: str) -> str:
+    n = f"length({s})"
+    aa = f"(CASE WHEN ({a}) < 0 THEN greatest({n} + ({a}), 0) ELSE least({a}, {n}) END)"
+    bb = f"(CASE WHEN ({b}) < 0 THEN greatest({n} + ({b}), 0) ELSE least({b}, {n}) END)"
+    return f"(CASE WHEN {bb} > {aa} THEN substr({s}, {aa} + 1, {bb} - {aa}) ELSE '' END)"
+
+
+_NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
+_PUZZLE_SQL = f"""
+WITH base AS (
+  SELECT o_orderkey, o_custkey, o_orderkey % 5 + 2 AS n, o_orderkey % 7 AS v, {_NAMES_SQL} AS nm FROM orders),
+ppl AS (
+  SELECT *, list_transform(range(n), lambda i: {{'name': nm[((o_orderkey // 5) + 3 * i) % 8 + 1],
+             'role': CASE WHEN (o_custkey >> i) & 1 = 1 THEN 'knight' ELSE 'knave' END, 'i': i}}) AS people
+  FROM base),
+txt AS (
+  SELECT o_orderkey, o_custkey, n, v,
+    array_to_string(list_transform(people, lambda p: '(' || (p.i + 1) || ') ' || p.name || ' is a ' || p.role), chr(10)) AS solution_text,
+    array_to_string(list_transform(people, lambda p: p.name || ' is a ' || p.role), ', ') AS good,
+    array_to_string(list_transform(people, lambda p: p.name || ' is a ' ||
+        CASE WHEN p.i = 0 THEN (CASE p.role WHEN 'knight' THEN 'knave' ELSE 'knight' END) ELSE p.role END), ', ') AS flipped,
+    array_to_string(list_transform(people[1:n - 1], lambda p: p.name || ' is a ' || p.role), ', ') AS partial,
+    'Let me reason about ' || CASE WHEN o_orderkey % 4 = 1 THEN people[1].name
+                                   ELSE array_to_string(list_transform(people, lambda p: p.name), ', ') END || '. ' ||
+      repeat('step ', CAST(o_custkey % 250 AS INTEGER)) ||
+      CASE WHEN o_orderkey % 3 = 0 THEN 'Wait, let me verify with ∨ and ∧.' ELSE 'Done.' END AS think
+  FROM ppl),
+resp AS (
+  SELECT o_orderkey, solution_text,
+    (CASE WHEN o_custkey % 2 = 0 THEN '<|im_start|>assistant' || chr(10) ELSE 'Assistant: ' END) ||
+    CASE v
+      WHEN 1 THEN '<think>' || think || '</think>' || chr(10) || '<answer>' || flipped || '</answer>'
+      WHEN 2 THEN '<think>' || think || '</think>' || chr(10) || '<answer>' || partial || '</answer>'
+      WHEN 3 THEN '<think>' || think || '</think>' || chr(10) || '<answer>' || good || ' and maybe a knave' || '</answer>'
+      WHEN 4 THEN '<think>' || think || '</think>' || chr(10) || good
+      WHEN 5 THEN '<think>' || think || '</think>' || chr(10) || '<answer>' || flipped || '</answer>' || chr(10) || '<answer>' || good || '</answer>'
+      WHEN 6 THEN '<answer>' || good || '</answer>' || chr(10) || '<think>' || think || '</think>'
+      ELSE '<think>' || think || '</think>' || chr(10) || '<answer>' || good || '</answer>' END AS response
+  FROM txt),
+proc AS (
+  SELECT *, CASE WHEN contains(response, 'Assistant:') THEN substr(response, instr(response, 'Assistant:') + 10)
+                 WHEN contains(response, '<|im_start|>assistant') THEN substr(response, instr(response, '<|im_start|>assistant') + 21)
+                 ELSE response END AS processed
+  FROM resp),
+ans AS (
+  SELECT *, regexp_extract_all(processed, '(?s)<answer>(.*?)</answer>', 1) AS blocks,
+         list_filter(list_transform(string_split(solution_text, chr(10)), lambda l: {{
+             'name': regexp_extract(trim(l), '(?i)\\b([A-Za-z]+)\\b.*?\\b(knight|knave)\\b', 1),
+             'role': lower(regexp_extract(trim(l), '(?i)\\b([A-Za-z]+)\\b.*?\\b(knight|knave)\\b', 2))}}),
+           lambda t: t.name <> '') AS truth
+  FROM proc),
+a2 AS (
+  SELECT *, CASE WHEN len(blocks) > 0 THEN regexp_replace(blocks[-1], '^\\s+|\\s+$', '', 'g') END AS answer,
+         list_transform(truth, lambda t: t.name) AS names, list_transform(truth, lambda t: t.role) AS roles
+  FROM ans),
+a3 AS (
+  SELECT *, list_transform(names, lambda nm: lower(regexp_extract(answer, '(?i)\\b' || nm || '\\b\\s+is\\s+a\\s+\\b(knight|knave)\\b', 1))) AS pred_roles,
+         (length(lower(answer)) - length(replace(lower(answer), 'knight', ''))) // 6
+           + (length(lower(answer)) - length(replace(lower(answer), 'knave', ''))) // 5 AS n_roles
+  FROM a2),
+a4 AS (
+  SELECT *, coalesce(answer IS NOT NULL AND n_roles = len(names) AND len(names) > 0
+                     AND list_bool_and(list_transform(pred_roles, lambda r: r <> '')), false) AS parsed,
+         coalesce(answer <> '', false) AS has_answer
+  FROM a3),
+a5 AS (
+  SELECT *, parsed AND pred_roles = roles AS match,
+    (length(processed) - length(replace(processed, '<think>', ''))) // 7 = 1
+      AND (length(processed) - length(replace(processed, '</think>', ''))) // 8 = 1
+      AND (length(processed) - length(replace(processed, '<answer>', ''))) // 8 = 1
+      AND (length(processed) - length(replace(processed, '</answer>', ''))) // 9 = 1
+      AND instr(processed, '<think>') <= instr(processed, '</think>')
+      AND instr(processed, '</think>') <= instr(processed, '<answer>')
+      AND instr(processed, '<answer>') <= instr(processed, '</answer>') AS format_ok,
+    {_py_slice_sql('processed', "instr(processed, '<think>') - 1 + 7", "instr(processed, '</think>') - 1")} AS think
+  FROM a4),
+a6 AS (
+  SELECT *, (1.0 + floor(len(regexp_extract_all(think, '\\b\\w+\\b')) / 100.0) * 1e-5)
+            * power(0.5, len(list_filter(names, lambda nm: NOT contains(think, nm)))) AS f0,
+         len(string_split_regex(regexp_replace(response, '^\\s+|\\s+$', '', 'g'), '\\s+')) AS vlen
+  FROM a5),
+a7 AS (
+  SELECT *, CASE WHEN f0 >= 1.0 THEN f0 + 1e-5 * (
+      CAST(contains(lower(think), 'wait') AS INT) + CAST(contains(lower(think), 'verify') AS INT)
+      + CAST(contains(lower(think), 'yet') AS INT) + CAST(contains(lower(think), 're-evaluate') AS INT)
+      + CAST(contains(lower(think), 'review') AS INT) + CAST(contains(lower(think), '∨') AS INT)
+      + CAST(contains(lower(think), '\\u2228') AS INT) + CAST(contains(lower(think), '∧') AS INT)
+      + CAST(contains(lower(think), '\\u2227') AS INT) + CAST(contains(lower(think), '¬') AS INT)
+      + CAST(contains(lower(think), '\\u00AC') AS INT)) ELSE f0 END AS factor
+  FROM a6)
+"""
+
+
+def _puzzle_cols(spark, sf):
+    r = S.with_puzzle_parse(puzzle_responses(spark, sf))
+    return r, F.col("_pz_processed"), F.col("_pz_answer"), F.col("_pz_truth"), F.col("_pz_names")
+
+
+@register("R5", _PUZZLE_SQL + "SELECT o_orderkey, answer FROM a7")
+def r5_answer(spark, sf):
+    r, processed, answer, *_ = _puzzle_cols(spark, sf)
+    return r.select("o_orderkey", answer.alias("answer"))
+
+
+@register("R6", _PUZZLE_SQL + "SELECT o_orderkey, array_to_string(names, ',') AS names, array_to_string(roles, ',') AS roles FROM a7")
+def r6_truth(spark, sf):
+    r, _p, _a, truth, names = _puzzle_cols(spark, sf)
+    return r.select("o_orderkey", F.array_join(names, ",").alias("names"),
+                    F.array_join(F.transform(truth, lambda t: t["role"]), ",").alias("roles"))
+
+
+@register("R7", _PUZZLE_SQL + "SELECT o_orderkey, CASE WHEN parsed THEN array_to_string(pred_roles, ',') END AS predicted FROM a7")
+def r7_predicted(spark, sf):
+    r, _p, answer, truth, names = _puzzle_cols(spark, sf)
+    return r.select("o_orderkey", F.when(F.col("_pz_parsed"), F.array_join(
+        F.transform("_pz_pred", lambda p: p["role"]), ",")).alias("predicted"))
+
+
+@register("R8", _PUZZLE_SQL + "SELECT o_orderkey, format_ok FROM a7")
+def r8_structure(spark, sf):
+    r, processed, *_ = _puzzle_cols(spark, sf)
+    return r.select("o_orderkey", T.tags_in_order(processed, T.THINK_ANSWER_TAGS).alias("format_ok"))
+
+
+@register("R9", _PUZZLE_SQL + """
+SELECT o_orderkey,
+  CAST((CASE WHEN format_ok THEN 1.0 ELSE -1.0 END) +
+  (CASE WHEN format_ok AND has_answer AND match THEN 2.0 WHEN format_ok AND has_answer AND parsed THEN -1.5 ELSE -2.0 END) AS DOUBLE) AS score,
+  CAST(CASE WHEN format_ok AND has_answer AND match THEN 1.0 ELSE 0.0 END AS DOUBLE) AS outcome_score,
+  CAST(CASE WHEN format_ok THEN 1.0 ELSE 0.0 END AS DOUBLE) AS format_score
+FROM a7""")
+def r9_puzzle_v1(spark, sf):
+    r = S.puzzle_scores(puzzle_responses(spark, sf), "v1")
+    return r.select("o_orderkey", "score", "outcome_score", "format_score")
+
+
+@register("R10", _PUZZLE_SQL + "SELECT o_orderkey, CAST(CASE WHEN has_answer AND match THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM a7")
+def r10_puzzle_pure(spark, sf):
+    r = S.puzzle_scores(puzzle_responses(spark, sf), "pure")
+    return r.select("o_orderkey", "score")
+
+
+# Scores of the "new" rule are exact multiples of 1e-5 / 2^k; they are
+# reported as integers in units of 1e-11 so no decimal rounding tie can occur.
+@register("R11", _PUZZLE_SQL + f"""
+SELECT o_orderkey, CAST(round(1e11 * (
+  (CASE WHEN NOT has_answer THEN -2.0 WHEN NOT parsed THEN -1.0 WHEN match THEN 2.0 * factor ELSE -0.5 END)
+  + (CASE WHEN vlen <= 100 OR vlen >= {MAX_RESPONSE_TOKENS} THEN -1.0 ELSE 0.0 END))) AS BIGINT) AS score_e11
+FROM a7""")
+def r11_puzzle_new(spark, sf):
+    r = puzzle_responses(spark, sf).withColumn("vlen", T.approx_tokens("response"))
+    r = S.puzzle_scores(r, "new", valid_response_length="vlen", max_response_length=MAX_RESPONSE_TOKENS)
+    return r.select("o_orderkey", F.round(F.col("score") * 1e11).cast("bigint").alias("score_e11"))
+
+
+@register("R13", _PUZZLE_SQL + "SELECT o_orderkey, CAST(round(1e11 * factor) AS BIGINT) AS thinking_factor_e11 FROM a7")
+def r13_thinking_factor(spark, sf):
+    r = S.with_puzzle_parse(puzzle_responses(spark, sf))
+    f = T.thinking_factor("_pz_processed", "_pz_names")
+    return r.select("o_orderkey", F.round(f * 1e11).cast("bigint").alias("thinking_factor_e11"))
+
+
+@register("R14", _PUZZLE_SQL + """
+SELECT o_orderkey, CAST(CASE WHEN contains(processed, '∨') OR contains(processed, '\\u2228') OR contains(processed, '∧')
+                          OR contains(processed, '\\u2227') OR contains(processed, '¬') OR contains(processed, '\\u00AC')
+                        THEN 0.5 ELSE -0.1 END AS DOUBLE) AS logic_reward
+FROM a7""")
+def r14_logic(spark, sf):
+    r = S.with_puzzle_parse(puzzle_responses(spark, sf))
+    return r.select("o_orderkey", T.logic_symbol_reward("_pz_processed").alias("logic_reward"))
+
+
+@register("R32", "SELECT o_orderkey, vlen AS n_tokens FROM (" + _PUZZLE_SQL + "SELECT * FROM a7)")
+def r32_approx_tokens(spark, sf):
+    r = puzzle_responses(spark, sf)
+    return r.select("o_orderkey", T.approx_tokens("response").cast("bigint").alias("n_tokens"))
