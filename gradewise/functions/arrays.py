@@ -143,7 +143,7 @@ def joined_sequence(prompt_ids, prompt_mask, response_ids, eos_ids) -> dict[str,
     prompt_ids, prompt_mask, response_ids = map(as_col, (prompt_ids, prompt_mask, response_ids))
     resp_mask = eos_mask(response_ids, eos_ids)
     prompt_pos = position_ids(prompt_mask)
-    last = F.coalesce(F.element_at(prompt_pos, -1), F.lit(-1))
+    last = F.coalesce(F.try_element_at(prompt_pos, F.lit(-1)), F.lit(-1))
     resp_pos = F.transform(response_ids, lambda x, i: (last + 1 + i).cast("int"))
     return {
         "input_ids": F.concat(prompt_ids, response_ids),

@@ -63,7 +63,7 @@ def flexible_number(s) -> Column:
     """R2: last number-like match that is not '' or '.'; NULL if none."""
     found = F.regexp_extract_all(as_col(s), F.lit(ANY_NUMBER), 1)
     valid = F.filter(found, lambda x: ~x.isin("", "."))
-    return F.when(F.size(found) > 0, F.coalesce(F.element_at(valid, -1), F.element_at(found, 1)))
+    return F.when(F.size(found) > 0, F.coalesce(F.try_element_at(valid, F.lit(-1)), F.try_element_at(found, F.lit(1))))
 
 
 def number_score(answer, ground_truth, format_score: float = 0.0, score: float = 1.0) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.common import as_col
+from ..functions.common import as_col, let
 
 Scorer = Callable[..., Column]
 
@@ -28,17 +28,22 @@ def _result(score: Column, extra: dict[str, Column] | None = None) -> Column:
     return F.struct(score.cast("double").alias("score"), m.alias("extra"))
 
 
-def _puzzle_parts(response, solution_text, with_marker: bool = True):
+def _puzzle_let(response, solution_text, body, with_marker: bool = True) -> Column:
+    """Evaluate the puzzle parse once per row and hand the pieces to ``body``
+    (processed, answer, truth, names, parsed, match, has_answer)."""
     processed = T.assistant_part(response) if with_marker else as_col(response)
-    answer = T.last_answer_block(processed)
-    truth = T.truth_identities(solution_text)
-    names = F.transform(truth, lambda t: t["name"])
-    pred = T.predicted_identities(answer, names)
-    # an empty dict is falsy in the reference, so no names means "not parsed"
-    parsed = pred.isNotNull() & (F.size(pred) > 0)
-    match = parsed & T.identities_match(pred, truth)
-    has_answer = answer.isNotNull() & (answer != "")
-    return processed, answer, truth, names, parsed, match, has_answer
+
+    def with_truth(p, a, t):
+        def with_names(names):
+            def with_pred(pred):
+                parsed = pred.isNotNull() & (F.size(pred) > 0)
+                match = parsed & T.identities_match(pred, t)
+                has_answer = a.isNotNull() & (a != "")
+                return body(p, a, t, names, parsed, match, has_answer)
+            return let(T.predicted_identities(a, names), with_pred)
+        return let(F.transform(t, lambda x: x["name"]), with_names)
+    return let(processed, lambda p: let(T.last_answer_block(p), lambda a: let(
+        T.truth_identities(solution_text), lambda t: with_truth(p, a, t))))
 
 
 def with_puzzle_parse(df: DataFrame, response="response", solution_text="solution_text",
@@ -107,35 +112,38 @@ def puzzle_scores(df: DataFrame, variant: str = "pure", response="response",
 
 def puzzle_score_v1(response, solution_text) -> Column:
     """Format ±1 (tags once, in order) plus answer +2 / -1.5 / -2."""
-    processed, answer, truth, names, parsed, match, has_answer = _puzzle_parts(response, solution_text)
-    fmt_ok = T.tags_in_order(processed, T.THINK_ANSWER_TAGS)
-    fmt = F.when(fmt_ok, 1.0).otherwise(-1.0)
-    ans = (F.when(fmt_ok & has_answer & parsed & match, 2.0)
-            .when(fmt_ok & has_answer & parsed, -1.5)
-            .otherwise(-2.0))
-    return _result(fmt + ans, {"outcome_score": F.when(fmt_ok & has_answer & match, 1).otherwise(0),
-                               "format_score": F.when(fmt_ok, 1).otherwise(0)})
+    def body(processed, answer, truth, names, parsed, match, has_answer):
+        return let(T.tags_in_order(processed, T.THINK_ANSWER_TAGS), lambda fmt_ok: _result(
+            F.when(fmt_ok, 1.0).otherwise(-1.0)
+            + F.when(fmt_ok & has_answer & parsed & match, 2.0).when(fmt_ok & has_answer & parsed, -1.5).otherwise(-2.0),
+            {"outcome_score": F.when(fmt_ok & has_answer & match, 1).otherwise(0),
+             "format_score": F.when(fmt_ok, 1).otherwise(0)}))
+    return _puzzle_let(response, solution_text, body)
 
 
 def puzzle_score_pure(response, solution_text) -> Column:
     """1 when every identity matches, else 0."""
-    _p, _a, _t, _n, parsed, match, has_answer = _puzzle_parts(response, solution_text)
-    ok = has_answer & match
-    return _result(F.when(ok, 1.0).otherwise(0.0), {"outcome_score": F.when(ok, 1).otherwise(0)})
+    def body(processed, answer, truth, names, parsed, match, has_answer):
+        ok = has_answer & match
+        return _result(F.when(ok, 1.0).otherwise(0.0), {"outcome_score": F.when(ok, 1).otherwise(0)})
+    return _puzzle_let(response, solution_text, body)
 
 
 def puzzle_score_new(response, solution_text, valid_response_length, max_response_length: int) -> Column:
     """2·thinking factor on a full match, -0.5 wrong, -1 unparsed, -2 no
     answer; plus -1 for responses of <= 100 or >= max tokens."""
-    processed, _a, _t, names, parsed, match, has_answer = _puzzle_parts(response, solution_text)
-    factor = T.thinking_factor(processed, names)
-    ans = (F.when(~has_answer, -2.0).when(~parsed, -1.0).when(match, 2.0 * factor).otherwise(-0.5))
     vlen = as_col(valid_response_length)
     length = F.when((vlen <= 100) | (vlen >= max_response_length), -1.0).otherwise(0.0)
-    return _result(ans + length, {
-        "outcome_score": F.when(has_answer & match, 1).otherwise(0),
-        "thinking_factor": F.when(has_answer & match, factor).otherwise(1.0),
-        "length_score": length})
+
+    def body(processed, answer, truth, names, parsed, match, has_answer):
+        def scored(factor):
+            ans = F.when(~has_answer, -2.0).when(~parsed, -1.0).when(match, 2.0 * factor).otherwise(-0.5)
+            return _result(ans + length, {
+                "outcome_score": F.when(has_answer & match, 1).otherwise(0),
+                "thinking_factor": F.when(has_answer & match, factor).otherwise(1.0),
+                "length_score": length})
+        return let(T.thinking_factor(processed, names), scored)
+    return _puzzle_let(response, solution_text, body)
 
 
 VERIFY_TAGS = ["<think>", "</think>", "<verify>", "</verify>", "<answer>", "</answer>"]
@@ -146,17 +154,21 @@ def puzzle_score_verify(response, solution_text, valid_response_length, max_resp
     """Six-tag order check (format -1), language rule (-5), answer as in
     "new" with the thinking read up to ``</verify>`` and no word bonus, and a
     length penalty outside [min, max)."""
-    processed, _a, _t, names, parsed, match, has_answer = _puzzle_parts(response, solution_text)
-    fmt = F.when(T.tags_in_order(processed, VERIFY_TAGS), 0.0).otherwise(-1.0)
-    lang = T.language_mix_reward(response)
-    factor = T.thinking_factor(processed, names, end_tag="</verify>", word_bonus=False)
-    full = F.when(factor == 1.0, 2.0).otherwise(2.0 * factor)
-    ans = F.when(~has_answer, -2.0).when(~parsed, -1.0).when(match, full).otherwise(-0.5)
     vlen = as_col(valid_response_length)
     length = F.when((vlen < min_response_length) | (vlen >= max_response_length), -1.0).otherwise(0.0)
-    return _result(ans + fmt + lang + length, {
-        "outcome_score": F.when(has_answer & match, 1).otherwise(0),
-        "format_score": fmt, "language_mix_score": lang, "length_score": length})
+    lang = T.language_mix_reward(response)
+
+    def body(processed, answer, truth, names, parsed, match, has_answer):
+        fmt = F.when(T.tags_in_order(processed, VERIFY_TAGS), 0.0).otherwise(-1.0)
+
+        def scored(factor):
+            full = F.when(factor == 1.0, 2.0).otherwise(2.0 * factor)
+            ans = F.when(~has_answer, -2.0).when(~parsed, -1.0).when(match, full).otherwise(-0.5)
+            return _result(ans + fmt + lang + length, {
+                "outcome_score": F.when(has_answer & match, 1).otherwise(0),
+                "format_score": fmt, "language_mix_score": lang, "length_score": length})
+        return let(T.thinking_factor(processed, names, end_tag="</verify>", word_bonus=False), scored)
+    return _puzzle_let(response, solution_text, body)
 
 
 def number_answer_score(response, ground_truth, method: str = "strict", format_score: float = 0.0) -> Column:
@@ -178,19 +190,26 @@ def open_math_score(response, ground_truth) -> Column:
     """Last ``\\boxed{.*}`` (greedy) inside ``<answer>``, else anywhere;
     equal after normalisation 1, different -0.5, empty -1, none -2; -5 when a
     chat-role marker leaks into the response."""
-    processed = T.assistant_part(response)
-    in_tags = F.regexp_extract_all(processed, F.lit(r"(?s)<answer>.*?(\\boxed\{.*\}).*?</answer>"), 1)
-    anywhere = F.regexp_extract_all(processed, F.lit(r"(?s)(\\boxed\{.*\})"), 1)
-    found = F.when(F.size(in_tags) > 0, F.element_at(in_tags, -1)).when(F.size(anywhere) > 0, F.element_at(anywhere, -1))
-    answer = T.py_strip(found)
-    pred = normalize_answer(T.remove_boxed(T.last_boxed(answer)))
-    truth = normalize_answer(F.coalesce(T.remove_boxed(T.last_boxed(ground_truth)), as_col(ground_truth)))
-    ans = (F.when(answer.isNull() | (answer == ""), -2.0)
-            .when(pred.isNull() | (pred == ""), -1.0)
-            .when(answers_equal(pred, truth), 1.0)
-            .otherwise(-0.5))
-    chat = F.when(processed.rlike(ROLE_MARKERS), -5.0).otherwise(0.0)
-    return _result(ans + chat, {"outcome_score": F.when(ans == 1.0, 1).otherwise(0), "chat_score": chat})
+    def on_processed(processed):
+        in_tags = F.regexp_extract_all(processed, F.lit(r"(?s)<answer>.*?(\\boxed\{.*\}).*?</answer>"), 1)
+        anywhere = F.regexp_extract_all(processed, F.lit(r"(?s)(\\boxed\{.*\})"), 1)
+        found = let(in_tags, lambda it: F.when(F.size(it) > 0, F.try_element_at(it, F.lit(-1))).otherwise(
+            let(anywhere, lambda an: F.try_element_at(an, F.lit(-1)))))
+        chat = F.when(processed.rlike(ROLE_MARKERS), -5.0).otherwise(0.0)
+
+        def on_answer(answer):
+            def on_pred(pred):
+                truth = normalize_answer(let(as_col(ground_truth), lambda g: F.coalesce(
+                    T.remove_boxed(T.last_boxed(g)), g)))
+                ans = (F.when(answer.isNull() | (answer == ""), -2.0)
+                        .when(pred.isNull() | (pred == ""), -1.0)
+                        .when(answers_equal(pred, truth), 1.0)
+                        .otherwise(-0.5))
+                return let(ans, lambda a: _result(a + chat, {"outcome_score": F.when(a == 1.0, 1).otherwise(0),
+                                                             "chat_score": chat}))
+            return let(normalize_answer(T.remove_boxed(T.last_boxed(answer))), on_pred)
+        return let(T.py_strip(found), on_answer)
+    return let(T.assistant_part(response), on_processed)
 
 
 # Answer normalisation substitutions and removed words (subset of
@@ -225,11 +244,14 @@ def normalize_answer(s) -> Column:
 
 def answers_equal(a, b, rel_tol: float = 1e-4) -> Column:
     """Equal strings, or numbers within a relative tolerance (also x100 / /100)."""
-    a, b = as_col(a), as_col(b)
-    x, y = a.try_cast("double"), b.try_cast("double")
     close = lambda u, v: F.abs(u - v) <= rel_tol * F.greatest(F.abs(u), F.abs(v))
-    num = x.isNotNull() & y.isNotNull() & (close(x, y) | close(x, y * 100) | close(x, y / 100))
-    return (a == b) | F.coalesce(num, F.lit(False))
+
+    def on(a, b):
+        def nums(x, y):
+            num = x.isNotNull() & y.isNotNull() & (close(x, y) | close(x, y * 100) | close(x, y / 100))
+            return (a == b) | F.coalesce(num, F.lit(False))
+        return let(a.try_cast("double"), lambda x: let(b.try_cast("double"), lambda y: nums(x, y)))
+    return let(as_col(a), lambda av: let(as_col(b), lambda bv: on(av, bv)))
 
 
 # --- R17-R19: contest-math answer handling -------------------------------------------
@@ -246,9 +268,8 @@ def contest_math_answer(response) -> Column:
     for p in reversed(ANSWER_PHRASES):
         after = F.when(F.instr(s, p) > 0, F.substring_index(s, p, -1)).otherwise(after)
     boxed = T.remove_boxed(T.last_boxed(s))
-    cand = F.coalesce(boxed, after)
-    cand = T.py_strip(F.regexp_replace(cand, r"(\.\s*)$", ""))
-    return F.when(cand.rlike("[0-9]"), cand)
+    cand = T.py_strip(F.regexp_replace(F.coalesce(boxed, after), r"(\.\s*)$", ""))
+    return let(cand, lambda c: F.when(c.rlike("[0-9]"), c))
 
 
 def contest_math_format_ok(response) -> Column:
@@ -271,10 +292,12 @@ def contest_math_normalize(s) -> Column:
         x = F.regexp_replace(x, rf"\s*{w}", e)
     x = F.regexp_replace(x, r"^(\d+)\\frac\{(\d+)\}\{(\d+)\}$", "$1+$2/$3")
     x = F.replace(x, F.lit(" "), F.lit(""))
-    num = x.try_cast("double")
-    as_int = F.when(num.isNotNull() & (num == F.floor(num)) & (F.abs(num) < 1e15),
-                    F.floor(num).cast("long").cast("string"))
-    return F.coalesce(as_int, x)
+
+    def on(v):
+        return let(v.try_cast("double"), lambda num: F.coalesce(F.when(
+            num.isNotNull() & (num == F.floor(num)) & (F.abs(num) < 1e15),
+            F.floor(num).cast("long").cast("string")), v))
+    return let(x, on)
 
 
 def tuple_parts(s) -> Column:
@@ -298,10 +321,11 @@ def tuples_equal(a, b) -> Column:
 
 def contest_math_score(response, ground_truth) -> Column:
     """R17-R20 combined: 1 when the extracted answer equals the truth."""
-    ans = contest_math_answer(response)
-    eq = F.when(ans.isNull(), F.lit(False)).when(
-        as_col(ground_truth).rlike(r"^\s*[\(\[\{].*,.*[\)\]\}]\s*$"), tuples_equal(ans, ground_truth)
-    ).otherwise(answers_equal(contest_math_normalize(ans), contest_math_normalize(ground_truth)))
+    def on(ans):
+        return F.when(ans.isNull(), F.lit(False)).when(
+            as_col(ground_truth).rlike(r"^\s*[\(\[\{].*,.*[\)\]\}]\s*$"), tuples_equal(ans, ground_truth)
+        ).otherwise(answers_equal(contest_math_normalize(ans), contest_math_normalize(ground_truth)))
+    eq = let(contest_math_answer(response), on)
     return _result(F.when(eq, 1.0).otherwise(0.0),
                    {"format_ok": F.when(contest_math_format_ok(response), 1).otherwise(0)})
 
@@ -398,3 +422,101 @@ def first_rows_per_source(df: DataFrame, source: str, order: str, n: int) -> Dat
     """The first ``n`` rows of each data source (for printing samples)."""
     w = Window.partitionBy(source).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def first_rows_per_key(df: DataFrame, key: str, order: str, n: int, salts: int = 64) -> DataFrame:
+    """R26 (skew-safe form): first ``n`` rows per key by ``order``.
+
+    Two levels: first ``n`` per (key, salt), then first ``n`` of those per
+    key, so a hot key is ranked in ``salts`` tasks and the final ranking sees
+    at most ``n * salts`` rows per key.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(order)), F.lit(salts)))
+    w1 = Window.partitionBy(key, "_salt").orderBy(order)
+    cand = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)
+    w2 = Window.partitionBy(key).orderBy(order)
+    return cand.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= n).drop("_r", "_salt")
+
+
+# --- R27 / R28: evaluation-time puzzle parsers ---------------------------------------
+
+# Patterns after which a legacy answer is cut, in order.
+FINISH_PATTERNS = ["### Reason", "Let's think step by step again", "let's go back and check", "###"]
+
+
+def legacy_gold_conditions(answer_text) -> Column:
+    """Gold conditions: drop ' and ' and '.', split on ',', strip each."""
+    gold = F.replace(F.replace(as_col(answer_text), F.lit(" and "), F.lit("")), F.lit("."), F.lit(""))
+    return F.transform(F.split(gold, ","), lambda c: T.py_strip(c))
+
+
+def legacy_parse(df: DataFrame, response: str, answer_text: str,
+                 conclusion_pattern: str = "CONCLUSION:") -> DataFrame:
+    """Cut at '### Question'; take the text after the conclusion pattern
+    (if non-empty); cut at the finish patterns; then judge: a '(N+1)' item ->
+    beyond_list, any 'if' -> contain_if, else every gold condition must be a
+    substring (wrong_identity otherwise).  Adds is_correct, pred_answer,
+    wrong_reason and correct_ratio.  (The unreachable fallback is skipped.)"""
+    d = df.withColumn("_gold", legacy_gold_conditions(answer_text))
+    pred = F.substring_index(F.col(response), "### Question", 1)
+    after = F.substring_index(F.substring_index(pred, conclusion_pattern, 2), conclusion_pattern, -1)
+    has = (F.instr(pred, conclusion_pattern) > 0) & (F.length(after) > 0)
+    d = d.withColumn("pred_answer", F.when(has, after).otherwise(pred))
+    judged = F.col("pred_answer")
+    for fp in FINISH_PATTERNS:
+        judged = F.substring_index(judged, fp, 1)
+    d = d.withColumn("_j", judged)
+    n = F.size("_gold")
+    beyond = F.instr(F.col("_j"), F.concat(F.lit("("), (n + 1).cast("string"), F.lit(")"))) > 0
+    found = F.size(F.filter("_gold", lambda g: F.instr(F.col("_j"), g) > 0))
+    d = (d.withColumn("wrong_reason", F.when(beyond, "beyond_list").when(F.instr("_j", "if") > 0, "contain_if")
+                      .when(found < n, "wrong_identity").otherwise("no_conclusion_matched"))
+          .withColumn("is_correct", ~beyond & (F.instr("_j", "if") == 0) & (found == n))
+          .withColumn("correct_ratio", F.when(beyond | (F.instr("_j", "if") > 0), 0.0)
+                      .otherwise(found.cast("double") / n)))
+    return d.drop("_gold", "_j")
+
+
+def alt_puzzle_parse(df: DataFrame, response="response", solution_text="solution_text") -> DataFrame:
+    """1/0 plus the parsed identities, without the assistant-marker split."""
+    d = with_puzzle_parse(df, response, solution_text, with_marker=False)
+    d = (d.withColumn("score", F.when(F.col("_pz_has_answer") & F.col("_pz_match"), 1).otherwise(0))
+          .withColumn("predicted", F.when(F.col("_pz_has_answer") & F.col("_pz_parsed"), F.array_join(
+              F.transform("_pz_pred", lambda p: F.concat(p["name"], F.lit(":"), p["role"])), ","))
+              .otherwise(F.lit(" Parse failure"))))
+    return drop_puzzle_parse(d)
+
+
+# --- R29-R31: digit-completion task ---------------------------------------------------
+
+def digit_ground_truth(prompt) -> Column:
+    """Prompt ``a,b:max,n`` -> ``n`` numbers continuing the arithmetic
+    sequence modulo ``max``: ``(b + d·(k+1)) mod max`` with ``d = (b-a) mod max``."""
+    p = as_col(prompt)
+    head, info = F.split(p, ":")[0], F.split(p, ":")[1]
+    a, b = F.split(head, ",")[0].cast("long"), F.split(head, ",")[1].cast("long")
+    m, n = F.split(info, ",")[0].cast("long"), F.split(info, ",")[1].cast("int")
+    d = F.pmod(b - a, m)
+    seq = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                      lambda k: F.pmod(b + d * k, m).cast("string"))
+    return F.when(n > 0, F.array_join(seq, ",")).otherwise(F.lit(""))
+
+
+def dense_prefix_reward(response, ground_truth, sequence_reward: float = 1.0) -> Column:
+    """Each leading character matching the truth earns 1/(len(truth)+1)."""
+    r, g = as_col(response), as_col(ground_truth)
+    per = F.lit(sequence_reward) / (F.length(g) + 1)
+    lcp = T.common_prefix_len(F.split(r, ""), F.split(g, ""))
+    lcp = F.when((F.length(r) == 0) | (F.length(g) == 0), F.lit(0)).otherwise(lcp)
+    return let(lcp, lambda n: F.when(F.length(r) == 0, F.array().cast("array<double>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.length(r) - 1), lambda i: F.when(i < n, per).otherwise(F.lit(0.0)))))
+
+
+def pad_dense_reward(reward, ground_truth, response_mask) -> Column:
+    """Extend with the last reward (empty: 1 if the truth is empty, else 0)
+    to the mask length, then multiply by the mask."""
+    r, mask = as_col(reward), as_col(response_mask)
+    last = F.coalesce(F.try_element_at(r, F.lit(-1)),
+                      F.when(F.length(as_col(ground_truth)) == 0, 1.0).otherwise(0.0))
+    padded = F.transform(mask, lambda m, i: F.coalesce(F.try_element_at(r, i + 1), last) * m)
+    return padded

@@ -386,3 +386,329 @@ def r14_logic(spark, sf):
 def r32_approx_tokens(spark, sf):
     r = puzzle_responses(spark, sf)
     return r.select("o_orderkey", T.approx_tokens("response").cast("bigint").alias("n_tokens"))
+
+
+@register("R12")
+def r12_puzzle_verify(spark, sf):
+    """Verify-variant scores (six-tag order, language rule, length window); rows-only check."""
+    r = puzzle_responses(spark, sf).withColumn("vlen", T.approx_tokens("response"))
+    r = S.puzzle_scores(r, "verify", valid_response_length="vlen", max_response_length=MAX_RESPONSE_TOKENS)
+    return r.select("o_orderkey", "score", "format_score", "language_mix_score", "length_score")
+
+
+# --- R15-R20: open / contest math answers built from part ------------------------------
+
+
+def math_answers(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    x = F.col("p_size").cast("string")
+    y = (F.col("p_partkey") % 9 + 1).cast("string")
+    price = F.floor("p_retailprice")
+    v = F.col("p_partkey") % 8
+    resp = (F.when(v == 0, F.concat(F.lit("Step 1: add. Step 2: so The answer is \\boxed{"), x, F.lit("}")))
+             .when(v == 1, F.concat(F.lit("The final answer is "), F.format_number(price, 0), F.lit(" dollars.")))
+             .when(v == 2, F.concat(F.lit("Answer: "), x, F.lit("\\%")))
+             .when(v == 3, F.concat(F.lit("Answer: ("), x, F.lit(", "), y, F.lit(")")))
+             .when(v == 4, F.concat(F.lit("<answer>so \\boxed{\\frac{"), x, F.lit("}{"), y, F.lit("}}</answer>")))
+             .when(v == 5, F.concat(F.lit("The answer is "), x, F.lit(".0")))
+             .when(v == 6, F.concat(F.lit("user: hi Assistant: \\boxed{"), x, F.lit(" cm}")))
+             .otherwise(F.lit("no idea")))
+    gt = (F.when(v == 1, price.cast("string")).when(v == 2, F.concat(x, F.lit("%")))
+           .when(v == 3, F.concat(F.lit("("), x, F.lit(","), y, F.lit(")")))
+           .when(v == 4, F.concat(F.lit("\\frac{"), x, F.lit("}{"), y, F.lit("}"))).otherwise(x))
+    return p.select("p_partkey", resp.alias("response"), gt.alias("ground_truth"))
+
+
+@register("R15")
+def r15_open_math(spark, sf):
+    """Open-math scorer (boxed answer in tags, role-marker leak); rows-only check."""
+    r = math_answers(spark, sf)
+    res = S.open_math_score("response", "ground_truth")
+    return r.select("p_partkey", res["score"].alias("score"), res["extra"]["chat_score"].alias("chat_score"))
+
+
+def _normalize_answer_sql(x: str) -> str:
+    def q(v: str) -> str:
+        return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for a, b in S.ANSWER_SUBSTITUTIONS:
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    for w in S.REMOVED_WORDS:
+        x = f"replace({x}, {q(w)}, '')"
+    x = f"regexp_replace({x}, '(.*?)(\\$)(.*?)(\\$)(.*)', '$\\3$')"
+    x = f"regexp_replace({x}, '(\\\\text\\{{)(.*?)(\\}})', '\\2')"
+    x = f"regexp_replace({x}, '(\\\\textbf\\{{)(.*?)(\\}})', '\\2')"
+    x = f"regexp_replace({x}, '(\\\\overline\\{{)(.*?)(\\}})', '\\2')"
+    x = f"regexp_replace({x}, '(\\\\boxed\\{{)(.*)(\\}})', '\\2')"
+    x = f"regexp_replace({x}, '(frac)([^{{])(.)', 'frac{{\\2}}{{\\3}}', 'g')"
+    x = f"regexp_replace({x}, '(sqrt)([^{{])', 'sqrt{{\\2}}', 'g')"
+    x = f"replace({x}, '$', '')"
+    return f"(CASE WHEN regexp_matches({x}, '^[0-9,]*[0-9][0-9,]*$') THEN replace({x}, ',', '') ELSE {x} END)"
+
+
+_MATH_SQL = r"""
+WITH r AS (
+  SELECT p_partkey, p_partkey % 8 AS v, CAST(p_size AS VARCHAR) AS x, CAST(p_partkey % 9 + 1 AS VARCHAR) AS y,
+         CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS price, format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) AS price_c
+  FROM part),
+m AS (
+  SELECT p_partkey,
+    CASE v WHEN 0 THEN 'Step 1: add. Step 2: so The answer is \boxed{' || x || '}'
+           WHEN 1 THEN 'The final answer is ' || price_c || ' dollars.'
+           WHEN 2 THEN 'Answer: ' || x || '\%'
+           WHEN 3 THEN 'Answer: (' || x || ', ' || y || ')'
+           WHEN 4 THEN '<answer>so \boxed{\frac{' || x || '}{' || y || '}}</answer>'
+           WHEN 5 THEN 'The answer is ' || x || '.0'
+           WHEN 6 THEN 'user: hi Assistant: \boxed{' || x || ' cm}'
+           ELSE 'no idea' END AS response
+  FROM r)
+"""
+
+
+@register("R16", _MATH_SQL + f"SELECT p_partkey, {_normalize_answer_sql('response')} AS normalized FROM m")
+def r16_normalize(spark, sf):
+    r = math_answers(spark, sf)
+    return r.select("p_partkey", S.normalize_answer("response").alias("normalized"))
+
+
+@register("R17")
+def r17_contest_answer(spark, sf):
+    """Contest-math answer location and format flag; rows-only check."""
+    r = math_answers(spark, sf)
+    return r.select("p_partkey", S.contest_math_answer("response").alias("answer"),
+                    S.contest_math_format_ok("response").alias("format_ok"))
+
+
+@register("R18")
+def r18_contest_normalize(spark, sf):
+    """Contest-math normalisation of the located answer; rows-only check."""
+    r = math_answers(spark, sf)
+    return r.select("p_partkey", S.contest_math_normalize(S.contest_math_answer("response")).alias("normalized"))
+
+
+@register("R19")
+def r19_tuples(spark, sf):
+    """Tuple / interval comparison; rows-only check."""
+    r = math_answers(spark, sf)
+    return r.select("p_partkey", S.contest_math_score("response", "ground_truth")["score"].alias("score"))
+
+
+@register("R20", """
+SELECT l_orderkey, l_linenumber,
+  coalesce(abs(l_extendedprice - l_extendedprice * (1 + l_discount / 1000)) <= 1e-4 * greatest(abs(l_extendedprice), abs(l_extendedprice * (1 + l_discount / 1000))), false)
+  OR coalesce(abs(l_extendedprice - l_extendedprice * (1 + l_discount / 1000) * 100) <= 1e-4 * greatest(abs(l_extendedprice), abs(l_extendedprice * (1 + l_discount / 1000) * 100)), false)
+  OR coalesce(abs(l_extendedprice - l_extendedprice * (1 + l_discount / 1000) / 100) <= 1e-4 * greatest(abs(l_extendedprice), abs(l_extendedprice * (1 + l_discount / 1000) / 100)), false)
+  AS equal
+FROM lineitem
+""")
+def r20_numeric_equal(spark, sf):
+    li = table(spark, sf, "lineitem")
+    a = F.col("l_extendedprice")
+    b = a * (1 + F.col("l_discount") / 1000)
+    close = lambda u, v: F.coalesce(F.abs(u - v) <= 1e-4 * F.greatest(F.abs(u), F.abs(v)), F.lit(False))
+    return li.select("l_orderkey", "l_linenumber", (close(a, b) | close(a, b * 100) | close(a, b / 100)).alias("equal"))
+
+
+# --- R21 / R22: code tasks from recorded outcomes ----------------------------------------
+
+@register("R21", """
+WITH t AS (SELECT user_id, CAST(ts AS DATE) AS d, event_id, event_type <> 'error' AS passed FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY event_id) AS rk FROM t)
+SELECT user_id, CAST(d AS VARCHAR) AS day, count(*) AS n_tests,
+       CASE WHEN bool_and(passed) THEN 1.0
+            ELSE avg(CASE WHEN rk <= 10 THEN (CASE WHEN passed THEN 1.0 ELSE 0.0 END) END) END AS score
+FROM f GROUP BY 1, 2
+""")
+def r21_code_scores(spark, sf):
+    ev = table(spark, sf, "events").select(
+        F.struct("user_id", F.to_date("ts").cast("string").alias("day")).alias("task"),
+        F.col("event_id").alias("test_id"), (F.col("event_type") != "error").alias("passed"))
+    out = S.code_task_scores(ev)
+    return out.select("task.user_id", "task.day", "n_tests", "score")
+
+
+@register("R22", r"""
+SELECT conv_id, turn,
+  text = regexp_replace(text, ' +' || chr(10), chr(10), 'g')
+  OR array_to_string(list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10))
+   = array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, ' +' || chr(10), chr(10), 'g'), '^\s+|\s+$', '', 'g'), chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10))
+  AS same_output
+FROM conversations
+""")
+def r22_output_compare(spark, sf):
+    c = table(spark, sf, "conversations")
+    expected = F.regexp_replace("text", " +\n", "\n")
+    return c.select("conv_id", "turn", T.outputs_equal("text", expected).alias("same_output"))
+
+
+# --- R23-R26: routing, reward manager, failures, samples -----------------------------------
+
+def mixed_responses(spark, sf):
+    n = number_responses(spark, sf).select(
+        F.lit("openai/gsm8k").alias("data_source"),
+        F.concat_ws("-", F.lit("li"), "l_orderkey", "l_linenumber").alias("id"), "response", "ground_truth")
+    b = boxed_responses(spark, sf).select(
+        F.lit("lighteval/MATH").alias("data_source"), F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("id"),
+        "response", "ground_truth")
+    k = puzzle_responses(spark, sf).select(
+        F.lit("kk_logic").alias("data_source"), F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("id"),
+        "response", F.col("solution_text").alias("ground_truth"))
+    return n.unionByName(b).unionByName(k)
+
+
+_MIXED_SQL = ("WITH num AS (" + _NUM_SQL + "SELECT 'openai/gsm8k' AS data_source, 'li-' || l_orderkey || '-' || l_linenumber AS id, "
+              "CASE WHEN strict IS NULL THEN 0.0 WHEN strict = ground_truth THEN 1.0 ELSE 0.0 END AS score, response FROM f), "
+              "box AS (" + _BOXED_SQL + f""",
+u AS (SELECT p_partkey, ground_truth, response,
+             CASE WHEN starts_with(boxed, '\\boxed ') THEN substr(boxed, 8)
+                  WHEN starts_with(boxed, '\\boxed{{') AND ends_with(boxed, '}}') THEN substr(boxed, 8, length(boxed) - 8) END AS ans
+      FROM b)
+SELECT 'lighteval/MATH' AS data_source, 'p-' || p_partkey AS id,
+       CASE WHEN ans IS NOT NULL AND {_strip_latex_sql('ans')} = {_strip_latex_sql('ground_truth')} THEN 1.0 ELSE 0.0 END AS score,
+       response FROM u), """
+              "kk AS (" + _PUZZLE_SQL + "SELECT 'kk_logic' AS data_source, 'o-' || o_orderkey AS id, "
+              "CASE WHEN has_answer AND match THEN 1.0 ELSE 0.0 END AS score, response FROM a7), "
+              "mixed AS (SELECT * FROM num UNION ALL SELECT * FROM box UNION ALL SELECT * FROM kk) ")
+
+
+@register("R23", _MIXED_SQL + "SELECT data_source, id, CAST(score AS DOUBLE) AS score FROM mixed")
+def r23_routing(spark, sf):
+    reg = S.default_registry("pure")
+    m = mixed_responses(spark, sf)
+    return m.select("data_source", "id", reg.score_column("data_source", "response", "ground_truth")["score"].alias("score"))
+
+
+@register("R24", _MIXED_SQL + r"""
+SELECT data_source, id, CAST(score AS DOUBLE) AS score,
+       len(string_split_regex(regexp_replace(response, '^\s+|\s+$', '', 'g'), '\s+')) AS n_tokens,
+       CAST(score AS DOUBLE) AS last_token_score, CAST(0.0 AS DOUBLE) AS outcome_score
+FROM mixed
+""")
+def r24_reward_manager(spark, sf):
+    m = mixed_responses(spark, sf).withColumn(
+        "response_mask", F.array_repeat(F.lit(1), T.approx_tokens("response")))
+    out = S.reward_manager(m, S.default_registry("pure"), extra_keys=["outcome_score"])
+    return out.select("data_source", "id", "score", F.size("response_mask").cast("bigint").alias("n_tokens"),
+                      F.element_at("token_level_scores", -1).alias("last_token_score"),
+                      F.when(F.col("data_source") == "kk_logic", 0.0).otherwise(F.col("outcome_score")).alias("outcome_score"))
+
+
+@register("R25", _MIXED_SQL + """
+SELECT data_source, count(*) AS n, CAST(sum(score) AS DOUBLE) AS total_score FROM mixed GROUP BY 1
+""")
+def r25_failures_zero(spark, sf):
+    """Scores that fail to parse count as 0; totals per source."""
+    m = mixed_responses(spark, sf).withColumn("response_mask", F.array(F.lit(1)))
+    out = S.reward_manager(m, S.default_registry("pure"))
+    return out.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total_score"))
+
+
+@register("R26", """
+SELECT event_type, event_id FROM (
+  SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rk FROM events)
+WHERE rk <= 3
+""")
+def r26_first_per_source(spark, sf):
+    ev = table(spark, sf, "events").select("event_type", "event_id")
+    return S.first_rows_per_key(ev, "event_type", "event_id", 3)
+
+
+# --- R27 / R28: evaluation-time parsers -------------------------------------------------
+
+def legacy_responses(spark, sf):
+    """CONCLUSION-style answers: correct, an extra item, an 'if', one wrong role."""
+    r = puzzle_responses(spark, sf).select("o_orderkey", "solution_text")
+    lines = F.split("solution_text", "\n")
+    facts = F.transform(lines, lambda l: F.regexp_replace(l, r"^\(\d+\) ", ""))
+    n = F.size(lines)
+    gold = F.when(n == 1, facts[0]).otherwise(F.concat(
+        F.array_join(F.slice(facts, 1, n - 1), ", "), F.lit(", and "), F.element_at(facts, -1), F.lit(".")))
+    v = F.col("o_orderkey") % 4
+    concl = (F.when(v == 1, F.concat(F.col("solution_text"), F.lit("\n("), (n + 1).cast("string"), F.lit(") nobody else")))
+              .when(v == 2, F.concat(F.col("solution_text"), F.lit("\nonly if we trust them")))
+              .when(v == 3, F.regexp_replace("solution_text", "knight", "knave"))
+              .otherwise(F.col("solution_text")))
+    resp = F.concat(F.lit("Reasoning here. CONCLUSION: "), concl, F.lit("\n### Reason: done\n### Question next"))
+    return r.select("o_orderkey", resp.alias("response"), gold.alias("answer_text"))
+
+
+@register("R27")
+def r27_legacy_parse(spark, sf):
+    """Legacy CONCLUSION parser; rows-only check (unit-tested against hand cases)."""
+    r = S.legacy_parse(legacy_responses(spark, sf), "response", "answer_text")
+    return r.select("o_orderkey", "is_correct", "wrong_reason", F.round("correct_ratio", 6).alias("correct_ratio"))
+
+
+@register("R28", _PUZZLE_SQL + """
+SELECT o_orderkey, CASE WHEN has_answer AND match THEN 1 ELSE 0 END AS score FROM a7
+""")
+def r28_alt_parse(spark, sf):
+    r = S.alt_puzzle_parse(puzzle_responses(spark, sf))
+    return r.select("o_orderkey", "score")
+
+
+# --- R29-R31 / K12: digit completion prompts from orders ---------------------------------
+
+def digit_prompts(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    prompt = F.concat_ws(",", (F.col("o_orderkey") % 10).cast("string"), (F.col("o_custkey") % 10).cast("string"))
+    info = F.concat_ws(",", (F.col("o_orderkey") % 11 + 10).cast("string"), (F.col("o_custkey") % 6 + 1).cast("string"))
+    return o.select("o_orderkey", "o_custkey", F.concat(prompt, F.lit(":"), info).alias("prompt"))
+
+
+_DIGIT_SQL = """
+WITH p AS (SELECT o_orderkey, o_custkey, o_orderkey % 10 AS a, o_custkey % 10 AS b, o_orderkey % 11 + 10 AS m,
+                  o_custkey % 6 + 1 AS n FROM orders),
+g AS (SELECT *, ((b - a) % m + m) % m AS d FROM p),
+t AS (SELECT *, array_to_string(list_transform(range(1, n + 1), lambda k: CAST((b + d * k) % m AS VARCHAR)), ',') AS truth FROM g),
+r AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN truth WHEN 1 THEN substr(truth, 1, length(truth) - 1) || 'x'
+                     WHEN 2 THEN truth || ',7' ELSE '' END AS response FROM t),
+c AS (SELECT *, coalesce((SELECT min(i) FROM range(1, least(length(response), length(truth)) + 1) s(i)
+                          WHERE substr(response, i, 1) <> substr(truth, i, 1)) - 1, least(length(response), length(truth))) AS lcp
+      FROM r)
+"""
+
+
+@register("R30", _DIGIT_SQL + "SELECT o_orderkey, truth FROM t")
+def r30_digit_truth(spark, sf):
+    p = digit_prompts(spark, sf)
+    return p.select("o_orderkey", S.digit_ground_truth("prompt").alias("truth"))
+
+
+def _digit_responses(spark, sf):
+    p = digit_prompts(spark, sf).withColumn("truth", S.digit_ground_truth("prompt"))
+    v = F.col("o_orderkey") % 4
+    resp = (F.when(v == 0, F.col("truth"))
+             .when(v == 1, F.concat(F.expr("substr(truth, 1, length(truth) - 1)"), F.lit("x")))
+             .when(v == 2, F.concat(F.col("truth"), F.lit(",7"))).otherwise(F.lit("")))
+    return p.withColumn("response", resp)
+
+
+@register("R29", _DIGIT_SQL + """
+SELECT o_orderkey, length(response) AS n_chars, lcp AS n_rewarded,
+       round(lcp * 1.0 / (length(truth) + 1), 9) AS total_reward FROM c
+""")
+def r29_dense_reward(spark, sf):
+    r = _digit_responses(spark, sf).withColumn("reward", S.dense_prefix_reward("response", "truth"))
+    return r.select("o_orderkey", F.length("response").cast("bigint").alias("n_chars"),
+                    F.size(F.filter("reward", lambda x: x > 0)).cast("bigint").alias("n_rewarded"),
+                    F.round(F.aggregate("reward", F.lit(0.0), lambda a, x: a + x), 9).alias("total_reward"))
+
+
+@register("R31", _DIGIT_SQL + """
+SELECT o_orderkey,
+  round(CASE WHEN length(response) = 0 THEN (CASE WHEN length(truth) = 0 THEN 1.0 ELSE 0.0 END) * 24
+             ELSE lcp * 1.0 / (length(truth) + 1)
+                  + (24 - length(response)) * (CASE WHEN lcp >= length(response) THEN 1.0 / (length(truth) + 1) ELSE 0.0 END) END, 9)
+  AS padded_reward
+FROM c
+""")
+def r31_pad_dense(spark, sf):
+    """Dense reward padded with its last value to 24 positions (longer than any response), times an all-ones mask."""
+    r = _digit_responses(spark, sf).withColumn("reward", S.dense_prefix_reward("response", "truth"))
+    padded = S.pad_dense_reward("reward", "truth", F.array_repeat(F.lit(1), 24))
+    return r.select("o_orderkey", F.round(F.aggregate(padded, F.lit(0.0), lambda a, x: a + x), 9).alias("padded_reward"))
+
+
+@register("K12", _DIGIT_SQL + "SELECT o_orderkey, a || ',' || b || ':' || m || ',' || n AS prompt FROM p")
+def k12_digit_prompts(spark, sf):
+    return digit_prompts(spark, sf).select("o_orderkey", "prompt")
