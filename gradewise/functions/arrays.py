@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_col
+from .common import as_col, let
 
 
 def array_sum(arr, zero=0.0) -> Column:
@@ -32,11 +32,13 @@ def masked_row_mean(values, mask) -> Column:
 
 def pad_to(arr, length, pad_value, left: bool = False) -> Column:
     """Pad ``arr`` with ``pad_value`` up to ``length`` (no truncation)."""
-    arr = as_col(arr)
     length = as_col(length) if not isinstance(length, int) else F.lit(length)
-    padding = F.array_repeat(F.lit(pad_value).cast(_elem_type_hint(pad_value)),
-                             F.greatest(length - F.size(arr), F.lit(0)))
-    return F.concat(padding, arr) if left else F.concat(arr, padding)
+
+    def build(a):
+        padding = F.array_repeat(F.lit(pad_value).cast(_elem_type_hint(pad_value)),
+                                 F.greatest(length - F.size(a), F.lit(0)))
+        return F.concat(padding, a) if left else F.concat(a, padding)
+    return let(arr, build)
 
 
 def _elem_type_hint(v) -> str:
@@ -55,24 +57,21 @@ def truncate(arr, length: int, side: str = "right") -> Column:
     if side == "right":
         return F.slice(arr, 1, length)
     if side == "left":
-        return F.when(F.size(arr) > length,
-                      F.slice(arr, F.size(arr) - length + 1, F.lit(length))).otherwise(arr)
+        return let(arr, lambda a: F.when(F.size(a) > length,
+                                         F.slice(a, F.size(a) - length + 1, F.lit(length))).otherwise(a))
     if side == "error":
-        return F.when(F.size(arr) > length,
-                      F.raise_error(F.format_string(
-                          f"sequence length %d is larger than max length {length}", F.size(arr)))
-                      ).otherwise(arr)
+        return let(arr, lambda a: F.when(F.size(a) > length, F.raise_error(F.format_string(
+            f"sequence length %d is larger than max length {length}", F.size(a)))).otherwise(a))
     raise ValueError(f"unknown truncation {side!r}")
 
 
 def pad_and_truncate(arr, length: int, pad_value, left_pad: bool = True,
                      truncation: str = "error") -> tuple[Column, Column]:
     """Fixed-length ids and the matching attention mask."""
-    cut = truncate(arr, length, truncation)
-    ids = pad_to(cut, length, pad_value, left=left_pad)
-    ones = F.array_repeat(F.lit(1), F.size(cut))
-    mask = pad_to(ones, length, 0, left=left_pad)
-    return ids, mask
+    both = let(truncate(arr, length, truncation), lambda cut: F.struct(
+        pad_to(cut, length, pad_value, left=left_pad).alias("ids"),
+        pad_to(F.array_repeat(F.lit(1), F.size(cut)), length, 0, left=left_pad).alias("mask")))
+    return both["ids"], both["mask"]
 
 
 # --- T4 / T5 / T6: masks and positions ---------------------------------------
@@ -84,11 +83,11 @@ def position_ids(mask) -> Column:
     truncation or ``eos_mask``): before the run 0, inside it ``i - first``,
     after it ``count - 1``.
     """
-    mask = as_col(mask)
-    first = F.array_position(mask, 1) - 1          # -1 when there is no 1
-    cnt = array_sum(mask, 0)
-    return F.transform(mask, lambda m, i: F.when(first < 0, F.lit(0)).otherwise(
-        F.least(F.greatest(i - first, F.lit(0)), F.greatest(cnt - 1, F.lit(0)))).cast("int"))
+    def build(mk):
+        return let(F.array_position(mk, 1) - 1, lambda first: let(array_sum(mk, 0), lambda cnt: F.transform(
+            mk, lambda m, i: F.when(first < 0, F.lit(0)).otherwise(
+                F.least(F.greatest(i - first, F.lit(0)), F.greatest(cnt - 1, F.lit(0)))).cast("int"))))
+    return let(mask, build)
 
 
 def first_eos_position(ids, eos_ids) -> Column:
@@ -101,23 +100,23 @@ def first_eos_position(ids, eos_ids) -> Column:
 
 def eos_mask(ids, eos_ids=2) -> Column:
     """T5: 1 up to and including the first eos token, 0 after it."""
-    p = first_eos_position(ids, eos_ids)
-    return F.transform(as_col(ids), lambda x, i: F.when(p.isNull() | (i < p), 1).otherwise(0))
+    return let(ids, lambda x: let(first_eos_position(x, eos_ids), lambda p: F.transform(
+        x, lambda _t, i: F.when(p.isNull() | (i < p), 1).otherwise(0))))
 
 
 def remove_left_padding(ids, mask) -> Column:
     """Keep the last ``sum(mask)`` ids (left-padded prompts)."""
-    ids, mask = as_col(ids), as_col(mask)
-    n = array_sum(mask, 0)
-    return F.when(n <= 0, F.slice(ids, 1, 0)).otherwise(F.slice(ids, F.size(ids) - n + 1, n))
+    return let(ids, lambda x: let(array_sum(mask, 0), lambda n: F.when(n <= 0, F.slice(x, 1, 0)).otherwise(
+        F.slice(x, F.size(x) - n + 1, n))))
 
 
 def strip_pad_prefix(ids, pad_id: int) -> Column:
     """T6 (generator form): drop leading pad tokens."""
-    ids = as_col(ids)
-    first = F.array_position(F.transform(ids, lambda x: x != F.lit(pad_id)), True)
-    return F.when(first == 0, F.slice(ids, 1, 0)).otherwise(
-        F.slice(ids, first.cast("int"), F.size(ids) - first.cast("int") + 1))
+    def build(x):
+        return let(F.array_position(F.transform(x, lambda t: t != F.lit(pad_id)), True).cast("int"),
+                   lambda first: F.when(first == 0, F.slice(x, 1, 0)).otherwise(
+                       F.slice(x, first, F.size(x) - first + 1)))
+    return let(ids, build)
 
 
 def valid_length(mask) -> Column:
@@ -133,22 +132,22 @@ def clamp_arrays(x, lo, hi) -> Column:
 
 def score_at_last_token(score, mask) -> Column:
     """Scalar score on the last valid token, 0 elsewhere (right-padded)."""
-    n = array_sum(mask, 0)
-    return F.transform(as_col(mask), lambda m, i: F.when(i == n - 1, as_col(score).cast("double"))
-                       .otherwise(F.lit(0.0)))
+    return let(mask, lambda mk: let(array_sum(mk, 0), lambda n: let(as_col(score).cast("double"), lambda sc: F.transform(
+        mk, lambda m, i: F.when(i == n - 1, sc).otherwise(F.lit(0.0))))))
 
 
 def joined_sequence(prompt_ids, prompt_mask, response_ids, eos_ids) -> dict[str, Column]:
     """prompt+response ids, joined attention mask, continued position ids."""
     prompt_ids, prompt_mask, response_ids = map(as_col, (prompt_ids, prompt_mask, response_ids))
     resp_mask = eos_mask(response_ids, eos_ids)
-    prompt_pos = position_ids(prompt_mask)
-    last = F.coalesce(F.try_element_at(prompt_pos, F.lit(-1)), F.lit(-1))
-    resp_pos = F.transform(response_ids, lambda x, i: (last + 1 + i).cast("int"))
+
+    def positions(pp):
+        return let(F.coalesce(F.try_element_at(pp, F.lit(-1)), F.lit(-1)), lambda last: F.concat(
+            pp, F.transform(response_ids, lambda x, i: (last + 1 + i).cast("int"))))
     return {
         "input_ids": F.concat(prompt_ids, response_ids),
         "attention_mask": F.concat(prompt_mask, resp_mask),
-        "position_ids": F.concat(prompt_pos, resp_pos),
+        "position_ids": let(position_ids(prompt_mask), positions),
         "response_mask": resp_mask,
     }
 
@@ -156,22 +155,19 @@ def joined_sequence(prompt_ids, prompt_mask, response_ids, eos_ids) -> dict[str,
 # --- T12 / T13 / T14: log-softmax arithmetic over logit arrays ---------------
 
 def logsumexp(logits) -> Column:
-    logits = as_col(logits)
-    m = F.array_max(logits).cast("double")
-    return m + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return let(logits, lambda lg: let(F.array_max(lg).cast("double"), lambda m: m + F.log(
+        F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))))
 
 
 def logprob_of_label(logits, label) -> Column:
     """``logits[label] - logsumexp(logits)`` (label 0-based)."""
-    logits = as_col(logits)
-    return F.element_at(logits, as_col(label).cast("int") + 1).cast("double") - logsumexp(logits)
+    return let(logits, lambda lg: F.element_at(lg, as_col(label).cast("int") + 1).cast("double") - logsumexp(lg))
 
 
 def entropy_from_logits(logits) -> Column:
     """``logsumexp - Σ softmax·x``."""
-    logits = as_col(logits)
-    lse = logsumexp(logits)
-    return lse - F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - lse) * x)
+    return let(logits, lambda lg: let(logsumexp(lg), lambda lse: lse - F.aggregate(
+        lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - lse) * x)))
 
 
 def response_logprobs(step_logits, input_ids, response_length: int) -> Column:
@@ -200,5 +196,5 @@ def random_mask(seq_len: int, key, seed: int, max_valid_ratio: float,
     key = as_col(key)
     left = F.pmod(F.xxhash64(F.lit(seed), key, F.lit(1)), F.lit(max_left + 1))
     valid = min_valid + F.pmod(F.xxhash64(F.lit(seed), key, F.lit(2)), F.lit(max_valid - min_valid + 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)),
-                       lambda i: F.when((i >= left) & (i < left + valid), 1).otherwise(0))
+    return let(left, lambda lf: let(valid, lambda vd: F.transform(
+        F.sequence(F.lit(0), F.lit(seq_len - 1)), lambda i: F.when((i >= lf) & (i < lf + vd), 1).otherwise(0))))

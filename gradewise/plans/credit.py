@@ -234,7 +234,7 @@ def w11_value_loss(spark, sf):
 
 
 _EMB_LSE_SQL = """
-e AS (SELECT vec_id, label, embedding[label + 1] AS picked, unnest(embedding) AS x FROM embeddings),
+e AS (SELECT vec_id, label, CAST(embedding[label + 1] AS DOUBLE) AS picked, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 m AS (SELECT vec_id, max(x) AS mx FROM e GROUP BY vec_id),
 lse AS (SELECT vec_id, any_value(label) AS label, any_value(picked) AS picked,
                any_value(mx) + ln(sum(exp(x - mx))) AS lse,

@@ -1 +1,297 @@
-"""Queries: tokens."""
+"""Token and array queries (T1-T20) over documents, conversations, embeddings, events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions import text as T
+from ..functions import tokens as K
+from ..functions.common import rnd
+from ..session import table
+from .credit import _EMB_LSE_SQL
+from .fixtures import ROLLOUT_TOKENS_SQL, rollouts
+from .registry import register
+
+# Oracle spelling of the code-point tokenizer.
+_WORDS_SQL = ("(CASE WHEN regexp_replace({t}, '^\\s+|\\s+$', '', 'g') = '' THEN CAST([] AS VARCHAR[]) "
+              "ELSE string_split_regex(regexp_replace({t}, '^\\s+|\\s+$', '', 'g'), '\\s+') END)")
+_IDS_SQL = "list_transform(" + _WORDS_SQL + ", lambda w: unicode(w) * 64 + least(length(w), 63))"
+
+
+def ids_sql(col: str) -> str:
+    return _IDS_SQL.format(t=col)
+
+
+def doc_ids(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return d.withColumn("ids", K.tokenize("text", "codepoint"))
+
+
+_DOC_SQL = f"WITH d AS (SELECT doc_id, text, {ids_sql('text')} AS ids FROM documents)\n"
+
+
+@register("T1", _DOC_SQL + """
+SELECT doc_id, len(ids) AS n_tokens, ids[1] AS first_id, ids[-1] AS last_id, CAST(list_sum(ids) AS BIGINT) AS id_sum FROM d
+""")
+def t1_tokenize(spark, sf):
+    d = doc_ids(spark, sf)
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                    F.try_element_at("ids", F.lit(1)).alias("first_id"),
+                    F.try_element_at("ids", F.lit(-1)).alias("last_id"),
+                    F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+@register("T1_hash")
+def t1_tokenize_hash(spark, sf):
+    """The default hashed-id tokenizer (xxhash64 has no DuckDB twin: rows-only)."""
+    d = table(spark, sf, "documents").select("doc_id", K.tokenize("text").alias("ids"))
+    return d.select("doc_id", F.size("ids").alias("n_tokens"), F.array_max("ids").alias("max_id"))
+
+
+def _padded(spark, sf, length=256):
+    d = doc_ids(spark, sf)
+    ids, mask = A.pad_and_truncate("ids", length, 0, left_pad=True, truncation="right")
+    return d.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+@register("T2", _DOC_SQL + """
+SELECT doc_id, 256 AS n, least(len(ids), 256) AS mask_sum, CAST(coalesce(list_sum(ids[1:256]), 0) AS BIGINT) AS id_sum FROM d
+""")
+def t2_pad_truncate(spark, sf):
+    p = _padded(spark, sf)
+    return p.select("doc_id", F.size("input_ids").alias("n"), A.array_sum("attention_mask", 0).alias("mask_sum"),
+                    F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+@register("T3", _DOC_SQL + """
+SELECT doc_id, max(len(ids)) OVER () AS padded_len, max(len(ids)) OVER () - len(ids) AS n_pad FROM d
+""")
+def t3_pad_ragged(spark, sf):
+    d = doc_ids(spark, sf)
+    target = d.select(F.max(F.size("ids"))).scalar()
+    d = d.withColumn("_target", target)
+    padded = A.pad_to("ids", F.col("_target"), 0)
+    return d.select("doc_id", F.size(padded).alias("padded_len"),
+                    (F.size(padded) - F.size("ids")).alias("n_pad"))
+
+
+@register("T4", _DOC_SQL + """
+SELECT doc_id, CAST(least(len(ids), 256) * (least(len(ids), 256) - 1) // 2 AS BIGINT) AS pos_sum,
+       greatest(least(len(ids), 256) - 1, 0) AS pos_max FROM d
+""")
+def t4_position_ids(spark, sf):
+    p = _padded(spark, sf).withColumn("pos", A.position_ids("attention_mask"))
+    return p.select("doc_id", F.aggregate("pos", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("pos_sum"),
+                    F.array_max("pos").alias("pos_max"))
+
+
+# eos ids of this fixture: the ids of "the" and "la" under the code-point tokenizer
+EOS_IDS = [116 * 64 + 3, 108 * 64 + 2]
+
+
+@register("T5", _DOC_SQL + f"""
+SELECT doc_id, CAST(coalesce(least(nullif(list_position(ids, {EOS_IDS[0]}), 0), nullif(list_position(ids, {EOS_IDS[1]}), 0)),
+                    len(ids)) AS BIGINT) AS mask_sum FROM d
+""")
+def t5_eos_mask(spark, sf):
+    d = doc_ids(spark, sf)
+    return d.select("doc_id", A.array_sum(A.eos_mask("ids", EOS_IDS), 0).cast("bigint").alias("mask_sum"))
+
+
+@register("T6", _DOC_SQL + """
+SELECT doc_id, least(len(ids), 256) AS n, CAST(coalesce(list_sum(ids[1:256]), 0) AS BIGINT) AS id_sum FROM d
+""")
+def t6_remove_padding(spark, sf):
+    p = _padded(spark, sf).withColumn("ids", A.remove_left_padding("input_ids", "attention_mask"))
+    return p.select("doc_id", F.size("ids").alias("n"),
+                    F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+# --- T8-T11: sequences from conversations ------------------------------------------
+
+def turn_pairs(spark, sf):
+    """(user turn, the next turn when it is the assistant's) per conversation."""
+    c = table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+_PAIRS_SQL = f"""
+WITH pr AS (
+  SELECT u.conv_id, u.turn, {ids_sql('u.text')} AS p, {ids_sql('a.text')} AS r
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')
+"""
+
+
+@register("T8", _PAIRS_SQL + """,
+s AS (SELECT conv_id, turn, len(p) AS plen, list_concat(p, r, [2]) AS ids FROM pr),
+k AS (SELECT *, least(len(ids), 128) AS k FROM s)
+SELECT conv_id, turn, k AS attn_sum,
+  CAST(list_sum(list_transform(range(128), lambda i: CASE WHEN i < k AND NOT ((plen > 1 AND i < least(plen, 128) - 1) OR i = k - 1)
+                                                      THEN 1 ELSE 0 END)) AS BIGINT) AS loss_sum,
+  k - 1 AS pos_max, CAST(list_sum(ids[1:128]) AS BIGINT) AS id_sum
+FROM k
+""")
+def t8_sft_sequence(spark, sf):
+    p = turn_pairs(spark, sf)
+    seq = K.sft_sequence(K.tokenize("prompt", "codepoint"), K.tokenize("response", "codepoint"),
+                         eos_id=2, pad_id=0, max_length=128, truncation="right")
+    s = p.select("conv_id", "turn", seq.alias("s"))
+    return s.select("conv_id", "turn", A.array_sum("s.attention_mask", 0).alias("attn_sum"),
+                    A.array_sum("s.loss_mask", 0).cast("bigint").alias("loss_sum"),
+                    F.array_max("s.position_ids").alias("pos_max"),
+                    F.aggregate("s.input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+@register("T9", _PAIRS_SQL + """,
+s AS (SELECT conv_id, turn, list_concat(p, r, [2]) AS c, list_concat(p, r[1:len(r) // 2], [2]) AS j FROM pr)
+SELECT conv_id, turn, least(len(c), 96) AS chosen_mask, least(len(j), 96) AS rejected_mask,
+       CAST(list_sum(c[1:96]) AS BIGINT) AS chosen_sum, CAST(list_sum(j[1:96]) AS BIGINT) AS rejected_sum FROM s
+""")
+def t9_rm_pair(spark, sf):
+    p = turn_pairs(spark, sf).withColumn("r", K.tokenize("response", "codepoint"))
+    rejected = F.slice("r", 1, (F.size("r") / 2).cast("int"))
+    pair = K.rm_pair(K.tokenize("prompt", "codepoint"), F.col("r"), rejected, eos_id=2, max_length=96)
+    s = p.select("conv_id", "turn", pair.alias("x"))
+    tot = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return s.select("conv_id", "turn", A.array_sum("x.chosen.attention_mask", 0).alias("chosen_mask"),
+                    A.array_sum("x.rejected.attention_mask", 0).alias("rejected_mask"),
+                    tot("x.chosen.input_ids").alias("chosen_sum"), tot("x.rejected.input_ids").alias("rejected_sum"))
+
+
+def _joined(spark, sf):
+    p = turn_pairs(spark, sf)
+    pids, pmask = A.pad_and_truncate(K.tokenize("prompt", "codepoint"), 64, 0, left_pad=True, truncation="left")
+    p = (p.withColumn("_pm", F.struct(pids.alias("ids"), pmask.alias("mask")))
+          .withColumn("_rids", K.tokenize("response", "codepoint")))
+    pids, pmask = F.col("_pm.ids"), F.col("_pm.mask")
+    j = A.joined_sequence(pids, pmask, F.col("_rids"), EOS_IDS)
+    return p.select("conv_id", "turn", *[c.alias(k) for k, c in j.items()], pmask.alias("prompt_mask"))
+
+
+_JOINED_SQL = _PAIRS_SQL + f""",
+j AS (SELECT conv_id, turn, least(len(p), 64) AS pl, len(r) AS rl,
+             coalesce(least(nullif(list_position(r, {EOS_IDS[0]}), 0), nullif(list_position(r, {EOS_IDS[1]}), 0)), len(r)) AS eos_len
+      FROM pr)
+"""
+
+
+@register("T10", _JOINED_SQL + """
+SELECT conv_id, turn, 64 + rl AS n_ids, pl + eos_len AS attn_sum, greatest(pl - 1, 0) + rl AS last_pos FROM j
+""")
+def t10_joined_sequence(spark, sf):
+    j = _joined(spark, sf)
+    return j.select("conv_id", "turn", F.size("input_ids").alias("n_ids"),
+                    A.array_sum("attention_mask", 0).alias("attn_sum"),
+                    F.try_element_at("position_ids", F.lit(-1)).alias("last_pos"))
+
+
+@register("T11", _JOINED_SQL + "SELECT conv_id, turn, pl AS prompt_length, eos_len AS response_length FROM j")
+def t11_lengths(spark, sf):
+    j = _joined(spark, sf)
+    return j.select("conv_id", "turn", A.valid_length("prompt_mask").alias("prompt_length"),
+                    A.valid_length("response_mask").alias("response_length"))
+
+
+# --- T12-T14: log-softmax over embeddings as logits ------------------------------------
+
+@register("T12", "WITH " + _EMB_LSE_SQL + "SELECT vec_id, round(picked - lse, 6) AS logp FROM lse")
+def t12_logprob(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", rnd(A.logprob_of_label("embedding", "label")).alias("logp"))
+
+
+@register("T13", "WITH " + _EMB_LSE_SQL + "SELECT vec_id, round(lse - px, 6) AS entropy FROM lse")
+def t13_entropy(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", rnd(A.entropy_from_logits("embedding")).alias("entropy"))
+
+
+@register("T14", "WITH " + _EMB_LSE_SQL + """,
+e2 AS (SELECT vec_id, embedding, label FROM embeddings),
+s AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS pos, vec_id, label, count(*) OVER (PARTITION BY vec_id // 8) AS n FROM e2),
+x AS (
+  SELECT s.seq, s.pos - (s.n - 3) AS rpos, s.label, prev.vec_id AS prev_id FROM s
+  JOIN s prev ON prev.seq = s.seq AND prev.pos = s.pos - 1
+  WHERE s.pos >= s.n - 3),
+g AS (SELECT x.*, CAST(e.embedding[x.label + 1] AS DOUBLE) AS picked FROM x JOIN embeddings e ON e.vec_id = x.prev_id)
+SELECT g.seq, g.rpos AS pos, round(g.picked - l.lse, 6) AS logp FROM g JOIN lse l ON l.vec_id = g.prev_id
+""")
+def t14_response_logprobs(spark, sf):
+    """Sequences of 8 vectors; labels are the ids, vector t predicts label t+1; last 3 are the response."""
+    e = table(spark, sf, "embeddings")
+    seqs = e.groupBy((F.col("vec_id") / 8).cast("long").alias("seq")).agg(
+        F.sort_array(F.collect_list(F.struct("vec_id", "embedding", "label"))).alias("t"))
+    seqs = seqs.select("seq", F.transform("t", lambda x: x["embedding"]).alias("logits"),
+                       F.transform("t", lambda x: x["label"]).alias("ids")).filter(F.size("ids") > 3)
+    lp = A.response_logprobs("logits", "ids", 3)
+    return seqs.select("seq", F.posexplode(lp).alias("pos", "logp")).select("seq", "pos", rnd("logp").alias("logp"))
+
+
+# --- T15 / T16 on rollouts -----------------------------------------------------------------
+
+@register("T15", "WITH " + ROLLOUT_TOKENS_SQL + """
+SELECT uid, step, round(sum(greatest(least(vpred, val + 0.05), val - 0.05)), 6) AS clamped_sum FROM tok GROUP BY uid, step
+""")
+def t15_clamp(spark, sf):
+    ro = rollouts(spark, sf)
+    lo = F.transform("values", lambda v: v - 0.05)
+    hi = F.transform("values", lambda v: v + 0.05)
+    c = A.clamp_arrays("vpreds", lo, hi)
+    return ro.select("uid", "step", rnd(A.array_sum(c)).alias("clamped_sum"))
+
+
+@register("T16", "WITH " + ROLLOUT_TOKENS_SQL + """
+SELECT uid, step, sum(mask) - 1 AS last_pos, round(sum(score), 6) AS placed FROM tok GROUP BY uid, step
+""")
+def t16_score_last_token(spark, sf):
+    ro = rollouts(spark, sf).withColumn("_s", A.array_sum("token_level_scores"))
+    placed = A.score_at_last_token("_s", "response_mask")
+    ro = ro.withColumn("p", placed)
+    return ro.select("uid", "step", (F.array_position(F.transform("p", lambda x: x != 0), True) - 1).cast("bigint").alias("last_pos"),
+                     rnd(A.array_sum("p")).alias("placed"))
+
+
+# --- T17-T20 over documents --------------------------------------------------------------------
+
+@register("T17", f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL.format(t='text')} AS w FROM documents),
+g AS (SELECT doc_id, w, list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], chr(1))) AS grams FROM d)
+SELECT doc_id, round(CASE WHEN len(w) < 3 THEN 0.0 ELSE 1.0 - len(list_distinct(grams)) / len(grams) END, 6) AS dup_fraction FROM g
+""")
+def t17_repetition(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", K.words("text").alias("w"))
+    return d.select("doc_id", rnd(K.duplicate_ngram_fraction("w", 3)).alias("dup_fraction"))
+
+
+@register("T18", "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS n_words FROM documents")
+def t18_word_count(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.word_count("text").cast("bigint").alias("n_words"))
+
+
+_NON_LATIN_SQL = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in T.NON_LATIN_RANGES) + "]"
+
+
+@register("T19", f"""
+SELECT doc_id, regexp_matches(text, '{_NON_LATIN_SQL}') AS non_latin FROM documents
+UNION ALL SELECT 1000000000 + conv_id * 100 + turn, regexp_matches(text, '{_NON_LATIN_SQL}') FROM conversations
+""")
+def t19_non_latin(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.has_non_latin("text").alias("non_latin"))
+    c = table(spark, sf, "conversations").select(
+        (F.lit(1000000000) + F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), T.has_non_latin("text").alias("non_latin"))
+    return d.unionByName(c)
+
+
+@register("T20")
+def t20_random_mask(spark, sf):
+    """Seeded random masks (left padding, then a valid run) per document; rows-only check."""
+    d = table(spark, sf, "documents").select("doc_id")
+    m = A.random_mask(64, "doc_id", seed=3, max_valid_ratio=0.7, max_left_pad_ratio=0.2, min_valid_ratio=0.1)
+    return d.select("doc_id", A.array_sum(m, 0).alias("n_valid"),
+                    (F.array_position(m, 1) - 1).alias("left_pad"))
