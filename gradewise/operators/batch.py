@@ -64,7 +64,7 @@ def assert_consistent(df: DataFrame, required: list[str]) -> DataFrame:
     cond = F.lit(True)
     for c in required:
         cond = cond & F.col(c).isNotNull()
-    return df.withColumn("_ok", F.assert_true(cond, F.lit("batch consistency check failed"))).drop("_ok")
+    return df.filter(F.assert_true(cond, F.lit("batch consistency check failed")).isNull())
 
 
 # --- B3-B5: projection -----------------------------------------------------------
@@ -112,8 +112,9 @@ def union(left: DataFrame, right: DataFrame, key: str = IDX,
     ok = F.col("_l_present").isNotNull() & F.col("_r_present").isNotNull()
     for c in shared:
         ok = ok & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    j = j.withColumn("_ok", F.assert_true(ok, F.lit("union: row sets or shared columns differ")))
-    return j.drop("_ok", "_l_present", "_r_present", *[f"_r_{c}" for c in shared])
+    # a filter (not a dropped column) so the optimizer cannot prune the check
+    j = j.filter(F.assert_true(ok, F.lit("union: row sets or shared columns differ")).isNull())
+    return j.drop("_l_present", "_r_present", *[f"_r_{c}" for c in shared])
 
 
 def concat(frames: list[DataFrame], idx: str = IDX) -> DataFrame:
