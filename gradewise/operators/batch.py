@@ -227,6 +227,14 @@ def lehmer_order_key(key, seed: int, rounds: int = 2) -> Column:
     return h
 
 
+def lehmer_sql(key_sql: str, seed: int, rounds: int = 2) -> str:
+    """SQL text of ``lehmer_order_key`` (for oracle queries in other engines)."""
+    h = f"(({key_sql}) % {MINSTD_P})"
+    for r in range(rounds):
+        h = f"(({h} * {MINSTD_A} + {(seed * 16807 + r * 7919) % MINSTD_P}) % {MINSTD_P})"
+    return h
+
+
 def minibatch_plan(df: DataFrame, key: str, mini_batch_size: int, epochs: int,
                    shuffle_seed: int | None = None, idx: str = IDX) -> DataFrame:
     """(epoch, batch_id, position in batch) per row for ``epochs`` passes.

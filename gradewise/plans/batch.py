@@ -20,11 +20,7 @@ def _orders(spark, sf, *cols):
     return B.Batch.from_frame(o, "o_orderkey").df
 
 
-def _lehmer_sql(key_sql: str, seed: int, rounds: int = 2) -> str:
-    h = f"(({key_sql}) % {_P})"
-    for r in range(rounds):
-        h = f"(({h} * {_A} + {(seed * 16807 + r * 7919) % _P}) % {_P})"
-    return h
+_lehmer_sql = B.lehmer_sql
 
 
 @register("B1", f"SELECT {_IDX_SQL} AS idx, o_orderkey FROM orders")

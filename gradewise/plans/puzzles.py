@@ -1 +1,203 @@
-"""Queries: puzzles."""
+"""Puzzle corpus queries (K1-K6, K9, K10, K13), seeded by the keys of ``orders``.
+
+Every order key seeds one candidate puzzle (2 + key % 7 people), so the
+corpus grows with the table.  The DuckDB twins re-implement the integer-hash
+generator, the solver (as a join with the assignment space) and the renderer.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import puzzle_text as PT
+from ..operators import puzzles as K
+from ..operators.batch import lehmer_sql
+from ..operators.index import row_count, with_global_index
+from ..session import table
+from .registry import register
+
+SEED = 0
+
+
+def puzzle_keys(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+
+
+def candidates(spark, sf):
+    return K.sample_puzzles(puzzle_keys(spark, sf))
+
+
+def corpus(spark, sf):
+    """Generated, solved, de-duplicated and rendered puzzles."""
+    return K.render(K.generate(puzzle_keys(spark, sf), seed=SEED), seed=SEED)
+
+
+def _draw(k: str, salt: str, seed: int = SEED) -> str:
+    return lehmer_sql(f"({k}) * 1009 + ({salt})", seed)
+
+
+def _leaf_sql(j: str) -> tuple[str, str]:
+    lie = f"({j} >= n)"
+    who = f"(CASE WHEN {j} < n THEN {j} ELSE ({j} - n) + CASE WHEN {j} - n >= p THEN 1 ELSE 0 END END)"
+    return lie, who
+
+
+_L1, _W1 = _leaf_sql("j1")
+_L2, _W2 = _leaf_sql("j2")
+_OPS_SQL = "[" + ", ".join(f"'{o}'" for o in K.OPS) + "]"
+
+_GEN_SQL = f"""
+c AS (SELECT o_orderkey AS k, CAST(o_orderkey % 7 + 2 AS BIGINT) AS n FROM orders),
+pp AS (SELECT k, n, unnest(range(n)) AS p FROM c),
+d0 AS (SELECT k, n, p, {_draw('k', 'p * 16')} % 6 AS d, {_draw('k', 'p * 16 + 1')} % (2 * n - 1) AS j1,
+              {_draw('k', 'p * 16 + 2')} % (2 * n - 2) AS r2 FROM pp),
+st AS (SELECT k, n, p, {_OPS_SQL}[d + 1] AS op, d, {_L1} AS lie1, {_W1} AS who1,
+              {_L2} AS lie2, {_W2} AS who2
+       FROM (SELECT *, (j1 + 1 + r2) % (2 * n - 1) AS j2 FROM d0)),
+asg AS (SELECT k, n, unnest(range(CAST(1 AS BIGINT) << n)) AS a FROM c),
+ev AS (
+  SELECT asg.k, asg.a, st.p,
+    (CASE st.op WHEN 'leaf' THEN v1 WHEN 'not' THEN NOT v1 WHEN 'and' THEN v1 AND v2 WHEN 'or' THEN v1 OR v2
+                WHEN '->' THEN (NOT v1) OR v2 ELSE v1 = v2 END) = (((asg.a >> st.p) & 1) = 1) AS ok
+  FROM asg JOIN (SELECT *, 0 AS dummy FROM st) st ON st.k = asg.k,
+       LATERAL (SELECT (((asg.a >> st.who1) & 1) = 1) <> st.lie1 AS v1,
+                       (((asg.a >> st.who2) & 1) = 1) <> st.lie2 AS v2)),
+sol AS (SELECT k, a FROM ev GROUP BY k, a HAVING bool_and(ok)),
+res AS (SELECT c.k, c.n, count(sol.a) AS n_solutions,
+               CASE WHEN count(sol.a) = 1 THEN min(sol.a) ELSE -1 END AS solution_bits
+        FROM c LEFT JOIN sol USING (k) GROUP BY c.k, c.n),
+rp AS (
+  SELECT k, '(' || string_agg(CASE op WHEN 'leaf' THEN l1 WHEN 'not' THEN '(''not'', ' || l1 || ')'
+                                      ELSE '(''' || op || ''', ' || l1 || ', ' || l2 || ')' END, ', ' ORDER BY p) || ')' AS statements_repr
+  FROM (SELECT *, '(''' || CASE WHEN lie1 THEN 'lying' ELSE 'telling-truth' END || ''', ' || who1 || ')' AS l1,
+                  '(''' || CASE WHEN lie2 THEN 'lying' ELSE 'telling-truth' END || ''', ' || who2 || ')' AS l2 FROM st)
+  GROUP BY k),
+gen AS (
+  SELECT min(k) AS k, statements_repr FROM res JOIN rp USING (k) WHERE n_solutions = 1 GROUP BY statements_repr)
+"""
+
+
+@register("K1", "WITH " + _GEN_SQL + "SELECT k, CAST(n AS INT) AS n, CAST(n_solutions AS INT) AS n_solutions, CAST(solution_bits AS INT) AS solution_bits FROM res")
+def k1_solve(spark, sf):
+    s = K.solve(candidates(spark, sf))
+    return s.select("k", "n", "n_solutions", F.col("solution_bits").cast("int").alias("solution_bits"))
+
+
+@register("K2", "WITH " + _GEN_SQL + """
+SELECT gen.k, CAST(res.n AS INT) AS n, gen.statements_repr, CAST(res.solution_bits AS INT) AS solution_bits
+FROM gen JOIN res USING (k)
+""")
+def k2_generate(spark, sf):
+    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    return g.select("k", "n", "statements_repr", F.col("solution_bits").cast("int").alias("solution_bits"))
+
+
+# --- K6: render (oracle re-implements names, templates and sentences) ------------------
+
+_NAMES_SQL = "[" + ", ".join(f"'{x}'" for x in PT.COMMON_NAMES) + "]"
+_TEMPLATES_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in PT.TEMPLATES) + "]"
+
+_RENDER_SQL = _GEN_SQL + f""",
+nm AS (
+  SELECT k, list_transform(list_sort(list_transform(range({len(PT.COMMON_NAMES)}),
+             lambda i: {{'h': {_draw('k', '5000 + i')}, 'name': {_NAMES_SQL}[i + 1]}})), lambda e: e.name) AS pool
+  FROM gen),
+nms AS (SELECT gen.k, res.n, pool[1:res.n] AS names, res.solution_bits FROM gen JOIN res USING (k) JOIN nm USING (k)),
+sts AS (
+  SELECT st.k, st.p, st.op,
+    names[who1 + 1] || CASE WHEN op = 'not' THEN ' is not ' ELSE ' is ' END || CASE WHEN lie1 THEN 'a knave' ELSE 'a knight' END AS t1,
+    names[who2 + 1] || ' is ' || CASE WHEN lie2 THEN 'a knave' ELSE 'a knight' END AS t2,
+    names[st.p + 1] AS speaker,
+    {_TEMPLATES_SQL}[{_draw('st.k', '6000 + st.p')} % {len(PT.TEMPLATES)} + 1] AS tmpl
+  FROM st JOIN nms USING (k)),
+txt AS (
+  SELECT k, string_agg(' ' || replace(replace(tmpl, '{{name}}', speaker), '{{content}}',
+           CASE op WHEN 'leaf' THEN t1 WHEN 'not' THEN t1 WHEN 'and' THEN t1 || ' and ' || t2 WHEN 'or' THEN t1 || ' or ' || t2
+                   WHEN '->' THEN 'If ' || t1 || ' then ' || t2 ELSE t1 || ' if and only if ' || t2 END), '' ORDER BY p) AS body
+  FROM sts GROUP BY k),
+rend AS (
+  SELECT nms.k, nms.names,
+    'A very special island is inhabited only by knights and knaves. Knights always tell the truth, and knaves always lie. '
+      || 'You meet ' || nms.n || ' inhabitants: ' || array_to_string(names[1:nms.n - 1], ', ') || ', and ' || names[nms.n] || '.'
+      || txt.body || ' So who is a knight and who is a knave?' AS quiz,
+    list_transform(range(nms.n), lambda i: names[i + 1] || ' is ' || CASE WHEN ((solution_bits >> i) & 1) = 1 THEN 'a knight' ELSE 'a knave' END) AS sol
+  FROM nms JOIN txt USING (k)),
+fin AS (
+  SELECT k, names, quiz, array_to_string(sol[1:len(sol) - 1], ', ') || ', and ' || sol[len(sol)] || '.' AS solution_text,
+         array_to_string(list_transform(range(len(sol)), lambda i: '(' || (i + 1) || ') ' || sol[i + 1]), chr(10)) AS solution_text_format
+  FROM rend)
+"""
+
+
+@register("K6", "WITH " + _RENDER_SQL + "SELECT k, array_to_string(names, ',') AS names, quiz, solution_text, solution_text_format FROM fin")
+def k6_render(spark, sf):
+    c = corpus(spark, sf)
+    return c.select("k", F.array_join("names", ",").alias("names"), "quiz", "solution_text", "solution_text_format")
+
+
+@register("P12", "WITH " + _RENDER_SQL + "SELECT k, solution_text_format FROM fin")
+def p12_numbered_solution(spark, sf):
+    c = corpus(spark, sf)
+    return c.select("k", K.format_solution_text("solution_text").alias("solution_text_format"))
+
+
+@register("K3")
+def k3_perturb_statement(spark, sf):
+    """One whole statement replaced; unique, different solution (rows-only; property-tested)."""
+    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    p = K.perturb(g, leaf=False)
+    return p.select("k", "cand", "n", K.statements_repr("statements").alias("statements_repr"),
+                    F.col("solution_bits").cast("int").alias("solution_bits"))
+
+
+@register("K4")
+def k4_perturb_leaf(spark, sf):
+    """One leaf replaced; unique, different solution (rows-only; property-tested)."""
+    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    p = K.perturb(g, leaf=True)
+    return p.select("k", "cand", "n", K.statements_repr("statements").alias("statements_repr"),
+                    F.col("solution_bits").cast("int").alias("solution_bits"))
+
+
+@register("K5")
+def k5_surface_variants(spark, sf):
+    """Role-word pairs, flipped roles, uncommon names and reordered statements (rows-only)."""
+    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    variants = []
+    for name, kw in [("pairs", dict(random_pairs=True)), ("flip", dict(flip_roles=True)),
+                     ("uncommon", dict(uncommon_names=True)), ("reorder", dict(reorder=True))]:
+        r = K.render(g, seed=SEED, **kw).select("k", F.lit(name).alias("variant"), "quiz", "solution_text")
+        variants.append(r)
+    out = variants[0]
+    for v in variants[1:]:
+        out = out.unionByName(v)
+    return out
+
+
+@register("K9", "WITH " + _GEN_SQL + f""",
+w AS (
+  SELECT gen.k, res.n, res.solution_bits,
+         {_draw('gen.k', '8000', 2)} % greatest(res.n - 1, 1) + 1 AS m,
+         list_transform(list_sort(list_transform(range(res.n), lambda p: {{'h': {_draw('gen.k', '8100 + p', 2)}, 'p': p}})),
+                        lambda e: e.p) AS ord
+  FROM gen JOIN res USING (k))
+SELECT k, array_to_string(list_transform(range(n), lambda i:
+         CASE WHEN (((solution_bits >> i) & 1) = 1) <> list_contains(ord[1:m], i) THEN '1' ELSE '0' END), '') AS wrong_solution
+FROM w
+""")
+def k9_wrong_solutions(spark, sf):
+    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    wrong = K.flipped_solution("k", "n", "solution", seed=2)
+    return g.select("k", F.array_join(F.transform(wrong, lambda b: F.when(b, "1").otherwise("0")), "").alias("wrong_solution"))
+
+
+@register("K13", "WITH " + _GEN_SQL + f""",
+r AS (SELECT k, row_number() OVER (ORDER BY {lehmer_sql('k', 13)}, k) - 1 AS rk, count(*) OVER () AS total FROM gen)
+SELECT k, CASE WHEN rk < floor(0.8 * total) THEN 'train' ELSE 'test' END AS split FROM r
+""")
+def k13_split(spark, sf):
+    from ..operators.batch import lehmer_order_key
+    g = K.generate(puzzle_keys(spark, sf), seed=SEED).select("k")
+    ranked = with_global_index(g.withColumn("_h", lehmer_order_key("k", 13)), ["_h", "k"], "rk")
+    n = row_count(g)
+    return ranked.select("k", F.when(F.col("rk") < F.floor(n * 0.8), "train").otherwise("test").alias("split"))
