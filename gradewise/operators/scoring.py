@@ -48,22 +48,24 @@ def _puzzle_let(response, solution_text, body, with_marker: bool = True) -> Colu
 
 def with_puzzle_parse(df: DataFrame, response="response", solution_text="solution_text",
                       with_marker: bool = True) -> DataFrame:
-    """Stage the puzzle parse into columns (``_pz_processed``, ``_pz_answer``,
-    ``_pz_truth``, ``_pz_names``, ``_pz_pred``, ``_pz_parsed``, ``_pz_match``,
-    ``_pz_has_answer``).
-
-    Each stage is its own projection, so an expensive value (regex results,
-    parsed identities) is computed once per row and then referenced by name;
-    Spark does not inline a projection when that would repeat such work.
+    """Add the puzzle parse as columns ``_pz_processed``, ``_pz_answer``,
+    ``_pz_truth``, ``_pz_names``, ``_pz_pred``, ``_pz_parsed``, ``_pz_match``
+    and ``_pz_has_answer``.
+
+    The parse is one ``let``-bound struct, so each expensive value is computed
+    once per row even when the optimizer inlines the projection into a later
+    filter (predicate pushdown substitutes column references by their
+    expressions).
     """
-    d = df.withColumn("_pz_processed", T.assistant_part(response) if with_marker else F.col(response))
-    d = d.withColumn("_pz_answer", T.last_answer_block("_pz_processed"))
-    d = d.withColumn("_pz_truth", T.truth_identities(solution_text))
-    d = d.withColumn("_pz_names", F.transform("_pz_truth", lambda t: t["name"]))
-    d = d.withColumn("_pz_pred", T.predicted_identities("_pz_answer", "_pz_names"))
-    d = d.withColumn("_pz_parsed", F.col("_pz_pred").isNotNull() & (F.size("_pz_pred") > 0))
-    d = d.withColumn("_pz_match", F.col("_pz_parsed") & T.identities_match("_pz_pred", "_pz_truth"))
-    return d.withColumn("_pz_has_answer", F.col("_pz_answer").isNotNull() & (F.col("_pz_answer") != ""))
+    def body(processed, answer, truth, names, parsed, match, has_answer):
+        pred = T.predicted_identities(answer, names)
+        return F.struct(processed.alias("processed"), answer.alias("answer"), truth.alias("truth"),
+                        names.alias("names"), pred.alias("pred"), parsed.alias("parsed"), match.alias("match"),
+                        has_answer.alias("has_answer"))
+    d = df.withColumn("_pz", _puzzle_let(response, solution_text, body, with_marker))
+    for f in ("processed", "answer", "truth", "names", "pred", "parsed", "match", "has_answer"):
+        d = d.withColumn(f"_pz_{f}", F.col("_pz")[f])
+    return d.drop("_pz")
 
 
 def drop_puzzle_parse(df: DataFrame) -> DataFrame:
