@@ -1 +1,93 @@
-"""Queries: balance."""
+"""Balanced-partition queries (L1-L8): documents in batches of 128 by id,
+``n_chars`` as the token count, 8 parts per batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import balance as L
+from ..session import table
+from .registry import register
+
+K_PARTS = 8
+
+
+def batches(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.expr("doc_id div 128").alias("batch"), "doc_id", "n_chars")
+
+
+_SNAKE_SQL = f"""
+WITH r AS (SELECT doc_id // 128 AS batch, doc_id, n_chars,
+                  row_number() OVER (PARTITION BY doc_id // 128 ORDER BY n_chars DESC, doc_id) - 1 AS rk FROM documents),
+s AS (SELECT batch, doc_id, n_chars,
+             CAST(CASE WHEN (rk // {K_PARTS}) % 2 = 0 THEN rk % {K_PARTS} ELSE {K_PARTS} - 1 - rk % {K_PARTS} END AS INT) AS part FROM r)
+"""
+
+
+@register("L8", _SNAKE_SQL + "SELECT batch, doc_id, part FROM s")
+def l8_snake(spark, sf):
+    return L.snake_partition(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS).select("batch", "doc_id", "part")
+
+
+@register("L4", _SNAKE_SQL + """,
+pp AS (SELECT batch, part, sum(n_chars) AS tok, count(*) AS cnt FROM s GROUP BY 1, 2)
+SELECT batch, count(*) AS n_parts, min(tok) AS min_tokens, max(tok) AS max_tokens, round(avg(tok), 6) AS mean_tokens,
+       min(cnt) AS min_items, max(cnt) AS max_items FROM pp GROUP BY batch""")
+def l4_imbalance(spark, sf):
+    b = batches(spark, sf)
+    a = L.snake_partition(b, "batch", "doc_id", "n_chars", K_PARTS).select("batch", "doc_id", "part")
+    r = L.partition_report(a, b, "batch", "doc_id", "n_chars")
+    return r.select("batch", "n_parts", "min_tokens", "max_tokens", F.round("mean_tokens", 6).alias("mean_tokens"),
+                    "min_items", "max_items")
+
+
+@register("L6", _SNAKE_SQL + """
+SELECT batch, doc_id, row_number() OVER (PARTITION BY batch ORDER BY part, doc_id) - 1 AS new_pos FROM s""")
+def l6_reverse_map(spark, sf):
+    b = batches(spark, sf)
+    a = L.snake_partition(b, "batch", "doc_id", "n_chars", K_PARTS).select("batch", "doc_id", "part")
+    return L.reorder_by_parts(a, "batch", "doc_id").select("batch", "doc_id", "new_pos")
+
+
+@register("L1")
+def l1_karmarkar_karp(spark, sf):
+    """Largest-differencing partition per batch (rows-only; invariants in L3 and tests)."""
+    return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk")
+
+
+@register("L1_equal")
+def l1_karmarkar_karp_equal(spark, sf):
+    """Equal-size variant (16 items per part); rows-only."""
+    return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk", equal_size=True)
+
+
+@register("L2")
+def l2_greedy(spark, sf):
+    """Greedy least-loaded partition in input order; rows-only."""
+    return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "greedy")
+
+
+@register("L3", f"""
+SELECT doc_id // 128 AS batch, CAST(least(count(*), {K_PARTS}) AS BIGINT) AS n_parts, count(*) AS n_assigned,
+       count(DISTINCT doc_id) AS n_items, count(*) >= {K_PARTS} AS valid
+FROM documents GROUP BY 1""")
+def l3_validate(spark, sf):
+    b = batches(spark, sf)
+    a = L.balance(b, "batch", "doc_id", "n_chars", K_PARTS, "kk")
+    r = L.partition_report(a, b, "batch", "doc_id", "n_chars", k=K_PARTS)
+    return r.select("batch", "n_parts", "n_assigned", "n_items", "valid")
+
+
+@register("L5")
+def l5_token_budget(spark, sf):
+    """Micro-batches: ceil(tokens / 40000) parts per batch, balanced by largest differencing; rows-only."""
+    return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk", budget=40000)
+
+
+@register("L7")
+def l7_balanced_reorder(spark, sf):
+    """Whole-batch reorder so each of the 8 workers gets a similar token count; rows-only."""
+    b = batches(spark, sf)
+    a = L.balance(b, "batch", "doc_id", "n_chars", K_PARTS, "kk", equal_size=True)
+    return L.reorder_by_parts(a, "batch", "doc_id").select("batch", "doc_id", "part", "new_pos")
