@@ -1 +1,134 @@
-"""Queries: analysis."""
+"""Analysis queries (M1-M11) over documents joined with labels, and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import analysis as M
+from ..operators.batch import lehmer_sql
+from ..session import table
+from ..sources.io import scratch_path
+from .registry import register
+
+
+def labelled_docs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
+    return d.join(lab, "doc_id")
+
+
+@register("M1")
+def m1_clean_text(spark, sf):
+    """Cleaned tokens without stop words (Spark's English list); rows-only."""
+    t = M.clean_tokens(labelled_docs(spark, sf), "text")
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join(F.slice("tokens", 1, 5), " ").alias("head"))
+
+
+def _features(spark, sf, method):
+    d = M.length_features(M.clean_tokens(labelled_docs(spark, sf), "text"), "text")
+    model = M.feature_pipeline(method=method).fit(d)
+    return model.transform(d)
+
+
+@register("M2")
+def m2_tfidf(spark, sf):
+    """TF-IDF (5000 terms, L2 normalised); rows-only."""
+    from pyspark.ml.functions import vector_to_array
+    f = _features(spark, sf, "tfidf")
+    norm = F.aggregate(vector_to_array("tfidf_norm"), F.lit(0.0), lambda a, x: a + x * x)
+    return f.select("doc_id", "label", F.round(norm, 6).alias("squared_norm"))
+
+
+@register("M3")
+def m3_bag_of_words(spark, sf):
+    """Bag of words (5000 terms); rows-only."""
+    f = _features(spark, sf, "bow")
+    from pyspark.ml.functions import vector_to_array
+    return f.select("doc_id", F.aggregate(vector_to_array("bow"), F.lit(0.0), lambda a, x: a + x).alias("n_counted"))
+
+
+@register("M4", "SELECT doc_id, length(text) AS n_chars_text, "
+          "len(CASE WHEN trim(text) = '' THEN [] ELSE string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') END) AS n_words_text "
+          "FROM documents JOIN labels USING (doc_id)")
+def m4_length_features(spark, sf):
+    f = M.length_features(labelled_docs(spark, sf), "text")
+    return f.select("doc_id", "n_chars_text", "n_words_text")
+
+
+@register("M5")
+def m5_combined(spark, sf):
+    """TF-IDF + length features assembled into one vector; rows-only."""
+    from pyspark.ml.functions import vector_to_array
+    f = _features(spark, sf, "tfidf")
+    return f.select("doc_id", F.size(vector_to_array("features")).alias("dim"))
+
+
+_M6_SQL = f"""
+WITH d AS (SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {lehmer_sql('doc_id', 42)}, doc_id) - 1 AS rk,
+             count(*) OVER (PARTITION BY label) AS n FROM d)
+"""
+
+
+@register("M6", _M6_SQL + "SELECT doc_id, label FROM r WHERE rk < (SELECT min(n) FROM r)")
+def m6_balance_classes(spark, sf):
+    d = labelled_docs(spark, sf).select("doc_id", "label")
+    return M.balance_classes(d, "label", "doc_id").select("doc_id", "label")
+
+
+@register("M7", f"""
+WITH d AS (SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {lehmer_sql('doc_id', 43)}, doc_id) - 1 AS rk,
+             count(*) OVER (PARTITION BY label) AS n FROM d)
+SELECT doc_id, label, CASE WHEN rk < floor(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""")
+def m7_stratified_split(spark, sf):
+    d = labelled_docs(spark, sf).select("doc_id", "label")
+    return M.stratified_split(d, "label", "doc_id").select("doc_id", "label", "split")
+
+
+def _m8(spark, sf):
+    f = _features(spark, sf, "tfidf")
+    bal = M.balance_classes(f, "label", "doc_id")
+    sp = M.stratified_split(bal, "label", "doc_id")
+    return M.fit_and_report(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"))
+
+
+@register("M8")
+def m8_classifier(spark, sf):
+    """Logistic regression on balanced TF-IDF features; accuracy, AUC, per-class metrics; rows-only."""
+    return _m8(spark, sf)
+
+
+@register("M9")
+def m9_result_log(spark, sf):
+    """Append the run's metrics to a result log (parquet, append mode) and read it back; rows-only."""
+    path = scratch_path(spark, "m9_results")
+    rep = _m8(spark, sf).withColumn("run", F.lit("tfidf_quality"))
+    rep.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("M10")
+def m10_per_layer(spark, sf):
+    """One classifier per 'layer' (16-value slices of the 64-d embeddings), label 0 vs rest; rows-only."""
+    from pyspark.ml.functions import array_to_vector
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("double").alias("y"))
+    out = None
+    for layer in range(4):
+        x = e.select("vec_id", "y", array_to_vector(F.slice("embedding", layer * 16 + 1, 16)).alias("features"))
+        sp = M.stratified_split(x, "y", "vec_id")
+        rep = M.fit_and_report(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"), label="y")
+        rep = rep.filter(F.col("metric").isin("accuracy", "auc")).withColumn("layer", F.lit(layer))
+        out = rep if out is None else out.unionByName(rep)
+    return out
+
+
+@register("M11", """
+SELECT doc_id, quality = 1 AS clean_correct, toxic = 0 AS perturbed_correct,
+       CAST(quality = 1 AND toxic = 0 AS INT) AS robust_metric
+FROM labels JOIN documents USING (doc_id)""")
+def m11_consistency(spark, sf):
+    lab = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    clean = lab.select("doc_id", (F.col("quality") == 1).alias("correct"))
+    pert = lab.select("doc_id", (F.col("toxic") == 0).alias("correct"))
+    return M.consistency_label(clean, pert, "doc_id")

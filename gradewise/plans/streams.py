@@ -1 +1,56 @@
-"""Queries: streams."""
+"""Streaming queries (X1, X2): the events table, written as an append-only log
+of scored samples in several files, is consumed as a file stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.common import rnd
+from ..session import table
+from ..sources.io import scratch_path
+from ..streaming import metrics as X
+from .registry import register
+
+N_FILES = 8
+
+
+def _write_log(spark, sf):
+    """Events as scored samples, appended slice by slice in time order (as a
+    log grows), so the file stream sees them in arrival order."""
+    from ..operators.index import with_global_index
+    ev = table(spark, sf, "events").select(
+        F.lit("r0").alias("run"), F.expr("event_id div 1024").alias("step"), F.col("event_type").alias("source"),
+        "event_id", "ts", F.col("value").alias("score"))
+    ranked = with_global_index(ev, ["ts", "event_id"], "_pos")
+    n = ranked.count()
+    size = max(1, -(-n // N_FILES))
+    folder = scratch_path(spark, "x_log")
+    for i in range(N_FILES):
+        part = ranked.filter((F.col("_pos") >= i * size) & (F.col("_pos") < (i + 1) * size)).drop("_pos")
+        part.coalesce(1).write.mode("append").json(folder)
+    return folder
+
+
+@register("X1", """
+SELECT 'r0' AS run, event_id // 1024 AS step, event_type AS source, count(*) AS n, round(avg(value), 6) AS mean_score
+FROM events GROUP BY 1, 2, 3""")
+def x1_running_means(spark, sf):
+    folder = _write_log(spark, sf)
+    out, ck = scratch_path(spark, "x1_out"), scratch_path(spark, "x1_ck")
+    X.running_means(X.scored_stream(spark, folder), out, ck).awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("run", "step", "source", "n", rnd(F.col("score_sum") / F.col("n")).alias("mean_score"))
+
+
+@register("X2", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS source, count(*) AS n, round(avg(value), 6) AS mean_score
+FROM events GROUP BY 1, 2""")
+def x2_windowed(spark, sf):
+    """Daily windows with a one-hour watermark (update mode; the log arrives in
+    time order, so no row is late and the final windows equal a batch count)."""
+    folder = _write_log(spark, sf)
+    out, ck = scratch_path(spark, "x2_out"), scratch_path(spark, "x2_ck")
+    X.windowed_metrics(X.scored_stream(spark, folder), out, ck).awaitTermination()
+    r = X.latest_windows(spark, out)
+    return r.select(X.utc_day("window_start").cast("string").alias("day"), "source", "n",
+                    rnd("mean_score").alias("mean_score"))
