@@ -309,3 +309,48 @@ def a3_whiten(spark, sf):
     out = adv.masked_whiten(rollouts(spark, sf), "token_level_scores", "response_mask", "whitened")
     long = explode_tokens(out, ["uid", "step"], ["whitened"])
     return long.select("uid", "step", "pos", rnd("whitened").alias("whitened"))
+
+
+@register("W6", "WITH " + _GRPO_TOKENS_SQL + """
+SELECT 'grpo' AS estimator, step, round(sum(advantage), 6) AS adv_sum FROM adv GROUP BY step
+UNION ALL
+SELECT 'reinforce_plus_plus', step, round(sum(adv), 6) FROM (
+  SELECT r.step, (r.ret - mu.mu) * r.mask AS adv FROM (
+    SELECT *, CASE WHEN mask = 0 THEN score ELSE
+      sum(CASE WHEN mask = 1 THEN power(0.99, pos) * score ELSE 0 END) OVER (PARTITION BY uid, step ORDER BY pos
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / power(0.99, pos) END AS ret FROM tok) r
+  JOIN (SELECT step, sum(ret * mask) / sum(mask) AS mu FROM (
+    SELECT *, CASE WHEN mask = 0 THEN score ELSE
+      sum(CASE WHEN mask = 1 THEN power(0.99, pos) * score ELSE 0 END) OVER (PARTITION BY uid, step ORDER BY pos
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / power(0.99, pos) END AS ret FROM tok) GROUP BY step) mu
+  USING (step)) GROUP BY step
+""")
+def w6_estimator_switch(spark, sf):
+    """The estimator chosen by name (unknown names raise); two estimators shown."""
+    ro = rollouts(spark, sf)
+    out = None
+    for name, kw in [("grpo", {}), ("reinforce_plus_plus", {"gamma": GAMMA, "batch_keys": ["step"]})]:
+        a = adv.compute_advantage(ro, name, **kw)
+        r = a.groupBy("step").agg(rnd(F.sum(array_sum("advantages"))).alias("adv_sum")).withColumn("estimator", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out.select("estimator", "step", "adv_sum")
+
+
+@register("W14", "SELECT event_id, user_id, event_type FROM events ORDER BY "
+          + __import__("gradewise.operators.batch", fromlist=["lehmer_sql"]).lehmer_sql("event_id", 5)
+          + ", event_id LIMIT 50")
+def w14_validation_sample(spark, sf):
+    """Deterministic sample of 50 validation rows: seeded order, then the first 50 (the limit is the feature)."""
+    from ..operators.batch import lehmer_order_key
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return ev.orderBy(lehmer_order_key("event_id", 5), "event_id").limit(50)
+
+
+@register("J2", """
+SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS group_n,
+       round(avg(value) OVER (PARTITION BY user_id), 6) AS group_mean FROM events""")
+def j2_group_stats_to_rows(spark, sf):
+    """Group statistics joined back to every row by uid (partial aggregate + join, skew-safe)."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "value")
+    stats = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("group_n"), F.avg("value").alias("group_mean"))
+    return ev.join(stats, "user_id").select("event_id", "user_id", "group_n", rnd("group_mean").alias("group_mean"))
