@@ -64,16 +64,20 @@ def boxed_records(df: DataFrame, problem: str, solution: str, split, index,
                      *record(F.lit(data_source), chat(("user", content)), None, F.lit("math"), gt, "rule", split, index))
 
 
-def positional_split(df: DataFrame, order_cols, sizes: list[tuple[str, Column | int]], idx: str = "index",
+def positional_split(df: DataFrame, order_cols, sizes: list[tuple[str, object]], idx: str = "index",
                      require: bool = True) -> DataFrame:
     """Consecutive index ranges get the named splits in order; rows
-    past the last range are dropped; too few rows fail when ``require``."""
+    past the last range are dropped; too few rows fail when ``require``.
+
+    A size is an int, a Column, or a function of the row count ``n`` (counted
+    on the indexed, checkpointed frame, so the input is not computed again)."""
     ranked = with_global_index(df, order_cols, idx)
-    n = row_count(df)
+    n = row_count(ranked)
     start = F.lit(0)
     split = F.lit(None).cast("string")
     bounds = []
     for name, size in sizes:
+        size = size(n) if callable(size) else size
         end = start + as_col(size)
         bounds.append((name, start, end))
         start = end
@@ -123,7 +127,7 @@ def fraction_split(df: DataFrame, order_cols, fraction: float, first: str = "tra
                    idx: str = "index") -> DataFrame:
     """The first round(fraction * n) rows by position, then the rest (one cut)."""
     ranked = with_global_index(df, order_cols, idx)
-    cut = F.round(row_count(df) * fraction)
+    cut = F.round(row_count(ranked) * fraction)
     return ranked.withColumn("split", F.when(F.col(idx) < cut, first).otherwise(rest))
 
 

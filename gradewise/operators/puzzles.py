@@ -5,8 +5,9 @@ A puzzle is one row: ``k`` (its seed key), ``n`` people and ``statements``,
 leaf/not/and/or/->/<=> (depth 2, width 2 covers every statement the
 generator makes).  All randomness comes from ``draw`` (integer MINSTD steps on
 the key and a salt), so a puzzle is a pure function of its key and any engine
-can reproduce it.  Solving enumerates the 2^n assignments *inside the row*
-(n <= 8, so at most 256) with higher-order functions: no join, no UDF.
+can reproduce it.  Solving works inside the row: the 2^n <= 256 assignments
+are four 64-bit words and each statement is a handful of bit operations over
+them (``solution_words``); no join, no UDF.
 """
 
 from __future__ import annotations
@@ -39,14 +40,16 @@ def sample_statement(k, n, p, salt_base, seed: int = 0, leaf_only: bool = False)
     """One statement for speaker ``p``: op by a six-sided draw, leaves distinct."""
     k, n, p, base = as_col(k), as_col(n), as_col(p), as_col(salt_base)
     opts = 2 * n - 1
-    j1 = F.pmod(draw(k, base + 1, seed), opts)
-    j2 = F.pmod(j1 + 1 + F.pmod(draw(k, base + 2, seed), opts - 1), opts)
-    if leaf_only:
-        return F.struct(F.lit("leaf").alias("op"), F.array(_leaf(j1, n, p)).alias("args"))
-    d = F.pmod(draw(k, base, seed), F.lit(6)).cast("int")
-    op = F.element_at(F.array(*[F.lit(o) for o in OPS]), d + 1)
-    args = F.when(d <= 1, F.array(_leaf(j1, n, p))).otherwise(F.array(_leaf(j1, n, p), _leaf(j2, n, p)))
-    return F.struct(op.alias("op"), args.alias("args"))
+
+    def build(j1, j2, d):
+        if leaf_only:
+            return F.struct(F.lit("leaf").alias("op"), F.array(_leaf(j1, n, p)).alias("args"))
+        op = F.element_at(F.array(*[F.lit(o) for o in OPS]), d + 1)
+        args = F.when(d <= 1, F.array(_leaf(j1, n, p))).otherwise(F.array(_leaf(j1, n, p), _leaf(j2, n, p)))
+        return F.struct(op.alias("op"), args.alias("args"))
+    return let(F.pmod(draw(k, base + 1, seed), opts), lambda j1: let(
+        F.pmod(j1 + 1 + F.pmod(draw(k, base + 2, seed), opts - 1), opts), lambda j2: let(
+            F.pmod(draw(k, base, seed), F.lit(6)).cast("int"), lambda d: build(j1, j2, d))))
 
 
 def sample_puzzles(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> DataFrame:
@@ -91,12 +94,79 @@ def bits_to_roles(bits, n) -> Column:
     return F.transform(F.sequence(F.lit(0), as_col(n) - 1), lambda i: knight(as_col(bits), i))
 
 
+# --- bit-parallel solving ------------------------------------------------------------
+# The 256 assignments of up to 8 people are four 64-bit words: bit j of word w
+# stands for assignment a = 64w + j.  "Person i is a knight" is a fixed bit
+# pattern, so a statement's truth over all assignments is a few word
+# operations, and the consistent assignments are the AND over speakers.
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= (1 << 63) else x
+
+
+# bit patterns of "bit i of a is set" inside one 64-assignment word, i = 0..5
+_LOW_PATTERNS = [_signed(sum(1 << j for j in range(64) if (j >> i) & 1)) for i in range(6)]
+
+
+def _knight_word(i: Column, w: Column) -> Column:
+    low = F.element_at(F.array(*[F.lit(x) for x in _LOW_PATTERNS]), i + 1)
+    high_bit_set = F.call_function("shiftright", w, i - 6).bitwiseAND(F.lit(1)) == 1
+    return F.when(i < 6, low).otherwise(F.when(high_bit_set, F.lit(-1)).otherwise(F.lit(0))).cast("long")
+
+
+def _leaf_word(arg: Column, w: Column) -> Column:
+    k = _knight_word(arg["who"], w)
+    return F.when(arg["lie"], F.bitwise_not(k)).otherwise(k)
+
+
+def _statement_word(s: Column, w: Column) -> Column:
+    second = F.coalesce(F.try_element_at(s["args"], F.lit(2)), s["args"][0])
+    return let(_leaf_word(s["args"][0], w), lambda v1: let(_leaf_word(second, w), lambda v2: (
+        F.when(s["op"] == "leaf", v1).when(s["op"] == "not", F.bitwise_not(v1))
+         .when(s["op"] == "and", v1.bitwiseAND(v2)).when(s["op"] == "or", v1.bitwiseOR(v2))
+         .when(s["op"] == "->", F.bitwise_not(v1).bitwiseOR(v2))
+         .otherwise(F.bitwise_not(v1.bitwiseXOR(v2))))))
+
+
+def _valid_word(n: Column, w: Column) -> Column:
+    size = F.call_function("shiftleft", F.lit(1), n)      # 2^n assignments
+    low = size - w * 64
+    low_bits = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), low))   # no overflow
+    return F.when(low >= 64, F.lit(-1)).when(low <= 0, F.lit(0)).otherwise(low_bits).cast("long")
+
+
+def solution_words(statements, n) -> Column:
+    """Four words whose set bits are the assignments consistent with every statement."""
+    statements, n = as_col(statements), as_col(n)
+
+    def word(w):
+        ok = F.transform(statements, lambda s, p: F.bitwise_not(_statement_word(s, w).bitwiseXOR(_knight_word(p, w))))
+        return F.aggregate(ok, F.lit(-1).cast("long"), lambda acc, x: acc.bitwiseAND(x)).bitwiseAND(_valid_word(n, w))
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), word)
+
+
+def _single_bit_index(x: Column) -> Column:
+    """Index of the only set bit of ``x`` (a unique solution sets one bit)."""
+    return F.when(x < 0, F.lit(63)).otherwise(F.round(F.log2(x)).cast("int"))
+
+
+def solution_summary(statements, n) -> Column:
+    """struct(n_solutions, solution_bits): count of consistent assignments and,
+    when it is exactly one, that assignment (else -1)."""
+    def summarize(words):
+        count = F.aggregate(words, F.lit(0), lambda acc, x: acc + F.bit_count(x))
+        first = F.filter(F.transform(words, lambda x, w: F.struct(w.alias("w"), x.alias("x"))), lambda e: e["x"] != 0)
+        bits = let(F.try_element_at(first, F.lit(1)), lambda e: e["w"] * 64 + _single_bit_index(e["x"]))
+        return F.struct(count.cast("int").alias("n_solutions"),
+                        F.when(count == 1, bits).otherwise(F.lit(-1)).cast("int").alias("solution_bits"))
+    return let(solution_words(statements, n), summarize)
+
+
 def solve(puzzles: DataFrame) -> DataFrame:
     """K1: add ``n_solutions``, ``solution_bits`` (-1 unless unique) and ``solution``."""
-    d = puzzles.withColumn("_sols", solutions("statements", "n"))
-    d = (d.withColumn("n_solutions", F.size("_sols"))
-          .withColumn("solution_bits", F.when(F.size("_sols") == 1, F.col("_sols")[0]).otherwise(F.lit(-1)))
-          .drop("_sols"))
+    d = puzzles.withColumn("_sum", solution_summary("statements", "n"))
+    d = (d.withColumn("n_solutions", F.col("_sum.n_solutions"))
+          .withColumn("solution_bits", F.col("_sum.solution_bits")).drop("_sum"))
     return d.withColumn("solution", F.when(F.col("solution_bits") >= 0, bits_to_roles("solution_bits", "n")))
 
 
@@ -262,10 +332,10 @@ def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1, max_retry: in
         count = min(batch, max_retry - start)
         cand = _candidates(remaining, start, count, leaf, seed).join(
             remaining.select("k", "orig_repr"), "k")
-        cand = cand.withColumn("_sols", solutions("statements", "n"))
-        ok = cand.filter((F.size("_sols") == 1) & (F.col("_sols")[0] != F.col("solution_bits"))
+        cand = cand.withColumn("_sum", solution_summary("statements", "n"))
+        ok = cand.filter((F.col("_sum.n_solutions") == 1) & (F.col("_sum.solution_bits") != F.col("solution_bits"))
                          & (statements_repr("statements") != F.col("orig_repr")))
-        best = ok.groupBy("k").agg(F.min_by(F.struct("cand", "n", "statements", F.col("_sols")[0].alias("solution_bits")),
+        best = ok.groupBy("k").agg(F.min_by(F.struct("cand", "n", "statements", F.col("_sum.solution_bits").alias("solution_bits")),
                                             F.col("cand")).alias("b")).select("k", "b.*")
         if checkpoint:
             best = best.checkpoint(eager=True)

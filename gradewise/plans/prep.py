@@ -106,9 +106,8 @@ def p3_boxed_prep(spark, sf):
 
 def _split_corpus(spark, sf):
     c = corpus(spark, sf)
-    n = row_count(c)
-    train = (n * 0.9).cast("long")
-    return P.positional_split(c, "k", [("train", train), ("test", n - train)])
+    return P.positional_split(c, "k", [("train", lambda n: (n * 0.9).cast("long")),
+                                       ("test", lambda n: n - (n * 0.9).cast("long"))])
 
 
 _P4_SQL = "WITH " + _RENDER_SQL + """,
@@ -140,9 +139,9 @@ SELECT k, CASE WHEN idx < total // 10 THEN 'test' WHEN idx < total // 10 + (tota
 FROM sp""")
 def p11_range_split(spark, sf):
     c = corpus(spark, sf)
-    n = row_count(c)
-    out = P.positional_split(c, "k", [("test", (n / 10).cast("long")), ("train", (n * 8 / 10).cast("long")),
-                                      ("val", n - (n / 10).cast("long") - (n * 8 / 10).cast("long"))])
+    out = P.positional_split(c, "k", [("test", lambda n: (n / 10).cast("long")),
+                                      ("train", lambda n: (n * 8 / 10).cast("long")),
+                                      ("val", lambda n: n - (n / 10).cast("long") - (n * 8 / 10).cast("long"))])
     return out.select("k", "split")
 
 

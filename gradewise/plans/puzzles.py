@@ -13,14 +13,14 @@ from ..operators import puzzle_text as PT
 from ..operators import puzzles as K
 from ..operators.batch import lehmer_sql
 from ..operators.index import row_count, with_global_index
-from ..session import table
+from ..session import spread, table
 from .registry import register
 
 SEED = 0
 
 
 def puzzle_keys(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    return spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")))
 
 
 def candidates(spark, sf):
@@ -199,5 +199,5 @@ def k13_split(spark, sf):
     from ..operators.batch import lehmer_order_key
     g = K.generate(puzzle_keys(spark, sf), seed=SEED).select("k")
     ranked = with_global_index(g.withColumn("_h", lehmer_order_key("k", 13)), ["_h", "k"], "rk")
-    n = row_count(g)
+    n = row_count(ranked)
     return ranked.select("k", F.when(F.col("rk") < F.floor(n * 0.8), "train").otherwise("test").alias("split"))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.common import rnd
 from ..operators import scoring as S
-from ..session import table
+from ..session import spread, table
 from .registry import register
 
 # --- R1-R3: number answers built from lineitem -----------------------------------
 
 
 def number_responses(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    li = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
     x = F.floor("l_extendedprice")
     q = F.floor("l_quantity").cast("string")
     v = F.col("l_linenumber") % 4
@@ -75,7 +75,7 @@ def r3_number_score(spark, sf):
 
 
 def boxed_responses(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size"))
     a = F.col("p_size").cast("string")
     b = (F.col("p_partkey") % 9 + 1).cast("string")
     v = F.col("p_partkey") % 6
@@ -168,7 +168,7 @@ def puzzle_responses(spark, sf):
     """One templated response per order: variant ``o_orderkey % 7`` is correct,
     one role flipped, a name missing, an extra role word, no answer tags, two
     answer blocks, or answer before thinking."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
     names_arr = F.array(*[F.lit(x) for x in NAMES])
     o = o.withColumn("n", (F.col("o_orderkey") % 5 + 2).cast("int")).withColumn("v", F.col("o_orderkey") % 7)
     people = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
@@ -400,7 +400,7 @@ def r12_puzzle_verify(spark, sf):
 
 
 def math_answers(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"))
     x = F.col("p_size").cast("string")
     y = (F.col("p_partkey") % 9 + 1).cast("string")
     price = F.floor("p_retailprice")

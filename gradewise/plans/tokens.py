@@ -8,7 +8,7 @@ from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.common import rnd
-from ..session import table
+from ..session import spread, table
 from .credit import _EMB_LSE_SQL
 from .fixtures import ROLLOUT_TOKENS_SQL, rollouts
 from .registry import register
@@ -24,7 +24,7 @@ def ids_sql(col: str) -> str:
 
 
 def doc_ids(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.withColumn("ids", K.tokenize("text", "codepoint"))
 
 

@@ -59,3 +59,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    A small table is often a single file and so a single scan partition; the
+    per-row work (solving, scoring, tokenising) would then run in one task.
+    Large inputs already have many partitions and are returned unchanged, so
+    this adds no shuffle at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
