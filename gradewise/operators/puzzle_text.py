@@ -108,3 +108,7 @@ MATH_INSTRUCTION = "Let's think step by step and output the final answer within
 ORZ_BASE_PROMPT = """A conversation between User and Assistant. The user asks a question, and the Assistant solves it. The assistant first thinks about the reasoning process in the mind and then provides the user with the answer. The reasoning process and answer are enclosed within <think> </think> and <answer> </answer> tags, respectively, i.e., <think> reasoning process here </think> <answer> answer here </answer>.\nUser: You must put your answer inside <answer> </answer> tags, i.e., <answer> answer here </answer>. And your final answer will be extracted automatically by the \\boxed{{}} tag. {prompt}\nAssistant: <think>"""
 ZERO_TEMPLATE = """<|im_start|>system\nYou are a helpful assistant. The assistant first thinks about the reasoning process in the mind and then provides the user with the answer. The reasoning process and answer are enclosed within <think> </think> and<answer> </answer> tags, respectively, i.e., <think> reasoning process here </think><answer> answer here </answer>.  Now the user asks you to solve a logical reasoning problem. After thinking, when you finally reach a conclusion, clearly state the identity of each character within <answer> </answer> tags. i.e., <answer> (1) Zoey is a knight\n(2) ... </answer>.\n<|im_end|>\n<|im_start|>user\n{prompt}\n<|im_end|>\n<|im_start|>assistant\n<think>"""
 NORMAL_TEMPLATE = """<|im_start|>user\n{prompt}\n<|im_end|>\n<|im_start|>assistant\n"""
+
+# Reasoning-step sentences.
+STEP_FOOTER_SUCCESS = 'This leads to a feasible solution.'
+STEP_FOOTER_FAIL = 'All the configurations lead to contradictions.'

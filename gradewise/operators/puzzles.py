@@ -366,3 +366,134 @@ def shuffled(arr, k, seed: int = 3) -> Column:
     """Seeded permutation of an array's items."""
     keyed = F.transform(as_col(arr), lambda x, i: F.struct(draw(as_col(k), 9100 + i, seed).alias("h"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda e: e["x"])
+
+
+# --- K7 / K8: reasoning steps ---------------------------------------------------------
+
+def _role_mask(person: Column, value: Column, w: Column) -> Column:
+    k = _knight_word(person, w)
+    return F.when(value, k).otherwise(F.bitwise_not(k))
+
+
+def _any_bits(words: Column) -> Column:
+    return F.exists(words, lambda x: x != 0)
+
+
+def reasoning_steps(puzzles: DataFrame) -> DataFrame:
+    """K7: steps that reach the (unique) solution, person by person.
+
+    Persons are decided in index order with the true roles of the earlier
+    ones fixed.  Knight is tried first: when the truth is knave, the knight
+    assumption is reported as a conflict if some decided speaker's claim (true
+    for a knight, false for a knave) has no extension of the partial
+    assignment, naming the first such speaker; then the true role is assumed.
+    A wrong assumption without an immediate conflict is not shown (the
+    reference backtracks to it later; this job does not replay the search).
+    Adds ``steps``: array<struct<person, assignment, outcome, conflict_person,
+    conflict_assignment>>.
+    """
+    def word_list(f):
+        return F.transform(F.sequence(F.lit(0), F.lit(3)), f)
+
+    st, n, sol = F.col("statements"), F.col("n"), F.col("solution")
+
+    def steps_for(p):
+        truth = F.element_at(sol, p + 1)
+
+        def conflict_with(assumed):
+            # extensions: earlier persons fixed to the truth, person p to ``assumed``
+            def ext_word(w):
+                fixed = F.aggregate(F.sequence(F.lit(0), p), F.lit(-1).cast("long"), lambda acc, q: acc.bitwiseAND(
+                    _role_mask(q, F.when(q == p, assumed).otherwise(F.element_at(sol, q + 1)), w)))
+                return fixed.bitwiseAND(_valid_word(n, w))
+            ext = word_list(ext_word)
+
+            def broken(q):
+                val = F.when(q == p, assumed).otherwise(F.element_at(sol, q + 1))
+                claim = F.element_at(st, q + 1)
+                words = F.zip_with(word_list(lambda w: _statement_word(claim, w)), ext, lambda s, e: F.when(
+                    val, s).otherwise(F.bitwise_not(s)).bitwiseAND(e))
+                return F.struct(q.alias("q"), val.alias("v"), (~_any_bits(words)).alias("broken"))
+            checks = F.filter(F.transform(F.sequence(F.lit(0), p), broken), lambda c: c["broken"])
+            return F.try_element_at(checks, F.lit(1))
+
+        def step(assignment, outcome, cq, cv):
+            return F.struct(p.alias("person"), assignment.alias("assignment"), F.lit(outcome).alias("outcome"),
+                            cq.cast("int").alias("conflict_person"), cv.alias("conflict_assignment"))
+        ok = step(truth, "ok", F.lit(None), F.lit(None).cast("boolean"))
+        return let(F.when(~truth, conflict_with(F.lit(True))), lambda c: F.when(
+            c.isNotNull(), F.array(step(F.lit(True), "conflict", c["q"], c["v"]), ok)).otherwise(F.array(ok)))
+    steps = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), steps_for))
+    return puzzles.withColumn("steps", steps)
+
+
+def render_steps(puzzles: DataFrame) -> DataFrame:
+    """K8: ``cot_head``, ``cot_repeat_steps`` (one sentence per step, the claim
+    repeated for assumptions) and ``cot_foot`` from rendered puzzles with steps."""
+    names, kk = F.col("names"), F.col("knight_knave")
+
+    def name(i):
+        return F.element_at(names, i + 1)
+
+    def role(v):
+        return F.when(v, kk["a_knight"]).otherwise(kk["a_knave"])
+
+    def leaf_text(arg, neg=False):
+        return F.concat(name(arg["who"]), F.lit(" is not " if neg else " is "), role(~arg["lie"]))
+
+    def claim(s):
+        a1, a2 = s["args"][0], F.coalesce(F.try_element_at(s["args"], F.lit(2)), s["args"][0])
+        return (F.when(s["op"] == "leaf", leaf_text(a1)).when(s["op"] == "not", leaf_text(a1, True))
+                 .when(s["op"].isin("and", "or"), F.concat(leaf_text(a1), F.lit(" "), s["op"], F.lit(" "), leaf_text(a2)))
+                 .when(s["op"] == "->", F.concat(F.lit("If "), leaf_text(a1), F.lit(" then "), leaf_text(a2)))
+                 .otherwise(F.concat(leaf_text(a1), F.lit(" if and only if "), leaf_text(a2))))
+
+    def sentence(t):
+        own = F.element_at(F.col("statements"), t["person"] + 1)
+        ok = F.concat(F.lit("Assume "), name(t["person"]), F.lit(" is "), role(t["assignment"]),
+                      F.lit(". No contradiction is found in their "), F.when(t["assignment"], "").otherwise("false "),
+                      F.lit("claim that "), claim(own), F.lit("."))
+        whose = F.when(t["conflict_person"] == t["person"], F.lit("their own")).otherwise(name(t["conflict_person"]))
+        bad = F.concat(name(t["person"]), F.lit(" cannot be "), role(t["assignment"]),
+                       F.lit(", because this would contradict the "),
+                       F.when(t["conflict_assignment"], "").otherwise("false "), F.lit("claim of "), whose, F.lit("."))
+        return F.when(t["outcome"] == "ok", ok).otherwise(bad)
+    return (puzzles.withColumn("cot_head", F.lit(PT.COT_HEAD))
+                   .withColumn("cot_repeat_steps", F.transform("steps", sentence))
+                   .withColumn("cot_foot", F.lit(PT.STEP_FOOTER_SUCCESS)))
+
+
+def replace_one_step(puzzles: DataFrame, seed: int = 5) -> DataFrame:
+    """Replace one step with a step of another puzzle (the next puzzle in a
+    seeded order), the partner's names mapped to ours by position; the first
+    partner step (from a seeded start) that differs from ours is used.
+    Adds ``replaced_steps`` and ``replaced_at``; rows without any differing
+    partner step get no row."""
+    from .index import with_global_index
+    base = puzzles.select("k", "n", "names", "cot_repeat_steps")
+    ranked = with_global_index(base.withColumn("_h", lehmer_order_key("k", seed)), ["_h", "k"], "_i")
+    total = ranked.select(F.count(F.lit(1))).scalar()
+    partner = ranked.select(F.pmod(F.col("_i") - 1, total).alias("_i"), F.col("names").alias("p_names"),
+                            F.col("cot_repeat_steps").alias("p_steps"))
+    j = ranked.join(partner, "_i")
+    at = F.pmod(draw(F.col("k"), 9300, seed), F.size("cot_repeat_steps")).cast("int")
+
+    def mapped(text):
+        # partner names -> placeholders -> our names (so swapped names do not collide)
+        pairs = F.arrays_zip(F.col("p_names").alias("a"), F.col("names").alias("b"))
+        holes = F.aggregate(F.transform(pairs, lambda e, i: F.struct(e["a"].alias("a"), i.alias("i"))), text,
+                            lambda acc, e: F.when(e["a"].isNull(), acc).otherwise(F.regexp_replace(
+                                acc, F.concat(F.lit("\\b"), e["a"], F.lit("\\b")),
+                                F.concat(F.lit("\u0001"), e["i"].cast("string"), F.lit("\u0002")))))
+        return F.aggregate(F.transform(pairs, lambda e, i: F.struct(e["b"].alias("b"), i.alias("i"))), holes,
+                           lambda acc, e: F.replace(acc, F.concat(F.lit("\u0001"), e["i"].cast("string"), F.lit("\u0002")),
+                                                    F.coalesce(e["b"], F.lit("someone"))))
+    start = F.pmod(draw(F.col("k"), 9400, seed), F.size("p_steps")).cast("int")
+    cands = F.transform(F.sequence(F.lit(0), F.size("p_steps") - 1), lambda o: mapped(
+        F.element_at(F.col("p_steps"), F.pmod(start + o, F.size("p_steps")) + 1)))
+    j = j.withColumn("_at", at).withColumn("_new", F.try_element_at(F.filter(
+        cands, lambda c: c != F.element_at(F.col("cot_repeat_steps"), F.col("_at") + 1)), F.lit(1)))
+    j = j.filter(F.col("_new").isNotNull())
+    out = j.withColumn("replaced_steps", F.transform("cot_repeat_steps", lambda s, i: F.when(
+        i == F.col("_at"), F.col("_new")).otherwise(s))).withColumnRenamed("_at", "replaced_at")
+    return out.select("k", "replaced_at", "replaced_steps")

@@ -201,3 +201,44 @@ def k13_split(spark, sf):
     ranked = with_global_index(g.withColumn("_h", lehmer_order_key("k", 13)), ["_h", "k"], "rk")
     n = row_count(ranked)
     return ranked.select("k", F.when(F.col("rk") < F.floor(n * 0.8), "train").otherwise("test").alias("split"))
+
+
+def corpus_with_steps(spark, sf):
+    return K.render_steps(K.reasoning_steps(corpus(spark, sf)))
+
+
+@register("K7")
+def k7_reasoning_steps(spark, sf):
+    """Reasoning steps per puzzle (person order); rows-only, property-tested."""
+    c = K.reasoning_steps(K.generate(puzzle_keys(spark, sf), seed=SEED))
+    ex = c.select("k", F.posexplode("steps").alias("pos", "s"))
+    return ex.select("k", "pos", "s.person", "s.assignment", "s.outcome", "s.conflict_person", "s.conflict_assignment")
+
+
+@register("K8")
+def k8_step_text(spark, sf):
+    """Reasoning steps as text (header, one sentence per step, footer); rows-only."""
+    c = corpus_with_steps(spark, sf)
+    return c.select("k", "cot_head", F.array_join("cot_repeat_steps", " ").alias("steps_text"), "cot_foot")
+
+
+@register("K10")
+def k10_shuffled_steps(spark, sf):
+    """Seeded shuffle of each puzzle's reasoning steps; rows-only."""
+    c = corpus_with_steps(spark, sf)
+    return c.select("k", F.array_join(K.shuffled("cot_repeat_steps", "k"), " ").alias("shuffled_steps"))
+
+
+@register("K11")
+def k11_replace_step(spark, sf):
+    """One step replaced by a differing step of another puzzle, names mapped; rows-only."""
+    r = K.replace_one_step(corpus_with_steps(spark, sf))
+    return r.select("k", "replaced_at", F.array_join("replaced_steps", " ").alias("steps_text"))
+
+
+@register("P14")
+def p14_finetune_cot(spark, sf):
+    """Fine-tuning text with reasoning steps joined by spaces; rows-only."""
+    from ..operators import prep as P
+    c = corpus_with_steps(spark, sf)
+    return c.select("k", P.finetune_text_cot("quiz", "cot_repeat_steps", "cot_foot", "solution_text_format", "</s>").alias("text"))

@@ -69,3 +69,29 @@ def test_balance_algorithms_cover_and_balance():
     p = largest_differencing([4, 5, 6, 7, 8], 2)
     sums = [sum(x for x, q in zip([4, 5, 6, 7, 8], p) if q == j) for j in range(2)]
     assert sorted(sums) == [14, 16]
+
+
+def test_reasoning_steps_end_in_solution(spark):
+    keys = spark.range(200).withColumnRenamed("id", "k")
+    g = K.render_steps(K.reasoning_steps(K.render(K.generate(keys, n_people=4))))
+    rows = g.collect()
+    assert rows
+    for r in rows:
+        oks = [s for s in r.steps if s.outcome == "ok"]
+        assert [s.person for s in oks] == list(range(r.n))
+        assert [s.assignment for s in oks] == list(r.solution)
+        for s in r.steps:
+            if s.outcome == "conflict":
+                assert s.assignment is True and r.solution[s.person] is False
+        assert len(r.cot_repeat_steps) == len(r.steps)
+
+
+def test_golden_five_person_conflict_steps(spark):
+    st = [("and", [(False, 2), (True, 3)]), ("leaf", [(False, 2)]), ("<=>", [(True, 4), (False, 4)]),
+          ("and", [(True, 2), (True, 4)]), ("leaf", [(True, 2)])]
+    p = K.solve(_puzzle(spark, 2, st))
+    steps = K.reasoning_steps(p).first().steps
+    # persons 0 and 1 are knaves; assuming 2 is a knight breaks 1's false claim "2 is a knight"
+    two = [s for s in steps if s.person == 2 and s.outcome == "conflict"]
+    assert two and two[0].conflict_person == 1 and two[0].conflict_assignment is False
+    assert [s.assignment for s in steps if s.outcome == "ok"] == [False, False, False, False, True]
