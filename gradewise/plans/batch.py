@@ -172,12 +172,13 @@ def b16_collate(spark, sf):
                     F.array_join(F.transform("o_orderkey", lambda x: x.cast("string")), ",").alias("o_orderkey"))
 
 
+# mini-batches of 20 rows: 20 divides the orders count at every scale factor
 @register("B17", f"""
-SELECT e AS epoch, idx // 8 AS batch_id, idx % 8 AS pos_in_batch, o_orderkey
+SELECT e AS epoch, idx // 20 AS batch_id, idx % 20 AS pos_in_batch, o_orderkey
 FROM (SELECT {_IDX_SQL} AS idx, o_orderkey FROM orders), range(2) t(e)
 """)
 def b17_minibatches(spark, sf):
-    return B.minibatch_plan(_orders(spark, sf), "o_orderkey", 8, 2).select(
+    return B.minibatch_plan(_orders(spark, sf), "o_orderkey", 20, 2).select(
         "epoch", "batch_id", "pos_in_batch", "o_orderkey")
 
 
@@ -185,10 +186,10 @@ def b17_minibatches(spark, sf):
 WITH x AS (SELECT e AS epoch, o_orderkey, {_lehmer_sql("o_orderkey + e * 1000003", 7)} AS h
            FROM orders, range(2) t(e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY h, o_orderkey) - 1 AS rk FROM x)
-SELECT epoch, rk // 8 AS batch_id, rk % 8 AS pos_in_batch, o_orderkey FROM r
+SELECT epoch, rk // 20 AS batch_id, rk % 20 AS pos_in_batch, o_orderkey FROM r
 """)
 def b17_minibatches_shuffled(spark, sf):
-    return B.minibatch_plan(_orders(spark, sf), "o_orderkey", 8, 2, shuffle_seed=7).select(
+    return B.minibatch_plan(_orders(spark, sf), "o_orderkey", 20, 2, shuffle_seed=7).select(
         "epoch", "batch_id", "pos_in_batch", "o_orderkey")
 
 

@@ -75,10 +75,14 @@ def resumable_write(df: DataFrame, path: str, idx_col: str, batch_size: int) ->
     are skipped (anti-join on batch ids), the rest is appended partitioned by
     batch.  Returns the rows written by this call."""
     spark = df.sparkSession
+    from pyspark.errors import AnalysisException
     todo = df.withColumn("batch_id", F.floor(F.col(idx_col) / batch_size).cast("long"))
     if _exists(spark, path):
-        done = spark.read.parquet(path).select("batch_id").distinct()
-        todo = todo.join(done, "batch_id", "left_anti")
+        try:
+            done = spark.read.parquet(path).select("batch_id").distinct()
+            todo = todo.join(done, "batch_id", "left_anti")
+        except AnalysisException:
+            pass   # the folder exists but holds no finished batch yet
     todo.write.mode("append").partitionBy("batch_id").parquet(path)
     return todo
 
