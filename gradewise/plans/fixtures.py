@@ -62,7 +62,16 @@ def rollouts_from_events(events: DataFrame, block: int = ROLLOUT_BLOCK) -> DataF
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollouts_from_events(table(spark, sf_dir, "events"))
+    """The rollout table, written once to the shared checkpoint folder.
+
+    Queries read it in several branches (group statistics, sequence metrics,
+    token metrics) that prune different columns, so Spark cannot share one
+    exchange between them; without the written copy every branch would redo
+    the shuffle that builds the arrays.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return rollouts_from_events(table(spark, sf_dir, "events")).checkpoint(eager=True)
 
 
 def explode_tokens(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
