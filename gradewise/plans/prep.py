@@ -14,7 +14,7 @@ from ..operators.index import row_count, with_global_index
 from ..session import table
 from .puzzles import _RENDER_SQL, _draw, corpus
 from .registry import register
-from .scoring import _BOXED_SQL, boxed_responses
+from .scoring import _BOXED_SQL, _PUZZLE_SQL, boxed_responses
 from .tokens import ids_sql
 
 
@@ -358,16 +358,30 @@ def _scored_responses(spark, sf):
     return r.join(o, "o_orderkey").select("o_custkey", "o_orderkey", "response", "score")
 
 
-@register("P22")
+_SCORED_SQL = _PUZZLE_SQL + """,
+sc AS (SELECT a7.o_orderkey, o.o_custkey, a7.response, CASE WHEN has_answer AND match THEN 1.0 ELSE 0.0 END AS score
+       FROM a7 JOIN orders o USING (o_orderkey))
+"""
+
+
+@register("P22", _SCORED_SQL + """,
+d AS (SELECT o_custkey, response, min(o_orderkey) AS o_orderkey FROM sc WHERE score >= 1 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rk FROM d)
+SELECT o_custkey, o_orderkey FROM r WHERE rk <= 2""")
 def p22_rejection_sampling(spark, sf):
-    """Correct, distinct responses, first two per customer (prompt); rows-only check."""
+    """Correct, distinct responses, first two per customer (prompt)."""
     r = P.rejection_sample(_scored_responses(spark, sf), "o_custkey", "response", "score", "o_orderkey")
     return r.select("o_custkey", "o_orderkey")
 
 
-@register("P23")
+@register("P23", _SCORED_SQL + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS rb,
+             row_number() OVER (PARTITION BY o_custkey ORDER BY score ASC, o_orderkey) AS rw FROM sc)
+SELECT o_custkey, max(CASE WHEN rb = 1 THEN o_orderkey END) AS chosen, max(CASE WHEN rw = 1 THEN o_orderkey END) AS rejected,
+       CAST(max(score) AS DOUBLE) AS chosen_score, CAST(min(score) AS DOUBLE) AS rejected_score
+FROM r GROUP BY o_custkey HAVING max(score) > min(score)""")
 def p23_preference_pairs(spark, sf):
-    """Best vs worst response per customer, ties dropped; rows-only check."""
+    """Best vs worst response per customer, ties dropped."""
     r = _scored_responses(spark, sf)
     return P.preference_pairs(r, "o_custkey", "o_orderkey", "score")
 

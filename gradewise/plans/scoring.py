@@ -10,6 +10,9 @@ from ..operators import scoring as S
 from ..session import spread, table
 from .registry import register
 
+_NON_LATIN_SQL_R = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in T.NON_LATIN_RANGES) + "]"
+
+
 # --- R1-R3: number answers built from lineitem -----------------------------------
 
 
@@ -388,12 +391,38 @@ def r32_approx_tokens(spark, sf):
     return r.select("o_orderkey", T.approx_tokens("response").cast("bigint").alias("n_tokens"))
 
 
-@register("R12")
+def _verify_sql() -> str:
+    think = _py_slice_sql("processed", "instr(processed, '<think>') - 1 + 7", "instr(processed, '</verify>') - 1")
+    toks = ["wait", "verify", "yet", "re-evaluate", "review", "∨", "\\u2228", "∧", "\\u2227", "¬", "\\u00AC"]
+    bonus = " + ".join(f"CAST(contains(lower(tv), '{t}') AS INT)" for t in toks)
+    tags = ["<think>", "</think>", "<verify>", "</verify>", "<answer>", "</answer>"]
+    once = " AND ".join(f"(length(processed) - length(replace(processed, '{t}', ''))) // {len(t)} = 1" for t in tags)
+    order = " AND ".join(f"instr(processed, '{a}') <= instr(processed, '{b}')" for a, b in zip(tags, tags[1:]))
+    return _PUZZLE_SQL + f""",
+v1 AS (SELECT *, {think} AS tv FROM a7),
+v2 AS (SELECT *, power(0.5, len(list_filter(names, lambda nm: NOT contains(tv, nm)))) AS g0,
+              ({once} AND {order}) AS fmt6,
+              regexp_matches(response, '{_NON_LATIN_SQL_R}') AS non_latin FROM v1),
+v3 AS (SELECT *, CASE WHEN g0 >= 1.0 THEN g0 + 1e-5 * ({bonus}) ELSE g0 END AS fv FROM v2)
+"""
+
+
+@register("R12", _verify_sql() + f"""
+SELECT o_orderkey, CAST(round(1e11 * (
+    (CASE WHEN NOT has_answer THEN -2.0 WHEN NOT parsed THEN -1.0
+          WHEN match THEN (CASE WHEN fv = 1.0 THEN 2.0 ELSE 2.0 * fv END) ELSE -0.5 END)
+    + (CASE WHEN fmt6 THEN 0.0 ELSE -1.0 END) + (CASE WHEN non_latin THEN -5.0 ELSE 0.0 END)
+    + (CASE WHEN vlen < 500 OR vlen >= {MAX_RESPONSE_TOKENS} THEN -1.0 ELSE 0.0 END))) AS BIGINT) AS score_e11,
+  CAST(CASE WHEN fmt6 THEN 0.0 ELSE -1.0 END AS DOUBLE) AS format_score,
+  CAST(CASE WHEN non_latin THEN -5.0 ELSE 0.0 END AS DOUBLE) AS language_mix_score,
+  CAST(CASE WHEN vlen < 500 OR vlen >= {MAX_RESPONSE_TOKENS} THEN -1.0 ELSE 0.0 END AS DOUBLE) AS length_score
+FROM v3""")
 def r12_puzzle_verify(spark, sf):
-    """Verify-variant scores (six-tag order, language rule, length window); rows-only check."""
+    """Verify-variant scores (six-tag order, language rule, length window)."""
     r = puzzle_responses(spark, sf).withColumn("vlen", T.approx_tokens("response"))
     r = S.puzzle_scores(r, "verify", valid_response_length="vlen", max_response_length=MAX_RESPONSE_TOKENS)
-    return r.select("o_orderkey", "score", "format_score", "language_mix_score", "length_score")
+    return r.select("o_orderkey", F.round(F.col("score") * 1e11).cast("bigint").alias("score_e11"),
+                    "format_score", "language_mix_score", "length_score")
 
 
 # --- R15-R20: open / contest math answers built from part ------------------------------
@@ -631,9 +660,43 @@ def legacy_responses(spark, sf):
     return r.select("o_orderkey", resp.alias("response"), gold.alias("answer_text"))
 
 
-@register("R27")
+def _legacy_sql() -> str:
+    judged = "pred_answer"
+    for fp in S.FINISH_PATTERNS:
+        judged = f"split_part({judged}, '{fp.replace(chr(39), chr(39) * 2)}', 1)"
+    return _PUZZLE_SQL + f""",
+lg AS (SELECT o_orderkey, solution_text, string_split(solution_text, chr(10)) AS lines FROM resp),
+lg2 AS (SELECT *, list_transform(lines, lambda l: regexp_replace(l, '^\\(\\d+\\) ', '')) AS facts, len(lines) AS n FROM lg),
+lg3 AS (
+  SELECT o_orderkey, n,
+    CASE WHEN n = 1 THEN facts[1] ELSE array_to_string(facts[1:n - 1], ', ') || ', and ' || facts[n] || '.' END AS answer_text,
+    'Reasoning here. CONCLUSION: ' || CASE o_orderkey % 4
+        WHEN 1 THEN solution_text || chr(10) || '(' || (n + 1) || ') nobody else'
+        WHEN 2 THEN solution_text || chr(10) || 'only if we trust them'
+        WHEN 3 THEN replace(solution_text, 'knight', 'knave')
+        ELSE solution_text END || chr(10) || '### Reason: done' || chr(10) || '### Question next' AS response
+  FROM lg2),
+lg4 AS (
+  SELECT *, split_part(response, '### Question', 1) AS pred,
+         list_transform(string_split(replace(replace(answer_text, ' and ', ''), '.', ''), ','),
+                        lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')) AS gold
+  FROM lg3),
+lg5 AS (SELECT *, CASE WHEN contains(pred, 'CONCLUSION:') AND length(split_part(pred, 'CONCLUSION:', 2)) > 0
+                       THEN split_part(pred, 'CONCLUSION:', 2) ELSE pred END AS pred_answer FROM lg4),
+lg6 AS (SELECT *, {judged} AS j FROM lg5),
+lg7 AS (SELECT *, contains(j, '(' || (len(gold) + 1) || ')') AS beyond, contains(j, 'if') AS has_if,
+               len(list_filter(gold, lambda g: contains(j, g))) AS found FROM lg6)
+"""
+
+
+@register("R27", _legacy_sql() + """
+SELECT o_orderkey, NOT beyond AND NOT has_if AND found = len(gold) AS is_correct,
+       CASE WHEN beyond THEN 'beyond_list' WHEN has_if THEN 'contain_if' WHEN found < len(gold) THEN 'wrong_identity'
+            ELSE 'no_conclusion_matched' END AS wrong_reason,
+       round(CASE WHEN beyond OR has_if THEN 0.0 ELSE found * 1.0 / len(gold) END, 6) AS correct_ratio
+FROM lg7""")
 def r27_legacy_parse(spark, sf):
-    """Legacy CONCLUSION parser; rows-only check (unit-tested against hand cases)."""
+    """Legacy CONCLUSION parser."""
     r = S.legacy_parse(legacy_responses(spark, sf), "response", "answer_text")
     return r.select("o_orderkey", "is_correct", "wrong_reason", F.round("correct_ratio", 6).alias("correct_ratio"))
 
