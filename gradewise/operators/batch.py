@@ -302,7 +302,12 @@ def prompt_uid(*key_cols) -> Column:
 
 
 def append_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Values gathered per key in ``order`` (a bounded key: one batch's rows)."""
-    s = df.groupBy(key).agg(F.sort_array(F.collect_list(
-        F.struct(F.col(order).alias("_o"), F.col(value).alias("_x")))).alias("_v"))
-    return s.select(key, F.transform("_v", lambda x: x["_x"]).alias(value))
+    """The values of each key in ``order``, as long-form (key, pos, value).
+
+    The reference appends to one Python list per key; a table keeps the list
+    as rows with their position, so a hot key is never gathered into a single
+    row.  Positions come from the global index (range partitioned)."""
+    ranked = with_global_index(df.select(key, order, value), [key, order], "_g")
+    first = ranked.groupBy(key).agg(F.min("_g").alias("_first"))
+    return (ranked.join(first, key).withColumn("pos", F.col("_g") - F.col("_first"))
+                  .select(key, "pos", value))

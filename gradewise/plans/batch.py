@@ -234,13 +234,11 @@ def b22_uid(spark, sf):
 
 
 @register("B23", """
-SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS o_orderkey
-FROM orders GROUP BY 1
+SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey FROM orders
 """)
 def b23_append(spark, sf):
     o = table(spark, sf, "orders")
-    a = B.append_per_key(o, "o_custkey", "o_orderkey", "o_orderkey")
-    return a.select("o_custkey", F.array_join(F.transform("o_orderkey", lambda x: x.cast("string")), ",").alias("o_orderkey"))
+    return B.append_per_key(o, "o_custkey", "o_orderkey", "o_orderkey")
 
 
 @register("J3", "SELECT o_orderkey, o_totalprice FROM orders")
