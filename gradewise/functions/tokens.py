@@ -20,8 +20,8 @@ from .text import py_strip
 
 def words(text) -> Column:
     """``str.split()``: runs of whitespace separate words; blank text -> []."""
-    t = py_strip(as_col(text))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+"))
+    return let(py_strip(as_col(text)), lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>"))
+               .otherwise(F.split(t, r"(?U)\s+")))
 
 
 def token_id(word, method: str = "hash", vocab_size: int = 32000) -> Column:
@@ -67,7 +67,8 @@ def sft_sequence(prompt_ids, response_ids, eos_id: int, pad_id: int, max_length:
             return F.struct(input_ids.alias("input_ids"), mask.alias("attention_mask"),
                             position_ids(mask).alias("position_ids"), loss.alias("loss_mask"))
         return let(cut, out)
-    return let(F.concat(p, r), lambda ids: build(ids, F.size(p)))
+    # bind the prompt and its length once: they are used inside per-token lambdas
+    return let(p, lambda pv: let(F.concat(pv, r), lambda ids: let(F.size(pv), lambda plen: build(ids, plen))))
 
 
 def rm_pair(prompt_ids, chosen_ids, rejected_ids, eos_id: int, max_length: int) -> Column:
@@ -87,11 +88,12 @@ def rm_pair(prompt_ids, chosen_ids, rejected_ids, eos_id: int, max_length: int)
 
 def duplicate_ngram_fraction(tokens, n: int = 3) -> Column:
     """T17 (re-aimed): share of word n-grams that repeat an earlier n-gram."""
-    t = as_col(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
-                        lambda i: F.array_join(F.slice(t, i, n), "\u0001"))
-    return let(grams, lambda g: F.when(F.size(t) < n, F.lit(0.0)).otherwise(
-        1.0 - F.size(F.array_distinct(g)).cast("double") / F.size(g)))
+    def frac(t):
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
+                            lambda i: F.array_join(F.slice(t, i, n), "\u0001"))
+        return let(grams, lambda g: F.when(F.size(t) < n, F.lit(0.0)).otherwise(
+            1.0 - F.size(F.array_distinct(g)).cast("double") / F.size(g)))
+    return let(as_col(tokens), frac)
 
 
 def is_repetitive(tokens, n: int = 3, threshold: float = 0.2) -> Column:

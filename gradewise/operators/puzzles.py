@@ -193,11 +193,14 @@ def generate(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> D
     duplicate statement sets (the smallest key wins).  The de-duplication is
     a partial aggregate (``min_by``), so a very common puzzle does not make a
     hot task."""
-    solved = solve(sample_puzzles(keys, key, n_people, seed)).filter(F.col("n_solutions") == 1)
+    # identical statements have identical solutions, so de-duplicating before
+    # the validity filter gives the same corpus; the aggregate also keeps the
+    # filter from being pushed below (and re-running) the solver
+    solved = solve(sample_puzzles(keys, key, n_people, seed))
     solved = solved.withColumn("statements_repr", statements_repr("statements"))
     best = solved.groupBy("statements_repr").agg(
         F.min_by(F.struct(*[c for c in solved.columns if c != "statements_repr"]), F.col("k")).alias("p"))
-    return best.select("p.*", "statements_repr")
+    return best.select("p.*", "statements_repr").filter(F.col("n_solutions") == 1)
 
 
 # --- K6: rendering -------------------------------------------------------------
