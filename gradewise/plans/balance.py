@@ -62,9 +62,23 @@ def l1_karmarkar_karp_equal(spark, sf):
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk", equal_size=True)
 
 
-@register("L2")
+@register("L2", """
+WITH RECURSIVE items AS (
+  SELECT doc_id // 128 AS batch, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) AS rn
+  FROM documents),
+g(batch, rn, loads, part) AS (
+  SELECT batch, CAST(0 AS BIGINT), list_transform(range({K_PARTS}), lambda j: CAST(0 AS BIGINT)), -1
+  FROM (SELECT DISTINCT batch FROM items)
+  UNION ALL
+  SELECT g.batch, g.rn + 1,
+         list_transform(range({K_PARTS}), lambda j: g.loads[j + 1] + CASE WHEN j = sel.s THEN it.n_chars ELSE 0 END),
+         sel.s
+  FROM g JOIN items it ON it.batch = g.batch AND it.rn = g.rn + 1,
+       LATERAL (SELECT list_position(g.loads, list_min(g.loads)) - 1 AS s) sel)
+SELECT items.batch, items.doc_id, CAST(g.part AS INT) AS part FROM g JOIN items ON items.batch = g.batch AND items.rn = g.rn
+""".replace("{K_PARTS}", str(K_PARTS)))
 def l2_greedy(spark, sf):
-    """Greedy least-loaded partition in input order; rows-only."""
+    """Greedy least-loaded partition in input (id) order."""
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "greedy")
 
 

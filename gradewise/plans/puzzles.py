@@ -207,9 +207,37 @@ def corpus_with_steps(spark, sf):
     return K.render_steps(K.reasoning_steps(corpus(spark, sf)))
 
 
-@register("K7")
+_K7_SQL = "WITH " + _GEN_SQL + """,
+g AS (SELECT gen.k, res.n, res.solution_bits AS s FROM gen JOIN res USING (k)),
+pp2 AS (SELECT k, n, s, unnest(range(n)) AS p FROM g),
+cand AS (SELECT k, n, s, p, unnest(range(p + 1)) AS q FROM pp2 WHERE ((s >> p) & 1) = 0),
+ev2 AS (
+  SELECT cand.k, cand.p, cand.q,
+    bool_or((CASE st.op WHEN 'leaf' THEN v1 WHEN 'not' THEN NOT v1 WHEN 'and' THEN v1 AND v2 WHEN 'or' THEN v1 OR v2
+                        WHEN '->' THEN (NOT v1) OR v2 ELSE v1 = v2 END)
+            = (CASE WHEN cand.q = cand.p THEN true ELSE ((cand.s >> cand.q) & 1) = 1 END)) AS sat
+  FROM cand
+  JOIN st ON st.k = cand.k AND st.p = cand.q
+  JOIN asg ON asg.k = cand.k
+   AND (asg.a & ((CAST(1 AS BIGINT) << (cand.p + 1)) - 1)) = ((cand.s & ((CAST(1 AS BIGINT) << cand.p) - 1)) | (CAST(1 AS BIGINT) << cand.p)),
+  LATERAL (SELECT (((asg.a >> st.who1) & 1) = 1) <> st.lie1 AS v1, (((asg.a >> st.who2) & 1) = 1) <> st.lie2 AS v2)
+  GROUP BY cand.k, cand.p, cand.q),
+conf AS (SELECT k, p, min(q) AS cq FROM ev2 WHERE NOT sat GROUP BY k, p),
+steps AS (
+  SELECT conf.k, conf.p, 0 AS sub, true AS assignment, 'conflict' AS outcome, conf.cq AS conflict_person,
+         CASE WHEN conf.cq = conf.p THEN true ELSE ((g.s >> conf.cq) & 1) = 1 END AS conflict_assignment
+  FROM conf JOIN g USING (k)
+  UNION ALL
+  SELECT k, p, 1, ((s >> p) & 1) = 1, 'ok', NULL, NULL FROM pp2)
+SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY p, sub) - 1 AS INT) AS pos, CAST(p AS INT) AS person,
+       assignment, outcome, CAST(conflict_person AS INT) AS conflict_person, conflict_assignment
+FROM steps
+"""
+
+
+@register("K7", _K7_SQL)
 def k7_reasoning_steps(spark, sf):
-    """Reasoning steps per puzzle (person order); rows-only, property-tested."""
+    """Reasoning steps per puzzle (person order)."""
     c = K.reasoning_steps(K.generate(puzzle_keys(spark, sf), seed=SEED))
     ex = c.select("k", F.posexplode("steps").alias("pos", "s"))
     return ex.select("k", "pos", "s.person", "s.assignment", "s.outcome", "s.conflict_person", "s.conflict_assignment")
