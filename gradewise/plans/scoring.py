@@ -499,17 +499,70 @@ def r16_normalize(spark, sf):
     return r.select("p_partkey", S.normalize_answer("response").alias("normalized"))
 
 
-@register("R17")
+def _last_boxed_sql(src: str, key: str, text: str, tag: str) -> str:
+    """CTEs computing the inner text of the last balanced \\boxed{} (or \\fbox{}) of ``text``."""
+    return rf"""
+{tag}t AS (
+  SELECT {key}, {text} AS s, CASE WHEN contains({text}, '\boxed') THEN '\boxed' || string_split({text}, '\boxed')[-1]
+                   WHEN contains({text}, '\fbox') THEN '\fbox' || string_split({text}, '\fbox')[-1] END AS tail
+  FROM {src}),
+{tag}c AS (SELECT {key}, unnest(string_split(tail, '')) AS c, generate_subscripts(string_split(tail, ''), 1) AS i
+           FROM {tag}t WHERE tail IS NOT NULL),
+{tag}d AS (SELECT *, sum(CASE c WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i) AS depth FROM {tag}c),
+{tag}e AS (SELECT {key}, min(i) AS endpos FROM {tag}d WHERE c = '}}' AND depth = 0 GROUP BY {key}),
+{tag}b AS (
+  SELECT {tag}t.{key}, {tag}t.s,
+    CASE WHEN contains(s, '\boxed ') THEN '\boxed ' || split_part(string_split(s, '\boxed ')[-1], '$', 1)
+         WHEN endpos IS NOT NULL THEN substr(tail, 1, endpos) END AS boxed
+  FROM {tag}t LEFT JOIN {tag}e USING ({key})),
+{tag}u AS (
+  SELECT {key}, s, CASE WHEN starts_with(boxed, '\boxed ') THEN substr(boxed, 8)
+                        WHEN starts_with(boxed, '\boxed{{') AND ends_with(boxed, '}}') THEN substr(boxed, 8, length(boxed) - 8) END AS inner_box
+  FROM {tag}b)
+"""
+
+
+def _after_phrase_sql(x: str) -> str:
+    out = "CAST(NULL AS VARCHAR)"
+    for ph in reversed(S.ANSWER_PHRASES):
+        out = f"CASE WHEN contains({x}, '{ph}') THEN string_split({x}, '{ph}')[-1] ELSE {out} END"
+    return out
+
+
+_CONTEST_SQL = _MATH_SQL + "," + _last_boxed_sql("m", "p_partkey", "response", "cb") + rf""",
+ca AS (
+  SELECT p_partkey, s,
+    regexp_replace(regexp_replace(coalesce(inner_box, {_after_phrase_sql('s')}), '(\.\s*)$', ''), '^\s+|\s+$', '', 'g') AS cand
+  FROM cbu),
+cn AS (SELECT p_partkey, s, CASE WHEN regexp_matches(cand, '[0-9]') THEN cand END AS answer FROM ca)
+"""
+
+
+def _contest_norm_sql(x: str) -> str:
+    y = rf"regexp_replace({x}, '\\text\{{\s*[a-zA-Z ]+\}}', '', 'g')"
+    y = rf"regexp_replace({y}, '(\\%|%|\\\$|\$)', '', 'g')"
+    for w, e in S.SCALE_WORDS.items():
+        y = rf"regexp_replace({y}, '\s*{w}', '{e}', 'g')"
+    y = rf"regexp_replace({y}, '^(\d+)\\frac\{{(\d+)\}}\{{(\d+)\}}$', '\1+\2/\3')"
+    y = f"replace({y}, ' ', '')"
+    num = f"TRY_CAST({y} AS DOUBLE)"
+    return (f"coalesce(CASE WHEN {num} IS NOT NULL AND {num} = floor({num}) AND abs({num}) < 1e15 "
+            f"THEN CAST(CAST(floor({num}) AS BIGINT) AS VARCHAR) END, {y})")
+
+
+@register("R17", _CONTEST_SQL + """
+SELECT p_partkey, answer, contains(s, 'Step 2:') AND contains(s, '\\box') AS format_ok FROM cn""")
 def r17_contest_answer(spark, sf):
-    """Contest-math answer location and format flag; rows-only check."""
+    """Contest-math answer location and format flag."""
     r = math_answers(spark, sf)
     return r.select("p_partkey", S.contest_math_answer("response").alias("answer"),
                     S.contest_math_format_ok("response").alias("format_ok"))
 
 
-@register("R18")
+@register("R18", _CONTEST_SQL + f"""
+SELECT p_partkey, {_contest_norm_sql('answer')} AS normalized FROM cn""")
 def r18_contest_normalize(spark, sf):
-    """Contest-math normalisation of the located answer; rows-only check."""
+    """Contest-math normalisation of the located answer."""
     r = math_answers(spark, sf)
     return r.select("p_partkey", S.contest_math_normalize(S.contest_math_answer("response")).alias("normalized"))
 
