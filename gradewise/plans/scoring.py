@@ -448,14 +448,6 @@ def math_answers(spark, sf):
     return p.select("p_partkey", resp.alias("response"), gt.alias("ground_truth"))
 
 
-@register("R15")
-def r15_open_math(spark, sf):
-    """Open-math scorer (boxed answer in tags, role-marker leak); rows-only check."""
-    r = math_answers(spark, sf)
-    res = S.open_math_score("response", "ground_truth")
-    return r.select("p_partkey", res["score"].alias("score"), res["extra"]["chat_score"].alias("chat_score"))
-
-
 def _normalize_answer_sql(x: str) -> str:
     def q(v: str) -> str:
         return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
@@ -488,7 +480,9 @@ m AS (
            WHEN 4 THEN '<answer>so \boxed{\frac{' || x || '}{' || y || '}}</answer>'
            WHEN 5 THEN 'The answer is ' || x || '.0'
            WHEN 6 THEN 'user: hi Assistant: \boxed{' || x || ' cm}'
-           ELSE 'no idea' END AS response
+           ELSE 'no idea' END AS response,
+    CASE v WHEN 1 THEN price WHEN 2 THEN x || '%' WHEN 3 THEN '(' || x || ',' || y || ')'
+           WHEN 4 THEN '\frac{' || x || '}{' || y || '}' ELSE x END AS ground_truth
   FROM r)
 """
 
@@ -550,6 +544,32 @@ def _contest_norm_sql(x: str) -> str:
             f"THEN CAST(CAST(floor({num}) AS BIGINT) AS VARCHAR) END, {y})")
 
 
+def _answers_equal_sql(a: str, b: str) -> str:
+    x, y = f"TRY_CAST(({a}) AS DOUBLE)", f"TRY_CAST(({b}) AS DOUBLE)"
+
+    def close(u, v):
+        return f"(abs({u} - {v}) <= 1e-4 * greatest(abs({u}), abs({v})))"
+    num = f"({x} IS NOT NULL AND {y} IS NOT NULL AND ({close(x, y)} OR {close(x, y + ' * 100')} OR {close(x, y + ' / 100')}))"
+    return f"(({a}) = ({b}) OR coalesce({num}, false))"
+
+
+def _strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _tuples_equal_sql(a: str, b: str) -> str:
+    def parts(x):
+        inner = rf"regexp_replace({_strip_sql(x)}, '^[\(\[\{{]|[\)\]\}}]$', '', 'g')"
+        return f"list_transform(string_split({inner}, ','), lambda q: {_strip_sql('q')})"
+
+    def br(x):
+        return f"(substr({_strip_sql(x)}, 1, 1) || substr(reverse({_strip_sql(x)}), 1, 1))"
+    pa, pb = parts(a), parts(b)
+    items = (f"list_bool_and(list_transform(range(len({pa})), lambda i: "
+             f"{_answers_equal_sql(_contest_norm_sql(f'({pa})[i + 1]'), _contest_norm_sql(f'({pb})[i + 1]'))}))")
+    return f"({br(a)} = {br(b)} AND len({pa}) = len({pb}) AND {items})"
+
+
 @register("R17", _CONTEST_SQL + """
 SELECT p_partkey, answer, contains(s, 'Step 2:') AND contains(s, '\\box') AS format_ok FROM cn""")
 def r17_contest_answer(spark, sf):
@@ -567,13 +587,54 @@ def r18_contest_normalize(spark, sf):
     return r.select("p_partkey", S.contest_math_normalize(S.contest_math_answer("response")).alias("normalized"))
 
 
-@register("R19")
+@register("R19", _CONTEST_SQL + f""",
+g2 AS (SELECT cn.p_partkey, cn.answer, m.ground_truth AS gt FROM cn JOIN m USING (p_partkey))
+SELECT p_partkey, CAST(CASE WHEN answer IS NULL THEN 0.0
+  WHEN regexp_matches(gt, '^\\s*[\\(\\[\\{{].*,.*[\\)\\]\\}}]\\s*$')
+    THEN (CASE WHEN {_tuples_equal_sql('answer', 'gt')} THEN 1.0 ELSE 0.0 END)
+  ELSE (CASE WHEN {_answers_equal_sql(_contest_norm_sql('answer'), _contest_norm_sql('gt'))} THEN 1.0 ELSE 0.0 END) END AS DOUBLE) AS score
+FROM g2""")
 def r19_tuples(spark, sf):
-    """Tuple / interval comparison; rows-only check."""
+    """Tuple / interval comparison inside the contest-math scorer."""
     r = math_answers(spark, sf)
     return r.select("p_partkey", S.contest_math_score("response", "ground_truth")["score"].alias("score"))
 
 
+_OPEN_SQL = _MATH_SQL + rf""",
+op AS (
+  SELECT p_partkey, ground_truth,
+    CASE WHEN contains(response, 'Assistant:') THEN substr(response, instr(response, 'Assistant:') + 10)
+         WHEN contains(response, '<|im_start|>assistant') THEN substr(response, instr(response, '<|im_start|>assistant') + 21)
+         ELSE response END AS processed
+  FROM m),
+op2 AS (
+  SELECT *, regexp_extract_all(processed, '(?s)<answer>.*?(\\boxed\{{.*\}}).*?</answer>', 1) AS in_tags,
+            regexp_extract_all(processed, '(?s)(\\boxed\{{.*\}})', 1) AS anywhere FROM op),
+op3 AS (
+  SELECT *, {_strip_sql("CASE WHEN len(in_tags) > 0 THEN in_tags[-1] WHEN len(anywhere) > 0 THEN anywhere[-1] END")} AS answer
+  FROM op2),
+""" + _last_boxed_sql("op3", "p_partkey", "answer", "oa") + "," + _last_boxed_sql("op3", "p_partkey", "ground_truth", "og") + f""",
+op4 AS (
+  SELECT op3.p_partkey, op3.answer, op3.processed, {_normalize_answer_sql('oau.inner_box')} AS pred,
+         {_normalize_answer_sql('coalesce(ogu.inner_box, op3.ground_truth)')} AS truth
+  FROM op3 JOIN oau USING (p_partkey) JOIN ogu USING (p_partkey))
+"""
+
+
+@register("R15", _OPEN_SQL + f"""
+SELECT p_partkey, CAST(
+  (CASE WHEN answer IS NULL OR answer = '' THEN -2.0 WHEN pred IS NULL OR pred = '' THEN -1.0
+        WHEN {_answers_equal_sql('pred', 'truth')} THEN 1.0 ELSE -0.5 END)
+  + (CASE WHEN regexp_matches(processed, '(?i)(assistant:|user:|human:)') THEN -5.0 ELSE 0.0 END) AS DOUBLE) AS score,
+  CAST(CASE WHEN regexp_matches(processed, '(?i)(assistant:|user:|human:)') THEN -5.0 ELSE 0.0 END AS DOUBLE) AS chat_score
+FROM op4""")
+def r15_open_math(spark, sf):
+    """Open-math scorer (boxed answer in tags, role-marker leak)."""
+    r = math_answers(spark, sf)
+    res = S.open_math_score("response", "ground_truth")
+    return r.select("p_partkey", res["score"].alias("score"), res["extra"]["chat_score"].alias("chat_score"))
+
+
 @register("R20", """
 SELECT l_orderkey, l_linenumber,
   coalesce(abs(l_extendedprice - l_extendedprice * (1 + l_discount / 1000)) <= 1e-4 * greatest(abs(l_extendedprice), abs(l_extendedprice * (1 + l_discount / 1000))), false)
