@@ -16,6 +16,10 @@ from ..operators.index import row_count, with_global_index
 from ..session import spread, table
 from .registry import register
 
+
+def _q(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
 SEED = 0
 
 
@@ -243,30 +247,77 @@ def k7_reasoning_steps(spark, sf):
     return ex.select("k", "pos", "s.person", "s.assignment", "s.outcome", "s.conflict_person", "s.conflict_assignment")
 
 
-@register("K8")
-def k8_step_text(spark, sf):
-    """Reasoning steps as text (header, one sentence per step, footer); rows-only."""
+@register("K11")
+def k11_replace_step(spark, sf):
+    """One step replaced by a differing step of another puzzle, names mapped; rows-only."""
+    r = K.replace_one_step(corpus_with_steps(spark, sf))
+    return r.select("k", "replaced_at", F.array_join("replaced_steps", " ").alias("steps_text"))
+
+
+_STEPS_CTES = """
+g AS (SELECT gen.k, res.n, res.solution_bits AS s FROM gen JOIN res USING (k)),
+pp2 AS (SELECT k, n, s, unnest(range(n)) AS p FROM g),
+cand AS (SELECT k, n, s, p, unnest(range(p + 1)) AS q FROM pp2 WHERE ((s >> p) & 1) = 0),
+ev2 AS (
+  SELECT cand.k, cand.p, cand.q,
+    bool_or((CASE st.op WHEN 'leaf' THEN v1 WHEN 'not' THEN NOT v1 WHEN 'and' THEN v1 AND v2 WHEN 'or' THEN v1 OR v2
+                        WHEN '->' THEN (NOT v1) OR v2 ELSE v1 = v2 END)
+            = (CASE WHEN cand.q = cand.p THEN true ELSE ((cand.s >> cand.q) & 1) = 1 END)) AS sat
+  FROM cand
+  JOIN st ON st.k = cand.k AND st.p = cand.q
+  JOIN asg ON asg.k = cand.k
+   AND (asg.a & ((CAST(1 AS BIGINT) << (cand.p + 1)) - 1)) = ((cand.s & ((CAST(1 AS BIGINT) << cand.p) - 1)) | (CAST(1 AS BIGINT) << cand.p)),
+  LATERAL (SELECT (((asg.a >> st.who1) & 1) = 1) <> st.lie1 AS v1, (((asg.a >> st.who2) & 1) = 1) <> st.lie2 AS v2)
+  GROUP BY cand.k, cand.p, cand.q),
+conf AS (SELECT k, p, min(q) AS cq FROM ev2 WHERE NOT sat GROUP BY k, p),
+steps AS (
+  SELECT conf.k, conf.p, 0 AS sub, true AS assignment, 'conflict' AS outcome, conf.cq AS conflict_person,
+         CASE WHEN conf.cq = conf.p THEN true ELSE ((g.s >> conf.cq) & 1) = 1 END AS conflict_assignment
+  FROM conf JOIN g USING (k)
+  UNION ALL
+  SELECT k, p, 1, ((s >> p) & 1) = 1, 'ok', NULL, NULL FROM pp2)
+"""
+
+_STEP_TEXT_SQL = "WITH " + _RENDER_SQL + "," + _STEPS_CTES + """,
+stp AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p, sub) - 1 AS pos, p, assignment, outcome, conflict_person,
+               conflict_assignment FROM steps),
+cl AS (SELECT k, p, CASE op WHEN 'leaf' THEN t1 WHEN 'not' THEN t1 WHEN 'and' THEN t1 || ' and ' || t2
+                         WHEN 'or' THEN t1 || ' or ' || t2 WHEN '->' THEN 'If ' || t1 || ' then ' || t2
+                         ELSE t1 || ' if and only if ' || t2 END AS claim FROM sts),
+sen AS (
+  SELECT stp.k, stp.pos,
+    CASE WHEN outcome = 'ok' THEN 'Assume ' || nms.names[stp.p + 1] || ' is ' || CASE WHEN assignment THEN 'a knight' ELSE 'a knave' END
+              || '. No contradiction is found in their ' || CASE WHEN assignment THEN '' ELSE 'false ' END
+              || 'claim that ' || cl.claim || '.'
+         ELSE nms.names[stp.p + 1] || ' cannot be ' || CASE WHEN assignment THEN 'a knight' ELSE 'a knave' END
+              || ', because this would contradict the ' || CASE WHEN conflict_assignment THEN '' ELSE 'false ' END
+              || 'claim of ' || CASE WHEN conflict_person = stp.p THEN 'their own' ELSE nms.names[conflict_person + 1] END || '.'
+    END AS sentence
+  FROM stp JOIN nms USING (k) JOIN cl ON cl.k = stp.k AND cl.p = stp.p),
+txt2 AS (SELECT k, string_agg(sentence, ' ' ORDER BY pos) AS steps_text,
+                string_agg(sentence, ' ' ORDER BY """ + _draw('k', '9100 + pos', 3) + """, sentence) AS shuffled_steps
+         FROM sen GROUP BY k)
+"""
+
+
+@register("K8", _STEP_TEXT_SQL + f"""
+SELECT k, {_q(PT.COT_HEAD)} AS cot_head, steps_text, {_q(PT.STEP_FOOTER_SUCCESS)} AS cot_foot FROM txt2""")
+def k8_step_text_checked(spark, sf):
     c = corpus_with_steps(spark, sf)
     return c.select("k", "cot_head", F.array_join("cot_repeat_steps", " ").alias("steps_text"), "cot_foot")
 
 
-@register("K10")
-def k10_shuffled_steps(spark, sf):
-    """Seeded shuffle of each puzzle's reasoning steps; rows-only."""
+@register("K10", _STEP_TEXT_SQL + "SELECT k, shuffled_steps FROM txt2")
+def k10_shuffled_checked(spark, sf):
     c = corpus_with_steps(spark, sf)
     return c.select("k", F.array_join(K.shuffled("cot_repeat_steps", "k"), " ").alias("shuffled_steps"))
 
 
-@register("K11")
-def k11_replace_step(spark, sf):
-    """One step replaced by a differing step of another puzzle, names mapped; rows-only."""
-    r = K.replace_one_step(corpus_with_steps(spark, sf))
-    return r.select("k", "replaced_at", F.array_join("replaced_steps", " ").alias("steps_text"))
-
-
-@register("P14")
-def p14_finetune_cot(spark, sf):
-    """Fine-tuning text with reasoning steps joined by spaces; rows-only."""
+@register("P14", _STEP_TEXT_SQL + f"""
+SELECT k, {_q(PT.SYSTEM_INSTRUCTION + chr(10) + chr(10) + "### Question: ")} || quiz || {_q(chr(10) + "### Answer: " + PT.COT_HEAD + " ")}
+          || steps_text || {_q(" " + PT.STEP_FOOTER_SUCCESS + chr(10) + "CONCLUSION:" + chr(10))} || solution_text_format || '</s>' AS text
+FROM txt2 JOIN fin USING (k)""")
+def p14_finetune_cot_checked(spark, sf):
     from ..operators import prep as P
     c = corpus_with_steps(spark, sf)
     return c.select("k", P.finetune_text_cot("quiz", "cot_repeat_steps", "cot_foot", "solution_text_format", "</s>").alias("text"))
