@@ -17,11 +17,24 @@ def labelled_docs(spark, sf):
     return d.join(lab, "doc_id")
 
 
-@register("M1")
+def _m1_sql() -> str:
+    punct = M.PUNCTUATION.replace("'", "''")
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in M.STOP_WORDS)
+    cleaned = f"translate(lower(text), '{punct}', '')"
+    toks = (f"(CASE WHEN regexp_replace({cleaned}, '^\\s+|\\s+$', '', 'g') = '' THEN CAST([] AS VARCHAR[]) "
+            f"ELSE string_split_regex(regexp_replace({cleaned}, '^\\s+|\\s+$', '', 'g'), '\\s+') END)")
+    return f"""
+WITH d AS (SELECT doc_id, list_filter({toks}, lambda t: NOT list_contains([{stops}], t)) AS tokens
+           FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens[1:5], ' ') AS head FROM d"""
+
+
+@register("M1", _m1_sql())
 def m1_clean_text(spark, sf):
-    """Cleaned tokens without stop words (Spark's English list); rows-only."""
+    """Cleaned tokens without stop words."""
     t = M.clean_tokens(labelled_docs(spark, sf), "text")
-    return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join(F.slice("tokens", 1, 5), " ").alias("head"))
+    return t.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+                    F.array_join(F.slice("tokens", 1, 5), " ").alias("head"))
 
 
 def _features(spark, sf, method):
