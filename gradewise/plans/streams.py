@@ -12,6 +12,7 @@ from ..streaming import metrics as X
 from .registry import register
 
 N_FILES = 8
+FILES_PER_TRIGGER = 2   # micro-batches of two log files, still in arrival order
 
 
 def _write_log(spark, sf):
@@ -37,7 +38,7 @@ FROM events GROUP BY 1, 2, 3""")
 def x1_running_means(spark, sf):
     folder = _write_log(spark, sf)
     out, ck = scratch_path(spark, "x1_out"), scratch_path(spark, "x1_ck")
-    X.running_means(X.scored_stream(spark, folder), out, ck).awaitTermination()
+    X.running_means(X.scored_stream(spark, folder, FILES_PER_TRIGGER), out, ck).awaitTermination()
     r = spark.read.parquet(out)
     return r.select("run", "step", "source", "n", rnd(F.col("score_sum") / F.col("n")).alias("mean_score"))
 
@@ -50,7 +51,7 @@ def x2_windowed(spark, sf):
     time order, so no row is late and the final windows equal a batch count)."""
     folder = _write_log(spark, sf)
     out, ck = scratch_path(spark, "x2_out"), scratch_path(spark, "x2_ck")
-    X.windowed_metrics(X.scored_stream(spark, folder), out, ck).awaitTermination()
+    X.windowed_metrics(X.scored_stream(spark, folder, FILES_PER_TRIGGER), out, ck).awaitTermination()
     r = X.latest_windows(spark, out)
     return r.select(X.utc_day("window_start").cast("string").alias("day"), "source", "n",
                     rnd("mean_score").alias("mean_score"))
