@@ -163,9 +163,74 @@ def k4_perturb_leaf(spark, sf):
                     F.col("solution_bits").cast("int").alias("solution_bits"))
 
 
-@register("K5")
+def _variant_sql(tag: str, uncommon: bool = False, pairs: bool = False, flip: bool = False,
+                 reorder: bool = False) -> str:
+    """CTEs rendering one K5 variant; output CTE ``{tag}f`` (k, quiz, solution_text)."""
+    pool = PT.UNCOMMON_NAMES if uncommon else PT.COMMON_NAMES
+    pool_sql = "[" + ", ".join(f"'{x}'" for x in pool) + "]"
+    if pairs:
+        idx = f"({_draw('k', '9000')} % {len(PT.KNIGHT_KNAVE_PAIRS)} + 1)"
+        ak = "[" + ", ".join(f"'{a}'" for a, _ in PT.KNIGHT_KNAVE_PAIRS) + f"][{idx}]"
+        av = "[" + ", ".join(f"'{b}'" for _, b in PT.KNIGHT_KNAVE_PAIRS) + f"][{idx}]"
+    else:
+        ak, av = "'a knight'", "'a knave'"
+    if flip:
+        ak, av = av, ak
+    order = "p"
+    if reorder:
+        order = "list_position(perm, p)"
+    return f"""
+{tag}n AS (
+  SELECT gen.k, res.n, res.solution_bits,
+    list_transform(list_sort(list_transform(range({len(pool)}),
+      lambda i: {{'h': {_draw('gen.k', '5000 + i')}, 'name': {pool_sql}[i + 1]}})), lambda e: e.name)[1:res.n] AS names,
+    {ak.replace('k,', 'gen.k,').replace('(k)', '(gen.k)')} AS a_knight, {av.replace('k,', 'gen.k,').replace('(k)', '(gen.k)')} AS a_knave
+  FROM gen JOIN res USING (k)),
+{tag}r AS (
+  SELECT *, string_split(a_knight, ' ')[2] AS kw, string_split(a_knave, ' ')[2] AS vw,
+    list_transform(list_sort(list_transform(range(n), lambda p: {{'h': {_draw('k', '7000 + p')}, 'p': p}})), lambda e: e.p) AS perm0
+  FROM {tag}n),
+{tag}q AS (
+  SELECT *, CASE WHEN perm0 = list_transform(range(n), lambda p: p) THEN list_transform(range(n), lambda p: (p + 1) % n)
+                 ELSE perm0 END AS perm FROM {tag}r),
+{tag}s AS (
+  SELECT st.k, st.p, st.op, q.perm,
+    q.names[who1 + 1] || CASE WHEN op = 'not' THEN ' is not ' ELSE ' is ' END || CASE WHEN lie1 THEN q.a_knave ELSE q.a_knight END AS t1,
+    q.names[who2 + 1] || ' is ' || CASE WHEN lie2 THEN q.a_knave ELSE q.a_knight END AS t2,
+    q.names[st.p + 1] AS speaker,
+    {_TEMPLATES_SQL}[{_draw('st.k', '6000 + st.p')} % {len(PT.TEMPLATES)} + 1] AS tmpl
+  FROM st JOIN {tag}q q USING (k)),
+{tag}t AS (
+  SELECT k, string_agg(' ' || replace(replace(tmpl, '{{name}}', speaker), '{{content}}',
+           CASE op WHEN 'leaf' THEN t1 WHEN 'not' THEN t1 WHEN 'and' THEN t1 || ' and ' || t2 WHEN 'or' THEN t1 || ' or ' || t2
+                   WHEN '->' THEN 'If ' || t1 || ' then ' || t2 ELSE t1 || ' if and only if ' || t2 END), '' ORDER BY {order}) AS body
+  FROM {tag}s GROUP BY k),
+{tag}f AS (
+  SELECT q.k,
+    'A very special island is inhabited only by ' || kw || 's and ' || vw || 's. '
+      || upper(substr(kw, 1, 1)) || lower(substr(kw, 2)) || 's always tell the truth, and ' || vw || 's always lie. '
+      || 'You meet ' || q.n || ' inhabitants: ' || array_to_string(names[1:q.n - 1], ', ') || ', and ' || names[q.n] || '.'
+      || t.body || ' So who is ' || a_knight || ' and who is ' || a_knave || '?' AS quiz,
+    array_to_string(list_transform(range(q.n - 1), lambda i: names[i + 1] || ' is '
+        || CASE WHEN ((solution_bits >> i) & 1) = 1 THEN a_knight ELSE a_knave END), ', ')
+      || ', and ' || names[q.n] || ' is ' || CASE WHEN ((solution_bits >> (q.n - 1)) & 1) = 1 THEN a_knight ELSE a_knave END
+      || '.' AS solution_text
+  FROM {tag}q q JOIN {tag}t t USING (k))
+"""
+
+
+_K5_SQL = ("WITH " + _GEN_SQL + "," + _variant_sql("vp", pairs=True) + "," + _variant_sql("vf", flip=True) + ","
+           + _variant_sql("vu", uncommon=True) + "," + _variant_sql("vr", reorder=True) + """
+SELECT k, 'pairs' AS variant, quiz, solution_text FROM vpf
+UNION ALL SELECT k, 'flip', quiz, solution_text FROM vff
+UNION ALL SELECT k, 'uncommon', quiz, solution_text FROM vuf
+UNION ALL SELECT k, 'reorder', quiz, solution_text FROM vrf
+""")
+
+
+@register("K5", _K5_SQL)
 def k5_surface_variants(spark, sf):
-    """Role-word pairs, flipped roles, uncommon names and reordered statements (rows-only)."""
+    """Role-word pairs, flipped roles, uncommon names and reordered statements."""
     g = K.generate(puzzle_keys(spark, sf), seed=SEED)
     variants = []
     for name, kw in [("pairs", dict(random_pairs=True)), ("flip", dict(flip_roles=True)),
