@@ -211,20 +211,7 @@ def _field_getter(name: str):
 
 # --- B17-B19: iteration plans ----------------------------------------------------
 
-MINSTD_P = 2147483647
-MINSTD_A = 48271
-
-
-def lehmer_order_key(key, seed: int, rounds: int = 2) -> Column:
-    """Seeded pseudo-random order from integer arithmetic (MINSTD steps).
-
-    Integer-only, so any engine reproduces it; inputs below 2^31-1 map to
-    distinct values (a bijection per round), larger keys are reduced first.
-    """
-    h = F.pmod(as_col(key).cast("long"), F.lit(MINSTD_P))
-    for r in range(rounds):
-        h = F.pmod(h * MINSTD_A + F.lit((seed * 16807 + r * 7919) % MINSTD_P), F.lit(MINSTD_P))
-    return h
+from ..functions.common import MINSTD_A, MINSTD_P, lehmer_order_key  # noqa: E402,F401  (re-exported)
 
 
 def lehmer_sql(key_sql: str, seed: int, rounds: int = 2) -> str:

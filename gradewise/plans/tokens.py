@@ -288,10 +288,19 @@ def t19_non_latin(spark, sf):
     return d.unionByName(c)
 
 
-@register("T20")
+def _t20_sql() -> str:
+    from ..operators.batch import lehmer_sql
+    seq_len, max_valid, min_valid, max_left = 64, int(64 * 0.7), max(1, int(64 * 0.1)), int(64 * 0.2)
+    left = f"({lehmer_sql('doc_id * 2 + 1', 3)} % {max_left + 1})"
+    valid = f"({min_valid} + {lehmer_sql('doc_id * 2 + 2', 3)} % {max_valid - min_valid + 1})"
+    return f"""
+SELECT doc_id, CAST(least({valid}, {seq_len} - {left}) AS INT) AS n_valid, CAST({left} AS INT) AS left_pad FROM documents"""
+
+
+@register("T20", _t20_sql())
 def t20_random_mask(spark, sf):
-    """Seeded random masks (left padding, then a valid run) per document; rows-only check."""
+    """Seeded random masks (left padding, then a valid run) per document."""
     d = table(spark, sf, "documents").select("doc_id")
     m = A.random_mask(64, "doc_id", seed=3, max_valid_ratio=0.7, max_left_pad_ratio=0.2, min_valid_ratio=0.1)
-    return d.select("doc_id", A.array_sum(m, 0).alias("n_valid"),
-                    (F.array_position(m, 1) - 1).alias("left_pad"))
+    return d.select("doc_id", A.array_sum(m, 0).cast("int").alias("n_valid"),
+                    (F.array_position(m, 1) - 1).cast("int").alias("left_pad"))
