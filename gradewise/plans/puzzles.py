@@ -312,13 +312,6 @@ def k7_reasoning_steps(spark, sf):
     return ex.select("k", "pos", "s.person", "s.assignment", "s.outcome", "s.conflict_person", "s.conflict_assignment")
 
 
-@register("K11")
-def k11_replace_step(spark, sf):
-    """One step replaced by a differing step of another puzzle, names mapped; rows-only."""
-    r = K.replace_one_step(corpus_with_steps(spark, sf))
-    return r.select("k", "replaced_at", F.array_join("replaced_steps", " ").alias("steps_text"))
-
-
 _STEPS_CTES = """
 g AS (SELECT gen.k, res.n, res.solution_bits AS s FROM gen JOIN res USING (k)),
 pp2 AS (SELECT k, n, s, unnest(range(n)) AS p FROM g),
@@ -386,3 +379,36 @@ def p14_finetune_cot_checked(spark, sf):
     from ..operators import prep as P
     c = corpus_with_steps(spark, sf)
     return c.select("k", P.finetune_text_cot("quiz", "cot_repeat_steps", "cot_foot", "solution_text_format", "</s>").alias("text"))
+
+
+def mapped_sql(x: str) -> str:
+    """SQL twin of the name mapping in ``replace_one_step`` (at most 8 people)."""
+    for i in range(8):
+        x = (f"CASE WHEN len(p_names) > {i} THEN regexp_replace({x}, '\\b' || p_names[{i + 1}] || '\\b', "
+             f"chr(1) || '{i}' || chr(2), 'g') ELSE {x} END")
+    for i in range(8):
+        x = f"replace({x}, chr(1) || '{i}' || chr(2), coalesce(names[{i + 1}], 'someone'))"
+    return x
+
+
+_K11_SQL = _STEP_TEXT_SQL + """,
+sl AS (SELECT k, list(sentence ORDER BY pos) AS steps FROM sen GROUP BY k),
+rk AS (SELECT sl.k, sl.steps, nms.names, row_number() OVER (ORDER BY """ + lehmer_sql('sl.k', 5) + """, sl.k) - 1 AS i,
+              count(*) OVER () AS total FROM sl JOIN nms USING (k)),
+pr AS (SELECT a.k, a.steps, a.names, b.steps AS p_steps, b.names AS p_names,
+              """ + _draw('a.k', '9300', 5) + """ % len(a.steps) AS at_,
+              """ + _draw('a.k', '9400', 5) + """ % len(b.steps) AS start_
+       FROM rk a JOIN rk b ON b.i = (a.i + 1) % a.total),
+cd AS (SELECT k, steps, at_, list_filter(list_transform(range(len(p_steps)), lambda o: """ + mapped_sql("p_steps[(start_ + o) % len(p_steps) + 1]") + """),
+                                     lambda c: c <> steps[at_ + 1])[1] AS new_step FROM pr)
+SELECT k, CAST(at_ AS INT) AS replaced_at,
+       array_to_string(list_transform(range(len(steps)), lambda j: CASE WHEN j = at_ THEN new_step ELSE steps[j + 1] END), ' ') AS steps_text
+FROM cd WHERE new_step IS NOT NULL
+"""
+
+
+@register("K11", _K11_SQL)
+def k11_replace_step(spark, sf):
+    """One step replaced by a differing step of another puzzle, names mapped."""
+    r = K.replace_one_step(corpus_with_steps(spark, sf))
+    return r.select("k", "replaced_at", F.array_join("replaced_steps", " ").alias("steps_text"))
