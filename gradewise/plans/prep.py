@@ -397,7 +397,8 @@ def j4_anti_join(spark, sf):
 
 @register("J5")
 def j5_clean_perturbed(spark, sf):
-    """Clean puzzle joined with its perturbed version by key; missing perturbations dropped (rows-only)."""
+    """Clean puzzle joined with its perturbed version by key; missing perturbations dropped
+    (oracle in perturb_checks)."""
     from .puzzles import puzzle_keys
     g = K.generate(puzzle_keys(spark, sf))
     p = K.perturb(g).select("k", F.col("solution_bits").alias("perturbed_bits"))

@@ -147,7 +147,7 @@ def p12_numbered_solution(spark, sf):
 
 @register("K3")
 def k3_perturb_statement(spark, sf):
-    """One whole statement replaced; unique, different solution (rows-only; property-tested)."""
+    """One whole statement replaced; unique, different solution (oracle in perturb_checks)."""
     g = K.generate(puzzle_keys(spark, sf), seed=SEED)
     p = K.perturb(g, leaf=False)
     return p.select("k", "cand", "n", K.statements_repr("statements").alias("statements_repr"),
@@ -156,7 +156,7 @@ def k3_perturb_statement(spark, sf):
 
 @register("K4")
 def k4_perturb_leaf(spark, sf):
-    """One leaf replaced; unique, different solution (rows-only; property-tested)."""
+    """One leaf replaced; unique, different solution (oracle in perturb_checks)."""
     g = K.generate(puzzle_keys(spark, sf), seed=SEED)
     p = K.perturb(g, leaf=True)
     return p.select("k", "cand", "n", K.statements_repr("statements").alias("statements_repr"),

@@ -24,4 +24,4 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from . import (credit, metrics, batch, scoring, prep, balance,  # noqa: F401
-                   puzzles, analysis, io, streams, tokens)
+                   puzzles, analysis, io, streams, tokens, perturb_checks)
