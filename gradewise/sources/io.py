@@ -22,12 +22,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/gradewise-out/{name}-{uuid.uuid4().hex}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 # --- S1-S5 ---------------------------------------------------------------------------------
 
 def read_parquet_files(spark: SparkSession, paths: list[str], order_col: str = "file_order") -> DataFrame:
@@ -77,12 +71,11 @@ def resumable_write(df: DataFrame, path: str, idx_col: str, batch_size: int) ->
     spark = df.sparkSession
     from pyspark.errors import AnalysisException
     todo = df.withColumn("batch_id", F.floor(F.col(idx_col) / batch_size).cast("long"))
-    if _exists(spark, path):
-        try:
-            done = spark.read.parquet(path).select("batch_id").distinct()
-            todo = todo.join(done, "batch_id", "left_anti")
-        except AnalysisException:
-            pass   # the folder exists but holds no finished batch yet
+    try:
+        done = spark.read.parquet(path).select("batch_id").distinct()
+        todo = todo.join(done, "batch_id", "left_anti")
+    except AnalysisException:
+        pass   # no output folder yet, or one without any finished batch
     todo.write.mode("append").partitionBy("batch_id").parquet(path)
     return todo
 
