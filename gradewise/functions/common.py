@@ -24,11 +24,6 @@ def stable_hash(*parts) -> Column:
     return F.xxhash64(*[as_col(p) for p in parts])
 
 
-def unit_uniform(*parts) -> Column:
-    """Deterministic draw in [0, 1) from a hash of ``parts``."""
-    return F.pmod(stable_hash(*parts), F.lit(1 << 30)).cast("double") / float(1 << 30)
-
-
 def let(value, fn) -> Column:
     """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
 

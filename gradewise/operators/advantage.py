@@ -276,10 +276,6 @@ def adaptive_kl_coef(steps: DataFrame, init_coef: float, target: float, horizon:
 
 # --- W10-W13: losses as masked means over the batch ---------------------------
 
-def _masked_batch_mean(token_values: Column, mask: str) -> tuple[Column, Column]:
-    return (F.sum(masked_row_sum(token_values, mask)), F.sum(array_sum(mask, 0).cast("double")))
-
-
 def policy_loss(df: DataFrame, group_by: list[str], logp="log_probs", old_logp="old_log_probs",
                 adv="advantages", mask="response_mask", clip_low: float = 0.2,
                 clip_high: float = 0.2) -> DataFrame:

@@ -20,7 +20,6 @@ from . import puzzle_text as PT
 from .batch import lehmer_order_key
 
 OPS = ["leaf", "not", "and", "or", "->", "<=>"]
-REPR_OP = {"and": "and", "or": "or", "->": "->", "<=>": "<=>", "not": "not"}
 
 
 def draw(key, salt, seed: int = 0) -> Column:
@@ -266,13 +265,18 @@ def render(puzzles: DataFrame, seed: int = 0, uncommon_names: bool = False, rand
         rotated = F.transform(ident, lambda p: F.pmod(p + 1, F.col("n")))
         d = d.withColumn("_perm", F.when(perm == ident, rotated).otherwise(perm))
         d = d.withColumn("_stm", F.transform("_perm", lambda p: F.element_at(F.col("_stm"), p + 1)))
-    prefix = F.concat(F.lit("A very special island is inhabited only by "), kk["knight"], F.lit("s and "), kk["knave"],
-                      F.lit("s. "), _capitalize(kk["knight"]), F.lit("s always tell the truth, and "), kk["knave"],
-                      F.lit("s always lie. "))
+    def fill(template):
+        out = F.lit(template)
+        for key, value in (("{Knight}", _capitalize(kk["knight"])), ("{Knave}", _capitalize(kk["knave"])),
+                           ("{knight}", kk["knight"]), ("{knave}", kk["knave"]),
+                           ("{a_knight}", kk["a_knight"]), ("{a_knave}", kk["a_knave"])):
+            out = F.replace(out, F.lit(key), value)
+        return out
+    prefix = fill(PT.PREFIX)
     meet = F.concat(F.lit("You meet "), F.col("n").cast("string"), F.lit(" inhabitants: "),
                     F.array_join(F.slice("names", 1, F.col("n") - 1), ", "), F.lit(", and "),
                     F.element_at("names", -1), F.lit("."))
-    post = F.concat(F.lit(" So who is "), kk["a_knight"], F.lit(" and who is "), kk["a_knave"], F.lit("?"))
+    post = F.concat(F.lit(" "), fill(PT.POSTFIX))
     d = d.withColumn("quiz", F.concat(prefix, meet, F.array_join("_stm", ""), post))
     sol = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(
         F.element_at(F.col("names"), i + 1), F.lit(" is "),

@@ -420,12 +420,6 @@ def reward_manager(df: DataFrame, registry: ScorerRegistry, source="data_source"
     return out.drop("_res")
 
 
-def first_rows_per_source(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
-    """The first ``n`` rows of each data source (for printing samples)."""
-    w = Window.partitionBy(source).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-
-
 def first_rows_per_key(df: DataFrame, key: str, order: str, n: int, salts: int = 64) -> DataFrame:
     """R26 (skew-safe form): first ``n`` rows per key by ``order``.
 
