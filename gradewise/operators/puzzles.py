@@ -386,16 +386,24 @@ def _any_bits(words: Column) -> Column:
     return F.exists(words, lambda x: x != 0)
 
 
-def reasoning_steps(puzzles: DataFrame) -> DataFrame:
-    """K7: steps that reach the (unique) solution, person by person.
-
-    Persons are decided in index order with the true roles of the earlier
-    ones fixed.  Knight is tried first: when the truth is knave, the knight
-    assumption is reported as a conflict if some decided speaker's claim (true
-    for a knight, false for a knave) has no extension of the partial
-    assignment, naming the first such speaker; then the true role is assumed.
-    A wrong assumption without an immediate conflict is not shown (the
-    reference backtracks to it later; this job does not replay the search).
+STEP_TYPE = ("array<struct<person:int,assignment:boolean,outcome:string,"
+             "conflict_person:int,conflict_assignment:boolean>>")
+
+
+def reasoning_steps(puzzles: DataFrame, dynamic_order: bool = True) -> DataFrame:
+    """K7: steps that reach the (unique) solution.
+
+    People are decided one at a time with the true roles of the people already
+    decided fixed.  The order starts as 0..n-1; with ``dynamic_order`` the
+    people mentioned in the claim of the person just decided move to the front
+    of the remaining ones (as the reference's search does).  Knight is tried
+    first: when the truth is knave, the knight assumption is reported as a
+    conflict if some decided speaker's claim (true for a knight, false for a
+    knave) has no extension of the partial assignment, naming the speaker with
+    the smallest index; then the true role is assumed.  A wrong assumption
+    without an immediate conflict is not shown (the reference backtracks to it
+    later; this job does not replay the search), so traces equal the
+    reference's whenever no backtracking is needed.
     Adds ``steps``: array<struct<person, assignment, outcome, conflict_person,
     conflict_assignment>>.
     """
@@ -404,13 +412,14 @@ def reasoning_steps(puzzles: DataFrame) -> DataFrame:
 
     st, n, sol = F.col("statements"), F.col("n"), F.col("solution")
 
-    def steps_for(p):
+    def steps_for(p, before):
+        """Steps for person ``p`` given the people ``before`` (already decided)."""
         truth = F.element_at(sol, p + 1)
+        decided = F.array_sort(F.concat(before, F.array(p)))      # index order for the conflict search
 
         def conflict_with(assumed):
-            # extensions: earlier persons fixed to the truth, person p to ``assumed``
             def ext_word(w):
-                fixed = F.aggregate(F.sequence(F.lit(0), p), F.lit(-1).cast("long"), lambda acc, q: acc.bitwiseAND(
+                fixed = F.aggregate(decided, F.lit(-1).cast("long"), lambda acc, q: acc.bitwiseAND(
                     _role_mask(q, F.when(q == p, assumed).otherwise(F.element_at(sol, q + 1)), w)))
                 return fixed.bitwiseAND(_valid_word(n, w))
             ext = word_list(ext_word)
@@ -421,16 +430,29 @@ def reasoning_steps(puzzles: DataFrame) -> DataFrame:
                 words = F.zip_with(word_list(lambda w: _statement_word(claim, w)), ext, lambda s, e: F.when(
                     val, s).otherwise(F.bitwise_not(s)).bitwiseAND(e))
                 return F.struct(q.alias("q"), val.alias("v"), (~_any_bits(words)).alias("broken"))
-            checks = F.filter(F.transform(F.sequence(F.lit(0), p), broken), lambda c: c["broken"])
+            checks = F.filter(F.transform(decided, broken), lambda c: c["broken"])
             return F.try_element_at(checks, F.lit(1))
 
         def step(assignment, outcome, cq, cv):
-            return F.struct(p.alias("person"), assignment.alias("assignment"), F.lit(outcome).alias("outcome"),
+            return F.struct(p.cast("int").alias("person"), assignment.alias("assignment"), F.lit(outcome).alias("outcome"),
                             cq.cast("int").alias("conflict_person"), cv.alias("conflict_assignment"))
         ok = step(truth, "ok", F.lit(None), F.lit(None).cast("boolean"))
         return let(F.when(~truth, conflict_with(F.lit(True))), lambda c: F.when(
             c.isNotNull(), F.array(step(F.lit(True), "conflict", c["q"], c["v"]), ok)).otherwise(F.array(ok)))
-    steps = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), steps_for))
+
+    def advance(acc, j):
+        order = acc["order"]
+        p = F.element_at(order, j + 1)
+        before = F.slice(order, 1, j)
+        rest = F.slice(order, j + 2, n)
+        if dynamic_order:
+            mentioned = F.array_distinct(F.transform(F.element_at(st, p + 1)["args"], lambda x: x["who"]))
+            front = F.filter(mentioned, lambda x: F.array_contains(rest, x))
+            rest = F.concat(front, F.filter(rest, lambda x: ~F.array_contains(mentioned, x)))
+        new_order = F.concat(F.slice(order, 1, j + 1), rest)
+        return F.struct(new_order.alias("order"), F.concat(acc["steps"], steps_for(p, before)).alias("steps"))
+    init = F.struct(F.sequence(F.lit(0), n - 1).alias("order"), F.array().cast(STEP_TYPE).alias("steps"))
+    steps = F.aggregate(F.sequence(F.lit(0), n - 1), init, advance)["steps"]
     return puzzles.withColumn("steps", steps)
 
 

@@ -276,29 +276,42 @@ def corpus_with_steps(spark, sf):
     return K.render_steps(K.reasoning_steps(corpus(spark, sf)))
 
 
-_K7_SQL = "WITH " + _GEN_SQL + """,
+_STEPS_CTES = """
 g AS (SELECT gen.k, res.n, res.solution_bits AS s FROM gen JOIN res USING (k)),
-pp2 AS (SELECT k, n, s, unnest(range(n)) AS p FROM g),
-cand AS (SELECT k, n, s, p, unnest(range(p + 1)) AS q FROM pp2 WHERE ((s >> p) & 1) = 0),
+ordr(k, j, o) AS (
+  SELECT k, CAST(0 AS BIGINT), list_transform(range(n), lambda x: x) FROM g
+  UNION ALL
+  SELECT r.k, r.j + 1,
+    r.o[1:r.j + 1] || list_filter(mm.m, lambda x: list_contains(r.o[r.j + 2:], x))
+      || list_filter(r.o[r.j + 2:], lambda x: NOT list_contains(mm.m, x))
+  FROM ordr r JOIN g ON g.k = r.k JOIN st ON st.k = r.k AND st.p = r.o[r.j + 1],
+  LATERAL (SELECT CASE WHEN st.op IN ('leaf', 'not') OR st.who1 = st.who2 THEN [st.who1] ELSE [st.who1, st.who2] END AS m) mm
+  WHERE r.j + 1 < g.n),
+pp2 AS (SELECT ordr.k, g.n, g.s, ordr.j, ordr.o[ordr.j + 1] AS p, ordr.o[1:ordr.j] AS before FROM ordr JOIN g USING (k)),
+cand AS (SELECT k, n, s, j, p, before, unnest(list_append(before, p)) AS q FROM pp2 WHERE ((s >> p) & 1) = 0),
+cand2 AS (SELECT *, list_sum(list_transform(list_append(before, p), lambda x: CAST(1 AS BIGINT) << x)) AS dm,
+                 coalesce(list_sum(list_transform(before, lambda x: CAST(1 AS BIGINT) << x)), 0) AS bm FROM cand),
 ev2 AS (
-  SELECT cand.k, cand.p, cand.q,
+  SELECT cand2.k, cand2.j, cand2.q,
     bool_or((CASE st.op WHEN 'leaf' THEN v1 WHEN 'not' THEN NOT v1 WHEN 'and' THEN v1 AND v2 WHEN 'or' THEN v1 OR v2
                         WHEN '->' THEN (NOT v1) OR v2 ELSE v1 = v2 END)
-            = (CASE WHEN cand.q = cand.p THEN true ELSE ((cand.s >> cand.q) & 1) = 1 END)) AS sat
-  FROM cand
-  JOIN st ON st.k = cand.k AND st.p = cand.q
-  JOIN asg ON asg.k = cand.k
-   AND (asg.a & ((CAST(1 AS BIGINT) << (cand.p + 1)) - 1)) = ((cand.s & ((CAST(1 AS BIGINT) << cand.p) - 1)) | (CAST(1 AS BIGINT) << cand.p)),
+            = (CASE WHEN cand2.q = cand2.p THEN true ELSE ((cand2.s >> cand2.q) & 1) = 1 END)) AS sat
+  FROM cand2
+  JOIN st ON st.k = cand2.k AND st.p = cand2.q
+  JOIN asg ON asg.k = cand2.k AND (asg.a & cand2.dm) = ((cand2.s & cand2.bm) | (CAST(1 AS BIGINT) << cand2.p)),
   LATERAL (SELECT (((asg.a >> st.who1) & 1) = 1) <> st.lie1 AS v1, (((asg.a >> st.who2) & 1) = 1) <> st.lie2 AS v2)
-  GROUP BY cand.k, cand.p, cand.q),
-conf AS (SELECT k, p, min(q) AS cq FROM ev2 WHERE NOT sat GROUP BY k, p),
+  GROUP BY cand2.k, cand2.j, cand2.q),
+conf AS (SELECT k, j, min(q) AS cq FROM ev2 WHERE NOT sat GROUP BY k, j),
 steps AS (
-  SELECT conf.k, conf.p, 0 AS sub, true AS assignment, 'conflict' AS outcome, conf.cq AS conflict_person,
-         CASE WHEN conf.cq = conf.p THEN true ELSE ((g.s >> conf.cq) & 1) = 1 END AS conflict_assignment
-  FROM conf JOIN g USING (k)
+  SELECT pp2.k, pp2.j, pp2.p, 0 AS sub, true AS assignment, 'conflict' AS outcome, conf.cq AS conflict_person,
+         CASE WHEN conf.cq = pp2.p THEN true ELSE ((pp2.s >> conf.cq) & 1) = 1 END AS conflict_assignment
+  FROM conf JOIN pp2 USING (k, j)
   UNION ALL
-  SELECT k, p, 1, ((s >> p) & 1) = 1, 'ok', NULL, NULL FROM pp2)
-SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY p, sub) - 1 AS INT) AS pos, CAST(p AS INT) AS person,
+  SELECT k, j, p, 1, ((s >> p) & 1) = 1, 'ok', NULL, NULL FROM pp2)
+"""
+
+_K7_SQL = "WITH RECURSIVE " + _GEN_SQL + "," + _STEPS_CTES + """
+SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY j, sub) - 1 AS INT) AS pos, CAST(p AS INT) AS person,
        assignment, outcome, CAST(conflict_person AS INT) AS conflict_person, conflict_assignment
 FROM steps
 """
@@ -312,32 +325,10 @@ def k7_reasoning_steps(spark, sf):
     return ex.select("k", "pos", "s.person", "s.assignment", "s.outcome", "s.conflict_person", "s.conflict_assignment")
 
 
-_STEPS_CTES = """
-g AS (SELECT gen.k, res.n, res.solution_bits AS s FROM gen JOIN res USING (k)),
-pp2 AS (SELECT k, n, s, unnest(range(n)) AS p FROM g),
-cand AS (SELECT k, n, s, p, unnest(range(p + 1)) AS q FROM pp2 WHERE ((s >> p) & 1) = 0),
-ev2 AS (
-  SELECT cand.k, cand.p, cand.q,
-    bool_or((CASE st.op WHEN 'leaf' THEN v1 WHEN 'not' THEN NOT v1 WHEN 'and' THEN v1 AND v2 WHEN 'or' THEN v1 OR v2
-                        WHEN '->' THEN (NOT v1) OR v2 ELSE v1 = v2 END)
-            = (CASE WHEN cand.q = cand.p THEN true ELSE ((cand.s >> cand.q) & 1) = 1 END)) AS sat
-  FROM cand
-  JOIN st ON st.k = cand.k AND st.p = cand.q
-  JOIN asg ON asg.k = cand.k
-   AND (asg.a & ((CAST(1 AS BIGINT) << (cand.p + 1)) - 1)) = ((cand.s & ((CAST(1 AS BIGINT) << cand.p) - 1)) | (CAST(1 AS BIGINT) << cand.p)),
-  LATERAL (SELECT (((asg.a >> st.who1) & 1) = 1) <> st.lie1 AS v1, (((asg.a >> st.who2) & 1) = 1) <> st.lie2 AS v2)
-  GROUP BY cand.k, cand.p, cand.q),
-conf AS (SELECT k, p, min(q) AS cq FROM ev2 WHERE NOT sat GROUP BY k, p),
-steps AS (
-  SELECT conf.k, conf.p, 0 AS sub, true AS assignment, 'conflict' AS outcome, conf.cq AS conflict_person,
-         CASE WHEN conf.cq = conf.p THEN true ELSE ((g.s >> conf.cq) & 1) = 1 END AS conflict_assignment
-  FROM conf JOIN g USING (k)
-  UNION ALL
-  SELECT k, p, 1, ((s >> p) & 1) = 1, 'ok', NULL, NULL FROM pp2)
-"""
 
-_STEP_TEXT_SQL = "WITH " + _RENDER_SQL + "," + _STEPS_CTES + """,
-stp AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY p, sub) - 1 AS pos, p, assignment, outcome, conflict_person,
+
+_STEP_TEXT_SQL = "WITH RECURSIVE " + _RENDER_SQL + "," + _STEPS_CTES + """,
+stp AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY j, sub) - 1 AS pos, p, assignment, outcome, conflict_person,
                conflict_assignment FROM steps),
 cl AS (SELECT k, p, CASE op WHEN 'leaf' THEN t1 WHEN 'not' THEN t1 WHEN 'and' THEN t1 || ' and ' || t2
                          WHEN 'or' THEN t1 || ' or ' || t2 WHEN '->' THEN 'If ' || t1 || ' then ' || t2
