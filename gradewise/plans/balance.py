@@ -25,6 +25,54 @@ s AS (SELECT batch, doc_id, n_chars,
 """
 
 
+def _kk_sql(k_expr: str = str(K_PARTS), equal_size: bool = False, budget: int | None = None) -> str:
+    """DuckDB twin of the largest-differencing partition (recursive CTE).
+
+    A state is a list of k subsets struct(neg_sum, pos, items) sorted so the
+    largest sum comes first (ties keep their position); the heap is a list
+    of struct(neg_spread, seq, subs) and each step merges its two smallest
+    entries (largest spread, then oldest), pairing subset i with subset k-1-i.
+    Output CTE ``kk_out`` (batch, doc_id, part)."""
+    k = f"(GREATEST(1, CAST(ceil(tot / {budget}.0) AS BIGINT)))" if budget else k_expr
+    start_group = "rn // kk" if equal_size else "rn"
+    return f"""
+WITH RECURSIVE it AS (
+  SELECT doc_id // 128 AS batch, doc_id, n_chars,
+         row_number() OVER (PARTITION BY doc_id // 128 ORDER BY n_chars, doc_id) - 1 AS rn,
+         sum(n_chars) OVER (PARTITION BY doc_id // 128) AS tot
+  FROM documents),
+it2 AS (SELECT *, {k} AS kk FROM it),
+starts AS (
+  SELECT batch, any_value(kk) AS kk, {start_group} AS seq,
+         list({{'s': n_chars, 'doc': doc_id, 'r': rn}} ORDER BY rn) AS members
+  FROM it2 GROUP BY batch, {start_group}),
+st0 AS (
+  SELECT batch, kk, seq,
+    list_sort(list_transform(range(kk), lambda i: CASE WHEN i < len(members)
+        THEN {{'neg_sum': -members[i + 1].s, 'pos': i, 'items': [members[i + 1].doc]}}
+        ELSE {{'neg_sum': CAST(0 AS BIGINT), 'pos': i, 'items': CAST([] AS BIGINT[])}} END)) AS subs
+  FROM starts),
+st1 AS (SELECT batch, kk, {{'neg_spread': subs[1].neg_sum - subs[len(subs)].neg_sum, 'seq': seq, 'subs': subs}} AS state FROM st0),
+h0 AS (SELECT batch, any_value(kk) AS kk, list(state) AS heap, count(*) AS nseq FROM st1 GROUP BY batch),
+kk_run(batch, kk, heap, nseq) AS (
+  SELECT batch, kk, heap, nseq FROM h0
+  UNION ALL
+  SELECT batch, kk,
+    srt[3:] || [{{'neg_spread': merged[1].neg_sum - merged[len(merged)].neg_sum, 'seq': nseq, 'subs': merged}}],
+    nseq + 1
+  FROM (
+    SELECT batch, kk, nseq, srt,
+      list_sort(list_transform(range(kk), lambda i: {{
+        'neg_sum': srt[1].subs[i + 1].neg_sum + srt[2].subs[kk - i].neg_sum, 'pos': i,
+        'items': srt[1].subs[i + 1].items || srt[2].subs[kk - i].items}})) AS merged
+    FROM (SELECT batch, kk, nseq, list_sort(heap) AS srt FROM kk_run WHERE len(heap) > 1))),
+fin AS (SELECT batch, heap[1].subs AS subs FROM kk_run WHERE len(heap) = 1),
+kk_out AS (
+  SELECT batch, unnest(subs[p + 1].items) AS doc_id, CAST(p AS INT) AS part
+  FROM (SELECT batch, subs, unnest(range(len(subs))) AS p FROM fin))
+"""
+
+
 @register("L8", _SNAKE_SQL + "SELECT batch, doc_id, part FROM s")
 def l8_snake(spark, sf):
     return L.snake_partition(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS).select("batch", "doc_id", "part")
@@ -50,15 +98,15 @@ def l6_reverse_map(spark, sf):
     return L.reorder_by_parts(a, "batch", "doc_id").select("batch", "doc_id", "new_pos")
 
 
-@register("L1")
+@register("L1", _kk_sql() + "SELECT batch, doc_id, part FROM kk_out")
 def l1_karmarkar_karp(spark, sf):
-    """Largest-differencing partition per batch (rows-only; invariants in L3 and tests)."""
+    """Largest-differencing partition per batch."""
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk")
 
 
-@register("L1_equal")
+@register("L1_equal", _kk_sql(equal_size=True) + "SELECT batch, doc_id, part FROM kk_out")
 def l1_karmarkar_karp_equal(spark, sf):
-    """Equal-size variant (16 items per part); rows-only."""
+    """Equal-size variant (16 items per part)."""
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk", equal_size=True)
 
 
@@ -93,15 +141,16 @@ def l3_validate(spark, sf):
     return r.select("batch", "n_parts", "n_assigned", "n_items", "valid")
 
 
-@register("L5")
+@register("L5", _kk_sql(budget=40000) + "SELECT batch, doc_id, part FROM kk_out")
 def l5_token_budget(spark, sf):
-    """Micro-batches: ceil(tokens / 40000) parts per batch, balanced by largest differencing; rows-only."""
+    """Micro-batches: ceil(tokens / 40000) parts per batch, balanced by largest differencing."""
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk", budget=40000)
 
 
-@register("L7")
+@register("L7", _kk_sql(equal_size=True) + """
+SELECT batch, doc_id, part, row_number() OVER (PARTITION BY batch ORDER BY part, doc_id) - 1 AS new_pos FROM kk_out""")
 def l7_balanced_reorder(spark, sf):
-    """Whole-batch reorder so each of the 8 workers gets a similar token count; rows-only."""
+    """Whole-batch reorder so each of the 8 workers gets a similar token count."""
     b = batches(spark, sf)
     a = L.balance(b, "batch", "doc_id", "n_chars", K_PARTS, "kk", equal_size=True)
     return L.reorder_by_parts(a, "batch", "doc_id").select("batch", "doc_id", "part", "new_pos")
