@@ -68,9 +68,16 @@ def m4_length_features(spark, sf):
     return f.select("doc_id", "n_chars_text", "n_words_text")
 
 
-@register("M5")
+def _m5_sql() -> str:
+    base = _m1_sql().split("SELECT doc_id, len(tokens)")[0]
+    return base + """,
+v AS (SELECT count(DISTINCT t) AS terms FROM (SELECT unnest(tokens) AS t FROM d))
+SELECT doc_id, CAST(least((SELECT terms FROM v), 5000) + 2 AS INT) AS dim FROM d"""
+
+
+@register("M5", _m5_sql())
 def m5_combined(spark, sf):
-    """TF-IDF + length features assembled into one vector; rows-only."""
+    """TF-IDF + length features assembled into one vector (vocabulary <= 5000 terms + 2)."""
     from pyspark.ml.functions import vector_to_array
     f = _features(spark, sf, "tfidf")
     return f.select("doc_id", F.size(vector_to_array("features")).alias("dim"))
