@@ -131,7 +131,7 @@ def fraction_split(df: DataFrame, order_cols, fraction: float, first: str = "tra
     return ranked.withColumn("split", F.when(F.col(idx) < cut, first).otherwise(rest))
 
 
-def hellaswag_clean(text) -> Column:
+def choice_text_clean(text) -> Column:
     """P9 text rule: strip, ' [title]' -> '. ', drop [..] spans, '  ' -> ' '."""
     x = T.py_strip(as_col(text))
     x = F.replace(x, F.lit(" [title]"), F.lit(". "))
@@ -151,8 +151,8 @@ def multiple_choice_records(df: DataFrame, label: str, activity: str, ctx_a: str
     without a label are dropped."""
     kept = df.filter(F.length(F.col(label)) > 0)
     ctx = F.concat(F.col(ctx_a), F.lit(" "), py_capitalize(F.col(ctx_b)))
-    query = hellaswag_clean(F.concat(F.col(activity), F.lit(": "), ctx))
-    choices = F.transform(F.col(endings), hellaswag_clean)
+    query = choice_text_clean(F.concat(F.col(activity), F.lit(": "), ctx))
+    choices = F.transform(F.col(endings), choice_text_clean)
     return kept.select("*", query.alias("query"), choices.alias("choices"),
                        F.col(label).cast("int").alias("gold"))
 
