@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.arrays import array_sum
 from ..functions.common import rnd
 from ..operators import advantage as adv
 from ..operators import metrics as M

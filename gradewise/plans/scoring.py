@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.common import rnd
 from ..operators import scoring as S
 from ..session import spread, table
 from .registry import register
