@@ -526,3 +526,137 @@ def replace_one_step(puzzles: DataFrame, seed: int = 5) -> DataFrame:
     out = j.withColumn("replaced_steps", F.transform("cot_repeat_steps", lambda s, i: F.when(
         i == F.col("_at"), F.col("_new")).otherwise(s))).withColumnRenamed("_at", "replaced_at")
     return out.select("k", "replaced_at", "replaced_steps")
+
+
+TAPE_TYPE = ("array<struct<kind:string,person:int,assignment:boolean,outcome:string,"
+             "conflict_person:int,conflict_assignment:boolean,exhausted:array<int>>>")
+
+
+def search_tape(puzzles: DataFrame) -> DataFrame:
+    """K7 (full search): the reference's depth-first trace, backtracking included.
+
+    People are taken in the mention-driven order; each person is assumed a
+    knight, then a knave.  An assumption is kept when every assigned speaker's
+    claim still has an extension of the partial assignment (the first speaker
+    by index without one is reported); when a person has no option left, the
+    exhausted people are reset and the search reconsiders the previous person.
+    Runs as a bounded state machine inside the row (at most 2^(n+1) + n
+    proposals), with the same bitset test as ``reasoning_steps``.  Adds
+    ``tape``: proposals and reconsider steps in search order.
+    """
+    st, n = F.col("statements"), F.col("n")
+
+    def word_list(f):
+        return F.transform(F.sequence(F.lit(0), F.lit(3)), f)
+
+    def first_broken(asg):
+        assigned = F.filter(F.sequence(F.lit(0), n - 1), lambda q: F.element_at(asg, q + 1) >= 0)
+
+        def ext_word(w):
+            fixed = F.aggregate(assigned, F.lit(-1).cast("long"), lambda acc, q: acc.bitwiseAND(
+                _role_mask(q, F.element_at(asg, q + 1) == 1, w)))
+            return fixed.bitwiseAND(_valid_word(n, w))
+        ext = word_list(ext_word)
+
+        def broken(q):
+            val = F.element_at(asg, q + 1) == 1
+            words = F.zip_with(word_list(lambda w: _statement_word(F.element_at(st, q + 1), w)), ext,
+                               lambda s, e: F.when(val, s).otherwise(F.bitwise_not(s)).bitwiseAND(e))
+            return F.struct(q.alias("q"), val.alias("v"), (~_any_bits(words)).alias("broken"))
+        return F.try_element_at(F.filter(F.transform(assigned, broken), lambda c: c["broken"]), F.lit(1))
+
+    def entry(kind, person, assignment, outcome, cq, cv, exhausted):
+        return F.struct(F.lit(kind).alias("kind"), person.cast("int").alias("person"),
+                        assignment.cast("boolean").alias("assignment"), outcome.cast("string").alias("outcome"),
+                        cq.cast("int").alias("conflict_person"), cv.cast("boolean").alias("conflict_assignment"),
+                        exhausted.cast("array<int>").alias("exhausted"))
+    none_i, none_b, none_s = F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.lit(None).cast("string")
+
+    def tick(acc, _i):
+        asg, opt, order, cur, tape = acc["asg"], acc["opt"], acc["order"], acc["cur"], acc["tape"]
+        idle = acc["done"] | (cur >= n)
+        # backtrack over people without options left (from the cursor down)
+        zs = F.transform(F.sequence(F.lit(0), F.greatest(cur, F.lit(0))),
+                         lambda j: F.element_at(opt, F.element_at(order, cur - j + 1) + 1) == 0)
+        k = F.when(F.array_position(zs, False) == 0, cur + 1).otherwise(F.array_position(zs, False) - 1).cast("int")
+        exhausted = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.element_at(order, cur - j + 1))
+        c = cur - k
+        reset = lambda arr, v: F.transform(arr, lambda x, i: F.when(F.array_contains(exhausted, i), v).otherwise(x))
+        asg1, opt1 = F.when(k > 0, reset(asg, F.lit(-1))).otherwise(asg), F.when(k > 0, reset(opt, F.lit(2))).otherwise(opt)
+        tape1 = F.when(k > 0, F.concat(tape, F.array(entry("reconsider", F.element_at(order, c + 1), none_b, none_s,
+                                                             none_i, none_b, exhausted)))).otherwise(tape)
+        person = F.element_at(order, c + 1)
+        left = F.element_at(opt1, person + 1)
+        assume = left == 2                                   # knight first, then knave
+        asg2 = F.transform(asg1, lambda x, i: F.when(i == person, F.when(assume, 1).otherwise(0)).otherwise(x))
+        opt2 = F.transform(opt1, lambda x, i: F.when(i == person, x - 1).otherwise(x))
+
+        def after(bad):
+            ok = bad.isNull()
+            mentioned = F.array_distinct(F.transform(F.element_at(st, person + 1)["args"], lambda x: x["who"]))
+            rest = F.slice(order, c + 2, n)
+            front = F.filter(mentioned, lambda x: F.array_contains(rest, x))
+            new_order = F.concat(F.slice(order, 1, c + 1), front, F.filter(rest, lambda x: ~F.array_contains(mentioned, x)))
+            step = F.when(ok, entry("proposal", person, assume, F.lit("ok"), none_i, none_b, F.lit(None))).otherwise(
+                entry("proposal", person, assume, F.lit("conflict"), bad["q"], bad["v"], F.lit(None)))
+            return F.struct(asg2.alias("asg"), opt2.alias("opt"),
+                            F.when(ok, new_order).otherwise(order).alias("order"),
+                            F.when(ok, c + 1).otherwise(c).alias("cur"),
+                            F.concat(tape1, F.array(step)).alias("tape"),
+                            F.when(ok & (c + 1 >= n), True).otherwise(False).alias("done"))
+        moved = F.when(c < 0, F.struct(asg.alias("asg"), opt.alias("opt"), order.alias("order"), cur.alias("cur"),
+                                       tape.alias("tape"), F.lit(True).alias("done"))).otherwise(let(first_broken(asg2), after))
+        return F.when(idle, F.struct(asg.alias("asg"), opt.alias("opt"), order.alias("order"), cur.alias("cur"),
+                                     tape.alias("tape"), F.lit(True).alias("done"))).otherwise(moved)
+    init = F.struct(F.array_repeat(F.lit(-1), n).alias("asg"), F.array_repeat(F.lit(2), n).alias("opt"),
+                    F.sequence(F.lit(0), n - 1).alias("order"), F.lit(0).alias("cur"),
+                    F.array().cast(TAPE_TYPE).alias("tape"), F.lit(False).alias("done"))
+    limit = F.call_function("shiftleft", F.lit(1), n + 1) + n
+    return puzzles.withColumn("tape", F.aggregate(F.sequence(F.lit(1), limit), init, tick)["tape"])
+
+
+def render_tape(puzzles: DataFrame, repeat_claim: bool = True) -> DataFrame:
+    """K8 for ``search_tape``: one sentence per proposal / reconsider step
+    (``cot_steps``) plus ``cot_head`` and ``cot_foot``.  Needs ``names``,
+    ``knight_knave`` (from ``render``), ``statements`` and ``tape``."""
+    names, kk = F.col("names"), F.col("knight_knave")
+
+    def name(i):
+        return F.element_at(names, i + 1)
+
+    def role(v):
+        return F.when(v, kk["a_knight"]).otherwise(kk["a_knave"])
+
+    def leaf_text(arg, neg=False):
+        return F.concat(name(arg["who"]), F.lit(" is not " if neg else " is "), role(~arg["lie"]))
+
+    def claim(s):
+        a1, a2 = s["args"][0], F.coalesce(F.try_element_at(s["args"], F.lit(2)), s["args"][0])
+        return (F.when(s["op"] == "leaf", leaf_text(a1)).when(s["op"] == "not", leaf_text(a1, True))
+                 .when(s["op"].isin("and", "or"), F.concat(leaf_text(a1), F.lit(" "), s["op"], F.lit(" "), leaf_text(a2)))
+                 .when(s["op"] == "->", F.concat(F.lit("If "), leaf_text(a1), F.lit(" then "), leaf_text(a2)))
+                 .otherwise(F.concat(leaf_text(a1), F.lit(" if and only if "), leaf_text(a2))))
+
+    def people(ids):
+        ns = F.transform(ids, lambda i: name(i))
+        k = F.size(ns)
+        return (F.when(k == 1, ns[0]).when(k == 2, F.array_join(ns, " and "))
+                 .otherwise(F.concat(F.array_join(F.slice(ns, 1, k - 1), ", "), F.lit(", and "), F.element_at(ns, -1))))
+
+    def sentence(t):
+        own = F.element_at(F.col("statements"), t["person"] + 1)
+        ok = F.concat(F.lit("Assume "), name(t["person"]), F.lit(" is "), role(t["assignment"]), F.lit("."))
+        if repeat_claim:
+            ok = F.concat(ok, F.lit(" No contradiction is found in their "),
+                          F.when(t["assignment"], "").otherwise("false "), F.lit("claim that "), claim(own), F.lit("."))
+        whose = F.when(t["conflict_person"] == t["person"], F.lit("their own")).otherwise(name(t["conflict_person"]))
+        bad = F.concat(name(t["person"]), F.lit(" cannot be "), role(t["assignment"]),
+                       F.lit(", because this would contradict the "),
+                       F.when(t["conflict_assignment"], "").otherwise("false "), F.lit("claim of "), whose, F.lit("."))
+        back = F.concat(F.lit("We have exhausted all possibilities for "), people(t["exhausted"]),
+                        F.lit(", so let us go back and reconsider "), name(t["person"]), F.lit("."))
+        return F.when(t["kind"] == "reconsider", back).when(t["outcome"] == "ok", ok).otherwise(bad)
+    solved = F.exists("tape", lambda t: F.lit(True)) & F.col("solution").isNotNull()
+    return (puzzles.withColumn("cot_head", F.lit(PT.COT_HEAD))
+                   .withColumn("cot_steps", F.transform("tape", sentence))
+                   .withColumn("cot_foot", F.when(solved, F.lit(PT.STEP_FOOTER_SUCCESS)).otherwise(F.lit(PT.STEP_FOOTER_FAIL))))
