@@ -574,7 +574,6 @@ def search_tape(puzzles: DataFrame) -> DataFrame:
 
     def tick(acc, _i):
         asg, opt, order, cur, tape = acc["asg"], acc["opt"], acc["order"], acc["cur"], acc["tape"]
-        idle = acc["done"] | (cur >= n)
         # backtrack over people without options left (from the cursor down)
         zs = F.transform(F.sequence(F.lit(0), F.greatest(cur, F.lit(0))),
                          lambda j: F.element_at(opt, F.element_at(order, cur - j + 1) + 1) == 0)
@@ -604,10 +603,10 @@ def search_tape(puzzles: DataFrame) -> DataFrame:
                             F.when(ok, c + 1).otherwise(c).alias("cur"),
                             F.concat(tape1, F.array(step)).alias("tape"),
                             F.when(ok & (c + 1 >= n), True).otherwise(False).alias("done"))
-        moved = F.when(c < 0, F.struct(asg.alias("asg"), opt.alias("opt"), order.alias("order"), cur.alias("cur"),
-                                       tape.alias("tape"), F.lit(True).alias("done"))).otherwise(let(first_broken(asg2), after))
-        return F.when(idle, F.struct(asg.alias("asg"), opt.alias("opt"), order.alias("order"), cur.alias("cur"),
-                                     tape.alias("tape"), F.lit(True).alias("done"))).otherwise(moved)
+        finished = acc.withField("done", F.lit(True))
+        moved = F.when(c < 0, finished).otherwise(let(first_broken(asg2), after))
+        # a finished search passes its state on unchanged (no copy of the tape per idle tick)
+        return F.when(acc["done"], acc).when(cur >= n, finished).otherwise(moved)
     init = F.struct(F.array_repeat(F.lit(-1), n).alias("asg"), F.array_repeat(F.lit(2), n).alias("opt"),
                     F.sequence(F.lit(0), n - 1).alias("order"), F.lit(0).alias("cur"),
                     F.array().cast(TAPE_TYPE).alias("tape"), F.lit(False).alias("done"))
