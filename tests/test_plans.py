@@ -42,3 +42,21 @@ def test_batch_centring_is_a_scalar_subquery(spark, capsys):
     out = adv.masked_whiten(rollouts(spark, SMALL_SF), "token_level_scores", "response_mask", "w")
     plan = _plan(out, capsys)
     assert "Subquery" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_global_index_keeps_range_partitions_and_is_repeatable(spark):
+    from gradewise.operators.index import with_global_index
+    df = spark.range(5000).withColumn("k", (F.col("id") * 7919) % 5000)
+    out = with_global_index(df, ["k"], num_partitions=6)
+    assert out.rdd.getNumPartitions() == 6
+    first = sorted((r.k, r.idx) for r in out.collect())
+    again = sorted((r.k, r.idx) for r in out.collect())
+    assert first == again == [(k, k) for k in range(5000)]
+
+
+def test_spread_leaves_large_inputs_alone(spark, capsys):
+    from gradewise.session import spread
+    many = spark.range(0, 1000, 1, numPartitions=32)
+    assert spread(many, 8) is many
+    few = spark.range(0, 1000, 1, numPartitions=1)
+    assert spread(few, 8).rdd.getNumPartitions() == 8
