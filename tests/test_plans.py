@@ -60,3 +60,13 @@ def test_spread_leaves_large_inputs_alone(spark, capsys):
     assert spread(many, 8) is many
     few = spark.range(0, 1000, 1, numPartitions=1)
     assert spread(few, 8).rdd.getNumPartitions() == 8
+
+
+def test_narrow_global_index_matches_the_wide_one(spark):
+    from gradewise.operators.index import with_global_index
+    o = table(spark, SMALL_SF, "orders")
+    wide = {(r.o_orderkey, r.idx) for r in with_global_index(o, ["o_totalprice", "o_orderkey"]).select("o_orderkey", "idx").collect()}
+    narrow_df = with_global_index(o, ["o_totalprice", "o_orderkey"], key="o_orderkey")
+    assert set(narrow_df.columns) == set(o.columns) | {"idx"}
+    narrow = {(r.o_orderkey, r.idx) for r in narrow_df.select("o_orderkey", "idx").collect()}
+    assert wide == narrow and len(wide) == o.count()
