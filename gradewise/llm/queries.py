@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair
+from . import bytepair, fingerprints, mixing, quality, tokencount, tokenfile, warc
 from .catalogue import query
 from .support import read
 from .vocabularies import default_path
@@ -18,3 +18,84 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = bytepair.decode_documents(bytepair.encode_documents(docs, path), path)
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                        F.sha2("decoded_text", 256).alias("decoded_sha256"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.count_documents(docs, default_path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenfile.token_files(docs, default_path("byte_bpe_50k.json"))
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged, q = quality.judge(docs, default_path("piece_bpe_32k.model"), keep_text=False)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[F.col(f"{q}.{n}").alias(n) for n in names])
+
+
+@query("op9_warc", """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+  SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+), judged AS (
+  SELECT p.*, kept, kept IS NOT NULL AND page_id IS DISTINCT FROM kept AS again
+  FROM p LEFT JOIN kept USING (payload_digest)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN kept END AS refers_to
+FROM judged
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archived_pages(read(spark, sf_dir, "pages"))
+    return captures.select("page_id", F.coalesce("capture.payload_bytes", "revisited.payload_bytes").alias("payload_bytes"),
+                           F.col("capture.payload_digest").alias("payload_digest"),
+                           F.col("capture.record_type").alias("record_type"), F.col("revisited.page_id").alias("refers_to"))
+
+
+@query("op10_mixing", r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source
+), sources AS (
+  SELECT *, [1.0, 2.0, 3.0][place % 3 + 1]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM sums
+), levels(step, level) AS (
+  SELECT 0, 0.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, (SELECT (sum(source_size)::DOUBLE - sum(CASE WHEN weight * level > cap THEN cap ELSE 0 END))
+                           / sum(CASE WHEN weight * level > cap THEN 0 ELSE weight END) FROM sources)
+  FROM levels WHERE step < 60
+), targets AS (
+  SELECT source, source_size, least(weight * (SELECT max(level) FROM levels), cap) AS target FROM sources
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || size),
+                     doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words_before
+  FROM sized
+), budgets AS (
+  SELECT p.*, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+         CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS passes
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (passes * size + greatest(0, least(budget - passes * source_size - words_before, size)))::BIGINT AS taken
+FROM budgets
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed, m = mixing.mix(docs, drop_text=True)
+    return mixed.select("doc_id", f"{m}.size", f"{m}.source_size", f"{m}.target", f"{m}.taken")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -97,5 +98,5 @@ def local_path(uri: str) -> tuple[object, str]:
     """pyarrow file system and path of a URI or plain path."""
     from pyarrow import fs
     if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri)
+        return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
     return fs.LocalFileSystem(), os.path.abspath(uri)
