@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, fingerprints, mixing, quality, tokencount, tokenfile, warc
+from . import bytepair, fingerprints, mixing, quality, tokencount, tokenfile, toxicity, warc
 from .catalogue import query
 from .support import read
 from .vocabularies import default_path
@@ -99,3 +99,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed, m = mixing.mix(docs, drop_text=True)
     return mixed.select("doc_id", f"{m}.size", f"{m}.source_size", f"{m}.target", f"{m}.taken")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    found, t = toxicity.scored(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    return found.select("doc_id", f"{t}.held_out", f"{t}.score", f"{t}.predicted")
