@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, fingerprints, mixing, quality, tokencount, tokenfile, toxicity, warc
+from . import bytepair, fingerprints, htmltext, mixing, quality, tokencount, tokenfile, toxicity, warc
 from .catalogue import query
 from .support import read
 from .vocabularies import default_path
@@ -106,3 +106,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     found, t = toxicity.scored(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     return found.select("doc_id", f"{t}.held_out", f"{t}.score", f"{t}.predicted")
+
+
+@query("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "html")
+    return htmltext.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
