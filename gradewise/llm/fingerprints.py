@@ -29,46 +29,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import unused, written
+from .hashing import Spans
+from .support import written
 
 WINDOW = 7
 LEAST = 3  # smallest block size
 LETTERS = 64
 COMMON = 7
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-FACTOR = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
-INVERSE = pow(FACTOR, -1, 1 << 64)
 RUNS = re.compile(r"(.)\1{3,}")
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def powers(n: int, kind: str) -> np.ndarray:
-    """FACTOR ** 0..n-1 (or of its inverse) modulo 2**64; grows to the longest text seen."""
-    if _powers[kind].size < n:
-        steps = np.full(max(n, 1 << 16), FACTOR if kind == "up" else INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind][:n]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
 def fingerprint(text: str) -> str:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     n = data.size
     if n == 0:
         return "3::"
-    # prefix sums of byte * FACTOR**i give the hash of any span: (S[e] - S[b]) / FACTOR**b
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n, "up"), out=sums[1:])
-    begin = np.maximum(np.arange(1, n + 1) - WINDOW, 0)
-    rolling = mixed((sums[1:] - sums[begin]) * powers(n, "down")[begin])
+    spans = Spans(data)
+    after = np.arange(1, n + 1)
+    rolling = spans(np.maximum(after - WINDOW, 0), after)
     # a third of the hash range times a power of two: residue -1 modulo 3 * 2**k
     third = rolling % np.uint64(3) == np.uint64(2)
     high = rolling // np.uint64(3)
@@ -77,8 +55,8 @@ def fingerprint(text: str) -> str:
 
     def signature(cuts: np.ndarray) -> str:
         edges = np.concatenate(([0], cuts, [n]))
-        spans = mixed((sums[edges[1:]] - sums[edges[:-1]]) * powers(n, "down")[edges[:-1]])
-        return "".join(map(ALPHABET.__getitem__, (spans >> np.uint64(58)).tolist()))
+        letters = spans(edges[:-1], edges[1:]) >> np.uint64(58)
+        return "".join(map(ALPHABET.__getitem__, letters.tolist()))
 
     k = max(0, math.ceil(math.log2(max(n, 1) / (LEAST * LETTERS))))
     fine, wide = (level & np.uint64(m) == np.uint64(m) for m in ((1 << k) - 1, (2 << k) - 1))
@@ -122,7 +100,6 @@ def likeness(a: str, b: str) -> float:
         found = [(fine_a, wide_b)]
     elif large == 2 * small:
         found = [(wide_a, fine_b)]
-    # different texts may share signatures; only equal fingerprints are fully alike
     return max((signature_likeness(x, y) for x, y in found), default=0.0)
 
 

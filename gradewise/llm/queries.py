@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, fingerprints, htmltext, mixing, quality, tokencount, tokenfile, toxicity, warc
+from . import bytepair, fingerprints, htmltext, mixing, ngramjoin, quality, tokencount, tokenfile, toxicity, warc
 from .catalogue import query
 from .support import read
 from .vocabularies import default_path
@@ -112,3 +112,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "html")
     return htmltext.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op8_ngram_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.near_duplicates(docs, size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
