@@ -69,28 +69,31 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Only the columns given are shuffled, once, by (source, slot): a source of any size is
     spread over as many slots as it needs.
     """
-    out, size, key, slot = unused(docs, "mix", "mix_size", "mix_key", "mix_slot")
+    out, size, key, slot, named, nameless = unused(
+        docs, "mix", "mix_size", "mix_key", "mix_slot", "mix_source", "mix_no_source")
     key_of = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
                             F.lit("|"), F.col(size).cast("string")))
     sized = docs.withColumn(size, word_count(F.col(text)))
     if drop_text:
         sized = written(sized.drop(text), "mix-sized")
-    keyed = sized.withColumn(key, key_of)
     targets = source_targets(sized, source, size, weights, max_epochs)
     largest = targets.agg(F.max("__rows")).first()[0] or 0
     # leading 28 bits of the key, cut into equal ranges; their number follows the largest source
     slots = max(1, math.ceil(largest / ROWS_PER_SLOT))
     lead = F.conv(F.substring(key, 1, 7), 16, 10).cast("long")
-    keyed = keyed.withColumn(slot, F.floor(lead * slots / F.lit(1 << 28)).cast("long"))
-    sums = keyed.groupBy(F.col(source).alias("__slot_src"), F.col(slot).alias("__slot")).agg(
-        F.sum(size).alias("__words"))
-    before = W.partitionBy("__slot_src").orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("__slot_src", "__slot", F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__offset"))
-    offsets = offsets.join(targets, F.col("__slot_src").eqNullSafe(F.col("__src")))
-    offsets = written(offsets.drop("__src", "__rows"), "mix-offsets")
-    inside = W.partitionBy(source, slot).orderBy(key, doc_id, size).rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed.withColumn("__before", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    joined = placed.join(offsets, F.col(source).eqNullSafe(F.col("__slot_src")) & (F.col(slot) == F.col("__slot")))
+    # the null source as columns that compare with plain equality: window and join share one shuffle
+    whose = {named: lambda c: F.coalesce(c, F.lit("")), nameless: lambda c: c.isNull()}
+    keyed = (sized.withColumn(key, key_of).withColumn(slot, F.floor(lead * slots / F.lit(1 << 28)).cast("long"))
+             .withColumns({c: f(F.col(source)) for c, f in whose.items()}))
+    place = [named, nameless, slot]
+    before = W.partitionBy(named, nameless).orderBy(slot).rowsBetween(W.unboundedPreceding, -1)
+    targets = targets.withColumns({c: f(F.col("__src")) for c, f in whose.items()}).drop("__src", "__rows")
+    offsets = (keyed.groupBy(*place).agg(F.sum(size).alias("__words"))
+               .withColumn("__offset", F.coalesce(F.sum("__words").over(before), F.lit(0))).drop("__words")
+               .join(targets, [named, nameless]))
+    offsets = written(offsets, "mix-offsets")
+    inside = W.partitionBy(*place).orderBy(key, doc_id, size).rowsBetween(W.unboundedPreceding, -1)
+    joined = keyed.withColumn("__before", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, place)
     budget = F.floor("__target").cast("long")
     passes = F.when(F.col("__source_size") > 0, F.floor(budget / F.col("__source_size"))).otherwise(0).cast("long")
     rest = budget - passes * F.col("__source_size") - F.col("__offset") - F.col("__before")
