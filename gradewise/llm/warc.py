@@ -208,8 +208,11 @@ def assemble(records: DataFrame) -> DataFrame:
     kept = (rows.filter(F.col("capture.record_type") == "response")
             .groupBy(F.col("capture.record_id").alias("kept_id"))
             .agg(F.min(F.struct("page_id", F.col("capture.payload_bytes").alias("payload_bytes"))).alias("revisited")))
-    return rows.join(kept, F.when(F.col("capture.record_type") == "revisit", F.col("capture.refers_to"))
-                     == F.col("kept_id"), "left").drop("kept_id")
+    # a response looks for itself: null keys would all meet in one task
+    wanted = F.coalesce("capture.refers_to", "capture.record_id")
+    again = F.col("capture.record_type") == "revisit"
+    return (rows.join(kept, wanted == F.col("kept_id"), "left")
+            .withColumn("revisited", F.when(again, F.col("revisited"))).drop("kept_id"))
 
 
 def archived_pages(pages: DataFrame, with_payload: bool = False, **options) -> DataFrame:
