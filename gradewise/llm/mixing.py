@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from gradewise.operators.index import with_global_index
 
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
                                          F.col("__target").alias("target"), taken.alias("taken")).alias(out)), out
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())  # a type, not its name: no session is needed on import
 def first_words(texts: pa.Array, counts: pa.Array) -> pa.Array:
     """The text up to the end of its word number ``counts``; null stays null."""
     out = []
