@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_col, let, lehmer_order_key
+from .common import as_col, let, seeded_draw
 
 
 def array_sum(arr, zero=0.0) -> Column:
@@ -194,7 +194,7 @@ def random_mask(seq_len: int, key, seed: int, max_valid_ratio: float,
     if not (0 < max_valid and max_valid + max_left <= seq_len and min_valid <= max_valid):
         raise ValueError("invalid ratios for random_mask")
     key = as_col(key)
-    left = F.pmod(lehmer_order_key(key * 2 + 1, seed), F.lit(max_left + 1))
-    valid = min_valid + F.pmod(lehmer_order_key(key * 2 + 2, seed), F.lit(max_valid - min_valid + 1))
+    left = F.pmod(seeded_draw(key, seed, F.lit("left")), F.lit(max_left + 1))
+    valid = min_valid + F.pmod(seeded_draw(key, seed, F.lit("valid")), F.lit(max_valid - min_valid + 1))
     return let(left, lambda lf: let(valid, lambda vd: F.transform(
         F.sequence(F.lit(0), F.lit(seq_len - 1)), lambda i: F.when((i >= lf) & (i < lf + vd), 1).otherwise(0))))

@@ -35,17 +35,19 @@ def let(value, fn) -> Column:
     return F.element_at(F.transform(F.array(as_col(value)), fn), 1)
 
 
-MINSTD_P = 2147483647
-MINSTD_A = 48271
+def seeded_draw(key, seed: int, *more) -> Column:
+    """Seeded pseudo-random integer in [0, 2^60) for a key (and more key parts).
 
+    The leading 15 hex digits of an md5 over seed and key parts: every seed gives an
+    unrelated order, keys of any size are told apart, and any engine with md5
+    reproduces it.
+    """
+    parts = [as_col(p).cast("string") for p in (key, *more)]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
-def lehmer_order_key(key, seed: int, rounds: int = 2) -> Column:
-    """Seeded pseudo-random order from integer arithmetic (MINSTD steps).
 
-    Integer-only, so any engine reproduces it; inputs below 2^31-1 map to
-    distinct values (a bijection per round), larger keys are reduced first.
-    """
-    h = F.pmod(as_col(key).cast("long"), F.lit(MINSTD_P))
-    for r in range(rounds):
-        h = F.pmod(h * MINSTD_A + F.lit((seed * 16807 + r * 7919) % MINSTD_P), F.lit(MINSTD_P))
-    return h
+def seeded_sql(key_sql: str, seed: int, *more: str) -> str:
+    """SQL text of ``seeded_draw`` (for oracle queries in other engines)."""
+    text = " || ':' || ".join([f"'{seed}'", *[f"CAST(({p}) AS VARCHAR)" for p in (key_sql, *more)]])
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"

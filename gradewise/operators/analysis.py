@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import words
-from .batch import lehmer_order_key
+from ..functions.common import seeded_draw
 from .index import with_global_index
 
 # ASCII punctuation removed before tokenising (Python's string.punctuation).
@@ -76,7 +76,7 @@ def feature_pipeline(tokens: str = "tokens", vocab: int = 5000, method: str = "t
 
 def balance_classes(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """M6: keep min(count per label) rows of every label, chosen by a seeded order."""
-    ranked = with_global_index(df.withColumn("_h", lehmer_order_key(key, seed)), [label, "_h", key], "_g")
+    ranked = with_global_index(df.withColumn("_h", seeded_draw(key, seed)), [label, "_h", key], "_g")
     stats = ranked.groupBy(label).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
     m = stats.select(F.min("_n")).scalar()
     return (ranked.join(stats, label).filter(F.col("_g") - F.col("_first") < m)
@@ -85,7 +85,7 @@ def balance_classes(df: DataFrame, label: str, key: str, seed: int = 42) -> Data
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """M7: the first floor(fraction * count) rows of each label (seeded order) are test."""
-    ranked = with_global_index(df.withColumn("_h", lehmer_order_key(key, seed + 1)), [label, "_h", key], "_g")
+    ranked = with_global_index(df.withColumn("_h", seeded_draw(key, seed + 1)), [label, "_h", key], "_g")
     stats = ranked.groupBy(label).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
     j = ranked.join(stats, label)
     is_test = (F.col("_g") - F.col("_first")) < F.floor(F.col("_n") * test_fraction)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import as_col
+from ..functions.common import as_col, seeded_draw
 from .index import row_count, with_global_index
 
 IDX = "idx"
@@ -211,17 +211,6 @@ def _field_getter(name: str):
 
 # --- B17-B19: iteration plans ----------------------------------------------------
 
-from ..functions.common import MINSTD_A, MINSTD_P, lehmer_order_key  # noqa: E402,F401  (re-exported)
-
-
-def lehmer_sql(key_sql: str, seed: int, rounds: int = 2) -> str:
-    """SQL text of ``lehmer_order_key`` (for oracle queries in other engines)."""
-    h = f"(({key_sql}) % {MINSTD_P})"
-    for r in range(rounds):
-        h = f"(({h} * {MINSTD_A} + {(seed * 16807 + r * 7919) % MINSTD_P}) % {MINSTD_P})"
-    return h
-
-
 def minibatch_plan(df: DataFrame, key: str, mini_batch_size: int, epochs: int,
                    shuffle_seed: int | None = None, idx: str = IDX) -> DataFrame:
     """(epoch, batch_id, position in batch) per row for ``epochs`` passes.
@@ -234,7 +223,7 @@ def minibatch_plan(df: DataFrame, key: str, mini_batch_size: int, epochs: int,
     if shuffle_seed is None:
         ranked = ep.withColumn("_r", F.col(idx))
     else:
-        ep = ep.withColumn("_h", lehmer_order_key(F.col(key) + F.col("epoch") * 1000003, shuffle_seed))
+        ep = ep.withColumn("_h", seeded_draw("epoch", shuffle_seed, key))
         ranked = with_global_index(ep, ["epoch", "_h", key], "_g").withColumn("_r", F.col("_g") - F.col("epoch") * n)
     ok = F.when(n % mini_batch_size == 0, F.lit(mini_batch_size)).otherwise(
         F.raise_error(F.lit("mini batch size must divide the row count")))
@@ -245,7 +234,7 @@ def minibatch_plan(df: DataFrame, key: str, mini_batch_size: int, epochs: int,
 
 def shuffled_batches(df: DataFrame, key: str, batch_size: int, seed: int, drop_last: bool = True) -> DataFrame:
     """Seeded shuffled sampler; the last partial batch is dropped."""
-    ranked = with_global_index(df.withColumn("_h", lehmer_order_key(key, seed)), ["_h", key], "_r")
+    ranked = with_global_index(df.withColumn("_h", seeded_draw(key, seed)), ["_h", key], "_r")
     n = row_count(df)
     out = ranked.withColumn("batch_id", (F.col("_r") / batch_size).cast("long"))
     if drop_last:

@@ -3,28 +3,32 @@
 A puzzle is one row: ``k`` (its seed key), ``n`` people and ``statements``,
 ``array<struct<op, args array<struct<lie, who>>>>`` with ``op`` in
 leaf/not/and/or/->/<=> (depth 2, width 2 covers every statement the
-generator makes).  All randomness comes from ``draw`` (integer MINSTD steps on
-the key and a salt), so a puzzle is a pure function of its key and any engine
-can reproduce it.  Solving works inside the row: the 2^n <= 256 assignments
-are four 64-bit words and each statement is a handful of bit operations over
-them (``solution_words``); no join, no UDF.
+generator makes).  All randomness comes from ``draw`` (an md5 of seed, key and
+salt), so a puzzle is a pure function of its key and any engine can reproduce
+it.  Solving works inside the row: the 2^n assignments are 64-bit words (one
+up to 6 people, 2^(n-6) beyond) and each statement is a handful of bit
+operations over them (``solution_words``); no join, no UDF.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ..functions.common import as_col, let
+from ..functions.common import as_col, let, seeded_draw
 from . import puzzle_text as PT
-from .batch import lehmer_order_key
 
 OPS = ["leaf", "not", "and", "or", "->", "<=>"]
 
 
 def draw(key, salt, seed: int = 0) -> Column:
-    """Deterministic integer in [0, 2^31-1) for (key, salt)."""
-    return lehmer_order_key(as_col(key) * 1009 + as_col(salt), seed)
+    """Deterministic integer in [0, 2^60) for (key, salt)."""
+    return seeded_draw(key, seed, salt)
 
 
 def _leaf(j: Column, n: Column, p: Column) -> Column:
@@ -94,8 +98,8 @@ def bits_to_roles(bits, n) -> Column:
 
 
 # --- bit-parallel solving ------------------------------------------------------------
-# The 256 assignments of up to 8 people are four 64-bit words: bit j of word w
-# stands for assignment a = 64w + j.  "Person i is a knight" is a fixed bit
+# The 2^n assignments are words of 64 bits: bit j of word w stands for
+# assignment a = 64w + j, and the number of words follows from n.  "Person i is a knight" is a fixed bit
 # pattern, so a statement's truth over all assignments is a few word
 # operations, and the consistent assignments are the AND over speakers.
 
@@ -134,14 +138,19 @@ def _valid_word(n: Column, w: Column) -> Column:
     return F.when(low >= 64, F.lit(-1)).when(low <= 0, F.lit(0)).otherwise(low_bits).cast("long")
 
 
+def word_indexes(n: Column) -> Column:
+    """0 .. number of 64-assignment words of n people - 1."""
+    return F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.greatest(n - 6, F.lit(0))) - 1)
+
+
 def solution_words(statements, n) -> Column:
-    """Four words whose set bits are the assignments consistent with every statement."""
+    """Words whose set bits are the assignments consistent with every statement."""
     statements, n = as_col(statements), as_col(n)
 
     def word(w):
         ok = F.transform(statements, lambda s, p: F.bitwise_not(_statement_word(s, w).bitwiseXOR(_knight_word(p, w))))
         return F.aggregate(ok, F.lit(-1).cast("long"), lambda acc, x: acc.bitwiseAND(x)).bitwiseAND(_valid_word(n, w))
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), word)
+    return F.transform(word_indexes(n), word)
 
 
 def _single_bit_index(x: Column) -> Column:
@@ -219,7 +228,7 @@ def _role_words(pair_index: Column | None, flip: bool):
 
 
 def _capitalize(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def render(puzzles: DataFrame, seed: int = 0, uncommon_names: bool = False, random_pairs: bool = False,
@@ -298,64 +307,100 @@ def format_solution_text(solution_text) -> Column:
 
 
 # --- K3 / K4: perturbations --------------------------------------------------------
-
-def _candidates(puzzles: DataFrame, first: int, count: int, leaf: bool, seed: int) -> DataFrame:
-    """Candidates ``first .. first+count-1`` of each puzzle, one row each."""
-    c = puzzles.select("k", "n", "statements", "solution_bits",
-                       F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))).alias("cand"))
-    base = F.lit(100000) + F.col("cand") * 64
-    person = F.pmod(draw(F.col("k"), base, seed), F.col("n")).cast("int")
-    c = c.withColumn("_person", person)
-    if not leaf:
-        new = sample_statement(F.col("k"), F.col("n"), F.col("_person"), base + 8, seed)
-    else:
-        old = F.element_at(F.col("statements"), F.col("_person") + 1)
-        # choose which leaf of the statement to replace (the leaf itself for leaf statements)
-        pos = F.when(F.size(old["args"]) == 1, F.lit(0)).otherwise(
-            F.pmod(draw(F.col("k"), base + 3, seed), F.lit(2)).cast("int"))
-        fresh = sample_statement(F.col("k"), F.col("n"), F.col("_person"), base + 8, seed, leaf_only=True)["args"][0]
-        new = F.struct(old["op"].alias("op"), F.transform(old["args"], lambda a, i: F.when(i == pos, fresh).otherwise(a)).alias("args"))
-    c = c.withColumn("statements", F.transform("statements", lambda s, p: F.when(p == F.col("_person"), new).otherwise(s)))
-    return c
-
-
-def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1, max_retry: int = 1000,
-            batch: int = 32, checkpoint: bool = True) -> DataFrame:
-    """K3 (whole statement) / K4 (one leaf): the first candidate whose
-    statements differ, whose solution is unique and differs from the
-    original.  Candidates are tried in rounds (``batch``, then doubling) and
-    only puzzles without a success go to the next round, up to ``max_retry``
-    candidates as in the reference; puzzles with none get no row.  Each round
-    is checkpointed, so lineage stays short and a lost executor re-reads it.
-    """
-    base = puzzles.select("k", "n", "statements", "solution_bits",
-                          statements_repr("statements").alias("orig_repr"))
-    if checkpoint:
-        base = base.checkpoint(eager=True)
-    found = None
-    remaining = base
-    start = 0
-    while start < max_retry:
-        count = min(batch, max_retry - start)
-        cand = _candidates(remaining, start, count, leaf, seed).join(
-            remaining.select("k", "orig_repr"), "k")
-        cand = cand.withColumn("_sum", solution_summary("statements", "n"))
-        ok = cand.filter((F.col("_sum.n_solutions") == 1) & (F.col("_sum.solution_bits") != F.col("solution_bits"))
-                         & (statements_repr("statements") != F.col("orig_repr")))
-        best = ok.groupBy("k").agg(F.min_by(F.struct("cand", "n", "statements", F.col("_sum.solution_bits").alias("solution_bits")),
-                                            F.col("cand")).alias("b")).select("k", "b.*")
-        if checkpoint:
-            best = best.checkpoint(eager=True)
-        found = best if found is None else found.unionByName(best)
-        start += count
-        if not checkpoint:
-            break
-        remaining = remaining.join(best.select("k"), "k", "left_anti").checkpoint(eager=True)
-        if remaining.isEmpty():
-            break
-        batch *= 2   # rounds grow so at most ~log2(max_retry / batch) rounds run
-    out = found.withColumn("solution", bits_to_roles("solution_bits", "n"))
-    return out.withColumn("n_solutions", F.lit(1))
+# Every candidate is tried.  With m = 2n - 1 leaf options per speaker, the statements of a
+# speaker are numbered: m leaves, m negations, then for each of the four two-leaf operators
+# m * (m - 1) ordered pairs of different leaves; candidate = speaker * (statements per
+# speaker) + statement.  Leaf changes are numbered (speaker * 2 + place) * m + leaf.
+
+PERTURBED = "cand int, n int, statements array<struct<op:string,args:array<struct<lie:boolean,who:int>>>>, solution_bits int"
+
+
+def _leaf_option(j: int, n: int, p: int) -> tuple[bool, int]:
+    return (j >= n, j if j < n else j - n + (j - n >= p))
+
+
+def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.repeat(np.arange(m), m - 1)
+    return first, (first + 1 + np.tile(np.arange(m - 1), m)) % m
+
+
+def _combined(op: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return {"leaf": lambda: a, "not": lambda: ~a, "and": lambda: a & b, "or": lambda: a | b,
+            "->": lambda: ~a | b, "<=>": lambda: ~(a ^ b)}[op]()
+
+
+def _perturbed(k: int, n: int, statements: list[dict], solution: int, leaf: bool, seed: int) -> dict | None:
+    """The valid candidate with the smallest draw: a bitset over all 2^n assignments per
+    statement, the other speakers' bitsets ANDed once."""
+    size = 1 << n
+    full = np.full(max(1, size >> 6), np.uint64(0xFFFFFFFFFFFFFFFF) if size >= 64 else np.uint64((1 << size) - 1))
+    bits = (np.arange(size)[None, :] >> np.arange(n)[:, None]) & 1
+    knights = np.zeros((n, full.size * 64), np.uint8)
+    knights[:, :size] = bits
+    knights = np.packbits(knights, axis=1, bitorder="little").view(np.uint64)
+    holds = []
+    for s in statements:
+        words = [~knights[a["who"]] if a["lie"] else knights[a["who"]] for a in s["args"]]
+        holds.append(_combined(s["op"], words[0], words[-1]))
+    agrees = [~(h ^ w) for h, w in zip(holds, knights)]
+    m, found = 2 * n - 1, []
+    first, second = _pairs(m)
+    for p in range(n):
+        others = full.copy()
+        for q in range(n):
+            if q != p:
+                others &= agrees[q]
+        options = [_leaf_option(j, n, p) for j in range(m)]
+        leaves = np.stack([~knights[w] if lie else knights[w] for lie, w in options])
+        if leaf:
+            s = statements[p]
+            old = [np.broadcast_to(~knights[a["who"]] if a["lie"] else knights[a["who"]], leaves.shape) for a in s["args"]]
+            truth = [_combined(s["op"], leaves, old[-1] if len(old) > 1 else leaves)]
+            truth += [_combined(s["op"], old[0], leaves)] if len(old) > 1 else []
+            truth, base = np.concatenate(truth), p * 2 * m
+        else:
+            a, b = leaves[first], leaves[second]
+            truth = np.concatenate([leaves, ~leaves, *[_combined(op, a, b) for op in OPS[2:]]])
+            base = p * truth.shape[0]
+        left = ~(truth ^ knights[p]) & others
+        for i in np.flatnonzero(np.bitwise_count(left).sum(axis=1) == 1):
+            word = int(np.flatnonzero(left[i])[0])
+            bit = 64 * word + int(left[i, word]).bit_length() - 1
+            if bit != solution:
+                found.append((int(hashlib.md5(f"{seed}:{k}:{base + i}".encode()).hexdigest()[:15], 16), base + int(i), p, int(i), bit))
+
+    def as_dict(option):
+        return {"lie": bool(option[0]), "who": int(option[1])}
+    for _, cand, p, i, bit in sorted(found):
+        options = [as_dict(_leaf_option(j, n, p)) for j in range(m)]
+        if leaf:
+            place, j = divmod(i, m)
+            args = [options[j] if at == place else dict(a) for at, a in enumerate(statements[p]["args"])]
+            new = {"op": statements[p]["op"], "args": args}
+        elif i < 2 * m:
+            new = {"op": OPS[i // m], "args": [options[i % m]]}
+        else:
+            op, pair = divmod(i - 2 * m, m * (m - 1))
+            new = {"op": OPS[2 + op], "args": [options[first[pair]], options[second[pair]]]}
+        if new != statements[p]:
+            return {"cand": cand, "n": n, "statements": [new if q == p else s for q, s in enumerate(statements)], "solution_bits": bit}
+    return None
+
+
+def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1) -> DataFrame:
+    """K3 (whole statement) / K4 (one leaf): of all changes whose statements differ and whose
+    solution is unique and differs from the original, the one first in a seeded order.
+    Puzzles without any such change get no row."""
+    @arrow_udf(PERTURBED)
+    def change(keys: pa.Array, people: pa.Array, claims: pa.Array, solution: pa.Array) -> pa.Array:
+        rows = [_perturbed(*row, leaf, seed) for row in
+                zip(keys.to_pylist(), people.to_pylist(), claims.to_pylist(), solution.to_pylist())]
+        claim = pa.list_(pa.struct([("op", pa.string()), ("args", pa.list_(pa.struct([("lie", pa.bool_()), ("who", pa.int32())])))]))
+        return pa.array(rows, pa.struct([("cand", pa.int32()), ("n", pa.int32()), ("statements", claim), ("solution_bits", pa.int32())]))
+
+    changed = puzzles.select("k", change("k", "n", "statements", "solution_bits").alias("_c")).filter("_c is not null")
+    return (changed.select("k", "_c.*").withColumn("solution", bits_to_roles("solution_bits", "n"))
+            .withColumn("n_solutions", F.lit(1)))
 
 
 # --- K9 / K10: wrong solutions and shuffled steps ------------------------------------
@@ -408,7 +453,7 @@ def reasoning_steps(puzzles: DataFrame, dynamic_order: bool = True) -> DataFrame
     conflict_assignment>>.
     """
     def word_list(f):
-        return F.transform(F.sequence(F.lit(0), F.lit(3)), f)
+        return F.transform(word_indexes(n), f)
 
     st, n, sol = F.col("statements"), F.col("n"), F.col("solution")
 
@@ -500,7 +545,7 @@ def replace_one_step(puzzles: DataFrame, seed: int = 5) -> DataFrame:
     partner step get no row."""
     from .index import with_global_index
     base = puzzles.select("k", "n", "names", "cot_repeat_steps")
-    ranked = with_global_index(base.withColumn("_h", lehmer_order_key("k", seed)), ["_h", "k"], "_i")
+    ranked = with_global_index(base.withColumn("_h", seeded_draw("k", seed)), ["_h", "k"], "_i")
     total = ranked.select(F.count(F.lit(1))).scalar()
     partner = ranked.select(F.pmod(F.col("_i") - 1, total).alias("_i"), F.col("names").alias("p_names"),
                             F.col("cot_repeat_steps").alias("p_steps"))
@@ -526,136 +571,3 @@ def replace_one_step(puzzles: DataFrame, seed: int = 5) -> DataFrame:
     out = j.withColumn("replaced_steps", F.transform("cot_repeat_steps", lambda s, i: F.when(
         i == F.col("_at"), F.col("_new")).otherwise(s))).withColumnRenamed("_at", "replaced_at")
     return out.select("k", "replaced_at", "replaced_steps")
-
-
-TAPE_TYPE = ("array<struct<kind:string,person:int,assignment:boolean,outcome:string,"
-             "conflict_person:int,conflict_assignment:boolean,exhausted:array<int>>>")
-
-
-def search_tape(puzzles: DataFrame) -> DataFrame:
-    """K7 (full search): the reference's depth-first trace, backtracking included.
-
-    People are taken in the mention-driven order; each person is assumed a
-    knight, then a knave.  An assumption is kept when every assigned speaker's
-    claim still has an extension of the partial assignment (the first speaker
-    by index without one is reported); when a person has no option left, the
-    exhausted people are reset and the search reconsiders the previous person.
-    Runs as a bounded state machine inside the row (at most 2^(n+1) + n
-    proposals), with the same bitset test as ``reasoning_steps``.  Adds
-    ``tape``: proposals and reconsider steps in search order.
-    """
-    st, n = F.col("statements"), F.col("n")
-
-    def word_list(f):
-        return F.transform(F.sequence(F.lit(0), F.lit(3)), f)
-
-    def first_broken(asg):
-        assigned = F.filter(F.sequence(F.lit(0), n - 1), lambda q: F.element_at(asg, q + 1) >= 0)
-
-        def ext_word(w):
-            fixed = F.aggregate(assigned, F.lit(-1).cast("long"), lambda acc, q: acc.bitwiseAND(
-                _role_mask(q, F.element_at(asg, q + 1) == 1, w)))
-            return fixed.bitwiseAND(_valid_word(n, w))
-        ext = word_list(ext_word)
-
-        def broken(q):
-            val = F.element_at(asg, q + 1) == 1
-            words = F.zip_with(word_list(lambda w: _statement_word(F.element_at(st, q + 1), w)), ext,
-                               lambda s, e: F.when(val, s).otherwise(F.bitwise_not(s)).bitwiseAND(e))
-            return F.struct(q.alias("q"), val.alias("v"), (~_any_bits(words)).alias("broken"))
-        return F.try_element_at(F.filter(F.transform(assigned, broken), lambda c: c["broken"]), F.lit(1))
-
-    def entry(kind, person, assignment, outcome, cq, cv, exhausted):
-        return F.struct(F.lit(kind).alias("kind"), person.cast("int").alias("person"),
-                        assignment.cast("boolean").alias("assignment"), outcome.cast("string").alias("outcome"),
-                        cq.cast("int").alias("conflict_person"), cv.cast("boolean").alias("conflict_assignment"),
-                        exhausted.cast("array<int>").alias("exhausted"))
-    none_i, none_b, none_s = F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.lit(None).cast("string")
-
-    def tick(acc, _i):
-        asg, opt, order, cur, tape = acc["asg"], acc["opt"], acc["order"], acc["cur"], acc["tape"]
-        # backtrack over people without options left (from the cursor down)
-        zs = F.transform(F.sequence(F.lit(0), F.greatest(cur, F.lit(0))),
-                         lambda j: F.element_at(opt, F.element_at(order, cur - j + 1) + 1) == 0)
-        k = F.when(F.array_position(zs, False) == 0, cur + 1).otherwise(F.array_position(zs, False) - 1).cast("int")
-        exhausted = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.element_at(order, cur - j + 1))
-        c = cur - k
-        reset = lambda arr, v: F.transform(arr, lambda x, i: F.when(F.array_contains(exhausted, i), v).otherwise(x))
-        asg1, opt1 = F.when(k > 0, reset(asg, F.lit(-1))).otherwise(asg), F.when(k > 0, reset(opt, F.lit(2))).otherwise(opt)
-        tape1 = F.when(k > 0, F.concat(tape, F.array(entry("reconsider", F.element_at(order, c + 1), none_b, none_s,
-                                                             none_i, none_b, exhausted)))).otherwise(tape)
-        person = F.element_at(order, c + 1)
-        left = F.element_at(opt1, person + 1)
-        assume = left == 2                                   # knight first, then knave
-        asg2 = F.transform(asg1, lambda x, i: F.when(i == person, F.when(assume, 1).otherwise(0)).otherwise(x))
-        opt2 = F.transform(opt1, lambda x, i: F.when(i == person, x - 1).otherwise(x))
-
-        def after(bad):
-            ok = bad.isNull()
-            mentioned = F.array_distinct(F.transform(F.element_at(st, person + 1)["args"], lambda x: x["who"]))
-            rest = F.slice(order, c + 2, n)
-            front = F.filter(mentioned, lambda x: F.array_contains(rest, x))
-            new_order = F.concat(F.slice(order, 1, c + 1), front, F.filter(rest, lambda x: ~F.array_contains(mentioned, x)))
-            step = F.when(ok, entry("proposal", person, assume, F.lit("ok"), none_i, none_b, F.lit(None))).otherwise(
-                entry("proposal", person, assume, F.lit("conflict"), bad["q"], bad["v"], F.lit(None)))
-            return F.struct(asg2.alias("asg"), opt2.alias("opt"),
-                            F.when(ok, new_order).otherwise(order).alias("order"),
-                            F.when(ok, c + 1).otherwise(c).alias("cur"),
-                            F.concat(tape1, F.array(step)).alias("tape"),
-                            F.when(ok & (c + 1 >= n), True).otherwise(False).alias("done"))
-        finished = acc.withField("done", F.lit(True))
-        moved = F.when(c < 0, finished).otherwise(let(first_broken(asg2), after))
-        # a finished search passes its state on unchanged (no copy of the tape per idle tick)
-        return F.when(acc["done"], acc).when(cur >= n, finished).otherwise(moved)
-    init = F.struct(F.array_repeat(F.lit(-1), n).alias("asg"), F.array_repeat(F.lit(2), n).alias("opt"),
-                    F.sequence(F.lit(0), n - 1).alias("order"), F.lit(0).alias("cur"),
-                    F.array().cast(TAPE_TYPE).alias("tape"), F.lit(False).alias("done"))
-    limit = F.call_function("shiftleft", F.lit(1), n + 1) + n
-    return puzzles.withColumn("tape", F.aggregate(F.sequence(F.lit(1), limit), init, tick)["tape"])
-
-
-def render_tape(puzzles: DataFrame, repeat_claim: bool = True) -> DataFrame:
-    """K8 for ``search_tape``: one sentence per proposal / reconsider step
-    (``cot_steps``) plus ``cot_head`` and ``cot_foot``.  Needs ``names``,
-    ``knight_knave`` (from ``render``), ``statements`` and ``tape``."""
-    names, kk = F.col("names"), F.col("knight_knave")
-
-    def name(i):
-        return F.element_at(names, i + 1)
-
-    def role(v):
-        return F.when(v, kk["a_knight"]).otherwise(kk["a_knave"])
-
-    def leaf_text(arg, neg=False):
-        return F.concat(name(arg["who"]), F.lit(" is not " if neg else " is "), role(~arg["lie"]))
-
-    def claim(s):
-        a1, a2 = s["args"][0], F.coalesce(F.try_element_at(s["args"], F.lit(2)), s["args"][0])
-        return (F.when(s["op"] == "leaf", leaf_text(a1)).when(s["op"] == "not", leaf_text(a1, True))
-                 .when(s["op"].isin("and", "or"), F.concat(leaf_text(a1), F.lit(" "), s["op"], F.lit(" "), leaf_text(a2)))
-                 .when(s["op"] == "->", F.concat(F.lit("If "), leaf_text(a1), F.lit(" then "), leaf_text(a2)))
-                 .otherwise(F.concat(leaf_text(a1), F.lit(" if and only if "), leaf_text(a2))))
-
-    def people(ids):
-        ns = F.transform(ids, lambda i: name(i))
-        k = F.size(ns)
-        return (F.when(k == 1, ns[0]).when(k == 2, F.array_join(ns, " and "))
-                 .otherwise(F.concat(F.array_join(F.slice(ns, 1, k - 1), ", "), F.lit(", and "), F.element_at(ns, -1))))
-
-    def sentence(t):
-        own = F.element_at(F.col("statements"), t["person"] + 1)
-        ok = F.concat(F.lit("Assume "), name(t["person"]), F.lit(" is "), role(t["assignment"]), F.lit("."))
-        if repeat_claim:
-            ok = F.concat(ok, F.lit(" No contradiction is found in their "),
-                          F.when(t["assignment"], "").otherwise("false "), F.lit("claim that "), claim(own), F.lit("."))
-        whose = F.when(t["conflict_person"] == t["person"], F.lit("their own")).otherwise(name(t["conflict_person"]))
-        bad = F.concat(name(t["person"]), F.lit(" cannot be "), role(t["assignment"]),
-                       F.lit(", because this would contradict the "),
-                       F.when(t["conflict_assignment"], "").otherwise("false "), F.lit("claim of "), whose, F.lit("."))
-        back = F.concat(F.lit("We have exhausted all possibilities for "), people(t["exhausted"]),
-                        F.lit(", so let us go back and reconsider "), name(t["person"]), F.lit("."))
-        return F.when(t["kind"] == "reconsider", back).when(t["outcome"] == "ok", ok).otherwise(bad)
-    solved = F.exists("tape", lambda t: F.lit(True)) & F.col("solution").isNotNull()
-    return (puzzles.withColumn("cot_head", F.lit(PT.COT_HEAD))
-                   .withColumn("cot_steps", F.transform("tape", sentence))
-                   .withColumn("cot_foot", F.when(solved, F.lit(PT.STEP_FOOTER_SUCCESS)).otherwise(F.lit(PT.STEP_FOOTER_FAIL))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis as M
-from ..operators.batch import lehmer_sql
+from ..functions.common import seeded_sql
 from ..session import table
 from ..sources.io import scratch_path
 from .registry import register
@@ -85,7 +85,7 @@ def m5_combined(spark, sf):
 
 _M6_SQL = f"""
 WITH d AS (SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {lehmer_sql('doc_id', 42)}, doc_id) - 1 AS rk,
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {seeded_sql('doc_id', 42)}, doc_id) - 1 AS rk,
              count(*) OVER (PARTITION BY label) AS n FROM d)
 """
 
@@ -98,7 +98,7 @@ def m6_balance_classes(spark, sf):
 
 @register("M7", f"""
 WITH d AS (SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {lehmer_sql('doc_id', 43)}, doc_id) - 1 AS rk,
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {seeded_sql('doc_id', 43)}, doc_id) - 1 AS rk,
              count(*) OVER (PARTITION BY label) AS n FROM d)
 SELECT doc_id, label, CASE WHEN rk < floor(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""")
 def m7_stratified_split(spark, sf):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import seeded_sql
 from ..operators import batch as B
 from ..operators.index import row_count, with_global_index
 from ..session import table
 from .registry import register
 
 _IDX_SQL = "(row_number() OVER (ORDER BY o_orderkey) - 1)"
-_P, _A = B.MINSTD_P, B.MINSTD_A
 
 
 def _orders(spark, sf, *cols):
@@ -20,8 +20,6 @@ def _orders(spark, sf, *cols):
     return B.Batch.from_frame(o, "o_orderkey").df
 
 
-_lehmer_sql = B.lehmer_sql
-
 
 @register("B1", f"SELECT {_IDX_SQL} AS idx, o_orderkey FROM orders")
 def b1_build(spark, sf):
@@ -183,7 +181,7 @@ def b17_minibatches(spark, sf):
 
 
 @register("B17_shuffled", f"""
-WITH x AS (SELECT e AS epoch, o_orderkey, {_lehmer_sql("o_orderkey + e * 1000003", 7)} AS h
+WITH x AS (SELECT e AS epoch, o_orderkey, {seeded_sql("e", 7, "o_orderkey")} AS h
            FROM orders, range(2) t(e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY h, o_orderkey) - 1 AS rk FROM x)
 SELECT epoch, rk // 20 AS batch_id, rk % 20 AS pos_in_batch, o_orderkey FROM r
@@ -194,7 +192,7 @@ def b17_minibatches_shuffled(spark, sf):
 
 
 @register("B18", f"""
-WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_lehmer_sql("o_orderkey", 11)}, o_orderkey) - 1 AS rk,
+WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {seeded_sql("o_orderkey", 11)}, o_orderkey) - 1 AS rk,
                   count(*) OVER () AS n FROM orders)
 SELECT rk // 64 AS batch_id, o_orderkey FROM r WHERE rk // 64 < n // 64
 """)

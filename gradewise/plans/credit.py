@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import array_sum, entropy_from_logits, logprob_of_label, masked_row_mean
-from ..functions.common import rnd
+from ..functions.common import rnd, seeded_draw, seeded_sql
 from ..operators import advantage as adv
 from ..session import table
 from .fixtures import ROLLOUT_TOKENS_SQL, explode_tokens, rollouts
@@ -337,13 +337,12 @@ def w6_estimator_switch(spark, sf):
 
 
 @register("W14", "SELECT event_id, user_id, event_type FROM events ORDER BY "
-          + __import__("gradewise.operators.batch", fromlist=["lehmer_sql"]).lehmer_sql("event_id", 5)
+          + seeded_sql("event_id", 5)
           + ", event_id LIMIT 50")
 def w14_validation_sample(spark, sf):
     """Deterministic sample of 50 validation rows: seeded order, then the first 50 (the limit is the feature)."""
-    from ..operators.batch import lehmer_order_key
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return ev.orderBy(lehmer_order_key("event_id", 5), "event_id").limit(50)
+    return ev.orderBy(seeded_draw("event_id", 5), "event_id").limit(50)
 
 
 @register("J2", """

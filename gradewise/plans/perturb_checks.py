@@ -1,9 +1,8 @@
 """DuckDB oracles for the perturbation jobs.
 
-A brute-force join over 1000 candidates x all assignments would be too large,
-so the oracle evaluates each candidate with 64-bit words in SQL: "person i is a
-knight" is a fixed pattern per word, each statement a few bit operations, and
-the consistent assignments the bit_and over speakers.
+The oracle evaluates every candidate of every puzzle with 64-bit words in SQL: "person i is
+a knight" is a fixed pattern per word, each statement a few bit operations, and the
+consistent assignments the AND with the other speakers' words.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from ..operators import puzzles as K
 from .puzzles import _GEN_SQL, _OPS_SQL, _draw
 from .registry import SQL
 
-MAX_RETRY = 1000
 SEED = 1
 
 
@@ -49,58 +47,50 @@ def _stmt_repr(op: str, l1: str, w1: str, l2: str, w2: str) -> str:
 
 def perturb_sql(leaf: bool) -> str:
     """CTE chain ending in ``k3`` (k, cand, n, statements_repr, solution_bits)."""
-    def d(salt, key="k"):
-        return _draw(key, salt, SEED)
-
-    def leaf_of(j):
-        return f"({j} >= n)", f"(CASE WHEN {j} < n THEN {j} ELSE ({j} - n) + CASE WHEN {j} - n >= cperson THEN 1 ELSE 0 END END)"
-    ln1, wn1 = leaf_of("nj1")
-    ln2, wn2 = leaf_of("nj2")
+    def option(j):
+        return f"({j} >= n)", f"(CASE WHEN {j} < n THEN {j} ELSE ({j} - n) + CASE WHEN {j} - n >= p THEN 1 ELSE 0 END END)"
+
+    def each(f):
+        return ", ".join(f(w) for w in range(4))
+    agrees = each(lambda w: f"~xor({_stmt_word('op', 'lie1', 'who1', 'lie2', 'who2', w)}, {_knight_word('p', w)}) AS c{w}")
+    others = each(lambda w: f"bit_and(b.c{w}) AS o{w}")
+    (l1, w1), (l2, w2) = option("j1"), option("j2")
     if leaf:
-        pos = f", CASE WHEN o.op IN ('leaf', 'not') THEN 0 ELSE {d('cp2.base + 3', 'cp2.k')} % 2 END AS pos"
-        new_stmt = (f"op AS nop, CASE WHEN pos = 0 THEN {ln1} ELSE lie1 END AS nl1, CASE WHEN pos = 0 THEN {wn1} ELSE who1 END AS nw1, "
-                    f"CASE WHEN pos = 1 THEN {ln1} ELSE lie2 END AS nl2, CASE WHEN pos = 1 THEN {wn1} ELSE who2 END AS nw2")
+        numbered = """
+cn AS (SELECT *, p * 2 * m + i AS cand, i // m AS place, i % m AS j1 FROM (
+  SELECT *, unnest(range(CASE WHEN op IN ('leaf', 'not') THEN m ELSE 2 * m END)) AS i FROM sp)),"""
+        new = (f"op AS nop, CASE WHEN place = 0 THEN {l1} ELSE lie1 END AS nl1, CASE WHEN place = 0 THEN {w1} ELSE who1 END AS nw1, "
+               f"CASE WHEN place = 1 THEN {l1} ELSE lie2 END AS nl2, CASE WHEN place = 1 THEN {w1} ELSE who2 END AS nw2")
     else:
-        pos = ""
-        new_stmt = f"{_OPS_SQL}[nd + 1] AS nop, {ln1} AS nl1, {wn1} AS nw1, {ln2} AS nl2, {wn2} AS nw2"
-    words = []
-    for w in range(4):
-        cw = f"~xor({_stmt_word('op_', 'l1_', 'w1_', 'l2_', 'w2_', w)}, {_knight_word('p_', w)})"
-        words.append(f"bit_and({cw}) & {_valid_word('any_value(n_)', w)} AS w{w}")
+        numbered = f"""
+ci AS (SELECT *, unnest(range(2 * m + 4 * m * (m - 1))) AS i FROM sp),
+cj AS (SELECT *, p * (2 * m + 4 * m * (m - 1)) + i AS cand, CASE WHEN i < 2 * m THEN 0 ELSE (i - 2 * m) % (m * (m - 1)) END AS pair FROM ci),
+cn AS (SELECT *, CASE WHEN i < 2 * m THEN i % m ELSE pair // (m - 1) END AS j1,
+              CASE WHEN i < 2 * m THEN i % m ELSE (pair // (m - 1) + 1 + pair % (m - 1)) % m END AS j2,
+              {_OPS_SQL}[CASE WHEN i < 2 * m THEN i // m ELSE 2 + (i - 2 * m) // (m * (m - 1)) END + 1] AS iop FROM cj),"""
+        new = f"iop AS nop, {l1} AS nl1, {w1} AS nw1, {l2} AS nl2, {w2} AS nw2"
+    left = each(lambda w: f"~xor({_stmt_word('nop', 'nl1', 'nw1', 'nl2', 'nw2', w)}, {_knight_word('p', w)}) & o{w} & {_valid_word('n', w)} AS w{w}")
     sol_pos = " ".join(
         f"WHEN w{w} <> 0 THEN {64 * w} + (CASE WHEN w{w} < 0 THEN 63 ELSE CAST(round(log2(w{w})) AS INT) END)" for w in range(4))
-    orepr = _stmt_repr("o.op", "o.lie1", "o.who1", "o.lie2", "o.who2")
     return "WITH " + _GEN_SQL + f""",
 g AS (SELECT gen.k, res.n, res.solution_bits AS s0 FROM gen JOIN res USING (k)),
-cp AS (SELECT k, n, s0, cand, 100000 + cand * 64 AS base FROM (SELECT *, unnest(range({MAX_RETRY})) AS cand FROM g)),
-cp2 AS (SELECT *, {d('base')} % n AS cperson FROM cp),
-cp3 AS (SELECT cp2.*, {orepr} AS orepr{pos},
-               {d('cp2.base + 8', 'cp2.k')} % 6 AS nd, {d('cp2.base + 9', 'cp2.k')} % (2 * cp2.n - 1) AS nj1,
-               {d('cp2.base + 10', 'cp2.k')} % (2 * cp2.n - 2) AS nr2,
-               o.op, o.lie1, o.who1, o.lie2, o.who2
-        FROM cp2 JOIN st o ON o.k = cp2.k AND o.p = cp2.cperson),
-cp4 AS (SELECT *, (nj1 + 1 + nr2) % (2 * n - 1) AS nj2 FROM cp3),
-nw AS (SELECT k, cand, n, s0, cperson, orepr, {new_stmt} FROM cp4),
-nw2 AS (SELECT *, {_stmt_repr('nop', 'nl1', 'nw1', 'nl2', 'nw2')} AS nrepr FROM nw),
-rows_ AS (
-  SELECT nw2.k, nw2.cand, nw2.s0, nw2.orepr, nw2.nrepr, nw2.n AS n_, st.p AS p_,
-         CASE WHEN st.p = nw2.cperson THEN nw2.nop ELSE st.op END AS op_,
-         CASE WHEN st.p = nw2.cperson THEN nw2.nl1 ELSE st.lie1 END AS l1_,
-         CASE WHEN st.p = nw2.cperson THEN nw2.nw1 ELSE st.who1 END AS w1_,
-         CASE WHEN st.p = nw2.cperson THEN nw2.nl2 ELSE st.lie2 END AS l2_,
-         CASE WHEN st.p = nw2.cperson THEN nw2.nw2 ELSE st.who2 END AS w2_
-  FROM nw2 JOIN st ON st.k = nw2.k),
-pev AS (SELECT k, cand, any_value(s0) AS s0, any_value(orepr) AS orepr, any_value(nrepr) AS nrepr, {", ".join(words)}
-       FROM rows_ GROUP BY k, cand),
-pev2 AS (SELECT *, bit_count(w0) + bit_count(w1) + bit_count(w2) + bit_count(w3) AS n_sol, CASE {sol_pos} END AS sol FROM pev),
-win AS (SELECT k, min(cand) AS cand FROM pev2 WHERE n_sol = 1 AND sol <> s0 AND nrepr <> orepr GROUP BY k),
-wst AS (SELECT nw2.* FROM nw2 JOIN win USING (k, cand)),
+cons AS (SELECT st.k, st.p, {agrees} FROM st JOIN g USING (k)),
+oth AS (SELECT a.k, a.p, {others} FROM cons a JOIN cons b ON b.k = a.k AND b.p <> a.p GROUP BY a.k, a.p),
+sp AS (SELECT g.k, g.n, g.s0, 2 * g.n - 1 AS m, st.p, st.op, st.lie1, st.who1, st.lie2, st.who2, o0, o1, o2, o3
+       FROM g JOIN st ON st.k = g.k JOIN oth ON oth.k = st.k AND oth.p = st.p),{numbered}
+nw AS (SELECT *, {new} FROM cn),
+nv AS (SELECT *, {left} FROM nw),
+nu AS (SELECT *, CASE {sol_pos} END AS sol, {_stmt_repr('op', 'lie1', 'who1', 'lie2', 'who2')} AS orepr,
+              {_stmt_repr('nop', 'nl1', 'nw1', 'nl2', 'nw2')} AS nrepr
+       FROM nv WHERE bit_count(w0) + bit_count(w1) + bit_count(w2) + bit_count(w3) = 1),
+win AS (SELECT k, arg_min({{'cand': cand, 'p': p, 'nrepr': nrepr, 'sol': sol}}, {{'d': {_draw('k', 'cand', SEED)}, 'c': cand}}) AS b
+        FROM nu WHERE sol <> s0 AND nrepr <> orepr GROUP BY k),
 wrep AS (
-  SELECT st.k, '(' || string_agg(CASE WHEN st.p = wst.cperson THEN wst.nrepr
+  SELECT st.k, '(' || string_agg(CASE WHEN st.p = win.b.p THEN win.b.nrepr
                                       ELSE {_stmt_repr('st.op', 'st.lie1', 'st.who1', 'st.lie2', 'st.who2')} END, ', ' ORDER BY st.p) || ')' AS statements_repr
-  FROM st JOIN wst USING (k) GROUP BY st.k),
-k3 AS (SELECT win.k, win.cand, res.n, wrep.statements_repr, pev2.sol AS solution_bits
-       FROM win JOIN pev2 USING (k, cand) JOIN wrep USING (k) JOIN res USING (k))
+  FROM st JOIN win USING (k) GROUP BY st.k),
+k3 AS (SELECT win.k, win.b.cand AS cand, res.n, wrep.statements_repr, win.b.sol AS solution_bits
+       FROM win JOIN wrep USING (k) JOIN res USING (k))
 """
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import puzzle_text as PT
 from ..operators import puzzles as K
-from ..operators.batch import lehmer_sql
+from ..functions.common import seeded_sql
 from ..operators.index import row_count, with_global_index
 from ..session import spread, table
 from .registry import register
@@ -37,7 +37,7 @@ def corpus(spark, sf):
 
 
 def _draw(k: str, salt: str, seed: int = SEED) -> str:
-    return lehmer_sql(f"({k}) * 1009 + ({salt})", seed)
+    return seeded_sql(k, seed, salt)
 
 
 def _leaf_sql(j: str) -> tuple[str, str]:
@@ -261,13 +261,13 @@ def k9_wrong_solutions(spark, sf):
 
 
 @register("K13", "WITH " + _GEN_SQL + f""",
-r AS (SELECT k, row_number() OVER (ORDER BY {lehmer_sql('k', 13)}, k) - 1 AS rk, count(*) OVER () AS total FROM gen)
+r AS (SELECT k, row_number() OVER (ORDER BY {seeded_sql('k', 13)}, k) - 1 AS rk, count(*) OVER () AS total FROM gen)
 SELECT k, CASE WHEN rk < floor(0.8 * total) THEN 'train' ELSE 'test' END AS split FROM r
 """)
 def k13_split(spark, sf):
-    from ..operators.batch import lehmer_order_key
+    from ..functions.common import seeded_draw
     g = K.generate(puzzle_keys(spark, sf), seed=SEED).select("k")
-    ranked = with_global_index(g.withColumn("_h", lehmer_order_key("k", 13)), ["_h", "k"], "rk")
+    ranked = with_global_index(g.withColumn("_h", seeded_draw("k", 13)), ["_h", "k"], "rk")
     n = row_count(ranked)
     return ranked.select("k", F.when(F.col("rk") < F.floor(n * 0.8), "train").otherwise("test").alias("split"))
 
@@ -384,7 +384,7 @@ def mapped_sql(x: str) -> str:
 
 _K11_SQL = _STEP_TEXT_SQL + """,
 sl AS (SELECT k, list(sentence ORDER BY pos) AS steps FROM sen GROUP BY k),
-rk AS (SELECT sl.k, sl.steps, nms.names, row_number() OVER (ORDER BY """ + lehmer_sql('sl.k', 5) + """, sl.k) - 1 AS i,
+rk AS (SELECT sl.k, sl.steps, nms.names, row_number() OVER (ORDER BY """ + seeded_sql('sl.k', 5) + """, sl.k) - 1 AS i,
               count(*) OVER () AS total FROM sl JOIN nms USING (k)),
 pr AS (SELECT a.k, a.steps, a.names, b.steps AS p_steps, b.names AS p_names,
               """ + _draw('a.k', '9300', 5) + """ % len(a.steps) AS at_,

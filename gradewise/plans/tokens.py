@@ -289,10 +289,10 @@ def t19_non_latin(spark, sf):
 
 
 def _t20_sql() -> str:
-    from ..operators.batch import lehmer_sql
+    from ..functions.common import seeded_sql
     seq_len, max_valid, min_valid, max_left = 64, int(64 * 0.7), max(1, int(64 * 0.1)), int(64 * 0.2)
-    left = f"({lehmer_sql('doc_id * 2 + 1', 3)} % {max_left + 1})"
-    valid = f"({min_valid} + {lehmer_sql('doc_id * 2 + 2', 3)} % {max_valid - min_valid + 1})"
+    left = f"({seeded_sql('doc_id', 3, "'left'")} % {max_left + 1})"
+    valid = f"({min_valid} + {seeded_sql('doc_id', 3, "'valid'")} % {max_valid - min_valid + 1})"
     return f"""
 SELECT doc_id, CAST(least({valid}, {seq_len} - {left}) AS INT) AS n_valid, CAST({left} AS INT) AS left_pad FROM documents"""
 

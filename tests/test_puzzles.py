@@ -99,52 +99,3 @@ def test_golden_five_person_conflict_steps(spark):
                      (4, True, "ok", None, None),
                      (3, True, "conflict", 3, True), (3, False, "ok", None, None),
                      (1, True, "conflict", 1, True), (1, False, "ok", None, None)]
-
-
-def test_search_tape_matches_reference_golden(spark):
-    st = [("and", [(False, 2), (True, 3)]), ("leaf", [(False, 2)]), ("<=>", [(True, 4), (False, 4)]),
-          ("and", [(True, 2), (True, 4)]), ("leaf", [(True, 2)])]
-    tape = K.search_tape(K.solve(_puzzle(spark, 2, st))).first().tape
-    got = [(t.kind, t.person, t.assignment, t.outcome, t.conflict_person, t.conflict_assignment,
-            list(t.exhausted) if t.exhausted is not None else None) for t in tape]
-    P, R = "proposal", "reconsider"
-    assert got == [(P, 0, True, "ok", None, None, None),
-                   (P, 2, True, "conflict", 2, True, None),
-                   (P, 2, False, "conflict", 0, True, None),
-                   (R, 0, None, None, None, None, [2]),
-                   (P, 0, False, "ok", None, None, None),
-                   (P, 2, True, "conflict", 2, True, None),
-                   (P, 2, False, "ok", None, None, None),
-                   (P, 4, True, "ok", None, None, None),
-                   (P, 3, True, "conflict", 3, True, None),
-                   (P, 3, False, "ok", None, None, None),
-                   (P, 1, True, "conflict", 1, True, None),
-                   (P, 1, False, "ok", None, None, None)]
-
-
-def test_search_tape_ends_in_solution(spark):
-    keys = spark.range(150).withColumnRenamed("id", "k")
-    rows = K.search_tape(K.generate(keys, n_people=4)).collect()
-    assert rows
-    for r in rows:
-        final = {}
-        for t in r.tape:
-            if t.kind == "reconsider":
-                for p in t.exhausted:
-                    final.pop(p, None)
-            elif t.outcome == "ok":
-                final[t.person] = t.assignment
-        assert [final.get(i) for i in range(r.n)] == list(r.solution)
-
-
-def test_search_text_reproduces_the_two_person_demonstration(spark):
-    from gradewise.operators import puzzle_text as PT
-    # Ella: "Ella is a knight or Penelope is a knight"; Penelope: "Ella is a knave iff Penelope is a knight"
-    st = [("or", [(False, 0), (False, 1)]), ("<=>", [(True, 0), (False, 1)])]
-    p = K.solve(_puzzle(spark, 7, st))
-    p = p.withColumn("names", F.array(F.lit("Ella"), F.lit("Penelope"))).withColumn(
-        "knight_knave", F.create_map(F.lit("a_knight"), F.lit("a knight"), F.lit("a_knave"), F.lit("a knave")))
-    r = K.render_tape(K.search_tape(p), repeat_claim=False).first()
-    text = r.cot_head + " " + " ".join(r.cot_steps) + " " + r.cot_foot
-    demo_answer = PT.DEMONSTRATION_2CHAR.split("### Answer: ")[1].split("\nCONCLUSION:")[0]
-    assert text == demo_answer
