@@ -6,8 +6,8 @@ equal sets are one *class*.  Two classes link when their Jaccard similarity is a
 ``num / den``; the result gives each document the smallest document id it can reach.
 
 1. Document frequencies of all shingles are counted into 2**SKETCH_BITS counters (a table of
-   fixed size, summed over all documents), which define the order rare first, ties by hash.
-   Any order gives the same links; rare ones first gives few candidates.
+   fixed size, summed over all documents), whose logarithms define the order rare first,
+   ties by hash.  Any order gives the same links; rare ones first gives few candidates.
 2. Each class is indexed under its prefix, its first n - ceil(t n) + 1 shingles: classes
    that link share one.  Prefix shingles of one class alone are dropped.
 3. Candidates share a prefix shingle and pass the length filter and the positional filter
@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .hashing import Spans, mixed
-from .support import byte_view, row_pieces, unused, written
+from .support import byte_view, release, row_pieces, unused, written
 
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
-RANGES = 32
+RANGES = 64
 MAX_ROUNDS = 12
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -97,34 +97,40 @@ def set_id(shingles: np.ndarray) -> int | None:
 
 
 def frequency_sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Documents per counter, over all documents; 2**SKETCH_BITS numbers whatever their number."""
+    """A byte per counter: 8 times the logarithm of the documents counted there, over all
+    documents; 2**SKETCH_BITS bytes whatever their number."""
     per_block = (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
     def count(batches):
-        sums = np.zeros(1 << SKETCH_BITS, np.int64)
+        sums = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for s in shingle_sets(batch.column(0), size):
-                # sorted sets: equal counters are neighbours
-                np.add.at(sums, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        blocks = sums.reshape(SKETCH_BLOCKS, per_block)
-        yield pa.RecordBatch.from_pydict({"block": np.arange(SKETCH_BLOCKS), "counts": [b.tobytes() for b in blocks]})
+                np.add.at(sums, counter_of(s), 1)
+        # mostly small numbers: packed, a task's counts take a few megabytes
+        blocks = [pa.compress(b.tobytes(), "zstd", asbytes=True) for b in sums.reshape(SKETCH_BLOCKS, per_block)]
+        yield pa.RecordBatch.from_pydict({"block": np.arange(SKETCH_BLOCKS), "counts": blocks})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()),
-                                          pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
+                part = np.frombuffer(pa.decompress(counts, per_block * 4, "zstd", asbytes=True), np.uint32)
+                sums[block] = sums.get(block, 0) + part.astype(np.int64)
+        logs = [np.minimum(8 * np.log2(s + 1.0), 255).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(logs, pa.binary())], names=["block", "counts"])
 
     kind = "block long, counts binary"
     summed = docs.select(text).mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
-    sketch = np.zeros((SKETCH_BLOCKS, per_block), np.int64)
+    sketch = np.zeros((SKETCH_BLOCKS, per_block), np.uint8)
     for block, counts in summed:
-        sketch[block] = np.frombuffer(counts, np.int64)
+        sketch[block] = np.frombuffer(counts, np.uint8)
     return sketch.reshape(-1)
 
 
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n + num * -n // den + 1  # n - ceil(n num / den) + 1
 
@@ -135,22 +141,21 @@ SUMMARY = "id long, n int, centre float, ranges binary, prefix array<long>"
 def summary_column(text: Column, sketch: np.ndarray, size: int, num: int, den: int) -> Column:
     """Struct of SUMMARY; id is null for empty sets.
 
-    ``centre`` is the mean document frequency of the set, ``ranges`` its counts in RANGES
+    ``centre`` is the mean logarithm of its shingles' document frequencies, ``ranges`` its counts in RANGES
     equal parts of the hash space, ``prefix`` its rarest shingles in order.
     """
-    packed = np.minimum(sketch, np.iinfo(np.uint32).max).astype(np.uint32)  # ships with the task
-
     @arrow_udf(SUMMARY)
     def summary(texts: pa.Array) -> pa.Array:
         rows = {"id": [], "n": [], "centre": [], "ranges": [], "prefix": []}
         for s in shingle_sets(texts, size):
-            frequency = packed[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            frequency = sketch[counter_of(s)]
             p = prefix_size(s.size, num, den) if s.size else 0
             order = np.lexsort((s, frequency))[:p]
             rows["id"].append(set_id(s))
             rows["n"].append(s.size)
             rows["centre"].append(float(frequency.mean()) if s.size else 0.0)
-            rows["ranges"].append(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes())
+            parts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+            rows["ranges"].append(np.minimum(parts, 0xFFFF).astype("<u2").tobytes())
             rows["prefix"].append(s[order].view(np.int64))
         kinds = [pa.int64(), pa.int32(), pa.float32(), pa.binary(), pa.list_(pa.int64())]
         return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
@@ -195,21 +200,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Verifier:
-    """Links among candidate pairs (a, b); holds the sets of all classes with candidates."""
+    """Links among candidate pairs (a, b)."""
 
-    def __init__(self, ranges: DataFrame, sets: DataFrame, num: int, den: int):
-        self.ranges, self.sets, self.num, self.den = ranges, sets, num, den
+    def __init__(self, classes: DataFrame, docs: DataFrame, text: str, size: int, num: int, den: int):
+        self.classes, self.docs, self.text = classes, docs, text
+        self.size, self.num, self.den = size, num, den
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         num, den = self.num, self.den
 
         @arrow_udf("boolean")
-        def suffix_filter(x: pa.Array, y: pa.Array) -> pa.Array:
+        def suffix_filter(x: pa.Array, y: pa.Array, n_x: pa.Array, n_y: pa.Array) -> pa.Array:
             if not len(x):
                 return pa.array([], pa.bool_())
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in (x, y))
-            n_a, n_b, apart = a.sum(1), b.sum(1), np.abs(a - b).sum(1)
-            return pa.array(enough((n_a + n_b - apart) // 2, n_a, n_b, num, den))
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int64) for c in (x, y))
+            n_a, n_b = (n.to_numpy().astype(np.int64) for n in (n_x, n_y))
+            return pa.array(enough((n_a + n_b - np.abs(a - b).sum(1)) // 2, n_a, n_b, num, den))
 
         @arrow_udf("boolean")
         def verified(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -219,13 +225,15 @@ class Verifier:
                 out.append(bool(enough(np.intersect1d(s, t, assume_unique=True).size, s.size, t.size, num, den)))
             return pa.array(out, pa.bool_())
 
-        def sides(frame, column):
-            return (frame.select(F.col("id").alias("a"), F.col(column).alias("of_a")),
-                    frame.select(F.col("id").alias("b"), F.col(column).alias("of_b")))
-        of_a, of_b = sides(self.ranges, "ranges")
-        left = pairs.join(of_a, "a").join(of_b, "b").filter(suffix_filter("of_a", "of_b")).select("a", "b")
-        of_a, of_b = sides(self.sets, "shingles")
-        return left.join(of_a, "a").join(of_b, "b").filter(verified("of_a", "of_b")).select("a", "b")
+        def sides(frame, *columns):
+            return [frame.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab"]
+        of_a, of_b = sides(self.classes, "ranges", "n")
+        left = (pairs.join(of_a, "a").join(of_b, "b").filter(suffix_filter("ranges_a", "ranges_b", "n_a", "n_b")).select("a", "b"))
+        left = written(left, "candidate-pairs")
+        release(left.sparkSession)
+        ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
+        of_a, of_b = sides(needed_sets(self.docs, self.text, ids, self.size), "shingles")
+        return left.join(of_a, "a").join(of_b, "b").filter(verified("shingles_a", "shingles_b")).select("a", "b")
 
 
 def needed_sets(docs: DataFrame, text: str, ids: DataFrame, size: int) -> DataFrame:
@@ -236,6 +244,7 @@ def needed_sets(docs: DataFrame, text: str, ids: DataFrame, size: int) -> DataFr
     join decides.
     """
     bits = 23
+    ids = written(ids, "wanted-classes")
     marked = ids.select(F.shiftrightunsigned("id", 64 - bits).cast("int").alias("bit")).distinct()
 
     def table(batches):
@@ -275,9 +284,8 @@ def linked_classes(classes: DataFrame, docs: DataFrame, text: str, size: int, nu
     entries = classes.select("id", "n", "centre", F.posexplode("prefix").alias("pos", "gram"))
     shared = entries.groupBy("gram").count().filter("count > 1").select("gram")
     index = written(entries.join(shared, "gram"), "prefix-index")
-    ids = written(index.select("id").distinct(), "candidate-classes")
-    verify = Verifier(written(classes.join(ids, "id", "left_semi").select("id", "ranges"), "candidate-ranges"),
-                      needed_sets(docs, text, ids, size), num, den)
+    release(index.sparkSession)
+    verify = Verifier(classes, docs, text, size, num, den)
     found = None  # star edges of the components so far
     for round_ in range(MAX_ROUNDS):
         centre = index.groupBy("gram").agg(*[F.max_by(c, F.struct("centre", "id")).alias(f"centre_{c}") for c in ("id", "n", "pos")])
@@ -337,6 +345,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = found.select("doc_id", "n", "id")
     # rows of one id are alike but for doc_id: any one stands for the class
     classes = written(found.filter("id is not null").drop("doc_id").dropDuplicates(["id"]), "shingle-classes")
+    release(classes.sparkSession)
     stars = linked_classes(classes, rows, "text", size, num, den)
     rooted_members = rooted(members, stars)
     smallest = (rooted_members.filter("id is not null").groupBy(F.col("root").alias("root_"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy code handles at once; a single longer document is handled alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table lives in shared storage, so lost executors cost nothing that was finished.
     The schema is handed to the reader, which also makes empty results readable.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with little to do
+    rarely does; without this a job of many steps keeps the shuffles of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused(df_or_names, *wanted: str) -> list[str]:
