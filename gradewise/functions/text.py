@@ -28,7 +28,7 @@ def py_find(s, sub: str) -> Column:
 def after_first(s, marker: str) -> Column:
     """Text after the first occurrence of ``marker`` (``split(marker, 1)[1]``)."""
     s = as_col(s)
-    return F.substring(s, F.instr(s, marker) + len(marker), F.lit(1 << 30))
+    return F.substr(s, F.instr(s, marker) + len(marker))
 
 
 def py_strip(s) -> Column:
@@ -105,7 +105,7 @@ def last_boxed(s) -> Column:
 def remove_boxed(b) -> Column:
     """Inside of a ``\\boxed`` string; NULL when it is not a ``\\boxed{..}`` form."""
     b = as_col(b)
-    return (F.when(b.startswith("\\boxed "), F.substring(b, 8, F.lit(1 << 30)))
+    return (F.when(b.startswith("\\boxed "), F.substr(b, F.lit(8)))
              .when(b.startswith("\\boxed{") & b.endswith("}"),
                    F.substring(b, 8, F.length(b) - 8)))
 
@@ -185,16 +185,27 @@ def truth_identities(solution_text) -> Column:
 
 def predicted_identities(answer, names) -> Column:
     """Roles the answer gives each expected name; NULL when the number of
-    role words differs from the number of names or a name is not resolved."""
+    role words differs from the number of names or a name is not resolved.
+
+    All ``is a knight / knave`` claims are taken out once with one constant
+    pattern; a name gets the role of the first claim whose words end with it.
+    """
     answer, names = as_col(answer), as_col(names)
     n_roles = let(F.lower(answer), lambda low: count_substr(low, "knight") + count_substr(low, "knave"))
-
-    def role_of(name):
-        pat = F.concat(F.lit(r"(?i)\b"), name, F.lit(r"\b\s+is\s+a\s+\b(knight|knave)\b"))
-        return F.lower(F.call_function("regexp_extract", answer, pat, F.lit(1)))
-    pred = F.transform(names, lambda n: F.struct(n.alias("name"), role_of(n).alias("role")))
-    complete = F.forall(pred, lambda p: p["role"] != "")
-    return F.when(answer.isNotNull() & (n_roles == F.size(names)) & complete, pred)
+    claims = F.regexp_extract_all(answer, F.lit(r"(?is)(.*?)\b\s+is\s+a\s+\b(?:knight|knave)\b"), 1)
+    roles = F.regexp_extract_all(answer, F.lit(r"(?is).*?\b\s+is\s+a\s+\b(knight|knave)\b"), 1)
+
+    def resolved(found):
+        def role_of(name):
+            low = F.lower(name)
+            ends = F.filter(found, lambda c: F.endswith(c["words"], low) & (
+                (F.length(c["words"]) == F.length(low))
+                | ~F.substr(c["words"], F.length(c["words"]) - F.length(low), F.lit(1)).rlike(r"\w")))
+            return F.coalesce(F.try_element_at(ends, F.lit(1))["role"], F.lit(""))
+        pred = F.transform(names, lambda n: F.struct(n.alias("name"), role_of(n).alias("role")))
+        return let(pred, lambda p: F.when(F.forall(p, lambda x: x["role"] != ""), p))
+    found = F.zip_with(claims, roles, lambda c, r: F.struct(F.lower(c).alias("words"), F.lower(r).alias("role")))
+    return F.when(answer.isNotNull() & (n_roles == F.size(names)), let(found, resolved))
 
 
 def identities_match(pred, truth) -> Column:
@@ -219,6 +230,24 @@ def tags_in_order(s, tags: list[str]) -> Column:
     return once & ordered
 
 
+VERIFY_TAGS = ["<think>", "</think>", "<verify>", "</verify>", "<answer>", "</answer>"]
+
+
+def verify_structure(s) -> Column:
+    """Each of the six tags once; blocks open before they close, and ``<verify>`` and
+    ``<answer>`` begin at most one character after the end of the block before them."""
+    s = as_col(s)
+    ok = F.lit(True)
+    for t in VERIFY_TAGS:
+        ok = ok & (count_substr(s, t) == 1)
+    at = {t: F.instr(s, t) for t in VERIFY_TAGS}
+    for opened, closed in zip(VERIFY_TAGS[::2], VERIFY_TAGS[1::2]):
+        ok = ok & (at[opened] <= at[closed])
+    for closed, following in (("</think>", "<verify>"), ("</verify>", "<answer>")):
+        ok = ok & (at[following] - (at[closed] + len(closed)) <= 1)
+    return ok
+
+
 # --- T18 / T19 / R13 / R14 ------------------------------------------------------------
 
 def word_count(s) -> Column:
@@ -257,9 +286,11 @@ def language_mix_reward(s) -> Column:
 # Logic symbols rewarded by the logic rule; each symbol also in
 # its escaped spelling, which the reference lists as literal text.
 LOGIC_SYMBOLS = ["∨", "\\u2228", "∧", "\\u2227", "¬", "\\u00AC"]
-# Reflection words and symbols of the thinking rule.
+# Reflection words and symbols of the thinking rule; the rule for
+# responses with a verify block does not count its own word.
 REFLECTION_TOKENS = ["wait", "verify", "yet", "re-evaluate", "review",
                      "∨", "\\u2228", "∧", "\\u2227", "¬", "\\u00AC"]
+VERIFY_REFLECTION_TOKENS = [t for t in REFLECTION_TOKENS if t != "verify"]
 
 
 def logic_symbol_reward(s) -> Column:
@@ -277,7 +308,8 @@ def think_content(s, end_tag: str = "</think>") -> Column:
     return py_slice(s, py_find(s, "<think>") + 7, py_find(s, end_tag))
 
 
-def thinking_factor(processed, names, end_tag: str = "</think>", word_bonus: bool = True) -> Column:
+def thinking_factor(processed, names, end_tag: str = "</think>", word_bonus: bool = True,
+                    tokens: list[str] = REFLECTION_TOKENS) -> Column:
     """1 + 1e-5·floor(words/100); halved per expected name missing from
     the thinking; if still >= 1, +1e-5 per reflection token present."""
     def factor(think):
@@ -289,7 +321,7 @@ def thinking_factor(processed, names, end_tag: str = "</think>", word_bonus: boo
 
         def with_bonus(low):
             bonus = F.lit(0.0)
-            for tok in REFLECTION_TOKENS:
+            for tok in tokens:
                 bonus = bonus + F.when(F.instr(low, tok) > 0, 1e-5).otherwise(0.0)
             return bonus
         return let(f, lambda fv: F.when(fv >= 1.0, fv + let(F.lower(think), with_bonus)).otherwise(fv))

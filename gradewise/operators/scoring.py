@@ -28,9 +28,10 @@ def _result(score: Column, extra: dict[str, Column] | None = None) -> Column:
     return F.struct(score.cast("double").alias("score"), m.alias("extra"))
 
 
-def _puzzle_let(response, solution_text, body, with_marker: bool = True) -> Column:
+def _puzzle_let(response, solution_text, body, with_marker: bool = True, with_prediction: bool = False) -> Column:
     """Evaluate the puzzle parse once per row and hand the pieces to ``body``
-    (processed, answer, truth, names, parsed, match, has_answer)."""
+    (processed, answer, truth, names, parsed, match, has_answer, and the
+    prediction where it is asked for)."""
     processed = T.assistant_part(response) if with_marker else as_col(response)
 
     def with_truth(p, a, t):
@@ -39,7 +40,7 @@ def _puzzle_let(response, solution_text, body, with_marker: bool = True) -> Colu
                 parsed = pred.isNotNull() & (F.size(pred) > 0)
                 match = parsed & T.identities_match(pred, t)
                 has_answer = a.isNotNull() & (a != "")
-                return body(p, a, t, names, parsed, match, has_answer)
+                return body(p, a, t, names, parsed, match, has_answer, *([pred] if with_prediction else []))
             return let(T.predicted_identities(a, names), with_pred)
         return let(F.transform(t, lambda x: x["name"]), with_names)
     return let(processed, lambda p: let(T.last_answer_block(p), lambda a: let(
@@ -57,12 +58,11 @@ def with_puzzle_parse(df: DataFrame, response="response", solution_text="solutio
     filter (predicate pushdown substitutes column references by their
     expressions).
     """
-    def body(processed, answer, truth, names, parsed, match, has_answer):
-        pred = T.predicted_identities(answer, names)
+    def body(processed, answer, truth, names, parsed, match, has_answer, pred):
         return F.struct(processed.alias("processed"), answer.alias("answer"), truth.alias("truth"),
                         names.alias("names"), pred.alias("pred"), parsed.alias("parsed"), match.alias("match"),
                         has_answer.alias("has_answer"))
-    d = df.withColumn("_pz", _puzzle_let(response, solution_text, body, with_marker))
+    d = df.withColumn("_pz", _puzzle_let(response, solution_text, body, with_marker, True))
     for f in ("processed", "answer", "truth", "names", "pred", "parsed", "match", "has_answer"):
         d = d.withColumn(f"_pz_{f}", F.col("_pz")[f])
     return d.drop("_pz")
@@ -92,21 +92,23 @@ def puzzle_scores(df: DataFrame, variant: str = "pure", response="response",
     elif variant in ("new", "verify"):
         vlen = F.col(valid_response_length) if isinstance(valid_response_length, str) else valid_response_length
         end_tag = "</think>" if variant == "new" else "</verify>"
-        d = d.withColumn("thinking_factor", T.thinking_factor(proc, names, end_tag, word_bonus=(variant == "new")))
+        tokens = T.REFLECTION_TOKENS if variant == "new" else T.VERIFY_REFLECTION_TOKENS
+        d = d.withColumn("thinking_factor", T.thinking_factor(proc, names, end_tag, variant == "new", tokens))
         f = F.col("thinking_factor")
-        full = 2.0 * f if variant == "new" else F.when(f == 1.0, 2.0).otherwise(2.0 * f)
-        ans = F.when(~has_answer, -2.0).when(~parsed, -1.0).when(match, full).otherwise(-0.5)
+        judged = has_answer
+        if variant == "verify":
+            d = d.withColumn("format_score", F.when(T.verify_structure(proc), 0.0).otherwise(-1.0))
+            judged = has_answer & (F.col("format_score") == 0.0) & (vlen > MIN_VERIFY_TOKENS)
+        ans = F.when(~judged, -2.0).when(~parsed, -1.0).when(match, 2.0 * f).otherwise(-0.5)
         if variant == "new":
             length = F.when((vlen <= 100) | (vlen >= max_response_length), -1.0).otherwise(0.0)
             d = d.withColumn("length_score", length).withColumn("score", ans + F.col("length_score"))
         else:
-            fmt = F.when(T.tags_in_order(proc, VERIFY_TAGS), 0.0).otherwise(-1.0)
-            length = F.when((vlen < 500) | (vlen >= max_response_length), -1.0).otherwise(0.0)
-            d = (d.withColumn("format_score", fmt).withColumn("language_mix_score", T.language_mix_reward(response))
-                  .withColumn("length_score", length)
+            length = F.when((vlen <= MIN_VERIFY_TOKENS) | (vlen >= max_response_length), -1.0).otherwise(0.0)
+            d = (d.withColumn("language_mix_score", T.language_mix_reward(response)).withColumn("length_score", length)
                   .withColumn("score", ans + F.col("format_score") + F.col("language_mix_score") + F.col("length_score")))
-        d = (d.withColumn("outcome_score", F.when(has_answer & match, 1.0).otherwise(0.0))
-              .withColumn("thinking_factor", F.when(has_answer & match, f).otherwise(1.0)))
+        d = (d.withColumn("outcome_score", F.when(judged & match, 1.0).otherwise(0.0))
+              .withColumn("thinking_factor", F.when(judged & match, f).otherwise(1.0)))
     else:
         raise ValueError(f"unknown puzzle scorer {variant!r}")
     return drop_puzzle_parse(d)
@@ -148,28 +150,31 @@ def puzzle_score_new(response, solution_text, valid_response_length, max_respons
     return _puzzle_let(response, solution_text, body)
 
 
-VERIFY_TAGS = ["<think>", "</think>", "<verify>", "</verify>", "<answer>", "</answer>"]
+MIN_VERIFY_TOKENS = 500
 
 
-def puzzle_score_verify(response, solution_text, valid_response_length, max_response_length: int,
-                        min_response_length: int = 500) -> Column:
-    """Six-tag order check (format -1), language rule (-5), answer as in
-    "new" with the thinking read up to ``</verify>`` and no word bonus, and a
-    length penalty outside [min, max)."""
+def puzzle_score_verify(response, solution_text, valid_response_length, max_response_length: int) -> Column:
+    """Structure of the six tags (else -1), language rule (-5), a penalty for at most
+    500 or at least the maximum of tokens (-1), and an answer that counts only in the right
+    structure and above 500 tokens: 2 x thinking factor, -0.5 wrong, -1 unparsed, else -2.
+    The thinking is read up to ``</verify>``, without a bonus for its length."""
     vlen = as_col(valid_response_length)
-    length = F.when((vlen < min_response_length) | (vlen >= max_response_length), -1.0).otherwise(0.0)
+    length = F.when((vlen <= MIN_VERIFY_TOKENS) | (vlen >= max_response_length), -1.0).otherwise(0.0)
     lang = T.language_mix_reward(response)
 
     def body(processed, answer, truth, names, parsed, match, has_answer):
-        fmt = F.when(T.tags_in_order(processed, VERIFY_TAGS), 0.0).otherwise(-1.0)
-
-        def scored(factor):
-            full = F.when(factor == 1.0, 2.0).otherwise(2.0 * factor)
-            ans = F.when(~has_answer, -2.0).when(~parsed, -1.0).when(match, full).otherwise(-0.5)
-            return _result(ans + fmt + lang + length, {
-                "outcome_score": F.when(has_answer & match, 1).otherwise(0),
-                "format_score": fmt, "language_mix_score": lang, "length_score": length})
-        return let(T.thinking_factor(processed, names, end_tag="</verify>", word_bonus=False), scored)
+        def structured(ok):
+            judged = ok & has_answer & (vlen > MIN_VERIFY_TOKENS)
+            fmt = F.when(ok, 0.0).otherwise(-1.0)
+
+            def scored(factor):
+                ans = F.when(~judged, -2.0).when(~parsed, -1.0).when(match, 2.0 * factor).otherwise(-0.5)
+                return _result(ans + fmt + lang + length, {
+                    "outcome_score": F.when(judged & match, 1).otherwise(0),
+                    "format_score": fmt, "language_mix_score": lang, "length_score": length,
+                    "thinking_factor": F.when(judged & match, factor).otherwise(1.0)})
+            return let(T.thinking_factor(processed, names, "</verify>", False, T.VERIFY_REFLECTION_TOKENS), scored)
+        return let(T.verify_structure(processed), structured)
     return _puzzle_let(response, solution_text, body)
 
 
@@ -205,7 +210,7 @@ def open_math_score(response, ground_truth) -> Column:
                     T.remove_boxed(T.last_boxed(g)), g)))
                 ans = (F.when(answer.isNull() | (answer == ""), -2.0)
                         .when(pred.isNull() | (pred == ""), -1.0)
-                        .when(answers_equal(pred, truth), 1.0)
+                        .when(stripped_equal(pred, truth), 1.0)
                         .otherwise(-0.5))
                 return let(ans, lambda a: _result(a + chat, {"outcome_score": F.when(a == 1.0, 1).otherwise(0),
                                                              "chat_score": chat}))
@@ -214,8 +219,8 @@ def open_math_score(response, ground_truth) -> Column:
     return let(T.assistant_part(response), on_processed)
 
 
-# Answer normalisation substitutions and removed words (subset of
-# the string rules; symbolic algebra is not reproduced).
+# Answer normalisation substitutions, removed words, and the patterns of
+# ``normalize_answer`` (symbolic algebra is not reproduced).
 ANSWER_SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""),
                         ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
 REMOVED_WORDS = ["square", "ways", "integers", "dollars", "mph", "inches", "ft", "hours", "km", "units",
@@ -244,34 +249,90 @@ def normalize_answer(s) -> Column:
     return F.when(x.rlike(r"^[0-9,]*[0-9][0-9,]*$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x)
 
 
+# What a decimal number looks like.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number(x: Column) -> Column:
+    """The value of a decimal number, else NULL (no engine-specific spellings)."""
+    return F.when(x.rlike(NUMBER), x.try_cast("double"))
+
+
+def stripped_equal(a, b) -> Column:
+    """After a second normalisation pass (commas out, LaTeX string rules): equal as
+    numbers when both are, else as strings."""
+    def stripped(x):
+        return T.strip_latex(F.replace(as_col(x), F.lit(","), F.lit("")))
+
+    def on(u, v):
+        return let(number(u), lambda x: let(number(v), lambda y: F.when(
+            x.isNotNull() & y.isNotNull(), x == y).otherwise(u == v)))
+    return let(stripped(a), lambda u: let(stripped(b), lambda v: on(u, v)))
+
+
 def answers_equal(a, b, rel_tol: float = 1e-4) -> Column:
-    """Equal strings, or numbers within a relative tolerance (also x100 / /100)."""
-    close = lambda u, v: F.abs(u - v) <= rel_tol * F.greatest(F.abs(u), F.abs(v))
+    """Equal without regard to case, outer blanks or spaces; or numbers (thousands
+    commas out) within a relative tolerance, also x100 and /100."""
+    def close(u, v):
+        return F.abs(u - v) <= rel_tol * F.greatest(F.abs(u), F.abs(v))
+
+    def plain(x):  # a money sign before, a percent sign after
+        x = F.when(x.rlike(r"^\$[0-9]+(\.[0-9]+)?"), F.substr(x, F.lit(2))).otherwise(x)
+        return F.when(x.rlike(r"^[0-9]+(\.[0-9]+)?\\?%$"), F.regexp_replace(x, r"\\?%$", "")).otherwise(x)
+
+    def digits(x):
+        return number(F.replace(F.replace(x, F.lit("{,}"), F.lit("")), F.lit(","), F.lit("")))
 
-    def on(a, b):
-        def nums(x, y):
-            num = x.isNotNull() & y.isNotNull() & (close(x, y) | close(x, y * 100) | close(x, y / 100))
-            return (a == b) | F.coalesce(num, F.lit(False))
-        return let(a.try_cast("double"), lambda x: let(b.try_cast("double"), lambda y: nums(x, y)))
-    return let(as_col(a), lambda av: let(as_col(b), lambda bv: on(av, bv)))
+    def on(u, v):
+        same = (F.lower(T.py_strip(u)) == F.lower(T.py_strip(v))) | (
+            F.replace(u, F.lit(" "), F.lit("")) == F.replace(v, F.lit(" "), F.lit("")))
+        return let(digits(u), lambda x: let(digits(v), lambda y: same | F.coalesce(
+            close(x, y) | close(x, y * 100) | close(x, y / 100), F.lit(False))))
+    return let(plain(as_col(a)), lambda u: let(plain(as_col(b)), lambda v: on(u, v)))
 
 
 # --- R17-R19: contest-math answer handling -------------------------------------------
 
-# Phrases that introduce the final answer in contest solutions.
-ANSWER_PHRASES = ["The answer is:", "The answer is", "The final answer is", "Final Answer:", "Answer:"]
+# Markers of the final answer in contest solutions, in the order in which they
+# are looked for: the text after the first kind, the text before the second, and, once a box
+# and a closing sentence are dealt with, the text after the third.
+AFTER_MARKERS = ["answer:", "answer is", "answers are"]
+BEFORE_MARKERS = ["is answer", "is the answer", "are answers", "are the answers"]
+LAST_MARKERS = ["be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"]
 
 
 def contest_math_answer(response) -> Column:
-    """Text after the last answer phrase, else the last boxed answer;
-    markers and a trailing period cut; NULL unless it holds a digit."""
-    s = as_col(response)
-    after = F.lit(None).cast("string")
-    for p in reversed(ANSWER_PHRASES):
-        after = F.when(F.instr(s, p) > 0, F.substring_index(s, p, -1)).otherwise(after)
-    boxed = T.remove_boxed(T.last_boxed(s))
-    cand = T.py_strip(F.regexp_replace(F.coalesce(boxed, after), r"(\.\s*)$", ""))
-    return let(cand, lambda c: F.when(c.rlike("[0-9]"), c))
+    """The located answer; NULL when no marker or box was found or it has no digit."""
+    def step(state, found, text):
+        return let(state, lambda st: F.when(found(st["text"]), F.struct(
+            text(st["text"]).alias("text"), F.lit(True).alias("matched"))).otherwise(st))
+
+    def after(marker):
+        pattern = "(?is)^.*" + _quoted(marker) + "(.*)$"
+        return (lambda x: x.rlike(pattern)), (lambda x: T.py_strip(F.regexp_extract(x, pattern, 1)))
+
+    def before(marker):
+        pattern = "(?is)^(.*)" + _quoted(marker)
+        return (lambda x: x.rlike(pattern)), (lambda x: T.py_strip(F.regexp_extract(x, pattern, 1)))
+
+    def boxed(x):
+        return T.py_strip(F.regexp_extract(F.coalesce(T.last_boxed(x), F.lit("")), r"(?s)^\\(?:boxed|fbox)[^{]*\{(.*)\}$", 1))
+    state = F.struct(as_col(response).alias("text"), F.lit(False).alias("matched"))
+    for m in AFTER_MARKERS:
+        state = step(state, *after(m))
+    for m in BEFORE_MARKERS:
+        state = step(state, *before(m))
+    state = step(state, lambda x: boxed(x) != "", boxed)
+    # the part before the last full stop; not a sign of an answer by itself
+    state = let(state, lambda st: F.struct(F.when(F.instr(st["text"], ". ") > 0, T.py_strip(
+        F.regexp_extract(st["text"], r"(?s)^(.*)\. ", 1))).otherwise(st["text"]).alias("text"), st["matched"].alias("matched")))
+    for m in LAST_MARKERS:
+        state = step(state, *after(m))
+    return let(state, lambda st: F.when(st["matched"] & st["text"].rlike(r"\p{Nd}"), st["text"]))
+
+
+def _quoted(marker: str) -> str:
+    return marker.replace("\n", "\\n")  # no marker holds a pattern character
 
 
 def contest_math_format_ok(response) -> Column:
@@ -280,53 +341,100 @@ def contest_math_format_ok(response) -> Column:
     return (F.instr(s, "Step 2:") > 0) & (F.instr(s, "\\box") > 0)
 
 
-# Unit and scale words removed before numeric comparison.
-SCALE_WORDS = {"thousand": "e3", "million": "e6", "billion": "e9"}
+# Replacements, scale words and units of the contest normalisation.
+CONTEST_REPLACEMENTS = [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "),
+                        ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
+UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month",
+         "year", "foot", "feet", "inch", "yard", "liter"]
+#: Plain forms of the LaTeX that answers use most; other commands stay as they are.
+LATEX_WORDS = [("\\infty", "inf"), ("\\pi", "pi"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]
 
 
 def contest_math_normalize(s) -> Column:
-    """Drop units/percent/money marks, spell out scale words as exponents,
-    mixed numbers ``a\\frac{b}{c}`` -> ``a+b/c``, integer-valued floats -> int."""
-    x = as_col(s)
-    x = F.regexp_replace(x, r"\\text\{\s*[a-zA-Z ]+\}", "")
-    x = F.regexp_replace(x, r"(\\%|%|\\\$|\$)", "")
-    for w, e in SCALE_WORDS.items():
-        x = F.regexp_replace(x, rf"\s*{w}", e)
-    x = F.regexp_replace(x, r"^(\d+)\\frac\{(\d+)\}\{(\d+)\}$", "$1+$2/$3")
-    x = F.replace(x, F.lit(" "), F.lit(""))
+    """Unwrap ``\\text{}``, drop money, percent, unit and degree marks, write scale words
+    as powers, " or " / " and " as commas, unwrap outer braces, integer-valued numbers as
+    integers, ``7 3/4`` (also with ``\\frac``) as ``7+3/4``, lower case."""
+    x = F.regexp_replace(as_col(s), r"^\\text\{(.+?)\}$", "$1")
+    for a, b in CONTEST_REPLACEMENTS:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    for unit in UNITS:
+        x = F.regexp_replace(x, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
+    x = F.regexp_replace(x, r"\^ *\\circ", "")
+    x = F.regexp_replace(x, r"(?s)^\{(.*)\}$", "$1")
+    x = F.regexp_replace(x, r",\\! *", "")
+    x = let(x, lambda v: let(number(v), lambda num: F.when(whole(num), F.round(num).cast("long").cast("string")).otherwise(v)))
+    x = F.replace(F.replace(x, F.lit("\\tfrac"), F.lit("\\frac")), F.lit("\\dfrac"), F.lit("\\frac"))
+    x = F.regexp_replace(x, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", " $1/$2")
+    x = F.regexp_replace(x, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
+    for a, b in LATEX_WORDS:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    x = F.regexp_replace(F.regexp_replace(T.py_strip(x), "- *", "-"), "([0-9]) +([0-9])", "$1+$2")
 
-    def on(v):
-        return let(v.try_cast("double"), lambda num: F.coalesce(F.when(
-            num.isNotNull() & (num == F.floor(num)) & (F.abs(num) < 1e15),
-            F.floor(num).cast("long").cast("string")), v))
-    return let(x, on)
+    def integer(v):
+        return let(number(without_thousands(v)), lambda num: F.when(whole(num), num.cast("long").cast("string")).otherwise(v))
+    return let(F.lower(x), integer)
+
+
+def whole(num: Column) -> Column:
+    return num.isNotNull() & (F.abs(num - F.round(num)) <= 1e-7) & (F.abs(num) < 1e15)
+
+
+def without_thousands(x) -> Column:
+    """Commas between a digit and exactly three digits out; other commas separate items."""
+    return F.regexp_replace(as_col(x), r"(?<=[0-9]),(?=[0-9]{3}($|[^0-9]))", "")
 
 
 def tuple_parts(s) -> Column:
-    """``(a, b)`` / ``[a, b)`` / ``{a,b}`` -> trimmed items; the bracket
-    kinds are kept so intervals compare by their closedness."""
-    x = T.py_strip(as_col(s))
-    inner = F.regexp_replace(x, r"^[\(\[\{]|[\)\]\}]$", "")
-    return F.transform(F.split(inner, ","), lambda p: T.py_strip(p))
+    """Items of ``(a, b)`` / ``[a, b)`` without inner brackets, trimmed; else the whole."""
+    def on(x):
+        return F.when(x.rlike(r"^[()\[\]][^()\[\]]+[()\[\]]$"), F.transform(
+            F.split(F.substr(x, F.lit(2), F.length(x) - 2), ","), lambda p: T.py_strip(p))).otherwise(F.array(x))
+    return let(without_thousands(s), on)
+
+
+def _value(x: Column) -> Column:
+    """Value of a number, a fraction a/b or a mixed number a+b/c, else NULL."""
+    parts = F.regexp_extract_all(x, F.lit(r"^(?:(-?[0-9.]+)\+)?(-?[0-9.]+)/([0-9.]+)$"), 0)
+
+    def fraction(pattern_group):
+        return number(F.regexp_extract(x, r"^(?:(-?[0-9.]+)\+)?(-?[0-9.]+)/([0-9.]+)$", pattern_group))
+    quotient = fraction(2) / F.when(fraction(3) != 0, fraction(3))
+    return F.coalesce(number(x), F.when(F.size(parts) > 0, F.coalesce(fraction(1), F.lit(0.0)) + quotient))
+
 
+def _item_equal(truth: Column, given: Column) -> Column:
+    """Fractions must agree as written, whole numbers only with whole numbers; else by value."""
+    is_fraction = r"^-?[0-9]+.?/0*[1-9][0-9]*.?$"
+    whole_t, whole_g = (F.coalesce(whole(number(without_thousands(v))), F.lit(False)) for v in (truth, given))
+    by_value = F.coalesce(F.abs(_value(truth) - _value(given)) <= 1e-9 * F.greatest(F.abs(_value(truth)), F.lit(1.0)), F.lit(False))
+    return F.when(truth.rlike(is_fraction) & given.rlike(is_fraction), truth == given).when(
+        whole_t != whole_g, False).otherwise((truth == given) | by_value)
 
-def tuples_equal(a, b) -> Column:
-    """Same bracket kinds, same item count, items equal (R20 per item)."""
-    a, b = as_col(a), as_col(b)
-    pa, pb = tuple_parts(a), tuple_parts(b)
-    br = lambda x: F.concat(F.substring(T.py_strip(x), 1, 1), F.substring(F.reverse(T.py_strip(x)), 1, 1))
-    same_len = F.size(pa) == F.size(pb)
-    items = F.forall(F.zip_with(pa, pb, lambda u, v: answers_equal(contest_math_normalize(u),
-                                                                  contest_math_normalize(v))), lambda t: t)
-    return (br(a) == br(b)) & same_len & items
+
+def tuples_equal(given, truth) -> Column:
+    """Equal after normalisation, or the same brackets (where there are several items),
+    as many items, and each equal."""
+    def on(g, t):
+        def parts(gp, tp):
+            brackets = (F.substring(g, 1, 1) == F.substring(t, 1, 1)) & (F.right(g, F.lit(1)) == F.right(t, F.lit(1)))
+            return (g == t) | ((F.length(g) > 0) & (F.size(gp) == F.size(tp)) & ((F.size(tp) <= 1) | brackets) & F.forall(
+                F.zip_with(tp, gp, lambda u, v: _item_equal(u, v)), lambda ok: ok))
+        return let(tuple_parts(g), lambda gp: let(tuple_parts(t), lambda tp: parts(gp, tp)))
+    return let(contest_math_normalize(given), lambda g: let(contest_math_normalize(truth), lambda t: on(g, t)))
 
 
 def contest_math_score(response, ground_truth) -> Column:
-    """R17-R20 combined: 1 when the extracted answer equals the truth."""
+    """R17-R20 combined: 1 when the located answer equals the truth as LaTeX, as a normalised
+    answer or tuple, or as a number."""
     def on(ans):
-        return F.when(ans.isNull(), F.lit(False)).when(
-            as_col(ground_truth).rlike(r"^\s*[\(\[\{].*,.*[\)\]\}]\s*$"), tuples_equal(ans, ground_truth)
-        ).otherwise(answers_equal(contest_math_normalize(ans), contest_math_normalize(ground_truth)))
+        def pieces(x):
+            return F.transform(F.split(F.regexp_replace(x, r"^[(\[]|[)\]]$", ""), ","), lambda p: T.py_strip(p))
+        several = ans.rlike(r"^[(\[].+[)\]]$") & as_col(ground_truth).rlike(r"^[(\[].+[)\]]$")
+        by_item = let(pieces(ans), lambda a: let(pieces(as_col(ground_truth)), lambda b: (F.size(a) == F.size(b)) & F.forall(
+            F.zip_with(a, b, lambda u, v: answers_equal(u, v)), lambda ok: ok)))
+        equal = (T.strip_latex(T.py_strip(ans)) == T.strip_latex(T.py_strip(ground_truth))) | tuples_equal(ans, ground_truth) | \
+            answers_equal(ans, ground_truth) | (several & by_item)
+        return F.coalesce(ans.isNotNull() & equal, F.lit(False))
     eq = let(contest_math_answer(response), on)
     return _result(F.when(eq, 1.0).otherwise(0.0),
                    {"format_ok": F.when(contest_math_format_ok(response), 1).otherwise(0)})
@@ -357,6 +465,18 @@ def code_task_scores(outcomes: DataFrame, task: str = "task", test_id: str = "te
                  .drop("first_rate"))
 
 
+def recorded_outcomes_score(outcomes, first_n: int = 10) -> Column:
+    """R21 for one row: outcomes as text, ``1`` passed and anything else failed, separated by
+    commas, in test order."""
+    passed = F.transform(F.split(as_col(outcomes), ","), lambda o: F.when(T.py_strip(o) == "1", 1.0).otherwise(0.0))
+
+    def on(p):
+        first = F.slice(p, 1, first_n)
+        return F.when(F.forall(p, lambda x: x == 1.0), 1.0).otherwise(
+            F.aggregate(first, F.lit(0.0), lambda acc, x: acc + x) / F.size(first))
+    return _result(let(passed, on))
+
+
 # --- R23-R26: registry and reward manager ----------------------------------------------
 
 class ScorerRegistry:
@@ -387,7 +507,7 @@ class ScorerRegistry:
 def default_registry(puzzle_variant: str = "pure") -> ScorerRegistry:
     """The reference's routing: exact names for math word problems and
     boxed math, substring ``kk`` for puzzles, ``orz`` for open math, contest
-    math sources, code sources (recorded outcomes, see ``code_task_scores``)."""
+    math sources, and code sources, whose ``ground_truth`` holds the recorded outcomes."""
     puzzle = {"pure": lambda r, g, **kw: puzzle_score_pure(r, g),
               "v1": lambda r, g, **kw: puzzle_score_v1(r, g)}[puzzle_variant]
     reg = ScorerRegistry()
@@ -399,6 +519,8 @@ def default_registry(puzzle_variant: str = "pure") -> ScorerRegistry:
     reg.register("contest_math", lambda s: s.isin("numina_aops_forum", "numina_synthetic_math", "numina_amc_aime",
                                                   "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads"),
                  lambda r, g, **kw: contest_math_score(r, g))
+    reg.register("code", lambda s: s.isin("codecontests", "apps", "codeforces", "taco"),
+                 lambda r, g, **kw: recorded_outcomes_score(g))
     return reg
 
 
@@ -483,7 +605,24 @@ def alt_puzzle_parse(df: DataFrame, response="response", solution_text="solution
     return drop_puzzle_parse(d)
 
 
-# --- R29-R31: digit-completion task ---------------------------------------------------
+# --- R29-R31, K12: digit-completion task ---------------------------------------------------
+
+def digit_prompt_count(max_number: int, max_diff: int, max_completions: int) -> int:
+    """Number of prompts that ``digit_prompt_at`` enumerates."""
+    return (max_number + 1) * (max_diff + 1) * (max_completions + 1)
+
+
+def digit_prompt_at(index, max_number: int, max_diff: int, max_completions: int) -> Column:
+    """Prompt ``first,second:max,n`` number ``index`` of all: first numbers 0..max, then
+    differences 0..max_diff (modulo max), then 0..max_completions numbers to complete."""
+    def on(i):
+        n = F.pmod(i, F.lit(max_completions + 1))
+        diff = F.pmod(F.floor(i / (max_completions + 1)), F.lit(max_diff + 1))
+        first = F.floor(i / ((max_completions + 1) * (max_diff + 1)))
+        second = F.pmod(first + diff, F.lit(max_number))
+        return F.concat(first.cast("string"), F.lit(","), second.cast("string"), F.lit(f":{max_number},"), n.cast("string"))
+    return let(as_col(index).cast("long"), on)
+
 
 def digit_ground_truth(prompt) -> Column:
     """Prompt ``a,b:max,n`` -> ``n`` numbers continuing the arithmetic

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.common import seeded_draw, seeded_sql
 from ..operators import scoring as S
 from ..session import spread, table
 from .registry import register
@@ -164,10 +165,12 @@ def r4_boxed_score(spark, sf):
 # Fixed values of this fixture: the people's names.
 NAMES = ["Zoey", "Oliver", "Mia", "Lucas", "Emma", "Noah", "Ava", "Liam"]
 MAX_RESPONSE_TOKENS = 120
+MAX_VERIFY_TOKENS = 1200
 
 
-def puzzle_responses(spark, sf):
-    """One templated response per order: variant ``o_orderkey % 7`` is correct,
+def puzzle_responses(spark, sf, verify: bool = False):
+    """One templated response per order (``verify`` puts a verify block of 0 to 1,600 words
+    after the thinking, at once, after one character or after several): variant ``o_orderkey % 7`` is correct,
     one role flipped, a name missing, an extra role word, no answer tags, two
     answer blocks, or answer before thinking."""
     o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
@@ -197,7 +200,10 @@ def puzzle_responses(spark, sf):
                      F.repeat(F.lit("step "), (F.col("o_custkey") % 250).cast("int")),
                      F.when(F.col("o_orderkey") % 3 == 0, F.lit("Wait, let me verify with ∨ and ∧."))
                       .otherwise(F.lit("Done.")))
-    th = F.concat(F.lit("<think>"), think, F.lit("</think>\n"))
+    gap = F.when(F.col("o_custkey") % 3 == 0, "").when(F.col("o_custkey") % 3 == 1, "\n").otherwise(" so ")
+    checked = F.concat(gap, F.lit("<verify>"), F.repeat(F.lit("check "), (F.col("o_orderkey") % 5 * 400).cast("int")),
+                       F.lit("</verify>"), F.when(F.col("o_custkey") % 5 == 0, "\n\n").otherwise("\n"))
+    th = F.concat(F.lit("<think>"), think, F.lit("</think>"), checked if verify else F.lit("\n"))
     ans = lambda x: F.concat(F.lit("<answer>"), x, F.lit("</answer>"))
     v = F.col("v")
     body = (F.when(v == 1, F.concat(th, ans(flipped)))
@@ -391,37 +397,42 @@ def r32_approx_tokens(spark, sf):
 
 
 def _verify_sql() -> str:
+    """The rules of the variant over responses with a verify block."""
+    block = ("(CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) ELSE ' so ' END) || '<verify>' || "
+             "repeat('check ', CAST(o_orderkey % 5 * 400 AS INTEGER)) || '</verify>' || "
+             "(CASE WHEN o_custkey % 5 = 0 THEN chr(10) || chr(10) ELSE chr(10) END)")
+    puzzle = _PUZZLE_SQL.replace("'</think>' || chr(10)", f"'</think>' || {block}")
     think = _py_slice_sql("processed", "instr(processed, '<think>') - 1 + 7", "instr(processed, '</verify>') - 1")
-    toks = ["wait", "verify", "yet", "re-evaluate", "review", "∨", "\\u2228", "∧", "\\u2227", "¬", "\\u00AC"]
+    toks = ["wait", "yet", "re-evaluate", "review", "∨", "\\u2228", "∧", "\\u2227", "¬", "\\u00AC"]
     bonus = " + ".join(f"CAST(contains(lower(tv), '{t}') AS INT)" for t in toks)
     tags = ["<think>", "</think>", "<verify>", "</verify>", "<answer>", "</answer>"]
-    once = " AND ".join(f"(length(processed) - length(replace(processed, '{t}', ''))) // {len(t)} = 1" for t in tags)
-    order = " AND ".join(f"instr(processed, '{a}') <= instr(processed, '{b}')" for a, b in zip(tags, tags[1:]))
-    return _PUZZLE_SQL + f""",
-v1 AS (SELECT *, {think} AS tv FROM a7),
+    once = " AND ".join(f"len(string_split(processed, '{t}')) = 2" for t in tags)
+    return puzzle + f""",
+v1 AS (SELECT *, {think} AS tv, {once} AS once,
+              {", ".join(f"strpos(processed, '{t}') - 1 AS at{i}" for i, t in enumerate(tags))} FROM a7),
 v2 AS (SELECT *, power(0.5, len(list_filter(names, lambda nm: NOT contains(tv, nm)))) AS g0,
-              ({once} AND {order}) AS fmt6,
-              regexp_matches(response, '{_NON_LATIN_SQL_R}') AS non_latin FROM v1),
-v3 AS (SELECT *, CASE WHEN g0 >= 1.0 THEN g0 + 1e-5 * ({bonus}) ELSE g0 END AS fv FROM v2)
+              once AND NOT (at0 > at1 OR at2 - (at1 + 8) > 1 OR at2 > at3 OR at4 - (at3 + 9) > 1 OR at4 > at5) AS fmt6,
+              regexp_matches(response, '{_NON_LATIN_SQL_R}') AS non_latin,
+              CASE WHEN vlen <= 500 OR vlen >= {MAX_VERIFY_TOKENS} THEN -1.0 ELSE 0.0 END AS len_score FROM v1),
+v3 AS (SELECT *, CASE WHEN g0 = 1.0 THEN g0 + 1e-5 * ({bonus}) ELSE g0 END AS fv FROM v2)
 """
 
 
-@register("R12", _verify_sql() + f"""
+@register("R12", _verify_sql() + """
 SELECT o_orderkey, CAST(round(1e11 * (
-    (CASE WHEN NOT has_answer THEN -2.0 WHEN NOT parsed THEN -1.0
-          WHEN match THEN (CASE WHEN fv = 1.0 THEN 2.0 ELSE 2.0 * fv END) ELSE -0.5 END)
-    + (CASE WHEN fmt6 THEN 0.0 ELSE -1.0 END) + (CASE WHEN non_latin THEN -5.0 ELSE 0.0 END)
-    + (CASE WHEN vlen < 500 OR vlen >= {MAX_RESPONSE_TOKENS} THEN -1.0 ELSE 0.0 END))) AS BIGINT) AS score_e11,
+    (CASE WHEN NOT (fmt6 AND has_answer AND vlen > 500) THEN -2.0 WHEN NOT parsed THEN -1.0 WHEN match THEN 2.0 * fv ELSE -0.5 END)
+    + (CASE WHEN fmt6 THEN 0.0 ELSE -1.0 END) + (CASE WHEN non_latin THEN -5.0 ELSE 0.0 END) + len_score)) AS BIGINT) AS score_e11,
   CAST(CASE WHEN fmt6 THEN 0.0 ELSE -1.0 END AS DOUBLE) AS format_score,
   CAST(CASE WHEN non_latin THEN -5.0 ELSE 0.0 END AS DOUBLE) AS language_mix_score,
-  CAST(CASE WHEN vlen < 500 OR vlen >= {MAX_RESPONSE_TOKENS} THEN -1.0 ELSE 0.0 END AS DOUBLE) AS length_score
+  CAST(len_score AS DOUBLE) AS length_score,
+  CAST(CASE WHEN fmt6 AND has_answer AND vlen > 500 AND match THEN 1.0 ELSE 0.0 END AS DOUBLE) AS outcome_score
 FROM v3""")
 def r12_puzzle_verify(spark, sf):
-    """Verify-variant scores (six-tag order, language rule, length window)."""
-    r = puzzle_responses(spark, sf).withColumn("vlen", T.approx_tokens("response"))
-    r = S.puzzle_scores(r, "verify", valid_response_length="vlen", max_response_length=MAX_RESPONSE_TOKENS)
+    """Verify-variant scores (structure of six tags, language rule, length window)."""
+    r = puzzle_responses(spark, sf, verify=True).withColumn("vlen", T.approx_tokens("response"))
+    r = S.puzzle_scores(r, "verify", valid_response_length="vlen", max_response_length=MAX_VERIFY_TOKENS)
     return r.select("o_orderkey", F.round(F.col("score") * 1e11).cast("bigint").alias("score_e11"),
-                    "format_score", "language_mix_score", "length_score")
+                    "format_score", "language_mix_score", "length_score", "outcome_score")
 
 
 # --- R15-R20: open / contest math answers built from part ------------------------------
@@ -432,19 +443,32 @@ def math_answers(spark, sf):
     x = F.col("p_size").cast("string")
     y = (F.col("p_partkey") % 9 + 1).cast("string")
     price = F.floor("p_retailprice")
-    v = F.col("p_partkey") % 8
-    resp = (F.when(v == 0, F.concat(F.lit("Step 1: add. Step 2: so The answer is \\boxed{"), x, F.lit("}")))
-             .when(v == 1, F.concat(F.lit("The final answer is "), F.format_number(price, 0), F.lit(" dollars.")))
-             .when(v == 2, F.concat(F.lit("Answer: "), x, F.lit("\\%")))
-             .when(v == 3, F.concat(F.lit("Answer: ("), x, F.lit(", "), y, F.lit(")")))
-             .when(v == 4, F.concat(F.lit("<answer>so \\boxed{\\frac{"), x, F.lit("}{"), y, F.lit("}}</answer>")))
-             .when(v == 5, F.concat(F.lit("The answer is "), x, F.lit(".0")))
-             .when(v == 6, F.concat(F.lit("user: hi Assistant: \\boxed{"), x, F.lit(" cm}")))
-             .otherwise(F.lit("no idea")))
-    gt = (F.when(v == 1, price.cast("string")).when(v == 2, F.concat(x, F.lit("%")))
-           .when(v == 3, F.concat(F.lit("("), x, F.lit(","), y, F.lit(")")))
-           .when(v == 4, F.concat(F.lit("\\frac{"), x, F.lit("}{"), y, F.lit("}"))).otherwise(x))
-    return p.select("p_partkey", resp.alias("response"), gt.alias("ground_truth"))
+    v = F.col("p_partkey") % 16
+    cases = {  # response, ground truth
+        0: (F.concat(F.lit("Step 1: add. Step 2: so The answer is \\boxed{"), x, F.lit("}")), x),
+        1: (F.concat(F.lit("The final answer is "), F.format_number(price, 0), F.lit(" dollars.")), price.cast("string")),
+        2: (F.concat(F.lit("Answer: "), x, F.lit("\\%")), F.concat(x, F.lit("%"))),
+        3: (F.concat(F.lit("Answer: ("), x, F.lit(", "), y, F.lit(")")), F.concat(F.lit("("), x, F.lit(","), y, F.lit(")"))),
+        4: (F.concat(F.lit("<answer>so \\boxed{\\frac{"), x, F.lit("}{"), y, F.lit("}}</answer>")),
+            F.concat(F.lit("\\frac{"), x, F.lit("}{"), y, F.lit("}"))),
+        5: (F.concat(F.lit("The answer is "), x, F.lit(".0")), x),
+        6: (F.concat(F.lit("user: hi Assistant: \\boxed{"), x, F.lit(" cm}")), x),
+        7: (F.lit("no idea"), x),
+        8: (F.concat(F.lit("so x = "), x), x),
+        9: (F.concat(F.lit("Therefore we get "), x, F.lit(". So done. The ANSWER IS "), x, F.lit(" hours. bye")), x),
+        10: (F.concat(F.lit("answer: ("), F.format_number(price, 0), F.lit(", "), y, F.lit(")")),
+             F.concat(F.lit("("), price.cast("string"), F.lit(", "), y, F.lit(")"))),
+        11: (F.concat(F.lit("Answer: \\boxed{"), x, F.lit(" "), y, F.lit("/7}")), F.concat(x, F.lit("+"), y, F.lit("/7"))),
+        12: (F.concat(F.lit("\\boxed{"), x, F.lit("} and "), y, F.lit(" is the answer")), y),
+        13: (F.concat(F.lit("the answers are ["), x, F.lit(", "), y, F.lit(") or more")), F.concat(F.lit("("), x, F.lit(","), y, F.lit(")"))),
+        14: (F.concat(F.lit("<answer>\\boxed{"), (F.col("p_size") * 100).cast("string"), F.lit("}</answer>")), x),
+        15: (F.concat(F.lit("answer is {"), x, F.lit(" million}")), F.concat(x, F.lit("*10^6"))),
+    }
+    resp = truth = None
+    for k, (r, t) in cases.items():
+        resp = F.when(v == k, r) if resp is None else resp.when(v == k, r)
+        truth = F.when(v == k, t) if truth is None else truth.when(v == k, t)
+    return p.select("p_partkey", resp.alias("response"), truth.alias("ground_truth"))
 
 
 def _normalize_answer_sql(x: str) -> str:
@@ -467,7 +491,8 @@ def _normalize_answer_sql(x: str) -> str:
 
 _MATH_SQL = r"""
 WITH r AS (
-  SELECT p_partkey, p_partkey % 8 AS v, CAST(p_size AS VARCHAR) AS x, CAST(p_partkey % 9 + 1 AS VARCHAR) AS y,
+  SELECT p_partkey, p_partkey % 16 AS v, CAST(p_size AS VARCHAR) AS x, CAST(p_partkey % 9 + 1 AS VARCHAR) AS y,
+         CAST(p_size * 100 AS VARCHAR) AS x100,
          CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS price, format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) AS price_c
   FROM part),
 m AS (
@@ -479,17 +504,44 @@ m AS (
            WHEN 4 THEN '<answer>so \boxed{\frac{' || x || '}{' || y || '}}</answer>'
            WHEN 5 THEN 'The answer is ' || x || '.0'
            WHEN 6 THEN 'user: hi Assistant: \boxed{' || x || ' cm}'
-           ELSE 'no idea' END AS response,
+           WHEN 7 THEN 'no idea'
+           WHEN 8 THEN 'so x = ' || x
+           WHEN 9 THEN 'Therefore we get ' || x || '. So done. The ANSWER IS ' || x || ' hours. bye'
+           WHEN 10 THEN 'answer: (' || price_c || ', ' || y || ')'
+           WHEN 11 THEN 'Answer: \boxed{' || x || ' ' || y || '/7}'
+           WHEN 12 THEN '\boxed{' || x || '} and ' || y || ' is the answer'
+           WHEN 13 THEN 'the answers are [' || x || ', ' || y || ') or more'
+           WHEN 14 THEN '<answer>\boxed{' || x100 || '}</answer>'
+           ELSE 'answer is {' || x || ' million}' END AS response,
     CASE v WHEN 1 THEN price WHEN 2 THEN x || '%' WHEN 3 THEN '(' || x || ',' || y || ')'
-           WHEN 4 THEN '\frac{' || x || '}{' || y || '}' ELSE x END AS ground_truth
+           WHEN 4 THEN '\frac{' || x || '}{' || y || '}' WHEN 10 THEN '(' || price || ', ' || y || ')'
+           WHEN 11 THEN x || '+' || y || '/7' WHEN 12 THEN y WHEN 13 THEN '(' || x || ',' || y || ')'
+           WHEN 15 THEN x || '*10^6' ELSE x END AS ground_truth
   FROM r)
 """
 
 
-@register("R16", _MATH_SQL + f"SELECT p_partkey, {_normalize_answer_sql('response')} AS normalized FROM m")
+def _strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+_NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _number_sql(x: str) -> str:
+    return f"(CASE WHEN regexp_matches({x}, '{_NUMBER_RE}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+
+
+@register("R16", _MATH_SQL + f""",
+n1 AS (SELECT p_partkey, {_normalize_answer_sql('response')} AS normalized, {_normalize_answer_sql('ground_truth')} AS truth FROM m),
+n2 AS (SELECT *, replace(normalized, ',', '') AS u0, replace(truth, ',', '') AS v0 FROM n1),
+n3 AS (SELECT *, {_strip_latex_sql('u0')} AS u, {_strip_latex_sql('v0')} AS v FROM n2),
+n4 AS (SELECT *, {_number_sql('u')} AS x, {_number_sql('v')} AS y FROM n3)
+SELECT p_partkey, normalized, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x = y ELSE u = v END AS same FROM n4""")
 def r16_normalize(spark, sf):
-    r = math_answers(spark, sf)
-    return r.select("p_partkey", S.normalize_answer("response").alias("normalized"))
+    """Normalised answers, and their equality after the second pass."""
+    r = math_answers(spark, sf).withColumn("normalized", S.normalize_answer("response"))
+    return r.select("p_partkey", "normalized", S.stripped_equal("normalized", S.normalize_answer("ground_truth")).alias("same"))
 
 
 def _last_boxed_sql(src: str, key: str, text: str, tag: str) -> str:
@@ -515,58 +567,86 @@ def _last_boxed_sql(src: str, key: str, text: str, tag: str) -> str:
 """
 
 
-def _after_phrase_sql(x: str) -> str:
-    out = "CAST(NULL AS VARCHAR)"
-    for ph in reversed(S.ANSWER_PHRASES):
-        out = f"CASE WHEN contains({x}, '{ph}') THEN string_split({x}, '{ph}')[-1] ELSE {out} END"
-    return out
-
-
-_CONTEST_SQL = _MATH_SQL + "," + _last_boxed_sql("m", "p_partkey", "response", "cb") + rf""",
-ca AS (
-  SELECT p_partkey, s,
-    regexp_replace(regexp_replace(coalesce(inner_box, {_after_phrase_sql('s')}), '(\.\s*)$', ''), '^\s+|\s+$', '', 'g') AS cand
-  FROM cbu),
-cn AS (SELECT p_partkey, s, CASE WHEN regexp_matches(cand, '[0-9]') THEN cand END AS answer FROM ca)
-"""
-
-
-def _contest_norm_sql(x: str) -> str:
-    y = rf"regexp_replace({x}, '\\text\{{\s*[a-zA-Z ]+\}}', '', 'g')"
-    y = rf"regexp_replace({y}, '(\\%|%|\\\$|\$)', '', 'g')"
-    for w, e in S.SCALE_WORDS.items():
-        y = rf"regexp_replace({y}, '\s*{w}', '{e}', 'g')"
-    y = rf"regexp_replace({y}, '^(\d+)\\frac\{{(\d+)\}}\{{(\d+)\}}$', '\1+\2/\3')"
-    y = f"replace({y}, ' ', '')"
-    num = f"TRY_CAST({y} AS DOUBLE)"
-    return (f"coalesce(CASE WHEN {num} IS NOT NULL AND {num} = floor({num}) AND abs({num}) < 1e15 "
-            f"THEN CAST(CAST(floor({num}) AS BIGINT) AS VARCHAR) END, {y})")
-
-
-def _answers_equal_sql(a: str, b: str) -> str:
-    x, y = f"TRY_CAST(({a}) AS DOUBLE)", f"TRY_CAST(({b}) AS DOUBLE)"
-
-    def close(u, v):
-        return f"(abs({u} - {v}) <= 1e-4 * greatest(abs({u}), abs({v})))"
-    num = f"({x} IS NOT NULL AND {y} IS NOT NULL AND ({close(x, y)} OR {close(x, y + ' * 100')} OR {close(x, y + ' / 100')}))"
-    return f"(({a}) = ({b}) OR coalesce({num}, false))"
+def _located_sql() -> str:
+    """The located answer: one CTE per marker, in order; ends in ``cn`` (answer)."""
+    steps, at = ["c0 AS (SELECT p_partkey, response AS s, response AS text, false AS matched FROM m)"], 0
+
+    def add(found, text, counts=True):
+        nonlocal at
+        steps.append(f"c{at + 1} AS (SELECT p_partkey, s, CASE WHEN {found} THEN {text} ELSE text END AS text, "
+                     f"matched{f' OR {found}' if counts else ''} AS matched FROM c{at})")
+        at += 1
+
+    def after(marker):
+        q = marker.replace("\n", "\\n")
+        add(f"regexp_matches(text, '(?is){q}')", _strip_sql(f"regexp_extract(text, '(?is)^.*{q}(.*)$', 1)"))
+    for m in ["answer:", "answer is", "answers are"]:
+        after(m)
+    for m in ["is answer", "is the answer", "are answers", "are the answers"]:
+        add(f"regexp_matches(text, '(?is){m}')", _strip_sql(f"regexp_extract(text, '(?is)^(.*){m}', 1)"))
+    boxes = _last_boxed_sql(f"c{at}", "p_partkey", "text", "cb")
+    box = _strip_sql(r"regexp_extract(coalesce(boxed, ''), '(?s)^\\(?:boxed|fbox)[^{]*\{(.*)\}$', 1)")
+    steps.append(boxes + f", c{at + 1} AS (SELECT c.p_partkey, c.s, CASE WHEN {box} <> '' THEN {box} ELSE text END AS text, "
+                 f"matched OR {box} <> '' AS matched FROM c{at} c JOIN cbb USING (p_partkey))")
+    at += 1
+    add("contains(text, '. ')", _strip_sql(r"regexp_extract(text, '(?s)^(.*)\. ', 1)"), counts=False)
+    for m in ["be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"]:
+        after(m)
+    steps.append(f"cn AS (SELECT p_partkey, s, CASE WHEN matched AND regexp_matches(text, '\\p{{Nd}}') THEN text END AS answer FROM c{at})")
+    return ",\n" + ",\n".join(steps)
+
+
+_CONTEST_SQL = _MATH_SQL + _located_sql()
+
+
+def _contest_norm_sql(src: str, column: str, tag: str) -> str:
+    """CTEs over ``src`` ending in ``{tag}n`` with the normalised ``column`` as ``{tag}_norm``."""
+    y = rf"regexp_replace({column}, '^\\text\{{(.+?)\}}$', '\1')"
+    for a, b in [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "),
+                 ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]:
+        y = f"replace({y}, '{a}', '{b}')"
+    for unit in ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month",
+                 "year", "foot", "feet", "inch", "yard", "liter"]:
+        y = rf"regexp_replace({y}, '{unit}(es)?(s)? *(\^[0-9]+)?', '', 'g')"
+    y = rf"regexp_replace({y}, '\^ *\\circ', '', 'g')"
+    y = rf"regexp_replace({y}, '(?s)^\{{(.*)\}}$', '\1')"
+    y = rf"regexp_replace({y}, ',\\! *', '', 'g')"
+    z = r"replace(replace(y2, '\tfrac', '\frac'), '\dfrac', '\frac')"
+    z = rf"regexp_replace({z}, '\\frac\{{([^{{}}]*)\}}\{{([^{{}}]*)\}}', ' \1/\2', 'g')"
+    z = rf"regexp_replace({z}, '\\sqrt\{{([^{{}}]*)\}}', 'sqrt(\1)', 'g')"
+    for a, b in [("\\infty", "inf"), ("\\pi", "pi"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]:
+        z = f"replace({z}, '{a}', '{b}')"
+    z = rf"lower(regexp_replace(regexp_replace({_strip_sql(z)}, '- *', '-', 'g'), '([0-9]) +([0-9])', '\1+\2', 'g'))"
+
+    def whole(x):
+        return f"{x} IS NOT NULL AND abs({x} - round({x})) <= 1e-7 AND abs({x}) < 1e15"
+    return f"""
+{tag}1 AS (SELECT *, {y} AS y1 FROM {src}),
+{tag}2 AS (SELECT * EXCLUDE (y1), CASE WHEN {whole(_number_sql('y1'))} THEN CAST(CAST(round({_number_sql('y1')}) AS BIGINT) AS VARCHAR) ELSE y1 END AS y2 FROM {tag}1),
+{tag}3 AS (SELECT * EXCLUDE (y2), {z} AS y3 FROM {tag}2),
+{tag}4 AS (SELECT *, {_number_sql(_thousands_sql('y3'))} AS y4 FROM {tag}3),
+{tag}n AS (SELECT * EXCLUDE (y3, y4), CASE WHEN {whole('y4')} THEN CAST(CAST(y4 AS BIGINT) AS VARCHAR) ELSE y3 END AS {tag}_norm FROM {tag}4)"""
+
+
+def _thousands_sql(x: str) -> str:
+    for _ in range(4):
+        x = rf"regexp_replace({x}, '([0-9]),([0-9][0-9][0-9])($|[^0-9])', '\1\2\3', 'g')"
+    return x
 
 
-def _strip_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+def _plain_sql(x: str) -> str:
+    x = rf"(CASE WHEN regexp_matches({x}, '^\$[0-9]+(\.[0-9]+)?') THEN substr({x}, 2) ELSE {x} END)"
+    return rf"(CASE WHEN regexp_matches({x}, '^[0-9]+(\.[0-9]+)?\\?%$') THEN regexp_replace({x}, '\\?%$', '') ELSE {x} END)"
 
 
-def _tuples_equal_sql(a: str, b: str) -> str:
-    def parts(x):
-        inner = rf"regexp_replace({_strip_sql(x)}, '^[\(\[\{{]|[\)\]\}}]$', '', 'g')"
-        return f"list_transform(string_split({inner}, ','), lambda q: {_strip_sql('q')})"
+def _equal_sql(u: str, v: str) -> str:
+    """Equality of two plain answers (columns)."""
+    x, y = (_number_sql(f"replace(replace({c}, '{{,}}', ''), ',', '')") for c in (u, v))
 
-    def br(x):
-        return f"(substr({_strip_sql(x)}, 1, 1) || substr(reverse({_strip_sql(x)}), 1, 1))"
-    pa, pb = parts(a), parts(b)
-    items = (f"list_bool_and(list_transform(range(len({pa})), lambda i: "
-             f"{_answers_equal_sql(_contest_norm_sql(f'({pa})[i + 1]'), _contest_norm_sql(f'({pb})[i + 1]'))}))")
-    return f"({br(a)} = {br(b)} AND len({pa}) = len({pb}) AND {items})"
+    def close(b):
+        return f"(abs({x} - {b}) <= 1e-4 * greatest(abs({x}), abs({b})))"
+    return (f"(lower({_strip_sql(u)}) = lower({_strip_sql(v)}) OR replace({u}, ' ', '') = replace({v}, ' ', '') "
+            f"OR coalesce({close(y)} OR {close(y + ' * 100')} OR {close(y + ' / 100')}, false))")
 
 
 @register("R17", _CONTEST_SQL + """
@@ -578,21 +658,60 @@ def r17_contest_answer(spark, sf):
                     S.contest_math_format_ok("response").alias("format_ok"))
 
 
-@register("R18", _CONTEST_SQL + f"""
-SELECT p_partkey, {_contest_norm_sql('answer')} AS normalized FROM cn""")
+@register("R18", _CONTEST_SQL + "," + _contest_norm_sql("cn", "answer", "na") + """
+SELECT p_partkey, na_norm AS normalized FROM nan""")
 def r18_contest_normalize(spark, sf):
     """Contest-math normalisation of the located answer."""
-    r = math_answers(spark, sf)
-    return r.select("p_partkey", S.contest_math_normalize(S.contest_math_answer("response")).alias("normalized"))
+    r = math_answers(spark, sf).withColumn("answer", S.contest_math_answer("response"))
+    return r.select("p_partkey", S.contest_math_normalize("answer").alias("normalized"))
+
+
+_PARTS_SQL = r"""CASE WHEN regexp_matches({x}, '^[()\[\]][^()\[\]]+[()\[\]]$')
+  THEN list_transform(string_split(substr({x}, 2, length({x}) - 2), ','), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')) ELSE [{x}] END"""
+_FRACTION_RE = r"^(?:(-?[0-9.]+)\+)?(-?[0-9.]+)/([0-9.]+)$"
+
+
+def _value_sql(x: str) -> str:
+    part = [_number_sql(f"regexp_extract({x}, '{_FRACTION_RE}', {g})") for g in (1, 2, 3)]
+    return (f"coalesce({_number_sql(x)}, CASE WHEN regexp_matches({x}, '{_FRACTION_RE}') "
+            f"THEN coalesce({part[0]}, 0.0) + {part[1]} / nullif({part[2]}, 0) END)")
+
+
+def _item_equal_sql(t: str, g: str) -> str:
+    frac = r"'^-?[0-9]+.?/0*[1-9][0-9]*.?$'"
+
+    def whole(x):
+        n = _number_sql(_thousands_sql(x))
+        return f"coalesce(abs({n} - round({n})) <= 1e-7 AND abs({n}) < 1e15, false)"
+    return (f"(CASE WHEN regexp_matches({t}, {frac}) AND regexp_matches({g}, {frac}) THEN {t} = {g} "
+            f"WHEN {whole(t)} <> {whole(g)} THEN false "
+            f"ELSE {t} = {g} OR coalesce(abs({_value_sql(t)} - {_value_sql(g)}) <= 1e-9 * greatest(abs({_value_sql(t)}), 1.0), false) END)")
+
+
+_SCORE_SQL = (_CONTEST_SQL + ",\ng0 AS (SELECT cn.p_partkey, cn.answer, m.ground_truth AS gt FROM cn JOIN m USING (p_partkey)),"
+              + _contest_norm_sql("g0", "answer", "ga") + "," + _contest_norm_sql("gan", "gt", "gg") + f""",
+g1 AS (SELECT *, {_thousands_sql('ga_norm')} AS gv, {_thousands_sql('gg_norm')} AS tv, {_strip_sql('answer')} AS l0, {_strip_sql('gt')} AS l1,
+              {_plain_sql('answer')} AS pa, {_plain_sql('gt')} AS pb FROM ggn),
+g2 AS (SELECT *, {_PARTS_SQL.replace('{x}', 'gv')} AS gp, {_PARTS_SQL.replace('{x}', 'tv')} AS tp,
+              list_transform(string_split(regexp_replace(answer, '^[(\\[]|[)\\]]$', '', 'g'), ','), lambda p: {_strip_sql('p')}) AS ia,
+              list_transform(string_split(regexp_replace(gt, '^[(\\[]|[)\\]]$', '', 'g'), ','), lambda p: {_strip_sql('p')}) AS ib FROM g1),
+itm AS (SELECT p_partkey, bool_and({_item_equal_sql('t', 'g')}) AS items FROM (
+          SELECT p_partkey, unnest(gp) AS g, unnest(tp) AS t FROM g2 WHERE len(gp) = len(tp)) GROUP BY p_partkey),
+itp AS (SELECT p_partkey, bool_and({_equal_sql(_plain_sql('t'), _plain_sql('g'))}) AS items FROM (
+          SELECT p_partkey, unnest(ia) AS t, unnest(ib) AS g FROM g2 WHERE len(ia) = len(ib)
+            AND regexp_matches(answer, '^[(\\[].+[)\\]]$') AND regexp_matches(gt, '^[(\\[].+[)\\]]$')) GROUP BY p_partkey),
+g3 AS (SELECT g2.*, coalesce(itm.items, false) AS same_items, coalesce(itp.items, false) AS same_plain
+       FROM g2 LEFT JOIN itm USING (p_partkey) LEFT JOIN itp USING (p_partkey))
+""")
 
 
-@register("R19", _CONTEST_SQL + f""",
-g2 AS (SELECT cn.p_partkey, cn.answer, m.ground_truth AS gt FROM cn JOIN m USING (p_partkey))
+@register("R19", _SCORE_SQL + f"""
 SELECT p_partkey, CAST(CASE WHEN answer IS NULL THEN 0.0
-  WHEN regexp_matches(gt, '^\\s*[\\(\\[\\{{].*,.*[\\)\\]\\}}]\\s*$')
-    THEN (CASE WHEN {_tuples_equal_sql('answer', 'gt')} THEN 1.0 ELSE 0.0 END)
-  ELSE (CASE WHEN {_answers_equal_sql(_contest_norm_sql('answer'), _contest_norm_sql('gt'))} THEN 1.0 ELSE 0.0 END) END AS DOUBLE) AS score
-FROM g2""")
+  WHEN {_strip_latex_sql('l0')} = {_strip_latex_sql('l1')} THEN 1.0
+  WHEN ga_norm = gg_norm THEN 1.0
+  WHEN length(ga_norm) > 0 AND same_items AND (len(tp) <= 1 OR (substr(ga_norm, 1, 1) = substr(gg_norm, 1, 1) AND right(ga_norm, 1) = right(gg_norm, 1))) THEN 1.0
+  WHEN {_equal_sql('pa', 'pb')} OR same_plain THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
+FROM g3""")
 def r19_tuples(spark, sf):
     """Tuple / interval comparison inside the contest-math scorer."""
     r = math_answers(spark, sf)
@@ -616,17 +735,21 @@ op3 AS (
 op4 AS (
   SELECT op3.p_partkey, op3.answer, op3.processed, {_normalize_answer_sql('oau.inner_box')} AS pred,
          {_normalize_answer_sql('coalesce(ogu.inner_box, op3.ground_truth)')} AS truth
-  FROM op3 JOIN oau USING (p_partkey) JOIN ogu USING (p_partkey))
+  FROM op3 JOIN oau USING (p_partkey) JOIN ogu USING (p_partkey)),
+op5 AS (SELECT *, replace(pred, ',', '') AS u0, replace(truth, ',', '') AS v0 FROM op4),
+op6 AS (SELECT *, {_strip_latex_sql('u0')} AS u, {_strip_latex_sql('v0')} AS v FROM op5),
+op7 AS (SELECT *, CASE WHEN {_number_sql('u')} IS NOT NULL AND {_number_sql('v')} IS NOT NULL
+                       THEN {_number_sql('u')} = {_number_sql('v')} ELSE u = v END AS same FROM op6)
 """
 
 
 @register("R15", _OPEN_SQL + f"""
 SELECT p_partkey, CAST(
   (CASE WHEN answer IS NULL OR answer = '' THEN -2.0 WHEN pred IS NULL OR pred = '' THEN -1.0
-        WHEN {_answers_equal_sql('pred', 'truth')} THEN 1.0 ELSE -0.5 END)
+        WHEN same THEN 1.0 ELSE -0.5 END)
   + (CASE WHEN regexp_matches(processed, '(?i)(assistant:|user:|human:)') THEN -5.0 ELSE 0.0 END) AS DOUBLE) AS score,
   CAST(CASE WHEN regexp_matches(processed, '(?i)(assistant:|user:|human:)') THEN -5.0 ELSE 0.0 END AS DOUBLE) AS chat_score
-FROM op4""")
+FROM op7""")
 def r15_open_math(spark, sf):
     """Open-math scorer (boxed answer in tags, role-marker leak)."""
     r = math_answers(spark, sf)
@@ -634,20 +757,32 @@ def r15_open_math(spark, sf):
     return r.select("p_partkey", res["score"].alias("score"), res["extra"]["chat_score"].alias("chat_score"))
 
 
-@register("R20", """
+_AMOUNT_SQL = """
+WITH c AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS a, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem),
+e AS (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN a WHEN 1 THEN a * 100 WHEN 2 THEN a + a * d // 100000 ELSE a + a * d // 100 END AS b FROM c),
+f AS (SELECT *, format('{:,}', a // 100) || '.' || lpad(CAST(a % 100 AS VARCHAR), 2, '0') AS u,
+             (CASE WHEN l_linenumber % 2 = 0 THEN '$' ELSE '' END) || (b // 100) || '.' || lpad(CAST(b % 100 AS VARCHAR), 2, '0') AS v FROM e)
 SELECT l_orderkey, l_linenumber,
-  coalesce(abs(l_extendedprice - l_extendedprice * (1 + l_discount / 1000)) <= 1e-4 * greatest(abs(l_extendedprice), abs(l_extendedprice * (1 + l_discount / 1000))), false)
-  OR coalesce(abs(l_extendedprice - l_extendedprice * (1 + l_discount / 1000) * 100) <= 1e-4 * greatest(abs(l_extendedprice), abs(l_extendedprice * (1 + l_discount / 1000) * 100)), false)
-  OR coalesce(abs(l_extendedprice - l_extendedprice * (1 + l_discount / 1000) / 100) <= 1e-4 * greatest(abs(l_extendedprice), abs(l_extendedprice * (1 + l_discount / 1000) / 100)), false)
-  AS equal
-FROM lineitem
-""")
+       abs(a - b) <= 1e-4 * greatest(a, b) OR abs(a - b * 100) <= 1e-4 * greatest(a, b * 100)
+       OR abs(a - b / 100) <= 1e-4 * greatest(a, b / 100) AS equal
+FROM f
+"""
+
+
+@register("R20", _AMOUNT_SQL)
 def r20_numeric_equal(spark, sf):
-    li = table(spark, sf, "lineitem")
-    a = F.col("l_extendedprice")
-    b = a * (1 + F.col("l_discount") / 1000)
-    close = lambda u, v: F.coalesce(F.abs(u - v) <= 1e-4 * F.greatest(F.abs(u), F.abs(v)), F.lit(False))
-    return li.select("l_orderkey", "l_linenumber", (close(a, b) | close(a, b * 100) | close(a, b / 100)).alias("equal"))
+    """Amounts as text, one with thousands commas, the other with a money sign at times."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("a"),
+                                             F.round(F.col("l_discount") * 100).cast("long").alias("d"))
+    k = F.col("l_orderkey") % 4
+    li = li.withColumn("b", F.when(k == 0, F.col("a")).when(k == 1, F.col("a") * 100)
+                       .when(k == 2, F.expr("a + a * d div 100000")).otherwise(F.expr("a + a * d div 100")))
+
+    def cents(c):
+        return F.lpad(F.expr(f"{c} % 100").cast("string"), 2, "0")
+    u = F.concat(F.format_number(F.expr("a div 100"), 0), F.lit("."), cents("a"))
+    v = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "$").otherwise(""), F.expr("b div 100").cast("string"), F.lit("."), cents("b"))
+    return li.select("l_orderkey", "l_linenumber", S.answers_equal(u, v).alias("equal"))
 
 
 # --- R21 / R22: code tasks from recorded outcomes ----------------------------------------
@@ -684,6 +819,9 @@ def r22_output_compare(spark, sf):
 
 # --- R23-R26: routing, reward manager, failures, samples -----------------------------------
 
+CODE_SOURCES = ["codecontests", "apps", "codeforces", "taco"]
+
+
 def mixed_responses(spark, sf):
     n = number_responses(spark, sf).select(
         F.lit("openai/gsm8k").alias("data_source"),
@@ -694,7 +832,13 @@ def mixed_responses(spark, sf):
     k = puzzle_responses(spark, sf).select(
         F.lit("kk_logic").alias("data_source"), F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("id"),
         "response", F.col("solution_text").alias("ground_truth"))
-    return n.unionByName(b).unionByName(k)
+    outcomes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(F.call_function(
+        "shiftright", F.col("p_partkey") * 7 + F.col("p_partkey") % 13 * 4095, i).bitwiseAND(F.lit(1)) == 1, "1").otherwise("0")), ",")
+    c = table(spark, sf, "part").select(
+        F.element_at(F.array(*[F.lit(x) for x in CODE_SOURCES]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("data_source"),
+        F.concat(F.lit("c-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("def main(): pass").alias("response"),
+        outcomes.alias("ground_truth"))
+    return n.unionByName(b).unionByName(k).unionByName(c)
 
 
 _MIXED_SQL = ("WITH num AS (" + _NUM_SQL + "SELECT 'openai/gsm8k' AS data_source, 'li-' || l_orderkey || '-' || l_linenumber AS id, "
@@ -709,7 +853,10 @@ SELECT 'lighteval/MATH' AS data_source, 'p-' || p_partkey AS id,
        response FROM u), """
               "kk AS (" + _PUZZLE_SQL + "SELECT 'kk_logic' AS data_source, 'o-' || o_orderkey AS id, "
               "CASE WHEN has_answer AND match THEN 1.0 ELSE 0.0 END AS score, response FROM a7), "
-              "mixed AS (SELECT * FROM num UNION ALL SELECT * FROM box UNION ALL SELECT * FROM kk) ")
+              f"code AS (SELECT {CODE_SOURCES}[p_partkey % 4 + 1] AS data_source, 'c-' || p_partkey AS id, "
+              "CASE WHEN list_min(o) = 1 THEN 1.0 ELSE list_sum(o[1:10]) / 10.0 END AS score, 'def main(): pass' AS response FROM ("
+              "SELECT p_partkey, list_transform(range(12), lambda i: ((p_partkey * 7 + p_partkey % 13 * 4095) >> i) & 1) AS o FROM part)), "
+              "mixed AS (SELECT * FROM num UNION ALL SELECT * FROM box UNION ALL SELECT * FROM kk UNION ALL SELECT * FROM code) ")
 
 
 @register("R23", _MIXED_SQL + "SELECT data_source, id, CAST(score AS DOUBLE) AS score FROM mixed")
@@ -885,6 +1032,15 @@ def r31_pad_dense(spark, sf):
     return r.select("o_orderkey", F.round(F.aggregate(padded, F.lit(0.0), lambda a, x: a + x), 9).alias("padded_reward"))
 
 
-@register("K12", _DIGIT_SQL + "SELECT o_orderkey, a || ',' || b || ':' || m || ',' || n AS prompt FROM p")
+DIGIT_TASK = (16, 5, 8)  # largest number, largest difference, most numbers to complete
+
+
+@register("K12", f"""
+WITH d AS (SELECT o_orderkey, {seeded_sql('o_orderkey', 17)} % {S.digit_prompt_count(*DIGIT_TASK)} AS i FROM orders),
+e AS (SELECT *, i // 54 AS a, (i // 9) % 6 AS diff, i % 9 AS n FROM d)
+SELECT o_orderkey, a || ',' || (a + diff) % 16 || ':16,' || n AS prompt FROM e""")
 def k12_digit_prompts(spark, sf):
-    return digit_prompts(spark, sf).select("o_orderkey", "prompt")
+    """One of all enumerated prompts drawn for each order."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    index = F.pmod(seeded_draw("o_orderkey", 17), F.lit(S.digit_prompt_count(*DIGIT_TASK)))
+    return o.select("o_orderkey", S.digit_prompt_at(index, *DIGIT_TASK).alias("prompt"))
