@@ -18,8 +18,9 @@ equal sets are one *class*.  Two classes link when their Jaccard similarity is a
    not all pairs of its classes.  In a round each shingle compares its most central class
    with the others; links join components (alternating star contraction), and the next
    round drops shingles whose classes are all connected.  When few pairs of classes in
-   different components are left, one join compares them all.  A pair is left out only if
-   both are in one component already, so components are exact.
+   different components are left, or a round did not halve them (what is left is unlike and
+   does not grow together), one join compares all that pass the filters.  A pair is left
+   out only if both are in one component already, so components are exact.
 
 Hot shingles: counts and centres are partial aggregates, joins back are plain sort-merge
 joins that Spark splits; no group is collected anywhere.
@@ -32,6 +33,7 @@ documents of their own; an empty table gives an empty result; texts count whole.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -286,8 +288,8 @@ def linked_classes(classes: DataFrame, docs: DataFrame, text: str, size: int, nu
     index = written(entries.join(shared, "gram"), "prefix-index")
     release(index.sparkSession)
     verify = Verifier(classes, docs, text, size, num, den)
-    found = None  # star edges of the components so far
-    for round_ in range(MAX_ROUNDS):
+    found, before = None, math.inf  # star edges of the components so far; pairs left before the round
+    for _ in range(MAX_ROUNDS):
         centre = index.groupBy("gram").agg(*[F.max_by(c, F.struct("centre", "id")).alias(f"centre_{c}") for c in ("id", "n", "pos")])
         tried = index.join(centre, "gram").filter("id <> centre_id").filter(possible(num, den, "", "centre_"))
         if found is not None:
@@ -301,11 +303,12 @@ def linked_classes(classes: DataFrame, docs: DataFrame, text: str, size: int, nu
         index = written(rest.join(open_, "gram"), "prefix-index")
         per_root = index.groupBy("gram", "root").agg(F.count("*").cast("double").alias("c"))
         per_gram = per_root.groupBy("gram").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.sum("c").alias("n"))
-        pairs_left, entries_left = per_gram.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)) / 2, F.coalesce(F.sum("n"), F.lit(0.0))).first()
-        if pairs_left == 0:
+        left, entries_left = per_gram.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)) / 2, F.coalesce(F.sum("n"), F.lit(0.0))).first()
+        if left == 0:
             return found
-        if pairs_left <= 4 * entries_left:
+        if left <= 4 * entries_left or left > before / 2:
             break
+        before = left
     other = index.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "pos", "root")])
     pairs = (index.join(other, "gram").filter("id < other_id and root <> other_root").filter(possible(num, den, "", "other_"))
              .select(F.col("id").alias("a"), F.col("other_id").alias("b")))
