@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewise.session import ensure_checkpoint_dir
+
 #: Bytes of text that numpy code handles at once; a single longer document is handled alone.
 PIECE_BYTES = 1 << 20
 
@@ -25,14 +27,13 @@ def text_or_empty(name: str = "text"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the cluster in ``spark.checkpoint.dir``; an error where it is unset.
+    """The folder named by the cluster in ``spark.checkpoint.dir``; an error where it is unset
+    (in local mode a folder is made).
 
     It holds every written intermediate, so it must be visible to all executors.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/")
+    active = ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or active).rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
