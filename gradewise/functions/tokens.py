@@ -87,13 +87,14 @@ def rm_pair(prompt_ids, chosen_ids, rejected_ids, eos_id: int, max_length: int)
 
 
 def duplicate_ngram_fraction(tokens, n: int = 3) -> Column:
-    """T17 (re-aimed): share of word n-grams that repeat an earlier n-gram."""
-    def frac(t):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
-                            lambda i: F.array_join(F.slice(t, i, n), "\u0001"))
-        return let(grams, lambda g: F.when(F.size(t) < n, F.lit(0.0)).otherwise(
+    """T17 (re-aimed): share of word n-grams that repeat an earlier n-gram, told apart by
+    64-bit hashes of the words and of the hashes of n neighbours."""
+    def frac(h):
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - n + 1, F.lit(1))),
+                            lambda i: F.xxhash64(*[F.try_element_at(h, i + k) for k in range(n)]))
+        return let(grams, lambda g: F.when(F.size(h) < n, F.lit(0.0)).otherwise(
             1.0 - F.size(F.array_distinct(g)).cast("double") / F.size(g)))
-    return let(as_col(tokens), frac)
+    return let(F.transform(as_col(tokens), lambda w: F.xxhash64(w)), frac)
 
 
 def is_repetitive(tokens, n: int = 3, threshold: float = 0.2) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import array_sum, masked_row_mean, masked_row_sum
 from ..functions.common import as_col
+from ..session import ensure_checkpoint_dir
 
 EPS = 1e-6
 
@@ -103,8 +104,8 @@ def masked_whiten(df: DataFrame, values: str, mask: str, out: str,
         s, ss, m = F.col("_w_s"), F.col("_w_ss"), F.col("_w_m")
     mean = s / m
     var = (ss / m - mean * mean) * m / (m - 1)
-    checked_mean = (F.when(m == 0, F.raise_error(F.lit("At least one element in the mask has to be 1.")))
-                    .when(m == 1, F.raise_error(F.lit("The sum of the mask is one, which can cause a division by zero.")))
+    checked_mean = (F.when(m == 0, F.raise_error(F.lit("masked mean of a batch without any valid token")))
+                    .when(m == 1, F.raise_error(F.lit("masked variance needs two valid tokens")))
                     .otherwise(mean))
     if scale:
         fn = lambda v: (v - checked_mean) / F.sqrt(var + 1e-8)
@@ -170,6 +171,13 @@ def suffix_scan(x, factor: float, reset=None) -> Column:
     return _scan_reset(as_col(x), as_col(reset))
 
 
+def scanned_once(df: DataFrame) -> DataFrame:
+    """The frame with its scan column, written to the shared checkpoint folder: the statistics
+    and the output both read it, and the Python scan must not run for each of them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def gae_advantage(df: DataFrame, rewards="token_level_rewards", values="values",
                   mask="response_mask", gamma: float = 1.0, lam: float = 1.0,
                   batch_keys: list[str] | None = None) -> DataFrame:
@@ -179,7 +187,7 @@ def gae_advantage(df: DataFrame, rewards="token_level_rewards", values="values",
     delta = F.zip_with(F.col(rewards), v, lambda r, vt: r - vt)
     nxt = F.transform(v, lambda _x, i: F.coalesce(F.try_element_at(v, i + 2), F.lit(0.0)))
     delta = F.zip_with(delta, nxt, lambda d, nv: d + F.lit(gamma) * nv)
-    out = df.withColumn("_raw_adv", suffix_scan(delta, gamma * lam))
+    out = scanned_once(df.withColumn("_raw_adv", suffix_scan(delta, gamma * lam)))
     out = out.withColumn("returns", F.zip_with(F.col("_raw_adv"), v, lambda a, b: a + b))
     return masked_whiten(out, "_raw_adv", mask, "advantages", batch_keys).drop("_raw_adv")
 
@@ -187,7 +195,7 @@ def gae_advantage(df: DataFrame, rewards="token_level_rewards", values="values",
 def reinforce_pp_advantage(df: DataFrame, rewards="token_level_rewards", mask="response_mask",
                            gamma: float = 1.0, batch_keys: list[str] | None = None) -> DataFrame:
     """Discounted return reset after the mask ends, centred, times mask."""
-    out = df.withColumn("returns", suffix_scan(F.col(rewards), gamma, reset=F.col(mask)))
+    out = scanned_once(df.withColumn("returns", suffix_scan(F.col(rewards), gamma, reset=F.col(mask))))
     out = masked_whiten(out, "returns", mask, "_adv", batch_keys)
     return out.withColumn("advantages", F.zip_with(F.col("_adv"), F.col(mask), lambda a, m: a * m)).drop("_adv")
 

@@ -13,9 +13,9 @@ import string
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StopWordsRemover, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import words
@@ -92,40 +92,53 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     return j.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_h", "_g", "_first", "_n")
 
 
-def fit_and_report(train: DataFrame, test: DataFrame, label: str = "label", features: str = "features",
-                   max_iter: int = 100) -> DataFrame:
-    """M8: logistic regression; accuracy, AUC and per-class precision / recall /
-    F1 / support for train and test, as a long table (split, class, metric, value)."""
+def predictions(train: DataFrame, test: DataFrame, label: str = "label", features: str = "features",
+                max_iter: int = 100) -> DataFrame:
+    """M8: logistic regression fitted on ``train``; (split, y, prediction, probability to 6 places)
+    of both."""
     model = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter).fit(train)
-    spark = train.sparkSession
-    parts = []
-    for name, data in (("train", train), ("test", test)):
-        pred = model.transform(data).select(F.col(label).cast("double").alias("y"), "prediction", "rawPrediction")
-        auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction").evaluate(pred)
-        counts = pred.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("c"))
-        per_class = []
-        for cls in (0.0, 1.0):
-            tp = F.sum(F.when((F.col("y") == cls) & (F.col("prediction") == cls), F.col("c")).otherwise(0))
-            fp = F.sum(F.when((F.col("y") != cls) & (F.col("prediction") == cls), F.col("c")).otherwise(0))
-            fn = F.sum(F.when((F.col("y") == cls) & (F.col("prediction") != cls), F.col("c")).otherwise(0))
-            per_class.append(counts.agg(
-                F.lit(str(int(cls))).alias("cls"),
-                F.try_divide(tp, tp + fp).cast("double").alias("precision"),
-                F.try_divide(tp, tp + fn).cast("double").alias("recall"),
-                F.try_divide(2 * tp, 2 * tp + fp + fn).cast("double").alias("f1"),
-                (tp + fn).cast("double").alias("support")))
-        acc = counts.agg(F.lit("all").alias("cls"),
-                         F.try_divide(F.sum(F.when(F.col("y") == F.col("prediction"), F.col("c")).otherwise(0)),
-                                      F.sum("c")).cast("double").alias("accuracy"))
-        wide = per_class[0].unionByName(per_class[1])
-        long = wide.unpivot(["cls"], ["precision", "recall", "f1", "support"], "metric", "value")
-        long = long.unionByName(acc.unpivot(["cls"], ["accuracy"], "metric", "value"))
-        long = long.unionByName(spark.createDataFrame([("all", "auc", float(auc))], "cls string, metric string, value double"))
-        parts.append(long.withColumn("split", F.lit(name)))
-    out = parts[0].unionByName(parts[1])
+    parts = [model.transform(data).select(
+        F.lit(name).alias("split"), F.col(label).cast("double").alias("y"), "prediction",
+        F.round(vector_to_array("probability")[1], 6).alias("probability")) for name, data in (("train", train), ("test", test))]
+    return parts[0].unionByName(parts[1])
+
+
+def report(found: DataFrame) -> DataFrame:
+    """M8: accuracy, AUC and per-class precision / recall / F1 / support of predictions, as a
+    long table (split, cls, metric, value).
+
+    The AUC is the rank statistic from counts per probability, of which there are at most a
+    million (six places), whatever the number of rows.
+    """
+    counts = found.groupBy("split", "y", "prediction").agg(F.count(F.lit(1)).alias("c"))
+    out = None
+    for cls in (0.0, 1.0):
+        true, said = F.col("y") == cls, F.col("prediction") == cls
+        tp, fp, fn = (F.sum(F.when(x, F.col("c")).otherwise(0)) for x in (true & said, ~true & said, true & ~said))
+        one = counts.groupBy("split").agg(
+            F.lit(str(int(cls))).alias("cls"), F.try_divide(tp, tp + fp).cast("double").alias("precision"),
+            F.try_divide(tp, tp + fn).cast("double").alias("recall"),
+            F.try_divide(2 * tp, 2 * tp + fp + fn).cast("double").alias("f1"), (tp + fn).cast("double").alias("support"))
+        part = one.unpivot(["split", "cls"], ["precision", "recall", "f1", "support"], "metric", "value")
+        out = part if out is None else out.unionByName(part)
+    right = F.sum(F.when(F.col("y") == F.col("prediction"), F.col("c")).otherwise(0))
+    accuracy = counts.groupBy("split").agg(F.try_divide(right, F.sum("c")).cast("double").alias("value"))
+    levels = found.groupBy("split", "probability").agg(
+        F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
+    below = Window.partitionBy("split").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = levels.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    auc = ranked.groupBy("split").agg(F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)),
+                                                   F.sum("pos") * F.sum("neg")).cast("double").alias("value"))
+    for metric, frame in (("accuracy", accuracy), ("auc", auc)):
+        out = out.unionByName(frame.select("split", F.lit("all").alias("cls"), F.lit(metric).alias("metric"), "value"))
     return out.select("split", "cls", "metric", "value")
 
 
+def fit_and_report(train: DataFrame, test: DataFrame, label: str = "label", features: str = "features",
+                   max_iter: int = 100) -> DataFrame:
+    return report(predictions(train, test, label, features, max_iter))
+
+
 def consistency_label(clean: DataFrame, perturbed: DataFrame, key: str, correct: str = "correct") -> DataFrame:
     """M11 (our rule): consistently solved = solved both clean and perturbed."""
     c = clean.select(key, F.col(correct).alias("clean_correct"))

@@ -1,10 +1,10 @@
 """Token-balanced partitioning.
 
-L1/L2 are the per-batch algorithms (largest differencing and greedy); they run
-as grouped pandas functions, one group per batch.  A batch is bounded by the
-trainer's batch size; groups above ``max_group_rows`` are not sent to a
-single Python task but assigned by the native snake rule (L8), which needs
-only a per-batch rank.  Everything else is aggregates on the assignment table.
+L1/L2 are the per-batch algorithms (largest differencing and greedy).  Both decide item
+by item, so they run as grouped pandas functions, one batch (the trainer's batch) a group;
+the caller chooses the native snake rule (L8), which needs only positions, for batches
+that are too large for one task.  Everything else is aggregates on the assignment table
+and positions from the global index.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_GROUP_ROWS = 1 << 16
+from .index import with_global_index
 
 
 # --- per-batch algorithms (small helpers on one batch's lengths) -----------------
@@ -80,28 +80,30 @@ def _snake(rank, k):
     return F.when(F.pmod(F.floor(r / k), F.lit(2)) == 0, F.pmod(r, F.lit(k))).otherwise(k - 1 - F.pmod(r, F.lit(k)))
 
 
+def position_in_group(df: DataFrame, group: str, order: list[Column | str], name: str) -> DataFrame:
+    """0-based position of each row inside its group, from the global index: a group of any
+    size is spread over range partitions instead of being sorted by one task."""
+    ranked = with_global_index(df, [F.col(group), *order], "_pos")
+    first = ranked.groupBy(F.col(group).alias("_grp")).agg(F.min("_pos").alias("_first"))
+    return (ranked.join(first, F.col(group).eqNullSafe(F.col("_grp")))
+            .withColumn(name, (F.col("_pos") - F.col("_first")).cast("long")).drop("_pos", "_first", "_grp"))
+
+
 def snake_partition(df: DataFrame, group: str, item: str, length: str, k: int) -> DataFrame:
     """Rank items by length (descending, then id) inside each batch and deal
     them to parts in snake order 0..k-1, k-1..0, ...  Native; equal counts."""
-    w = Window.partitionBy(group).orderBy(F.col(length).desc(), F.col(item))
-    return (df.withColumn("_rank", F.row_number().over(w) - 1)
-              .withColumn("part", _snake("_rank", k).cast("int")).drop("_rank"))
+    ranked = position_in_group(df, group, [F.col(length).desc(), F.col(item)], "_rank")
+    return ranked.withColumn("part", _snake("_rank", k).cast("int")).drop("_rank")
 
 
 def balance(df: DataFrame, group: str, item: str, length: str, k: int, method: str = "kk",
-            equal_size: bool = False, budget: int | None = None,
-            max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+            equal_size: bool = False, budget: int | None = None) -> DataFrame:
     """Part per item, computed per batch.
 
     With ``budget`` (L5) the part count of a batch is ceil(total / budget), so
-    a part may still exceed the budget (as in the reference).  Oversized
-    batches fall back to the snake rule.
+    a part may still exceed the budget (as in the reference).
     """
     algo = {"kk": largest_differencing, "greedy": greedy}[method]
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = df.join(sizes, group)
-    small = tagged.filter(F.col("_n") <= max_group_rows).select(group, item, length)
-    large = tagged.filter(F.col("_n") > max_group_rows).drop("_n")
     gtype = dict(df.dtypes)[group]
     itype = dict(df.dtypes)[item]
     schema = f"{group} {gtype}, {item} {itype}, part int"
@@ -113,29 +115,39 @@ def balance(df: DataFrame, group: str, item: str, length: str, k: int, method: s
         parts = algo(lens, kk, equal_size)
         return pd.DataFrame({group: pdf[group], item: pdf[item], "part": np.asarray(parts, dtype=np.int32)})
 
-    out = small.groupBy(group).applyInPandas(per_batch, schema)
-    fallback = snake_partition(large, group, item, length, k).select(group, item, "part")
-    return out.unionByName(fallback)
+    return df.select(group, item, length).groupBy(group).applyInPandas(per_batch, schema)
+
 
+def partition_report(assign: DataFrame, lengths: DataFrame, group: str, item: str, length: str, k: int) -> DataFrame:
+    """L3 + L4: per batch the parts used, items assigned, and token sums before and after.
 
-def partition_report(assign: DataFrame, lengths: DataFrame, group: str, item: str, length: str,
-                     k: int | None = None) -> DataFrame:
-    """L3 + L4: per batch: parts used, empty parts, items assigned once, and
-    the min / max / mean of the part token sums."""
+    ``min_tokens`` / ``max_tokens`` are over the parts; ``unbalanced_min`` / ``unbalanced_max``
+    over runs of floor(n / k) items in item order, as the batch stood before, and
+    ``minmax_diff`` is their distance; ``mean_tokens`` is the batch's tokens by k.
+    """
     j = assign.join(lengths.select(group, item, length), [group, item])
     per_part = j.groupBy(group, "part").agg(F.sum(length).alias("_tok"), F.count(F.lit(1)).alias("_cnt"))
-    stats = per_part.groupBy(group).agg(
+    after = per_part.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_parts"), F.min("_tok").alias("min_tokens"), F.max("_tok").alias("max_tokens"),
-        F.avg("_tok").alias("mean_tokens"), F.min("_cnt").alias("min_items"), F.max("_cnt").alias("max_items"))
+        (F.sum("_tok") / k).alias("mean_tokens"), F.min("_cnt").alias("min_items"), F.max("_cnt").alias("max_items"))
     cover = j.groupBy(group).agg(F.count(F.lit(1)).alias("n_assigned"), F.countDistinct(item).alias("n_items"))
-    out = stats.join(cover, group)
-    if k is not None:
-        out = out.withColumn("valid", (F.col("n_parts") == k) & (F.col("n_assigned") == F.col("n_items")))
-    return out
+    placed = position_in_group(lengths.select(group, item, length), group, [F.col(item)], "_at")
+    run = F.floor(F.col("_at") / F.greatest(F.floor(F.col("n_items") / k), F.lit(1)))
+    runs = placed.join(cover.select(group, "n_items"), group).groupBy(group, run.alias("_run")).agg(F.sum(length).alias("_tok"))
+    before = runs.groupBy(group).agg(F.min("_tok").alias("unbalanced_min"), F.max("_tok").alias("unbalanced_max"))
+    return (after.join(cover, group).join(before, group)
+            .withColumn("minmax_diff", F.col("unbalanced_max") - F.col("unbalanced_min")))
+
+
+def validated(report: DataFrame, group: str, k: int) -> DataFrame:
+    """L3: the report with ``valid``; a batch with an empty part or an item that is not
+    assigned exactly once raises."""
+    fault = F.concat(F.lit("batch "), F.col(group).cast("string"), F.lit(f": not {k} non-empty parts with every item once"))
+    ok = (F.col("n_parts") == k) & (F.col("n_assigned") == F.col("n_items"))
+    return report.withColumn("valid", F.when(ok, True).otherwise(F.raise_error(fault).cast("boolean")))
 
 
 def reorder_by_parts(assign: DataFrame, group: str, item: str) -> DataFrame:
     """New position of each item when parts are laid out one after the
     other (items in id order inside a part); the inverse map restores order."""
-    w = Window.partitionBy(group).orderBy("part", item)
-    return assign.withColumn("new_pos", (F.row_number().over(w) - 1).cast("long"))
+    return position_in_group(assign, group, ["part", item], "new_pos")

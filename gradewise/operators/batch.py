@@ -119,13 +119,13 @@ def union(left: DataFrame, right: DataFrame, key: str = IDX,
 
 def concat(frames: list[DataFrame], idx: str = IDX) -> DataFrame:
     """Concatenate batches in list order; positions continue across parts."""
-    parts = [f.withColumn("_part", F.lit(i)) for i, f in enumerate(frames)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if idx in frames[0].columns:
-        out = with_global_index(out.withColumnRenamed(idx, "_old_idx"), ["_part", "_old_idx"], idx).drop("_old_idx")
-    return out.drop("_part")
+    out, before = None, F.lit(0)
+    for f in frames:
+        # the rows before it, counted by the cluster; nothing is sorted again
+        part = f.withColumn(idx, F.col(idx) + before) if idx in f.columns else f
+        before = before + row_count(f)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # --- B8-B15: positional reshaping -----------------------------------------------
@@ -134,7 +134,7 @@ def chunk(df: DataFrame, chunks: int, idx: str = IDX) -> DataFrame:
     """``chunk_id`` of ``chunks`` equal contiguous parts; indivisible counts raise."""
     n = row_count(df)
     size = F.when(n % chunks == 0, (n / chunks).cast("long")).otherwise(
-        F.raise_error(F.format_string(f"only support equal chunk. Got size %d and chunk {chunks}", n)))
+        F.raise_error(F.format_string(f"%d rows cannot be cut into {chunks} equal chunks", n)))
     return df.withColumn("chunk_id", (F.col(idx) / size).cast("long"))
 
 

@@ -32,10 +32,17 @@ def _cols(order_cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
+PARTITION_BYTES = 128 << 20
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """The number asked for, else enough for the optimizer's estimate of the input's size,
+    and at least the session's shuffle partitions."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    sized = -(-size // PARTITION_BYTES) if size < 1 << 60 else 0  # an unknown size counts as huge
+    return max(sized, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_global_index(df: DataFrame, order_cols, name: str = "idx",

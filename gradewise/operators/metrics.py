@@ -25,8 +25,8 @@ def masked_variance(df: DataFrame, values: str, mask: str, batch_keys: list[str]
     mean = F.col("s") / F.col("m")
     var = F.col("ss") / F.col("m") - mean * mean
     if unbiased:
-        var = (F.when(F.col("m") == 0, F.raise_error(F.lit("At least one element in the mask has to be 1.")))
-               .when(F.col("m") == 1, F.raise_error(F.lit("The sum of the mask is one, which can cause a division by zero.")))
+        var = (F.when(F.col("m") == 0, F.raise_error(F.lit("masked variance of a batch without any valid token")))
+               .when(F.col("m") == 1, F.raise_error(F.lit("masked variance needs two valid tokens")))
                .otherwise(var * F.col("m") / (F.col("m") - 1)))
     return agg.select(*batch_keys, var.alias("masked_var"))
 

@@ -1,11 +1,13 @@
-"""Analysis queries (M1-M11) over documents joined with labels, and embeddings."""
+"""Analysis queries: features of all documents (M1-M5), classifiers on the labelled ones
+(M6-M9), embeddings (M10) and labels (M11)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
-from ..operators import analysis as M
 from ..functions.common import seeded_sql
+from ..operators import analysis as M
 from ..session import table
 from ..sources.io import scratch_path
 from .registry import register
@@ -17,6 +19,10 @@ def labelled_docs(spark, sf):
     return d.join(lab, "doc_id")
 
 
+def all_docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
 def _m1_sql() -> str:
     punct = M.PUNCTUATION.replace("'", "''")
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in M.STOP_WORDS)
@@ -25,62 +31,78 @@ def _m1_sql() -> str:
             f"ELSE string_split_regex(regexp_replace({cleaned}, '^\\s+|\\s+$', '', 'g'), '\\s+') END)")
     return f"""
 WITH d AS (SELECT doc_id, list_filter({toks}, lambda t: NOT list_contains([{stops}], t)) AS tokens
-           FROM documents JOIN labels USING (doc_id))
-SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens[1:5], ' ') AS head FROM d"""
+           FROM documents)
+SELECT doc_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM d"""
 
 
 @register("M1", _m1_sql())
 def m1_clean_text(spark, sf):
     """Cleaned tokens without stop words."""
-    t = M.clean_tokens(labelled_docs(spark, sf), "text")
+    t = M.clean_tokens(all_docs(spark, sf), "text")
     return t.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
-                    F.array_join(F.slice("tokens", 1, 5), " ").alias("head"))
+                    F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
-def _features(spark, sf, method):
-    d = M.length_features(M.clean_tokens(labelled_docs(spark, sf), "text"), "text")
-    model = M.feature_pipeline(method=method).fit(d)
-    return model.transform(d)
+#: Terms of a vocabulary that the checks do not want cut off.
+WHOLE_VOCABULARY = 1 << 20
 
 
-@register("M2")
+def _features(docs, method, vocab=5000):
+    d = M.length_features(M.clean_tokens(docs, "text"), "text")
+    return M.feature_pipeline(method=method, vocab=vocab).fit(d).transform(d)
+
+
+_TERMS_SQL = _m1_sql().split("SELECT doc_id, len(tokens)")[0] + """,
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term)
+"""
+
+
+@register("M2", _TERMS_SQL + """
+SELECT d.doc_id, CAST(count(t.term) AS BIGINT) AS n_terms,
+       round(coalesce(sqrt(sum(power(t.tf * ln(((SELECT count(*) FROM d) + 1.0) / (f.df + 1.0)), 2))), 0.0), 6) AS norm
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN f USING (term) GROUP BY d.doc_id""")
 def m2_tfidf(spark, sf):
-    """TF-IDF (5000 terms, L2 normalised); rows-only."""
-    from pyspark.ml.functions import vector_to_array
-    f = _features(spark, sf, "tfidf")
-    norm = F.aggregate(vector_to_array("tfidf_norm"), F.lit(0.0), lambda a, x: a + x * x)
-    return f.select("doc_id", "label", F.round(norm, 6).alias("squared_norm"))
+    """TF-IDF vectors before normalisation: terms and Euclidean length."""
+    x = _features(all_docs(spark, sf), "tfidf", WHOLE_VOCABULARY)
+    size, norm = _sparse("bow"), _sparse("tf_idf")
+    return x.select("doc_id", F.size(F.filter(size, lambda v: v != 0)).cast("bigint").alias("n_terms"),
+                    F.round(F.sqrt(F.aggregate(norm, F.lit(0.0), lambda a, v: a + v * v)), 6).alias("norm"))
 
 
-@register("M3")
+@register("M3", _TERMS_SQL + """
+SELECT d.doc_id, CAST(count(t.term) AS BIGINT) AS n_terms, CAST(coalesce(sum(t.tf), 0) AS DOUBLE) AS n_counted
+FROM d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id""")
 def m3_bag_of_words(spark, sf):
-    """Bag of words (5000 terms); rows-only."""
-    f = _features(spark, sf, "bow")
-    from pyspark.ml.functions import vector_to_array
-    return f.select("doc_id", F.aggregate(vector_to_array("bow"), F.lit(0.0), lambda a, x: a + x).alias("n_counted"))
+    """Bag of words: terms and counted words of each document."""
+    x = _features(all_docs(spark, sf), "bow", WHOLE_VOCABULARY)
+    counts = _sparse("bow")
+    return x.select("doc_id", F.size(counts).cast("bigint").alias("n_terms"),
+                    F.aggregate(counts, F.lit(0.0), lambda a, v: a + v).alias("n_counted"))
+
+
+def _sparse(column):
+    """The stored values of a vector column, without spelling out its zeros."""
+    return unwrap_udt(column)["values"]
 
 
 @register("M4", "SELECT doc_id, length(text) AS n_chars_text, "
           "len(CASE WHEN trim(text) = '' THEN [] ELSE string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') END) AS n_words_text "
-          "FROM documents JOIN labels USING (doc_id)")
+          "FROM documents")
 def m4_length_features(spark, sf):
-    f = M.length_features(labelled_docs(spark, sf), "text")
+    f = M.length_features(all_docs(spark, sf), "text")
     return f.select("doc_id", "n_chars_text", "n_words_text")
 
 
-def _m5_sql() -> str:
-    base = _m1_sql().split("SELECT doc_id, len(tokens)")[0]
-    return base + """,
-v AS (SELECT count(DISTINCT t) AS terms FROM (SELECT unnest(tokens) AS t FROM d))
-SELECT doc_id, CAST(least((SELECT terms FROM v), 5000) + 2 AS INT) AS dim FROM d"""
-
-
-@register("M5", _m5_sql())
+@register("M5", _TERMS_SQL + """
+SELECT doc_id, CAST(least((SELECT count(*) FROM f), 5000) + 2 AS INT) AS dim,
+       CAST(length(text) + len(CASE WHEN trim(text) = '' THEN [] ELSE string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') END) AS DOUBLE) AS lengths
+FROM documents""")
 def m5_combined(spark, sf):
     """TF-IDF + length features assembled into one vector (vocabulary <= 5000 terms + 2)."""
     from pyspark.ml.functions import vector_to_array
-    f = _features(spark, sf, "tfidf")
-    return f.select("doc_id", F.size(vector_to_array("features")).alias("dim"))
+    f = _features(all_docs(spark, sf), "tfidf").select("doc_id", vector_to_array("features").alias("v"))
+    return f.select("doc_id", F.size("v").alias("dim"), (F.element_at("v", -2) + F.element_at("v", -1)).alias("lengths"))
 
 
 _M6_SQL = f"""
@@ -107,9 +129,10 @@ def m7_stratified_split(spark, sf):
 
 
 def _m8(spark, sf):
-    f = _features(spark, sf, "tfidf")
-    bal = M.balance_classes(f, "label", "doc_id")
-    sp = M.stratified_split(bal, "label", "doc_id")
+    """Balance and split by keys and labels alone; texts and vectors are joined to the result."""
+    docs = labelled_docs(spark, sf)
+    split = M.stratified_split(M.balance_classes(docs.select("doc_id", "label"), "label", "doc_id"), "label", "doc_id")
+    sp = _features(docs, "tfidf").select("doc_id", "features").join(split, "doc_id")
     return M.fit_and_report(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"))
 
 

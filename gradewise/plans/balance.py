@@ -78,16 +78,26 @@ def l8_snake(spark, sf):
     return L.snake_partition(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS).select("batch", "doc_id", "part")
 
 
-@register("L4", _SNAKE_SQL + """,
-pp AS (SELECT batch, part, sum(n_chars) AS tok, count(*) AS cnt FROM s GROUP BY 1, 2)
-SELECT batch, count(*) AS n_parts, min(tok) AS min_tokens, max(tok) AS max_tokens, round(avg(tok), 6) AS mean_tokens,
-       min(cnt) AS min_items, max(cnt) AS max_items FROM pp GROUP BY batch""")
+_REPORT_SQL = f""",
+pp AS (SELECT o.batch, o.part, sum(d.n_chars) AS tok, count(*) AS cnt FROM kk_out o JOIN documents d USING (doc_id) GROUP BY 1, 2),
+pos AS (SELECT doc_id // 128 AS batch, n_chars, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) - 1 AS at_,
+               count(*) OVER (PARTITION BY doc_id // 128) AS n FROM documents),
+runs AS (SELECT batch, at_ // greatest(n // {K_PARTS}, 1) AS run, sum(n_chars) AS tok FROM pos GROUP BY 1, 2),
+bef AS (SELECT batch, min(tok) AS lo, max(tok) AS hi FROM runs GROUP BY 1),
+aft AS (SELECT batch, count(*) AS n_parts, min(tok) AS min_tokens, max(tok) AS max_tokens, sum(tok) / {K_PARTS}.0 AS mean_tokens,
+               min(cnt) AS min_items, max(cnt) AS max_items, CAST(sum(cnt) AS BIGINT) AS n_assigned FROM pp GROUP BY 1)
+"""
+
+
+@register("L4", _kk_sql() + _REPORT_SQL + """
+SELECT batch, n_parts, min_tokens, max_tokens, round(mean_tokens, 6) AS mean_tokens, min_items, max_items,
+       lo AS unbalanced_min, hi AS unbalanced_max, hi - lo AS minmax_diff FROM aft JOIN bef USING (batch)""")
 def l4_imbalance(spark, sf):
+    """Token sums of the batch as it stood and of its balanced parts."""
     b = batches(spark, sf)
-    a = L.snake_partition(b, "batch", "doc_id", "n_chars", K_PARTS).select("batch", "doc_id", "part")
-    r = L.partition_report(a, b, "batch", "doc_id", "n_chars")
+    r = L.partition_report(L.balance(b, "batch", "doc_id", "n_chars", K_PARTS, "kk"), b, "batch", "doc_id", "n_chars", K_PARTS)
     return r.select("batch", "n_parts", "min_tokens", "max_tokens", F.round("mean_tokens", 6).alias("mean_tokens"),
-                    "min_items", "max_items")
+                    "min_items", "max_items", "unbalanced_min", "unbalanced_max", "minmax_diff")
 
 
 @register("L6", _SNAKE_SQL + """
@@ -130,14 +140,14 @@ def l2_greedy(spark, sf):
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "greedy")
 
 
-@register("L3", f"""
-SELECT doc_id // 128 AS batch, CAST(least(count(*), {K_PARTS}) AS BIGINT) AS n_parts, count(*) AS n_assigned,
-       count(DISTINCT doc_id) AS n_items, count(*) >= {K_PARTS} AS valid
-FROM documents GROUP BY 1""")
+@register("L3", _kk_sql() + _REPORT_SQL + f""",
+items AS (SELECT doc_id // 128 AS batch, count(DISTINCT doc_id) AS n_items FROM documents GROUP BY 1)
+SELECT batch, n_parts, n_assigned, n_items, n_parts = {K_PARTS} AND n_assigned = n_items AS valid FROM aft JOIN items USING (batch)""")
 def l3_validate(spark, sf):
+    """Balanced parts, checked: an empty part or a lost item raises."""
     b = batches(spark, sf)
     a = L.balance(b, "batch", "doc_id", "n_chars", K_PARTS, "kk")
-    r = L.partition_report(a, b, "batch", "doc_id", "n_chars", k=K_PARTS)
+    r = L.validated(L.partition_report(a, b, "batch", "doc_id", "n_chars", K_PARTS), "batch", K_PARTS)
     return r.select("batch", "n_parts", "n_assigned", "n_items", "valid")
 
 

@@ -14,12 +14,8 @@ _IDX_SQL = "(row_number() OVER (ORDER BY o_orderkey) - 1)"
 
 
 def _orders(spark, sf, *cols):
-    o = table(spark, sf, "orders")
-    if cols:
-        o = o.select("o_orderkey", *cols)
-    return B.Batch.from_frame(o, "o_orderkey").df
-
-
+    """Orders with their position: only the key and the columns asked for are read and indexed."""
+    return B.Batch.from_frame(table(spark, sf, "orders").select("o_orderkey", *cols), "o_orderkey").df
 
 @register("B1", f"SELECT {_IDX_SQL} AS idx, o_orderkey FROM orders")
 def b1_build(spark, sf):
@@ -38,7 +34,7 @@ def b2_check(spark, sf):
 
 @register("B3", f"SELECT {_IDX_SQL} AS idx, o_orderkey, o_totalprice FROM orders")
 def b3_select(spark, sf):
-    return B.select_keys(_orders(spark, sf), ["o_orderkey", "o_totalprice"])
+    return B.select_keys(_orders(spark, sf, "o_totalprice"), ["o_orderkey", "o_totalprice"])
 
 
 @register("B4", f"SELECT {_IDX_SQL} AS idx, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
@@ -55,15 +51,16 @@ def b5_rename(spark, sf):
 
 @register("B6", f"SELECT {_IDX_SQL} AS idx, o_orderkey, o_totalprice, o_custkey FROM orders")
 def b6_union(spark, sf):
-    left = _orders(spark, sf, "o_totalprice")
-    right = _orders(spark, sf, "o_custkey")
+    o = _orders(spark, sf, "o_totalprice", "o_custkey")  # one index for both sides
+    left, right = o.drop("o_custkey"), o.drop("o_totalprice")
     return B.union(left, right, "idx", {"temperature": 1.0}, {"temperature": 1.0})
 
 
 @register("J1", f"SELECT {_IDX_SQL} AS idx, o_orderkey, o_orderstatus, o_orderdate IS NOT NULL AS has_date FROM orders")
 def j1_positional_union(spark, sf):
-    left = _orders(spark, sf, "o_orderstatus")
-    right = _orders(spark, sf, "o_orderdate").select("idx", "o_orderkey", F.col("o_orderdate").isNotNull().alias("has_date"))
+    o = _orders(spark, sf, "o_orderstatus", "o_orderdate")
+    left = o.select("idx", "o_orderkey", "o_orderstatus")
+    right = o.select("idx", "o_orderkey", F.col("o_orderdate").isNotNull().alias("has_date"))
     return B.union(left, right, "idx")
 
 
@@ -72,10 +69,14 @@ SELECT row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' T
        o_orderkey FROM orders
 """)
 def b7_concat(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    parts = [with_global_index(o.filter(c), "o_orderkey") for c in
-             (F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O",
-              ~F.col("o_orderstatus").isin("F", "O") | F.col("o_orderstatus").isNull())]
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 0).when(
+        F.col("o_orderstatus") == "O", 1).otherwise(2).alias("part"))
+    ranked = with_global_index(o, ["part", "o_orderkey"], "idx")  # one index; each part starts at 0 again
+    parts = []
+    for k in range(3):
+        part = ranked.filter(F.col("part") == k)
+        first = part.select(F.coalesce(F.min("idx"), F.lit(0))).scalar()
+        parts.append(part.select((F.col("idx") - first).alias("idx"), "o_orderkey"))
     return B.concat(parts).select("idx", "o_orderkey")
 
 

@@ -88,7 +88,8 @@ gae AS (SELECT g.*, raw_adv - mu AS advantage, raw_adv + val AS ret FROM g JOIN
 SELECT uid, step, pos, round(advantage, 6) AS advantage, round(ret, 6) AS ret FROM gae
 """)
 def w3_gae(spark, sf):
-    out = adv.gae_advantage(rollouts(spark, sf), gamma=GAMMA, lam=LAM, batch_keys=["step"])
+    ro = rollouts(spark, sf, "token_level_rewards", "values", "response_mask", write=False)
+    out = adv.gae_advantage(ro, gamma=GAMMA, lam=LAM, batch_keys=["step"])
     long = explode_tokens(out, ["uid", "step"], ["advantages", "returns"])
     return long.select("uid", "step", "pos", rnd("advantages").alias("advantage"),
                        rnd("returns").alias("ret"))
@@ -103,7 +104,8 @@ mu AS (SELECT step, sum(ret * mask) / sum(mask) AS mu FROM r GROUP BY step)
 SELECT uid, step, pos, round((ret - mu) * mask, 6) AS advantage, round(ret, 6) AS ret FROM r JOIN mu USING (step)
 """)
 def w4_reinforce_pp(spark, sf):
-    out = adv.reinforce_pp_advantage(rollouts(spark, sf), gamma=GAMMA, batch_keys=["step"])
+    ro = rollouts(spark, sf, "token_level_rewards", "response_mask", write=False)
+    out = adv.reinforce_pp_advantage(ro, gamma=GAMMA, batch_keys=["step"])
     long = explode_tokens(out, ["uid", "step"], ["advantages", "returns"])
     return long.select("uid", "step", "pos", rnd("advantages").alias("advantage"),
                        rnd("returns").alias("ret"))
@@ -137,7 +139,7 @@ FROM events JOIN (SELECT user_id, avg(value) / 100.0 AS b FROM events WHERE even
 GROUP BY 1, 2
 """)
 def j6_baseline_join(spark, sf):
-    ro = rollouts(spark, sf).join(greedy_baselines(spark, sf), "uid")
+    ro = rollouts(spark, sf, write=False).join(greedy_baselines(spark, sf), "uid")
     return ro.select("uid", "step", F.size("response_ids").cast("long").alias("n_tokens"),
                      rnd("reward_baselines").alias("baseline"))
 
@@ -151,7 +153,7 @@ SELECT uid, step, pos,
 FROM tok
 """)
 def w7_kl(spark, sf):
-    ro = rollouts(spark, sf)
+    ro = rollouts(spark, sf, write=False)
     cols = {k: adv.kl_estimate("old_log_probs", "ref_log_prob", kind)
             for k, kind in [("kl", "kl"), ("kl_abs", "abs"), ("kl_mse", "mse"), ("kl_low_var", "low_var_kl")]}
     long = explode_tokens(ro.select("uid", "step", *[c.alias(k) for k, c in cols.items()]),
@@ -166,7 +168,7 @@ SELECT uid, step,
 FROM tok GROUP BY uid, step
 """)
 def w8_kl_penalty(spark, sf):
-    out = adv.apply_kl_penalty(rollouts(spark, sf), beta=0.1, kind="kl")
+    out = adv.apply_kl_penalty(rollouts(spark, sf, write=False), beta=0.1, kind="kl")
     return out.select("uid", "step", rnd("row_kl").alias("row_kl"),
                       rnd(array_sum("token_level_rewards")).alias("reward"))
 
@@ -176,7 +178,7 @@ rows AS (SELECT uid, step, sum((old_logp - ref_logp) * mask) / sum(mask) AS row_
 SELECT step, round(avg(row_kl), 6) AS batch_kl, count(*) AS n_rows FROM rows GROUP BY step
 """)
 def w8_batch_kl(spark, sf):
-    out = adv.apply_kl_penalty(rollouts(spark, sf), beta=0.1, kind="kl")
+    out = adv.apply_kl_penalty(rollouts(spark, sf, write=False), beta=0.1, kind="kl")
     return out.groupBy("step").agg(rnd(F.avg("row_kl")).alias("batch_kl"),
                                    F.count(F.lit(1)).alias("n_rows"))
 
@@ -228,7 +230,8 @@ SELECT step, round(0.5 * sum(greatest(l1, l2) * mask) / sum(mask), 6) AS vf_loss
 FROM l GROUP BY step
 """)
 def w11_value_loss(spark, sf):
-    out = adv.gae_advantage(rollouts(spark, sf), gamma=GAMMA, lam=LAM, batch_keys=["step"])
+    ro = rollouts(spark, sf, "token_level_rewards", "values", "response_mask", "vpreds", write=False)
+    out = adv.gae_advantage(ro, gamma=GAMMA, lam=LAM, batch_keys=["step"])
     res = adv.value_loss(out, ["step"], clip=0.5)
     return res.select("step", rnd("vf_loss").alias("vf_loss"), rnd("vf_clipfrac").alias("vf_clipfrac"))
 
@@ -284,7 +287,7 @@ SELECT uid, step, round(sum(score * mask), 6) AS masked_sum,
 FROM tok GROUP BY uid, step
 """)
 def a1_masked_mean(spark, sf):
-    ro = rollouts(spark, sf)
+    ro = rollouts(spark, sf, write=False)
     from ..functions.arrays import masked_row_sum
     return ro.select("uid", "step", rnd(masked_row_sum("token_level_scores", "response_mask")).alias("masked_sum"),
                      rnd(masked_row_mean("token_level_scores", "response_mask")).alias("masked_mean"))
@@ -297,7 +300,7 @@ FROM tok JOIN mu USING (step) GROUP BY step
 """)
 def a2_masked_var(spark, sf):
     from ..operators.metrics import masked_variance
-    res = masked_variance(rollouts(spark, sf), "token_level_scores", "response_mask", ["step"])
+    res = masked_variance(rollouts(spark, sf, write=False), "token_level_scores", "response_mask", ["step"])
     return res.select("step", rnd("masked_var").alias("masked_var"))
 
 

@@ -61,17 +61,22 @@ def rollouts_from_events(events: DataFrame, block: int = ROLLOUT_BLOCK) -> DataF
                .withColumn("vpreds", F.transform("values", lambda x: x * 1.1)))
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rollout table, written once to the shared checkpoint folder.
+def rollouts(spark: SparkSession, sf_dir: str, *columns: str, write: bool = True) -> DataFrame:
+    """The rollout table (with ``columns`` only those, after the keys).
 
-    Queries read it in several branches (group statistics, sequence metrics,
-    token metrics) that prune different columns, so Spark cannot share one
-    exchange between them; without the written copy every branch would redo
-    the shuffle that builds the arrays.
+    Written once to the shared checkpoint folder for queries that read it in
+    several branches (group statistics, sequence metrics, token metrics): they
+    prune different columns, so Spark cannot share one exchange between them.
+    Queries of one branch pass ``write=False`` and let Catalyst prune.
     """
+    out = rollouts_from_events(table(spark, sf_dir, "events"))
+    if columns:
+        out = out.select("step", "uid", *columns)
+    if not write:
+        return out
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    return rollouts_from_events(table(spark, sf_dir, "events")).checkpoint(eager=True)
+    return out.checkpoint(eager=True)
 
 
 def explode_tokens(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:

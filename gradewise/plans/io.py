@@ -22,7 +22,7 @@ UNION ALL SELECT 1, n_nationkey, n_name FROM nation""")
 def s1_read_many(spark, sf):
     df = spark.read.parquet(_src(sf, "region")).select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
     df2 = spark.read.parquet(_src(sf, "nation")).select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    path_a, path_b = S.scratch_path(spark, "s1_region"), S.scratch_path(spark, "s1_nation")
+    path_a, path_b = (S.scratch_path(spark, x) + "/part" for x in ("s1_region", "s1_nation"))  # equal base names
     df.write.parquet(path_a)
     df2.write.parquet(path_b)
     both = S.read_parquet_files(spark, [path_a, path_b])
@@ -40,12 +40,12 @@ def s2_jsonl(spark, sf):
 @register("S3", """
 SELECT u.text AS prompt, a.text AS answer
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant' AND u.turn = 0""")
+WHERE u.role = 'user' AND a.role = 'assistant'""")
 def s3_dialogues(spark, sf):
     c = table(spark, sf, "conversations")
-    u = c.filter((F.col("role") == "user") & (F.col("turn") == 0)).select("conv_id", F.col("text").alias("q"))
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
-    pairs = u.join(a.filter(F.col("turn") == 0).drop("turn"), "conv_id")
+    pairs = u.join(a, ["conv_id", "turn"])
     gt_none = F.lit(None).cast("struct<value:string>")
     items = pairs.select(F.to_json(F.array(
         F.struct(F.lit("human").alias("from"), F.col("q").alias("value"), gt_none.alias("ground_truth")),
@@ -80,7 +80,7 @@ def s7_resumable(spark, sf):
     first_batches = (-(-n // 1000)) // 2            # half of the batches, whole batches only
     S.resumable_write(o.filter(F.col("idx") < first_batches * 1000), path, "idx", 1000)
     S.resumable_write(o, path, "idx", 1000)
-    return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return S.read_resumable(spark, path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("S8", "SELECT doc_id, n_chars > 2000 AS correct FROM documents")

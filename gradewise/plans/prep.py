@@ -317,7 +317,7 @@ def _mc_rows(spark, sf):
     return d.select("doc_id", F.col("source").alias("activity_label"),
                     F.try_element_at(lines, F.lit(1)).alias("ctx_a"),
                     F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("ctx_b"),
-                    F.slice(lines, 3, 4).alias("endings"),
+                    F.slice(lines, F.lit(3), F.size(lines)).alias("endings"),
                     F.when(F.size(lines) < 2, F.lit("")).otherwise((F.size(lines) % 4).cast("string")).alias("label"))
 
 
@@ -330,7 +330,7 @@ def _clean_sql(x: str) -> str:
 
 @register("P9", f"""
 WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
-r AS (SELECT doc_id, source, lines[1] AS ctx_a, coalesce(lines[2], '') AS ctx_b, lines[3:6] AS endings,
+r AS (SELECT doc_id, source, lines[1] AS ctx_a, coalesce(lines[2], '') AS ctx_b, lines[3:] AS endings,
              CASE WHEN len(lines) < 2 THEN '' ELSE CAST(len(lines) % 4 AS VARCHAR) END AS label FROM d)
 SELECT doc_id, {_clean_sql("source || ': ' || ctx_a || ' ' || upper(substr(ctx_b, 1, 1)) || lower(substr(ctx_b, 2))")} AS query,
        array_to_string(list_transform(endings, lambda e: {_clean_sql('e')}), '|') AS choices, CAST(label AS INT) AS gold

@@ -238,7 +238,7 @@ def t14_response_logprobs(spark, sf):
 SELECT uid, step, round(sum(greatest(least(vpred, val + 0.05), val - 0.05)), 6) AS clamped_sum FROM tok GROUP BY uid, step
 """)
 def t15_clamp(spark, sf):
-    ro = rollouts(spark, sf)
+    ro = rollouts(spark, sf, write=False)
     lo = F.transform("values", lambda v: v - 0.05)
     hi = F.transform("values", lambda v: v + 0.05)
     c = A.clamp_arrays("vpreds", lo, hi)
@@ -249,7 +249,7 @@ def t15_clamp(spark, sf):
 SELECT uid, step, sum(mask) - 1 AS last_pos, round(sum(score), 6) AS placed FROM tok GROUP BY uid, step
 """)
 def t16_score_last_token(spark, sf):
-    ro = rollouts(spark, sf).withColumn("_s", A.array_sum("token_level_scores"))
+    ro = rollouts(spark, sf, write=False).withColumn("_s", A.array_sum("token_level_scores"))
     placed = A.score_at_last_token("_s", "response_mask")
     ro = ro.withColumn("p", placed)
     return ro.select("uid", "step", (F.array_position(F.transform("p", lambda x: x != 0), True) - 1).cast("bigint").alias("last_pos"),
@@ -264,7 +264,7 @@ g AS (SELECT doc_id, w, list_transform(range(1, greatest(len(w) - 1, 2)), lambda
 SELECT doc_id, round(CASE WHEN len(w) < 3 THEN 0.0 ELSE 1.0 - len(list_distinct(grams)) / len(grams) END, 6) AS dup_fraction FROM g
 """)
 def t17_repetition(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", K.words("text").alias("w"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", K.words("text").alias("w"))
     return d.select("doc_id", rnd(K.duplicate_ngram_fraction("w", 3)).alias("dup_fraction"))
 
 
@@ -278,13 +278,14 @@ _NON_LATIN_SQL = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in T.NON_LA
 
 
 @register("T19", f"""
-SELECT doc_id, regexp_matches(text, '{_NON_LATIN_SQL}') AS non_latin FROM documents
-UNION ALL SELECT 1000000000 + conv_id * 100 + turn, regexp_matches(text, '{_NON_LATIN_SQL}') FROM conversations
+SELECT 'documents' AS source, doc_id AS id, CAST(NULL AS BIGINT) AS turn, regexp_matches(text, '{_NON_LATIN_SQL}') AS non_latin FROM documents
+UNION ALL SELECT 'conversations', conv_id, turn, regexp_matches(text, '{_NON_LATIN_SQL}') FROM conversations
 """)
 def t19_non_latin(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.has_non_latin("text").alias("non_latin"))
-    c = table(spark, sf, "conversations").select(
-        (F.lit(1000000000) + F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), T.has_non_latin("text").alias("non_latin"))
+    d = table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"),
+                                             F.lit(None).cast("long").alias("turn"), T.has_non_latin("text").alias("non_latin"))
+    c = table(spark, sf, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"),
+                                                 F.col("turn").cast("long").alias("turn"), T.has_non_latin("text").alias("non_latin"))
     return d.unionByName(c)
 
 

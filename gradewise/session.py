@@ -44,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is left
-    alone.  Only when it is unset (local tests) do we create a scratch folder.
+    alone; where it is unset there, this raises, since a folder of the driver's
+    machine would be lost to the executors.  In local mode, where driver and
+    executors are one process, a scratch folder is made.
     """
     sc = spark.sparkContext
     active = sc.getCheckpointDir()
@@ -52,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return active
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="gradewise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", named)
     sc.setCheckpointDir(named)

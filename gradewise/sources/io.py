@@ -27,14 +27,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def read_parquet_files(spark: SparkSession, paths: list[str], order_col: str = "file_order") -> DataFrame:
     """Read many parquet files as one table; ``file_order`` is the position
     of the row's file in ``paths`` (concatenation order)."""
-    df = spark.read.parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
-    order = F.lit(None).cast("int")
-    for i, p in reversed(list(enumerate(paths))):
-        name = p.rstrip("/").split("/")[-1]
-        # a path is a file or a folder of part files: match it as a whole path segment
-        hit = F.col("_file").endswith("/" + name) | F.col("_file").contains("/" + name + "/")
-        order = F.when(hit, F.lit(i)).otherwise(order)
-    return df.withColumn(order_col, order).drop("_file")
+    # one scan per path: the path itself says which rows are its own
+    parts = [spark.read.parquet(p).withColumn(order_col, F.lit(i)) for i, p in enumerate(paths)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -65,19 +63,34 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 # --- S7 / S8: resumable work ------------------------------------------------------------------
 
 def resumable_write(df: DataFrame, path: str, idx_col: str, batch_size: int) -> DataFrame:
-    """batch_id = idx div batch_size; batches already present under ``path``
-    are skipped (anti-join on batch ids), the rest is appended partitioned by
-    batch.  Returns the rows written by this call."""
+    """batch_id = idx div batch_size; batches finished under ``path`` are
+    skipped, the rest is appended.  Returns the rows written by this call.
+
+    ``path/rows`` holds the rows with their batch and run, in files of any size,
+    and ``path/finished`` one small row per finished batch and run, written after
+    the rows: a run that dies before that leaves rows which no reader counts.
+    """
     spark = df.sparkSession
-    from pyspark.errors import AnalysisException
     todo = df.withColumn("batch_id", F.floor(F.col(idx_col) / batch_size).cast("long"))
-    try:
-        done = spark.read.parquet(path).select("batch_id").distinct()
-        todo = todo.join(done, "batch_id", "left_anti")
-    except AnalysisException:
-        pass   # no output folder yet, or one without any finished batch
-    todo.write.mode("append").partitionBy("batch_id").parquet(path)
-    return todo
+    if _exists(spark, f"{path}/finished"):
+        todo = todo.join(spark.read.parquet(f"{path}/finished").select("batch_id").distinct(), "batch_id", "left_anti")
+    run = uuid.uuid4().hex
+    todo.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("run") == run)
+    rows.select("run", "batch_id").distinct().write.mode("append").parquet(f"{path}/finished")
+    return rows.drop("run")
+
+
+def read_resumable(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of finished batches."""
+    finished = spark.read.parquet(f"{path}/finished")
+    return spark.read.parquet(f"{path}/rows").join(finished, ["run", "batch_id"], "left_semi").drop("run")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, by the file system of its path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def resume_results(existing: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,9 +101,11 @@ def resume_results(existing: DataFrame, candidates: DataFrame, keys: list[str])
 
 # --- S9-S13 -------------------------------------------------------------------------------------
 
-def append_log(df: DataFrame, path: str, partition_col: str = "step", fmt: str = "json") -> None:
-    """Append rows to a log partitioned by step."""
-    df.write.mode("append").partitionBy(partition_col).format(fmt).save(path)
+def append_log(df: DataFrame, path: str, partition_col: str | None = None, fmt: str = "json") -> None:
+    """Append rows to a log.  Steps stay a column: a folder per step would grow with
+    the data; ``partition_col`` is for columns of few values, such as a day."""
+    writer = df.write.mode("append").format(fmt)
+    (writer.partitionBy(partition_col) if partition_col else writer).save(path)
 
 
 def flatten(df: DataFrame, sep: str = "/") -> DataFrame:
@@ -120,7 +135,7 @@ def parse_metric_lines(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path)
     parts = F.split(F.col("value"), " - ")
     step = F.element_at(F.split(F.element_at(parts, 1), ":"), 2).try_cast("long")
-    kv = F.explode(F.slice(parts, 2, 1 << 20))
+    kv = F.explode(F.slice(parts, F.lit(2), F.size(parts)))
     x = t.select(step.alias("step"), kv.alias("kv"))
     return x.select("step", F.substring_index("kv", ":", 1).alias("metric"),
                     F.substring_index("kv", ":", -1).try_cast("double").alias("value"))

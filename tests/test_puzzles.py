@@ -99,3 +99,39 @@ def test_golden_five_person_conflict_steps(spark):
                      (4, True, "ok", None, None),
                      (3, True, "conflict", 3, True), (3, False, "ok", None, None),
                      (1, True, "conflict", 1, True), (1, False, "ok", None, None)]
+
+
+def test_more_than_eight_people_use_all_assignments(spark):
+    for n, want in ((5, 32), (6, 64), (9, 512), (11, 2048)):
+        st = [("leaf", [(False, i)]) for i in range(n)]  # everybody calls themselves truthful
+        assert K.solve(_puzzle(spark, 1, st)).first().n_solutions == want
+
+
+def test_seeds_give_unrelated_orders(spark):
+    from gradewise.functions.common import seeded_draw
+    keys = spark.range(12)
+    orders = set()
+    for seed in range(10):
+        order = [r.id for r in keys.orderBy(seeded_draw("id", seed)).collect()]
+        turned = order.index(0)
+        orders.add(tuple(order[turned:] + order[:turned]))  # rotations count as one
+    assert len(orders) == 10
+
+
+def test_step_orders_are_not_a_few(spark):
+    steps = F.array(*[F.lit(str(i)) for i in range(6)])
+    got = spark.range(6000).select(F.array_join(K.shuffled(steps, F.col("id")), "").alias("o")).distinct().count()
+    assert got > 600
+
+
+def test_distinct_candidates_keep_growing(spark):
+    def distinct(n):
+        keys = spark.range(n).withColumnRenamed("id", "k")
+        return K.sample_puzzles(keys, n_people=6).select(K.statements_repr("statements").alias("s")).distinct().count()
+    assert distinct(8000) > 0.99 * 8000
+
+
+def test_perturbations_exist_for_all_that_have_one(spark):
+    keys = spark.range(300).withColumnRenamed("id", "k")
+    g = K.generate(keys, n_people=3)
+    assert K.perturb(g).count() == g.count()
