@@ -49,6 +49,7 @@ SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 RANGES = 64
 MAX_ROUNDS = 12
+GRAM_BITS, CLASS_BITS = 24, 23  # flags of shared shingles and of wanted classes: 2 MB and 1 MB
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
@@ -184,8 +185,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     current = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
                       .filter("hi <> lo").distinct(), "links")
-    state = None
     while True:
+        # done when no vertex is both above one and below another
+        if current.select(F.col("lo").alias("v")).join(current.select(F.col("hi").alias("v")), "v", "left_semi").isEmpty():
+            two = current.groupBy("hi").count().filter("count > 1").isEmpty()
+            if two:
+                return current
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -195,10 +200,25 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
                  .select("e.hi", "e.lo").filter("hi <> lo").distinct())
         current = written(small, "links")
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first())
-        if now == state:
-            return current
-        state = now
+
+
+def bit_table(values: DataFrame, bits: int) -> np.ndarray:
+    """2**bits flags: true where a value of the (long, evenly spread) column has these leading
+    bits.  Words are put together by the cluster; the driver gets 2**bits / 8 bytes at most
+    twice over, whatever the number of values."""
+    value = F.col(values.columns[0])
+    bit = F.shiftrightunsigned(value, 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = (values.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(one).alias("flags"))).toArrow()
+    table = np.zeros(1 << bits >> 6, np.int64)
+    table[words.column("word").to_numpy()] = words.column("flags").to_numpy()
+    return table
+
+
+def flagged(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit values have their flag set."""
+    bit = (values >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
 class Verifier:
@@ -245,28 +265,16 @@ def needed_sets(docs: DataFrame, text: str, ids: DataFrame, size: int) -> DataFr
     table of fixed size (1 MB) with the wanted ids stops most others before the shuffle; the
     join decides.
     """
-    bits = 23
     ids = written(ids, "wanted-classes")
-    marked = ids.select(F.shiftrightunsigned("id", 64 - bits).cast("int").alias("bit")).distinct()
-
-    def table(batches):
-        seen = np.zeros(1 << bits, bool)
-        for batch in batches:
-            seen[batch.column(0).to_numpy()] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(seen).tobytes()]})
-    # one part of the table per task, none larger than the table
-    parts = marked.mapInArrow(table, "bits binary").collect()
-    wanted = np.zeros(1 << bits >> 3, np.uint8)
-    for (part,) in parts:
-        wanted |= np.frombuffer(part, np.uint8)
+    wanted = bit_table(ids, CLASS_BITS)
 
     def sets(batches):
-        look, done = np.unpackbits(wanted).astype(bool), set()
+        done = set()
         for batch in batches:
             rows, held = [], 0
             for s in shingle_sets(batch.column(0), size):
                 i = set_id(s)
-                if i is None or not look[(i & (1 << 64) - 1) >> 64 - bits] or i in done:
+                if i is None or i in done or not flagged(wanted, CLASS_BITS, np.array([i & (1 << 64) - 1], np.uint64))[0]:
                     continue
                 done.add(i)
                 rows.append((i, s.tobytes()))
@@ -281,11 +289,32 @@ def needed_sets(docs: DataFrame, text: str, ids: DataFrame, size: int) -> DataFr
     return written(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingle-sets")
 
 
+def index_entries(classes: DataFrame, shared: np.ndarray) -> DataFrame:
+    """(gram, id, n, pos, centre) of the prefix shingles whose flag is set: nearly all that only
+    one class has stop here, before the shuffle."""
+    def entries(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            sizes = prefix.value_lengths().to_numpy()
+            grams = prefix.flatten().to_numpy()
+            row = np.repeat(np.arange(len(prefix)), sizes)
+            pos = np.arange(grams.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = flagged(shared, GRAM_BITS, grams.view(np.uint64))
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams[keep]), batch.column("id").take(pa.array(row)), batch.column("n").take(pa.array(row)),
+                 pa.array(pos[keep].astype(np.int32)), batch.column("centre").take(pa.array(row))],
+                names=["gram", "id", "n", "pos", "centre"])
+
+    return classes.select("id", "n", "centre", "prefix").mapInArrow(entries, "gram long, id long, n int, pos int, centre float")
+
+
 def linked_classes(classes: DataFrame, docs: DataFrame, text: str, size: int, num: int, den: int) -> DataFrame:
     """(hi, lo) of ``components`` over all links between classes."""
-    entries = classes.select("id", "n", "centre", F.posexplode("prefix").alias("pos", "gram"))
-    shared = entries.groupBy("gram").count().filter("count > 1").select("gram")
-    index = written(entries.join(shared, "gram"), "prefix-index")
+    grams = classes.select(F.explode("prefix").alias("gram"))
+    shared = written(grams.groupBy("gram").count().filter("count > 1").select("gram"), "shared-shingles")
+    release(shared.sparkSession)
+    index = written(index_entries(classes, bit_table(shared, GRAM_BITS)).join(shared, "gram"), "prefix-index")
     release(index.sparkSession)
     verify = Verifier(classes, docs, text, size, num, den)
     found, before = None, math.inf  # star edges of the components so far; pairs left before the round
