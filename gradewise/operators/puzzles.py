@@ -16,11 +16,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.common import as_col, let, seeded_draw
+from ..session import ensure_checkpoint_dir
 from . import puzzle_text as PT
 
 OPS = ["leaf", "not", "and", "or", "->", "<=>"]
@@ -211,6 +212,23 @@ def generate(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> D
     return best.select("p.*", "statements_repr").filter(F.col("n_solutions") == 1)
 
 
+def generate_exactly(spark: SparkSession, count: int, n_people: int | None = None, seed: int = 0) -> DataFrame:
+    """K2 for a number of puzzles: keys 0, 1, 2, ... are tried, twice as many each time, until
+    enough distinct puzzles with one solution are found; the first ``count`` by key are
+    returned.  Raises when twice the keys bring no new puzzle (small sizes have few)."""
+    ensure_checkpoint_dir(spark)
+    tried, before = max(64, 8 * count), -1
+    while True:
+        keys = spark.range(tried).withColumnRenamed("id", "k")
+        found = generate(keys, n_people=n_people, seed=seed).checkpoint(eager=True)
+        n = found.count()
+        if n >= count:
+            return found.orderBy("k").limit(count)
+        if n == before:
+            raise ValueError(f"only {n} distinct puzzles of this kind were found")
+        tried, before = 2 * tried, n
+
+
 # --- K6: rendering -------------------------------------------------------------
 
 def _role_words(pair_index: Column | None, flip: bool):
@@ -363,28 +381,28 @@ def _perturbed(k: int, n: int, statements: list[dict], solution: int, leaf: bool
             truth = np.concatenate([leaves, ~leaves, *[_combined(op, a, b) for op in OPS[2:]]])
             base = p * truth.shape[0]
         left = ~(truth ^ knights[p]) & others
-        for i in np.flatnonzero(np.bitwise_count(left).sum(axis=1) == 1):
-            word = int(np.flatnonzero(left[i])[0])
-            bit = 64 * word + int(left[i, word]).bit_length() - 1
-            if bit != solution:
-                found.append((int(hashlib.md5(f"{seed}:{k}:{base + i}".encode()).hexdigest()[:15], 16), base + int(i), p, int(i), bit))
+        unique = np.flatnonzero(np.bitwise_count(left).sum(axis=1) == 1)
+        word = (left[unique] != 0).argmax(axis=1)
+        bit = 64 * word + np.log2(left[unique, word].astype(np.float64)).astype(np.int64)  # a power of two
+        for i, x in zip(unique[bit != solution].tolist(), bit[bit != solution].tolist()):
+            found.append((hashlib.md5(f"{seed}:{k}:{base + i}".encode()).hexdigest()[:15], base + i, p, i, x))
+    if not found:
+        return None
 
     def as_dict(option):
         return {"lie": bool(option[0]), "who": int(option[1])}
-    for _, cand, p, i, bit in sorted(found):
-        options = [as_dict(_leaf_option(j, n, p)) for j in range(m)]
-        if leaf:
-            place, j = divmod(i, m)
-            args = [options[j] if at == place else dict(a) for at, a in enumerate(statements[p]["args"])]
-            new = {"op": statements[p]["op"], "args": args}
-        elif i < 2 * m:
-            new = {"op": OPS[i // m], "args": [options[i % m]]}
-        else:
-            op, pair = divmod(i - 2 * m, m * (m - 1))
-            new = {"op": OPS[2 + op], "args": [options[first[pair]], options[second[pair]]]}
-        if new != statements[p]:
-            return {"cand": cand, "n": n, "statements": [new if q == p else s for q, s in enumerate(statements)], "solution_bits": bit}
-    return None
+    _, cand, p, i, bit = min(found)  # another solution: the statement differs from the original
+    options = [as_dict(_leaf_option(j, n, p)) for j in range(m)]
+    if leaf:
+        place, j = divmod(i, m)
+        args = [options[j] if at == place else dict(a) for at, a in enumerate(statements[p]["args"])]
+        new = {"op": statements[p]["op"], "args": args}
+    elif i < 2 * m:
+        new = {"op": OPS[i // m], "args": [options[i % m]]}
+    else:
+        op, pair = divmod(i - 2 * m, m * (m - 1))
+        new = {"op": OPS[2 + op], "args": [options[first[pair]], options[second[pair]]]}
+    return {"cand": cand, "n": n, "statements": [new if q == p else s for q, s in enumerate(statements)], "solution_bits": bit}
 
 
 def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1) -> DataFrame:

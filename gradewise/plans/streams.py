@@ -39,7 +39,7 @@ def x1_running_means(spark, sf):
     folder = _write_log(spark, sf)
     out, ck = scratch_path(spark, "x1_out"), scratch_path(spark, "x1_ck")
     X.running_means(X.scored_stream(spark, folder, FILES_PER_TRIGGER), out, ck).awaitTermination()
-    r = spark.read.parquet(out)
+    r = X.latest_means(spark, out)
     return r.select("run", "step", "source", "n", rnd(F.col("score_sum") / F.col("n")).alias("mean_score"))
 
 

@@ -23,17 +23,24 @@ def scored_stream(spark: SparkSession, folder: str, max_files_per_trigger: int =
 def running_means(stream: DataFrame, out_path: str, checkpoint: str):
     """Running mean / count per (run, step, source), updated every micro-batch.
 
-    Complete-mode aggregates are written by ``foreachBatch`` (each batch
-    overwrites the table with the current totals)."""
+    Update mode: every micro-batch appends the totals that it changed, tagged with
+    the batch id; ``latest_means`` keeps the last version of each."""
     agg = stream.groupBy("run", "step", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"))
 
-    def write(batch_df, _batch_id):
-        batch_df.write.mode("overwrite").parquet(out_path)
-    return (agg.writeStream.outputMode("complete").foreachBatch(write)
+    def write(batch_df, batch_id):
+        batch_df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+    return (agg.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def latest_means(spark: SparkSession, out_path: str) -> DataFrame:
+    """Final totals of every (run, step, source): those of its latest micro-batch."""
+    best = spark.read.parquet(out_path).groupBy("run", "step", "source").agg(
+        F.max_by(F.struct("n", "score_sum"), "batch_id").alias("v"))
+    return best.select("run", "step", "source", "v.n", "v.score_sum")
+
+
 def event_time(ts_ntz) -> "F.Column":
     """Absolute event time from a wall-clock (NTZ) value read as UTC, computed
     from its fields so the session time zone plays no part."""

@@ -135,3 +135,11 @@ def test_perturbations_exist_for_all_that_have_one(spark):
     keys = spark.range(300).withColumnRenamed("id", "k")
     g = K.generate(keys, n_people=3)
     assert K.perturb(g).count() == g.count()
+
+
+def test_generator_delivers_the_number_asked_for(spark):
+    import pytest
+    rows = K.generate_exactly(spark, 75, n_people=3).collect()
+    assert len(rows) == 75 and len({r.statements_repr for r in rows}) == 75 and all(r.n_solutions == 1 for r in rows)
+    with pytest.raises(ValueError, match="distinct puzzles"):
+        K.generate_exactly(spark, 5000, n_people=2)
