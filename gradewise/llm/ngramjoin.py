@@ -43,13 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .hashing import Spans, mixed
-from .support import byte_view, release, row_pieces, unused, written
+from .support import arrow_batches, byte_view, release, row_pieces, unused, written
 
-SKETCH_BITS = 22
+SKETCH_BITS = 23
 SKETCH_BLOCKS = 64
 RANGES = 64
 MAX_ROUNDS = 12
-GRAM_BITS, CLASS_BITS = 24, 23  # flags of shared shingles and of wanted classes: 2 MB and 1 MB
+GRAM_BITS, CLASS_BITS = 26, 23  # flags of shared shingles and of wanted classes: 8 MB and 1 MB
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
@@ -105,19 +105,26 @@ def frequency_sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
     per_block = (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
     def count(batches):
-        sums = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sums, docs_in = np.zeros(1 << SKETCH_BITS, np.uint16), 0
+
+        def packed():
+            # mostly small numbers: packed, a task's counts take a few megabytes
+            blocks = [pa.compress(b.tobytes(), "zstd", asbytes=True) for b in sums.reshape(SKETCH_BLOCKS, per_block)]
+            return pa.RecordBatch.from_pydict({"block": np.arange(SKETCH_BLOCKS), "counts": blocks})
         for batch in batches:
             for s in shingle_sets(batch.column(0), size):
-                np.add.at(sums, counter_of(s), 1)
-        # mostly small numbers: packed, a task's counts take a few megabytes
-        blocks = [pa.compress(b.tobytes(), "zstd", asbytes=True) for b in sums.reshape(SKETCH_BLOCKS, per_block)]
-        yield pa.RecordBatch.from_pydict({"block": np.arange(SKETCH_BLOCKS), "counts": blocks})
+                sums[counter_of(s)] += 1  # once per document
+                docs_in += 1
+                if docs_in == 0xFFFF:  # no counter can be larger
+                    yield packed()
+                    sums[:], docs_in = 0, 0
+        yield packed()
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(pa.decompress(counts, per_block * 4, "zstd", asbytes=True), np.uint32)
+                part = np.frombuffer(pa.decompress(counts, per_block * 2, "zstd", asbytes=True), np.uint16)
                 sums[block] = sums.get(block, 0) + part.astype(np.int64)
         logs = [np.minimum(8 * np.log2(s + 1.0), 255).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(logs, pa.binary())], names=["block", "counts"])
@@ -371,6 +378,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not 0 < num <= den or not 0 < size <= STEPS.size:
         raise ValueError("the similarity must be in (0, 1], a shingle 1 to 8 words")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with arrow_batches(docs.sparkSession, 1000):
+        return _near_duplicates(rows, size, num, den)
+
+
+def _near_duplicates(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
     sketch = frequency_sketch(rows, "text", size)
     summary = rows.select("doc_id", summary_column(F.col("text"), sketch, size, num, den).alias("s"))
     found = written(summary.select("doc_id", "s.*"), "shingle-summaries")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import re
@@ -63,6 +64,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Hand at most ``rows`` rows to Python at once while plans run inside; texts are long, and
+    both sides of the exchange hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def unused(df_or_names, *wanted: str) -> list[str]:
     """Column names starting with ``wanted`` that no column of the frame has (case ignored)."""
     names = getattr(df_or_names, "columns", df_or_names)
