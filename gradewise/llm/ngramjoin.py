@@ -172,6 +172,16 @@ def summary_column(text: Column, sketch: np.ndarray, size: int, num: int, den: i
     return summary(text)
 
 
+def class_column(text: Column, size: int) -> Column:
+    """Struct of id (null for empty sets) and n of each text's set."""
+    @arrow_udf("id long, n int")
+    def class_of(texts: pa.Array) -> pa.Array:
+        found = [(set_id(s), s.size) for s in shingle_sets(texts, size)]
+        columns = list(zip(*found)) or [(), ()]
+        return pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32())], names=["id", "n"])
+    return class_of(text)
+
+
 def enough(shared, n_a, n_b, num: int, den: int):
     """Whether ``shared`` common shingles make two sets of these sizes link."""
     return den * shared >= num * (n_a + n_b - shared)
@@ -191,17 +201,17 @@ def components(edges: DataFrame) -> DataFrame:
     join, written to the shared folder.
     """
     current = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-                      .filter("hi <> lo").distinct(), "links")
+                      .filter("hi <> lo"), "links")
     while True:
         # done when no vertex is both above one and below another
         if current.select(F.col("lo").alias("v")).join(current.select(F.col("hi").alias("v")), "v", "left_semi").isEmpty():
-            two = current.groupBy("hi").count().filter("count > 1").isEmpty()
-            if two:
+            lows = current.groupBy("hi").agg(F.min("lo").alias("lo"), F.max("lo").alias("other"))
+            if lows.filter("lo <> other").isEmpty():
                 return current
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(lowest, "hi")
                  .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
@@ -260,19 +270,18 @@ class Verifier:
         left = (pairs.join(of_a, "a").join(of_b, "b").filter(suffix_filter("ranges_a", "ranges_b", "n_a", "n_b")).select("a", "b"))
         left = written(left, "candidate-pairs")
         release(left.sparkSession)
-        ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
+        ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id")))
         of_a, of_b = sides(needed_sets(self.docs, self.text, ids, self.size), "shingles")
         return left.join(of_a, "a").join(of_b, "b").filter(verified("shingles_a", "shingles_b")).select("a", "b")
 
 
 def needed_sets(docs: DataFrame, text: str, ids: DataFrame, size: int) -> DataFrame:
-    """Written (id, shingles) of the classes in ``ids``.
+    """Written (id, shingles) of the classes in ``ids``, and of a few more.
 
-    Sets are computed from the texts again instead of being kept for all documents.  A bit
-    table of fixed size (1 MB) with the wanted ids stops most others before the shuffle; the
-    join decides.
+    Sets are computed from the texts again instead of being kept for all documents; a flag
+    table of fixed size stops nearly all that are not wanted before the shuffle, and the
+    others find no pair.
     """
-    ids = written(ids, "wanted-classes")
     wanted = bit_table(ids, CLASS_BITS)
 
     def sets(batches):
@@ -293,7 +302,7 @@ def needed_sets(docs: DataFrame, text: str, ids: DataFrame, size: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["id", "shingles"])
 
     found = docs.select(text).mapInArrow(sets, "id long, shingles binary")
-    return written(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingle-sets")
+    return written(found.dropDuplicates(["id"]), "shingle-sets")
 
 
 def index_entries(classes: DataFrame, shared: np.ndarray) -> DataFrame:
@@ -335,13 +344,14 @@ def linked_classes(classes: DataFrame, docs: DataFrame, text: str, size: int, nu
         # left: shingles with two or more classes besides the centre, not all in one component
         rest = index.join(centre.select("gram", "centre_id"), "gram").filter("id <> centre_id").drop("centre_id", "root")
         rest = rooted(rest, found)
-        open_ = rest.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gram")
-        index = written(rest.join(open_, "gram"), "prefix-index")
-        per_root = index.groupBy("gram", "root").agg(F.count("*").cast("double").alias("c"))
-        per_gram = per_root.groupBy("gram").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.sum("c").alias("n"))
-        left, entries_left = per_gram.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)) / 2, F.coalesce(F.sum("n"), F.lit(0.0))).first()
+        per_root = rest.groupBy("gram", "root").agg(F.count("*").cast("double").alias("c"))
+        per_gram = per_root.groupBy("gram").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("open_pairs"),
+                                                F.sum("c").alias("open_entries"))
+        open_ = written(per_gram.filter("open_pairs > 0"), "open-shingles")
+        left, entries_left = open_.agg(F.coalesce(F.sum("open_pairs"), F.lit(0.0)), F.coalesce(F.sum("open_entries"), F.lit(0.0))).first()
         if left == 0:
             return found
+        index = written(rest.join(open_.select("gram"), "gram"), "prefix-index")
         if left <= 4 * entries_left or left > before / 2:
             break
         before = left
@@ -384,13 +394,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _near_duplicates(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
     sketch = frequency_sketch(rows, "text", size)
-    summary = rows.select("doc_id", summary_column(F.col("text"), sketch, size, num, den).alias("s"))
-    found = written(summary.select("doc_id", "s.*"), "shingle-summaries")
-    members = found.select("doc_id", "n", "id")
-    # rows of one id are alike but for doc_id: any one stands for the class
-    classes = written(found.filter("id is not null").drop("doc_id").dropDuplicates(["id"]), "shingle-classes")
+    summary = rows.select(summary_column(F.col("text"), sketch, size, num, den).alias("s")).select("s.*")
+    # texts of one id have one summary: any stands for the class
+    classes = written(summary.filter("id is not null").dropDuplicates(["id"]), "shingle-classes")
     release(classes.sparkSession)
     stars = linked_classes(classes, rows, "text", size, num, den)
+    # which document is in which class: hashed again rather than kept with all prefixes till here
+    members = written(rows.select("doc_id", class_column(F.col("text"), size).alias("c")).select("doc_id", "c.*"), "class-members")
     rooted_members = rooted(members, stars)
     smallest = (rooted_members.filter("id is not null").groupBy(F.col("root").alias("root_"))
                 .agg(F.min("doc_id").alias("smallest")))
@@ -408,11 +418,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
             .select("component_id", F.col("class_id").alias("__class")).distinct())
     kept, place = unused(docs, "class_of_text", "place_in_class")
 
-    @arrow_udf("long")
-    def class_of(texts: pa.Array) -> pa.Array:
-        return pa.array([set_id(s) for s in shingle_sets(texts, size)], pa.int64())
-
-    tagged = docs.withColumn(kept, class_of(text))
+    tagged = docs.withColumn(kept, class_column(F.col(text), size)["id"])
     same = F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col(kept) == F.col("__class"))
     joined = tagged.join(stay, same, "left").filter(F.col(kept).isNull() | F.col("__class").isNotNull())
     in_class = W.partitionBy(doc_id, kept).orderBy(F.lit(0))
