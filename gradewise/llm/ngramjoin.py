@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles (64-bit hashes; a false match of two
 sets needs a hash collision, about n**2 / 2**65 for n hashes compared).  Documents with
 equal sets are one *class*.  Two classes link when their Jaccard similarity is at least
-``num / den``; the result gives each document the smallest document id it can reach.
+``num / den``; the result gives each document the smallest document id it can reach and the
+number of documents that it links with, and ``link_pairs`` gives the pairs of classes.
 
 1. Document frequencies of all shingles are counted into 2**SKETCH_BITS counters (a table of
    fixed size, summed over all documents), whose logarithms define the order rare first,
@@ -21,6 +22,10 @@ equal sets are one *class*.  Two classes link when their Jaccard similarity is a
    different components are left, or a round did not halve them (what is left is unlike and
    does not grow together), one join compares all that pass the filters.  A pair is left
    out only if both are in one component already, so components are exact.
+5. Links join classes of one component only, so all of them are found by comparing the
+   classes of each component: every pair once, on the whole sets.  A component is dealt into
+   blocks and each pair of blocks is a group of its own (``linked_in_blocks``), so a group of
+   near copies is many groups of bounded size.  ``count_links`` False leaves this step out.
 
 Hot shingles: counts and centres are partial aggregates, joins back are plain sort-merge
 joins that Spark splits; no group is collected anywhere.
@@ -382,17 +387,159 @@ def centre_roots(centre: DataFrame, found: DataFrame) -> DataFrame:
     return rooted(centre.select("gram", F.col("centre_id").alias("id")), found).select("gram", F.col("root").alias("centre_root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85,
-                    den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, class_id (null for empty sets) and component_id of every document."""
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of common values of each set of ``x`` with each of ``y``.
+
+    Values that many pairs share are counted by a matrix product, the others pair by pair.
+    """
+    nx, ny = len(x), len(y)
+    values, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row_x, row_y = (np.repeat(np.arange(len(side)), [s.size for s in side]) for side in (x, y))
+    at_x, at_y = place[:row_x.size], place[row_x.size:]
+    in_x, in_y = (np.bincount(at, minlength=values.size) for at in (at_x, at_y))
+    both = in_x * in_y
+    heavy, light = 200 * both >= nx * ny, (both > 0) & (200 * both < nx * ny)
+    total = np.zeros((nx, ny), np.int64)
+    many, step = np.flatnonzero(heavy & (both > 0)), max((1 << 22) // (nx + ny), 1)
+    column = np.full(values.size, -1)
+    for k in range(0, many.size, step):
+        part = many[k:k + step]
+        column[part] = np.arange(part.size)
+        sides = []
+        for n, row, at in ((nx, row_x, at_x), (ny, row_y, at_y)):
+            matrix, known = np.zeros((n, part.size), np.float32), column[at] >= 0
+            matrix[row[known], column[at[known]]] = 1
+            sides.append(matrix)
+        total += (sides[0] @ sides[1].T).astype(np.int64)  # whole numbers up to 2**22: exact
+        column[part] = -1
+    if light.any():
+        order = np.argsort(at_y, kind="stable")
+        begin = np.cumsum(in_y) - in_y
+        row, at = row_x[light[at_x]], at_x[light[at_x]]
+        ends = np.cumsum(in_y[at])
+        a = 0
+        while a < at.size:  # a bounded number of pairs at a time
+            b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), side="right")), a + 1)
+            size = in_y[at[a:b]]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            other = row_y[order[np.repeat(begin[at[a:b]], size) + within]]
+            total += np.bincount(np.repeat(row[a:b], size) * ny + other, minlength=nx * ny).reshape(nx, ny)
+            a = b
+    return total
+
+
+def linked_in_blocks(dealt: DataFrame, num: int, den: int, pairs: bool) -> DataFrame:
+    """Links among the classes of each (root, lo, hi): between the blocks lo and hi, or inside
+    the block.  (a, b) of each link, or (id, classes, docs) with the classes and documents that
+    a class links with there."""
+    names = ["a", "b"] if pairs else ["id", "classes", "docs"]
+
+    def links(group: list[pa.RecordBatch]) -> list[np.ndarray]:
+        table = pa.Table.from_batches(group)
+        if table.num_rows < 2:
+            return [np.zeros(0, np.int64) for _ in names]
+        ids, copies, block = (table.column(c).to_numpy() for c in ("id", "copies", "block"))
+        sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+        sizes = np.array([s.size for s in sets])
+        x = np.flatnonzero(block == table.column("lo")[0].as_py())
+        y = np.flatnonzero(block == table.column("hi")[0].as_py())
+        if not (x.size and y.size):
+            return [np.zeros(0, np.int64) for _ in names]
+        shared = shared_counts([sets[k] for k in x], [sets[k] for k in y])
+        linked = enough(shared, sizes[x][:, None], sizes[y][None, :], num, den)
+        if table.column("lo")[0] == table.column("hi")[0]:
+            linked = np.triu(linked, 1)
+        if pairs:
+            i, j = np.nonzero(linked)
+            return [np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])]
+        return [np.concatenate([ids[x], ids[y]]), np.concatenate([linked.sum(1), linked.sum(0)]),
+                np.concatenate([linked @ copies[y], copies[x] @ linked])]
+
+    def compare(batches):
+        key, group, out, held = None, [], [], 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=names)
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "lo", "hi")], 1).astype(np.int64)
+            cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if a == b:
+                    continue
+                if group and key != tuple(keys[a]):
+                    out.append(links(group))
+                    held += out[-1][0].size + 1
+                    group = []
+                    if held > 1 << 16:
+                        yield packed()
+                        out, held = [], 0
+                key = tuple(keys[a])
+                group.append(batch.slice(a, b - a))
+        if group:
+            out.append(links(group))
+        if out:
+            yield packed()
+
+    return dealt.mapInArrow(compare, ", ".join(f"{n} long" for n in names))
+
+
+def dealt_classes(per_class: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
+    """The classes of components of two or more with their sets, once for each pair of blocks
+    (lo, hi) of the component that their block is in."""
+    per_root = per_class.groupBy("root").agg(F.count("*").alias("k"), F.sum(F.col("n").cast("long")).alias("total"))
+    # a block has 3 sqrt(k) classes or so, and about 8 MB of shingles
+    blocks = F.greatest(F.ceil(F.sqrt("k") / 3), F.ceil(F.col("total") * 8 / (8 << 20))).cast("int")
+    several = per_root.filter("k > 1").select(F.col("root").alias("root_"), F.when((F.col("k") <= 64) & (F.col("total") < 1 << 20), 1)
+                                              .otherwise(F.least(blocks, F.col("k").cast("int"))).alias("blocks"))
+    linked = written(per_class.join(several, F.col("root") == F.col("root_")).select("id", "root", "copies", "blocks"), "linked-classes")
+    sets = needed_sets(docs, text, linked.select("id"), size)
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return (linked.join(sets, "id").withColumn("block", block)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "copies", "shingles")
+            .repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi"))
+
+
+def checked(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> DataFrame:
     if not 0 < num <= den or not 0 < size <= STEPS.size:
         raise ValueError("the similarity must be in (0, 1], a shingle 1 to 8 words")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85,
+                    den: int = 100, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id (null for empty sets) and component_id of every document; with
+    ``count_links`` also the numbers of other documents (n_links) and other classes
+    (n_class_links) that it links with."""
+    rows = checked(docs, doc_id, text, size, num, den)
     with arrow_batches(docs.sparkSession, 1000):
-        return _near_duplicates(rows, size, num, den)
+        members, per_class = _classes_of(rows, size, num, den)
+        smallest = per_class.groupBy(F.col("root").alias("root_")).agg(F.min("least").alias("smallest"))
+        known = per_class.join(smallest, F.col("root") == F.col("root_")).select(F.col("id").alias("id_"), "smallest", "copies")
+        counts = []
+        if count_links:
+            found = linked_in_blocks(dealt_classes(per_class, rows, "text", size), num, den, False)
+            found = written(found.groupBy("id").agg(F.sum("classes").alias("classes"), F.sum("docs").alias("docs")), "link-counts")
+            known = known.join(found, F.col("id_") == F.col("id"), "left").drop("id")
+            counts = [F.coalesce(F.col("docs"), F.lit(0)) + F.col("copies") - 1, F.coalesce(F.col("classes"), F.lit(0))]
+            counts = [F.when(F.col("id").isNull(), 0).otherwise(c).cast("long").alias(n) for n, c in zip(("n_links", "n_class_links"), counts)]
+    return members.join(known, F.col("id") == F.col("id_"), "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("class_id"),
+        F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"), *counts)
 
 
-def _near_duplicates(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def link_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85,
+               den: int = 100) -> DataFrame:
+    """(a, b), a < b: the class ids of every link between different classes, each once; the
+    class ids of documents are those of ``near_duplicates``."""
+    rows = checked(docs, doc_id, text, size, num, den)
+    with arrow_batches(docs.sparkSession, 1000):
+        _, per_class = _classes_of(rows, size, num, den)
+        return written(linked_in_blocks(dealt_classes(per_class, rows, "text", size), num, den, True), "link-pairs")
+
+
+def _classes_of(rows: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Written (doc_id, id, n) of the documents, and (id, n, copies, least, root) of the classes."""
     sketch = frequency_sketch(rows, "text", size)
     summary = rows.select(summary_column(F.col("text"), sketch, size, num, den).alias("s")).select("s.*")
     # texts of one id have one summary: any stands for the class
@@ -401,18 +548,15 @@ def _near_duplicates(rows: DataFrame, size: int, num: int, den: int) -> DataFram
     stars = linked_classes(classes, rows, "text", size, num, den)
     # which document is in which class: hashed again rather than kept with all prefixes till here
     members = written(rows.select("doc_id", class_column(F.col("text"), size).alias("c")).select("doc_id", "c.*"), "class-members")
-    rooted_members = rooted(members, stars)
-    smallest = (rooted_members.filter("id is not null").groupBy(F.col("root").alias("root_"))
-                .agg(F.min("doc_id").alias("smallest")))
-    return rooted_members.join(smallest, F.col("root") == F.col("root_"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("class_id"),
-        F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    per_class = (members.filter("id is not null").groupBy("id")
+                 .agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least")))
+    return members, written(rooted(per_class, stars), "rooted-classes")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that stay, with their columns: of each component the one with the smallest
     id, and every document without shingles.  Of repeated rows (equal id and set) one stays."""
-    found = near_duplicates(docs, doc_id, text, **options)
+    found = near_duplicates(docs, doc_id, text, count_links=False, **options)
     size = options.get("size", 4)
     stay = (found.filter(F.col("class_id").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select("component_id", F.col("class_id").alias("__class")).distinct())

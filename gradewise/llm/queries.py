@@ -117,4 +117,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngramjoin.near_duplicates(docs, size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+    found = ngramjoin.near_duplicates(docs, size=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "class_id", "component_id", "n_links", "n_class_links")

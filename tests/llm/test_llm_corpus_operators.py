@@ -162,6 +162,39 @@ def test_components_against_all_pairs(spark, monkeypatch, size, num, den, rounds
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(docs, size, num, den)))
 
 
+def brute_links(texts, size, num, den):
+    """Shingle sets, and for each text the places of the texts that it links with."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for t in texts]
+    sets = [frozenset(tuple(w[k:k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []) for w in words]
+
+    def link(s, t):
+        return bool(s and t) and den * len(s & t) >= num * len(s | t)
+    return sets, [[j for j, t in enumerate(sets) if j != i and link(s, t)] for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("size,num,den", [(4, 85, 100), (2, 50, 100), (3, 1, 1)])
+def test_no_link_is_lost(spark, size, num, den):
+    texts = near_copies(random.Random(size))
+    base = [f"g{k}" for k in range(60)]
+    texts += [" ".join([*base, f"h{k}"]) for k in range(150)]  # a component of several blocks
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets, linked = brute_links(texts, size, num, den)
+    got = {r.doc_id: r for r in ngramjoin.near_duplicates(docs, size=size, num=num, den=den).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == list(map(len, linked))
+    assert [got[i].n_class_links for i in range(len(texts))] == [len({sets[j] for j in js} - {sets[i]}) for i, js in enumerate(linked)]
+    pairs = ngramjoin.link_pairs(docs, size=size, num=num, den=den).collect()
+    want = {tuple(sorted((got[i].class_id, got[j].class_id))) for i, js in enumerate(linked) for j in js if sets[i] != sets[j]}
+    assert len(pairs) == len(want) and {(r.a, r.b) for r in pairs} == want
+
+
+def test_shared_counts_by_either_way():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([np.arange(30), rng.integers(30, 9000, 400)])).astype(np.uint64) for _ in range(60)]
+    x, y = sets[:35], sets[35:]
+    assert ngramjoin.shared_counts(x, y).tolist() == [[np.intersect1d(a, b).size for b in y] for a in x]
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(4, text), (2, text + " end"), (2, text + " end"), (9, "other words here now"), (5, None), (6, ""), (None, text)],
