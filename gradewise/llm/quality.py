@@ -5,17 +5,20 @@ byte-fallback tokens, and the entropy of its token distribution.  Text of a kind
 vocabulary handles like the rest of its language gives figures close to the language's
 median; symbol noise, spam, encoding faults and boilerplate do not.
 
-Bands are learned from all documents that pass the base rules: per language (or per
-dominant script where a document has no language) and per length class, since entropy and
-its spread depend on length.  A band is median +- ``width`` robust deviations (a quartile
-distance / 1.349, not below the floors).  A class with fewer than ``min_docs`` documents
-uses its language's band over all lengths; a language with fewer has no band and rejects
-nothing.
+Bands are learned from the distinct texts that pass the base rules, each counted once in a
+cell whatever its copies: per language (or per dominant script where a document has no
+language) and per length class, since entropy and its spread depend on length.  A band is
+median +- ``width`` robust deviations (a quartile distance / 1.349), which are not below the
+floors, the median deviation of the group's length classes and that of all cells of the same
+kind: near copies that fill a cell do not make it narrow.
+
+A class with fewer than ``min_docs`` texts uses its language's band over all lengths; a
+language with fewer has no band and rejects nothing.
 
 Base rules: at least 50 words, at most half of them in 3-word windows that occur twice.
 
 Cases: null and empty texts have no words and fail the base rules; null or empty language
-falls back to the script; ties and repeated rows are measured alike and counted each;
+falls back to the script; ties and repeated rows are measured and judged alike;
 texts of any length are measured whole; an empty table gives an empty result.
 """
 
@@ -59,6 +62,7 @@ MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
 #: measure -> (smallest deviation, whether low values are rejected, whether high ones are)
 BANDED = {"chars_per_token": (0.02, True, True), "byte_share": (0.004, False, True),
           "token_entropy": (0.05, True, True)}
+RELATIVE = {"chars_per_token"}  # its deviations are shares of the median
 
 
 def script_of(text: str) -> str:
@@ -137,24 +141,58 @@ def length_class(m: str) -> Column:
     return F.floor(F.log2(F.greatest(F.col(f"{m}.n_tokens"), F.lit(1)).cast("double"))).cast("int")
 
 
-def learn_bands(measured: DataFrame, m: str, group: str, cls: str, width: float, min_docs: int) -> DataFrame:
-    """One row per (group, length class), and per group (class null), with the limits of each measure."""
-    passing = measured.filter(~base_failed(m))
-    rows = passing.select(F.col(group).alias("g"), F.col(cls).alias("c"),
-                          *[F.col(f"{m}.{x}").alias(x) for x in BANDED])
-    # one partial aggregate per (group, class) and group; a group of any size is a few sketches
+#: Kinds of cells, narrow ones first: (name, column of the group or none, whether by length class).
+LEVELS = [("fine", "group", True), ("whole", "group", False)]
+
+
+def cell_key(level: str, group: Column, script: Column, cls: Column) -> Column:
+    _, by, fine = LEVELS[[name for name, _, _ in LEVELS].index(level)]
+    return F.struct(F.lit(level).alias("level"), {"group": group, "script": script, None: F.lit("")}[by].alias("g"),
+                    (cls if fine else F.lit(-1)).alias("c"))
+
+
+def learn_bands(measured: DataFrame, m: str, group: str, cls: str, digest: str, width: float, min_docs: int) -> DataFrame:
+    """One row per cell (level, g, c; c -1: all lengths) with its number of texts and the limits of
+    each measure."""
+    keys = [cell_key(level, F.col(group), F.col(f"{m}.script"), F.col(cls)) for level, _, _ in LEVELS]
+    rows = (measured.filter(~base_failed(m))
+            .select(F.explode(F.array(*keys)).alias("k"), F.col(digest).alias("text_digest"), *[F.col(f"{m}.{x}").alias(x) for x in BANDED])
+            .select("k.*", "text_digest", *BANDED).dropDuplicates(["level", "g", "c", "text_digest"]))
+    # a partial aggregate per cell; a cell of any size is a few sketches
     quart = [F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"q_{x}") for x in BANDED]
-    fine = rows.groupBy("g", "c").agg(F.count("*").alias("n"), *quart)
-    whole = rows.groupBy("g").agg(F.count("*").alias("n"), *quart).withColumn("c", F.lit(None).cast("int"))
-    found = fine.unionByName(whole).filter(F.col("n") >= min_docs)
+    cells = (rows.groupBy("level", "g", "c").agg(F.count("*").alias("n"), *quart)
+             .filter((F.col("n") >= min_docs)))
+    cells = written(cells.select("level", "g", "c", "n", *[F.col(f"q_{x}")[1].alias(f"mid_{x}") for x in BANDED],
+                                 *[((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349 / unit(x)).alias(f"dev_{x}") for x in BANDED]),
+                    "quality-cells")
+
+    def usual(name, *by):  # the median deviation of cells that are alike, the larger one of two
+        return (cells.filter(F.col("n") >= min_docs).groupBy(*by)
+                .agg(*[F.percentile_approx(f"dev_{x}", 0.51, 2000).alias(f"{name}_{x}") for x in BANDED]))
+    found = cells.join(usual("kind", "level"), "level", "left").join(usual("group", "level", "g"), ["level", "g"], "left")
     limits = []
     for x, (least, low, high) in BANDED.items():
-        q = F.col(f"q_{x}")
-        floor = F.lit(least) * q[1] if x == "chars_per_token" else F.lit(least)
-        reach = width * F.greatest((q[2] - q[0]) / 1.349, floor)
-        limits += [((q[1] - reach) if low else F.lit(-math.inf)).alias(f"low_{x}"),
-                   ((q[1] + reach) if high else F.lit(math.inf)).alias(f"high_{x}")]
-    return found.select("g", "c", *limits)
+        scale = F.col(f"mid_{x}") if x in RELATIVE else F.lit(1.0)
+        reach = width * scale * F.greatest(F.col(f"dev_{x}"), F.col(f"kind_{x}"), F.col(f"group_{x}"), F.lit(least))
+        limits += [((F.col(f"mid_{x}") - reach) if low else F.lit(-math.inf)).alias(f"low_{x}"),
+                   ((F.col(f"mid_{x}") + reach) if high else F.lit(math.inf)).alias(f"high_{x}")]
+    return found.select("level", "g", "c", "n", *limits)
+
+
+def unit(x: str) -> Column:
+    """What deviations of a measure are counted in."""
+    return F.col(f"q_{x}")[1] if x in RELATIVE else F.lit(1.0)
+
+
+def limits_of_cells(cells: DataFrame, bands: DataFrame, min_docs: int) -> DataFrame:
+    """``cells`` (g, script_name, c) with the limits that hold there."""
+    names = [f"{side}_{x}" for x in BANDED for side in ("low", "high")]
+    for level, _, _ in LEVELS:
+        key = cell_key(level, F.col("g"), F.col("script_name"), F.col("c"))
+        side = bands.filter(F.col("level") == level).select(F.struct("level", "g", "c").alias("key_" + level), F.struct("n", *names).alias(level))
+        cells = cells.join(side, key == F.col("key_" + level), "left").drop("key_" + level)
+    limits = [F.coalesce(F.col(f"fine.{name}"), F.col(f"whole.{name}")).alias(name) for name in names]
+    return cells.select("g", "script_name", "c", F.struct(*limits).alias("limits"))
 
 
 def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
@@ -169,27 +207,26 @@ def judge(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", ke
     The measured table is written once in the shared folder, so the vocabulary runs once
     per document.  ``keep_text`` False leaves the text out of that table.
     """
-    m, group, cls, verdict = unused(docs, "measures", "band_group", "band_class", "quality")
-    measured = docs.withColumn(m, measure_column(F.col(text), path))
+    m, group, cls, digest, verdict = unused(docs, "measures", "band_group", "band_class", "text_digest", "quality")
+    measured = docs.withColumn(m, measure_column(F.col(text), path)).withColumn(digest, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
     known = F.trim(F.coalesce(F.col(lang), F.lit("")))
     measured = (measured
                 .withColumn(group, F.when(known != "", F.concat(F.lit("language "), known))
                             .otherwise(F.concat(F.lit("script "), F.col(f"{m}.script"))))
                 .withColumn(cls, length_class(m)))
     measured = written(measured if keep_text else measured.drop(text), "quality-measures")
-    bands = written(learn_bands(measured, m, group, cls, width, min_docs), "quality-bands")
-    names = [f"{side}_{x}" for x in BANDED for side in ("low", "high")]
-    fine = bands.filter("c is not null").select(
-        F.col("g").alias("__fine_g"), F.col("c").alias("__fine_c"), F.struct(*names).alias("__fine"))
-    whole = bands.filter("c is null").select(F.col("g").alias("__whole_g"), F.struct(*names).alias("__whole"))
-    joined = (measured.join(bounded(fine), (F.col(group) == F.col("__fine_g")) & (F.col(cls) == F.col("__fine_c")), "left")
-              .join(bounded(whole), F.col(group) == F.col("__whole_g"), "left"))
-    band = F.coalesce("__fine", "__whole")
+    bands = written(learn_bands(measured, m, group, cls, digest, width, min_docs), "quality-bands")
+    cells = measured.select(F.col(group).alias("g"), F.col(f"{m}.script").alias("script_name"), F.col(cls).alias("c")).distinct()
+    limits = written(limits_of_cells(cells, bands, min_docs), "quality-limits").select(
+        F.col("g").alias("__g"), F.col("script_name").alias("__script"), F.col("c").alias("__c"), F.col("limits").alias("__limits"))
+    joined = measured.join(bounded(limits), (F.col(group) == F.col("__g")) & (F.col(f"{m}.script") == F.col("__script"))
+                           & (F.col(cls) == F.col("__c")), "left")
+    band = F.col("__limits")
     inside = F.lit(True)
     for x in BANDED:
         value = F.col(f"{m}.{x}")
         inside = inside & (value >= band[f"low_{x}"]) & (value <= band[f"high_{x}"])
-    columns = [c for c in measured.columns if c not in (m, group, cls)]
+    columns = [c for c in measured.columns if c not in (m, group, cls, digest)]
     out = joined.select(*columns, F.struct(
         *[F.col(f"{m}.{f.split()[0]}").alias(f.split()[0]) for f in MEASURES.split(", ")],
         F.col(group).alias("band_group"), base_failed(m).alias("base_failed"),

@@ -169,6 +169,31 @@ def test_quality_measures_and_bands(spark):
     assert quality.script_of("привет мир a") == "cyrillic" and quality.script_of("123") == "other"
 
 
+def sentences(rng, n, words):
+    def one(some):
+        return " ".join(rng.choice(some) for _ in range(rng.randrange(140, 180)))
+    return [one(rng.sample(words, rng.randrange(18, len(words)))) for _ in range(n)]
+
+
+ENGLISH = "the of and to in is that for it as was with be by on not he this are or his from at which but have an they".split()
+
+
+def kept_ids(spark, rows):
+    judged, q = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECE)
+    return {r.doc_id for r in judged.filter(F.col(f"{q}.kept")).collect()}
+
+
+def test_copies_do_not_narrow_the_bands(spark):
+    rng = random.Random(8)
+    normal, copied = sentences(rng, 120, ENGLISH), sentences(rng, 1, ENGLISH)[0]
+    near = [" ".join([*copied.split()[:-1], f"{k}"]) for k in range(240)]
+    others = [(1000 + i, t, "xx") for i, t in enumerate(sentences(rng, 120, ENGLISH))]
+    rows = [(i, t, "en") for i, t in enumerate(normal)]
+    assert len({i for i in kept_ids(spark, rows + [(5000 + k, copied, "en") for k in range(600)]) if i < 1000}) >= 0.97 * len(normal)
+    narrow = kept_ids(spark, rows + others + [(5000 + k, t, "en") for k, t in enumerate(near)])
+    assert len({i for i in narrow if i < 1000}) >= 0.95 * len(normal)
+
+
 @pytest.mark.parametrize("page,text", [
     ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\n\nb"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul>d", "- a\n- b\n  - c\n\nd"),
