@@ -12,8 +12,11 @@ median +- ``width`` robust deviations (a quartile distance / 1.349), which are n
 floors, the median deviation of the group's length classes and that of all cells of the same
 kind: near copies that fill a cell do not make it narrow.
 
-A class with fewer than ``min_docs`` texts uses its language's band over all lengths; a
-language with fewer has no band and rejects nothing.
+Every document meets a band.  A cell of fewer than ``min_docs`` texts gives way to the next
+of: language and length, language, script and length, script.  Where a whole script has
+fewer, entropy is held against all documents (of that length, or of any), characters per
+token and byte share against the few of the script, as they differ between scripts; texts
+without letters are held against all documents.
 
 Base rules: at least 50 words, at most half of them in 3-word windows that occur twice.
 
@@ -142,7 +145,8 @@ def length_class(m: str) -> Column:
 
 
 #: Kinds of cells, narrow ones first: (name, column of the group or none, whether by length class).
-LEVELS = [("fine", "group", True), ("whole", "group", False)]
+LEVELS = [("fine", "group", True), ("whole", "group", False), ("script_fine", "script", True),
+          ("script", "script", False), ("all_fine", None, True), ("all", None, False)]
 
 
 def cell_key(level: str, group: Column, script: Column, cls: Column) -> Column:
@@ -153,7 +157,7 @@ def cell_key(level: str, group: Column, script: Column, cls: Column) -> Column:
 
 def learn_bands(measured: DataFrame, m: str, group: str, cls: str, digest: str, width: float, min_docs: int) -> DataFrame:
     """One row per cell (level, g, c; c -1: all lengths) with its number of texts and the limits of
-    each measure."""
+    each measure; cells of fewer than ``min_docs`` only for a whole script and for all documents."""
     keys = [cell_key(level, F.col(group), F.col(f"{m}.script"), F.col(cls)) for level, _, _ in LEVELS]
     rows = (measured.filter(~base_failed(m))
             .select(F.explode(F.array(*keys)).alias("k"), F.col(digest).alias("text_digest"), *[F.col(f"{m}.{x}").alias(x) for x in BANDED])
@@ -161,7 +165,7 @@ def learn_bands(measured: DataFrame, m: str, group: str, cls: str, digest: str,
     # a partial aggregate per cell; a cell of any size is a few sketches
     quart = [F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"q_{x}") for x in BANDED]
     cells = (rows.groupBy("level", "g", "c").agg(F.count("*").alias("n"), *quart)
-             .filter((F.col("n") >= min_docs)))
+             .filter((F.col("n") >= min_docs) | F.col("level").isin("script", "all")))
     cells = written(cells.select("level", "g", "c", "n", *[F.col(f"q_{x}")[1].alias(f"mid_{x}") for x in BANDED],
                                  *[((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349 / unit(x)).alias(f"dev_{x}") for x in BANDED]),
                     "quality-cells")
@@ -191,7 +195,13 @@ def limits_of_cells(cells: DataFrame, bands: DataFrame, min_docs: int) -> DataFr
         key = cell_key(level, F.col("g"), F.col("script_name"), F.col("c"))
         side = bands.filter(F.col("level") == level).select(F.struct("level", "g", "c").alias("key_" + level), F.struct("n", *names).alias(level))
         cells = cells.join(side, key == F.col("key_" + level), "left").drop("key_" + level)
-    limits = [F.coalesce(F.col(f"fine.{name}"), F.col(f"whole.{name}")).alias(name) for name in names]
+    enough = F.when(F.col("script.n") >= min_docs, F.col("script"))
+    limits = []
+    for name in names:
+        alone = F.coalesce(F.col(f"all_fine.{name}"), F.col(f"all.{name}"))
+        if not name.endswith("token_entropy"):
+            alone = F.when(F.col("script_name") == "other", alone).otherwise(F.col(f"script.{name}"))
+        limits.append(F.coalesce(F.col(f"fine.{name}"), F.col(f"whole.{name}"), F.col(f"script_fine.{name}"), enough[name], alone).alias(name))
     return cells.select("g", "script_name", "c", F.struct(*limits).alias("limits"))
 
 
@@ -230,7 +240,7 @@ def judge(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", ke
     out = joined.select(*columns, F.struct(
         *[F.col(f"{m}.{f.split()[0]}").alias(f.split()[0]) for f in MEASURES.split(", ")],
         F.col(group).alias("band_group"), base_failed(m).alias("base_failed"),
-        (~base_failed(m) & F.coalesce(inside, F.lit(True))).alias("kept")).alias(verdict))
+        (~base_failed(m) & F.coalesce(inside, F.lit(False))).alias("kept")).alias(verdict))
     return out, verdict
 
 

@@ -194,6 +194,19 @@ def test_copies_do_not_narrow_the_bands(spark):
     assert len({i for i in narrow if i < 1000}) >= 0.95 * len(normal)
 
 
+def test_rare_languages_meet_a_band(spark):
+    rng = random.Random(9)
+    cyrillic = "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой".split()
+    rows = [(i, t, "en") for i, t in enumerate(sentences(rng, 150, ENGLISH))]
+    rows += [(500 + i, t, "rare") for i, t in enumerate(sentences(rng, 3, ENGLISH))]
+    rows += [(600 + i, t, "ru") for i, t in enumerate(sentences(rng, 3, cyrillic))]
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") + (" " if k % 5 == 0 else "") for k in range(800)) for _ in range(3)]
+    signs = ["".join(chr(rng.randrange(0x13A0, 0x13F0)) + (" " if k % 4 == 0 else "") for k in range(600)) for _ in range(3)]
+    rows += [(700 + i, t, "rare") for i, t in enumerate(junk)] + [(800 + i, t, "chr") for i, t in enumerate(signs)]
+    kept = kept_ids(spark, rows)
+    assert {500, 501, 502, 600, 601, 602} <= kept and not {i for i in kept if i >= 700}
+
+
 @pytest.mark.parametrize("page,text", [
     ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\n\nb"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul>d", "- a\n- b\n  - c\n\nd"),
