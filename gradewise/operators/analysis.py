@@ -1,7 +1,8 @@
 """Memorization / classification analysis (M1-M11) with Spark ML.
 
 Features are Spark ML transformers fitted on the cluster (the vocabulary is
-capped at 5000 terms, so the fitted model is small).  Per-label sampling
+capped at 5000 terms, so the fitted model is small); whole vocabularies (M2, M3)
+are long tables.  Per-label sampling
 (class balancing, stratified split) ranks rows with a global range-partitioned
 index instead of a per-label window, because a label is a huge group (two
 classes hold all rows) and a window would put each class into one task.
@@ -74,6 +75,20 @@ def feature_pipeline(tokens: str = "tokens", vocab: int = 5000, method: str = "t
     return Pipeline(stages=stages)
 
 
+def term_counts(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """M3 over the whole vocabulary, as a long table: (key, term, tf) of every term of every document."""
+    return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_weights(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """M2 over the whole vocabulary, as a long table: (key, term, tf, weight), not normalised.
+    The vocabulary is a table of the cluster; smoothing is that of Spark ML's IDF."""
+    counts = term_counts(df, key, tokens)
+    n = df.select(F.count(F.lit(1))).scalar()
+    idf = counts.groupBy("term").agg(F.log((n + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("idf"))
+    return counts.join(idf, "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
 def balance_classes(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """M6: keep min(count per label) rows of every label, chosen by a seeded order."""
     ranked = with_global_index(df.withColumn("_h", seeded_draw(key, seed)), [label, "_h", key], "_g")

@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import unwrap_udt
 
 from ..functions.common import seeded_sql
 from ..operators import analysis as M
@@ -43,10 +42,6 @@ def m1_clean_text(spark, sf):
                     F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
-#: Terms of a vocabulary that the checks do not want cut off.
-WHOLE_VOCABULARY = 1 << 20
-
-
 def _features(docs, method, vocab=5000):
     d = M.length_features(M.clean_tokens(docs, "text"), "text")
     return M.feature_pipeline(method=method, vocab=vocab).fit(d).transform(d)
@@ -64,10 +59,11 @@ SELECT d.doc_id, CAST(count(t.term) AS BIGINT) AS n_terms,
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN f USING (term) GROUP BY d.doc_id""")
 def m2_tfidf(spark, sf):
     """TF-IDF vectors before normalisation: terms and Euclidean length."""
-    x = _features(all_docs(spark, sf), "tfidf", WHOLE_VOCABULARY)
-    size, norm = _sparse("bow"), _sparse("tf_idf")
-    return x.select("doc_id", F.size(F.filter(size, lambda v: v != 0)).cast("bigint").alias("n_terms"),
-                    F.round(F.sqrt(F.aggregate(norm, F.lit(0.0), lambda a, v: a + v * v)), 6).alias("norm"))
+    docs = M.clean_tokens(all_docs(spark, sf), "text").select("doc_id", "tokens")
+    found = M.term_weights(docs, "doc_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_terms"), F.round(F.coalesce("length", F.lit(0.0)), 6).alias("norm"))
 
 
 @register("M3", _TERMS_SQL + """
@@ -75,15 +71,10 @@ SELECT d.doc_id, CAST(count(t.term) AS BIGINT) AS n_terms, CAST(coalesce(sum(t.t
 FROM d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id""")
 def m3_bag_of_words(spark, sf):
     """Bag of words: terms and counted words of each document."""
-    x = _features(all_docs(spark, sf), "bow", WHOLE_VOCABULARY)
-    counts = _sparse("bow")
-    return x.select("doc_id", F.size(counts).cast("bigint").alias("n_terms"),
-                    F.aggregate(counts, F.lit(0.0), lambda a, v: a + v).alias("n_counted"))
-
-
-def _sparse(column):
-    """The stored values of a vector column, without spelling out its zeros."""
-    return unwrap_udt(column)["values"]
+    docs = M.clean_tokens(all_docs(spark, sf), "text").select("doc_id", "tokens")
+    found = M.term_counts(docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("total"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_terms"), F.coalesce("total", F.lit(0)).cast("double").alias("n_counted"))
 
 
 @register("M4", "SELECT doc_id, length(text) AS n_chars_text, "

@@ -1,5 +1,7 @@
 """Classifier metrics against SQL over the written predictions; balancing without switches."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,24 @@ def test_reported_metrics_follow_from_the_predictions(spark, duck, tmp_path):
         assert got[split, "all", "auc"] == (None if pairs is None else pytest.approx(pairs))
 
 
+def test_whole_vocabularies_have_no_cap(spark, monkeypatch):
+    """M2 and M3 count every term without gathering a vocabulary."""
+    from gradewise.plans import analysis as plans
+    from pyspark.ml.feature import CountVectorizer
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *a: pytest.fail("a vocabulary on the driver"))
+    texts = [" ".join(f"t{k}" for k in range(i, i + 4)) for i in range(0, 24, 3)] + ["t1 t1 t2", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(plans, "all_docs", lambda *a: docs)
+    words = [(t or "").split() for t in texts]
+    bow = {r.doc_id: (r.n_terms, r.n_counted) for r in plans.m3_bag_of_words(spark, SMALL_SF).collect()}
+    assert bow == {i: (len(set(w)), len(w)) for i, w in enumerate(words)}
+    idf = {t: math.log((len(texts) + 1) / (sum(t in w for w in words) + 1)) for w in words for t in w}
+    for r in plans.m2_tfidf(spark, SMALL_SF).collect():
+        w = words[r.doc_id]
+        assert r.n_terms == len(set(w))
+        assert r.norm == pytest.approx(math.sqrt(sum((w.count(t) * idf[t]) ** 2 for t in set(w))), abs=1e-6)
+
+
 def test_budget_parts_do_not_depend_on_the_number_of_items(spark):
     items = spark.range(70_000).select(F.lit(1).alias("g"), F.col("id").alias("i"), F.lit(10).alias("n"))
     parts = L.balance(items, "g", "i", "n", 8, "greedy", budget=100_000).groupBy("part").agg((F.count("*") * 10).alias("n")).collect()
