@@ -10,12 +10,14 @@ so on), then a renderer walks the tree and emits all visible text:
 * tables are aligned: every column is as wide as its widest cell, cells are joined by two
   spaces, a cell that spans columns takes their width, and a cell of several lines keeps them;
 * ``pre`` and ``textarea`` keep their white space; elsewhere runs of it become one space;
-* images give their alternative text, form fields their value.
+* images give their alternative text, form fields their value, objects their fallback;
+* formulas (MathML) and drawings (SVG) give their texts, the labels of a drawing apart.
 
 Invisible: head contents other than the title (which is not part of the page's body and is
 left out as well), script, style, template, noscript, comments, elements with ``hidden``,
 ``aria-hidden="true"``, ``display:none`` or ``visibility:hidden``, closed ``details``
-beyond their summary, and hidden inputs.
+beyond their summary, hidden inputs, contents of iframe, audio, video, canvas and datalist,
+and inside formulas and drawings annotation, annotation-xml, defs, metadata, desc and title.
 
 Cases: null and empty pages give the empty text; unclosed, crossed and stray tags are
 repaired as above; nesting of any depth is walked without recursion; text of any length is
@@ -37,7 +39,9 @@ from .support import strings, unused
 
 #: Element names of HTML by their behaviour.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style template noscript head title iframe object svg math audio video canvas datalist".split())
+UNSEEN = set("script style template noscript head title iframe audio video canvas datalist".split())
+FOREIGN = {"svg", "math"}
+FOREIGN_UNSEEN = set("annotation annotation-xml defs metadata desc".split())  # and title
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
             "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
             "section select summary table ul caption".split())
@@ -86,6 +90,12 @@ class TreeBuilder(HTMLParser):
         while len(self.open) > depth:
             self.counts[self.open.pop().tag] -= 1
 
+    def _in_foreign(self) -> bool:
+        """Whether the innermost open formula, drawing or piece of HTML in a drawing is no HTML."""
+        if not any(self.counts.get(t) for t in FOREIGN):
+            return False
+        return next(n.tag for n in reversed(self.open) if n.tag in FOREIGN or n.tag == "foreignobject") in FOREIGN
+
     def _end_implied(self, ends: set, stops: set) -> None:
         """Close the outermost open element of ``ends`` that no element of ``stops`` shields."""
         if not any(self.counts.get(t) for t in ends):
@@ -112,13 +122,18 @@ class TreeBuilder(HTMLParser):
         if tag in CELLS and self.open[-1].tag in {"table"} | ROW_GROUPS:
             self._push(Node("tr", {}))  # a cell without a row starts one
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
+        if tag in FOREIGN_UNSEEN and self._in_foreign():
+            node.attrs["hidden"] = ""
         if tag in VOID:
             self.open[-1].children.append(node)
         else:
             self._push(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash does not close an HTML element
+        self.handle_starttag(tag, attrs)
+        # a slash closes elements of formulas and drawings, but no HTML element
+        if (tag in FOREIGN or self._in_foreign()) and self.open[-1].tag == tag:
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "p" and not self.counts.get("p"):
@@ -317,6 +332,8 @@ def render(root: Node) -> str:
                     children = [children[0][1:], *children[1:]]  # the line break after the tag is no content
             elif tag == "q":
                 flow.text('"')
+            elif tag == "text":
+                flow.space = True  # a label of a drawing
             stack += [("node", c) for c in reversed(children)]
             continue
         tag = x.tag
@@ -352,6 +369,8 @@ def render(root: Node) -> str:
             pre -= 1
         elif tag == "q":
             flow.text('"')
+        elif tag == "text":
+            flow.space = True
         if tag in BLOCK:
             flow.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
     flows[0].end()

@@ -221,6 +221,10 @@ def test_rare_languages_meet_a_band(spark):
     ("<details><summary>s</summary>gone</details><details open><summary>s</summary>here</details>", "s\ns\nhere"),
     ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<b>x<i>y</b>z</i>", "xyz"), ("</p></div>a", "a"),
     ("<input type=hidden value=h><input value=v><img alt=pic src=s>", "vpic"),
+    ("let <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> be", "let x=2 be"),
+    ("a<svg><title>t</title><defs/><desc>d</desc><path d=''/><text>one</text><text>two</text></svg>b", "a one two b"),
+    ("<object data=x><param name=n value=v><p>instead</object>", "instead"), ("<desc>shown</desc>", "shown"),
+    ("<svg><defs><text>no</text></defs><foreignObject><div/>yes</foreignObject></svg>", "yes"),
 ])
 def test_visible_text(page, text):
     assert htmltext.visible_text(page) == text
