@@ -43,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = default_path("byte_bpe_50k.json")
+    docs = docs.select("doc_id", "lang", "source", "n_chars", "text")  # others may clash with new names
     both = bytepair.decode_documents(bytepair.encode_documents(docs, path), path)
     return both.selectExpr("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids",
                            "decoded_text = coalesce(text, '') AS lossless")

@@ -555,16 +555,19 @@ def _classes_of(rows: DataFrame, size: int, num: int, den: int) -> tuple[DataFra
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that stay, with their columns: of each component the one with the smallest
-    id, and every document without shingles.  Of repeated rows (equal id and set) one stays."""
-    found = near_duplicates(docs, doc_id, text, count_links=False, **options)
-    size = options.get("size", 4)
-    stay = (found.filter(F.col("class_id").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select("component_id", F.col("class_id").alias("__class")).distinct())
-    kept, place = unused(docs, "class_of_text", "place_in_class")
-
-    tagged = docs.withColumn(kept, class_column(F.col(text), size)["id"])
-    same = F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col(kept) == F.col("__class"))
-    joined = tagged.join(stay, same, "left").filter(F.col(kept).isNull() | F.col("__class").isNotNull())
+    id (the smallest class id among equal ones), and every document without shingles.  Of repeated rows (equal id and set) one stays."""
+    kept, place, stays, least = unused(docs, "class_of_text", "place_in_class", "staying_class", "smallest_id")
+    options = {"size": 4, "num": 85, "den": 100} | options
+    rows = checked(docs, doc_id, text, **options)
+    with arrow_batches(docs.sparkSession, 1000):
+        _, per_class = _classes_of(rows, **options)
+    # of classes with the same smallest document id the one with the smallest class id
+    first = F.min(F.struct(F.col("least").isNull().alias("no_id"), F.col("least"), F.col("id"))).alias("first")
+    stay = per_class.groupBy("root").agg(first).select(F.col("first.id").alias(stays), F.col("first.least").alias(least))
+
+    tagged = docs.withColumn(kept, class_column(F.col(text), options["size"])["id"])
+    same = F.col(doc_id).eqNullSafe(F.col(least)) & (F.col(kept) == F.col(stays))
+    joined = tagged.join(stay, same, "left").filter(F.col(kept).isNull() | F.col(stays).isNotNull())
     in_class = W.partitionBy(doc_id, kept).orderBy(F.lit(0))
     joined = joined.withColumn(place, F.row_number().over(in_class))
     return joined.filter(F.col(kept).isNull() | (F.col(place) == 1)).select(*docs.columns)

@@ -207,6 +207,19 @@ def test_one_of_each(spark):
         ngramjoin.near_duplicates(docs, num=120)
 
 
+def test_clashing_names_and_repeated_ids(spark):
+    import corpus_pipeline
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(2, text), (2, text + " end"), (3, text), (7, "some other words that link with none"), (7, "not linked with them at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("component_id", "class_id", "n_tokens", "token_ids", "decoded_text", "lang", "source", "n_chars"):
+        docs = docs.withColumn(name, F.lit("x"))
+    kept = ngramjoin.one_of_each(docs, size=5, num=80, den=100)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 7, 7]
+    ids = corpus_pipeline.encode(spark, docs, "").collect()
+    assert len(ids) == len(rows) and all(r.lossless for r in ids)
+
+
 def test_archives(spark):
     big, other = "<p>" + "x" * 1000, "ü" * 600
     rows = [(1, "http://a/1", big), (5, "http://a/5?q=a b\r\nX: y", big), (3, None, big), (7, "http://a/7", "small"), (8, "http://a/8", "small"),
