@@ -624,6 +624,12 @@ def digit_prompt_at(index, max_number: int, max_diff: int, max_completions: int)
     return let(as_col(index).cast("long"), on)
 
 
+def all_digit_prompts(spark, max_number: int, max_diff: int, max_completions: int) -> DataFrame:
+    """(prompt_index, prompt) of every prompt, each once."""
+    every = spark.range(digit_prompt_count(max_number, max_diff, max_completions)).withColumnRenamed("id", "prompt_index")
+    return every.withColumn("prompt", digit_prompt_at("prompt_index", max_number, max_diff, max_completions))
+
+
 def digit_ground_truth(prompt) -> Column:
     """Prompt ``a,b:max,n`` -> ``n`` numbers continuing the arithmetic
     sequence modulo ``max``: ``(b + d·(k+1)) mod max`` with ``d = (b-a) mod max``."""

@@ -1044,3 +1044,17 @@ def k12_digit_prompts(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
     index = F.pmod(seeded_draw("o_orderkey", 17), F.lit(S.digit_prompt_count(*DIGIT_TASK)))
     return o.select("o_orderkey", S.digit_prompt_at(index, *DIGIT_TASK).alias("prompt"))
+
+
+@register("K12_all", f"""
+WITH i AS (SELECT unnest(range({S.digit_prompt_count(*DIGIT_TASK)})) AS i),
+d AS (SELECT {seeded_sql('o_orderkey', 17)} % {S.digit_prompt_count(*DIGIT_TASK)} AS i, count(*) AS n FROM orders GROUP BY 1)
+SELECT CAST(i.i AS BIGINT) AS prompt_index, i.i // 54 || ',' || (i.i // 54 + (i.i // 9) % 6) % 16 || ':16,' || i.i % 9 AS prompt,
+       CAST(coalesce(d.n, 0) AS BIGINT) AS n_orders
+FROM i LEFT JOIN d ON i.i = d.i""")
+def k12_all_digit_prompts(spark, sf):
+    """Every prompt with the number of orders that drew it."""
+    index = F.pmod(seeded_draw("o_orderkey", 17), F.lit(S.digit_prompt_count(*DIGIT_TASK))).cast("long")
+    drawn = table(spark, sf, "orders").select(index.alias("prompt_index")).groupBy("prompt_index").agg(F.count(F.lit(1)).alias("n"))
+    return S.all_digit_prompts(spark, *DIGIT_TASK).join(drawn, "prompt_index", "left").select(
+        "prompt_index", "prompt", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_orders"))

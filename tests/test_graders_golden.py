@@ -76,6 +76,15 @@ def test_recorded_outcomes_of_code(spark):
     assert [r.s for r in got] == [1.0, 0.5, 1.0, 0.0]
 
 
+def test_every_digit_prompt_comes_out_once(spark):
+    from gradewise.plans import registry
+    registry.load_all()
+    rows = registry.QUERIES["K12_all"](spark, "/root/testdata/sf0.001").collect()
+    want = {f"{a},{(a + d) % 16}:16,{k}" for a in range(17) for d in range(6) for k in range(9)}
+    assert len(rows) == len(want) and {r.prompt for r in rows} == want and any(r.n_orders == 0 for r in rows)
+    assert sum(r.n_orders for r in rows) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
 def test_digit_prompts_enumerate_all(spark):
     n = S.digit_prompt_count(16, 5, 8)
     got = {r.p for r in spark.range(n).select(S.digit_prompt_at("id", 16, 5, 8).alias("p")).collect()}
