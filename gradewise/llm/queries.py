@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, fingerprints, htmltext, mixing, ngramjoin, quality, tokencount, tokenfile, toxicity, warc
+from . import (bytepair, fingerprints, htmltext, lexical, licenses, mixing, ngramjoin, periodic, quality, tokencount,
+               tokenfile, toxicity, warc)
 from .catalogue import query
 from .support import read
 from .vocabularies import default_path
@@ -119,3 +120,59 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = ngramjoin.near_duplicates(docs, size=4, num=85, den=100)
     return found.select("doc_id", "n_shingles", "class_id", "component_id", "n_links", "n_class_links")
+
+
+@query("op11_lexical_search", r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), tfs AS (
+  SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term
+), lengths AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id
+), totals AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), repeats AS (
+  SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tfs, totals WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM repeats JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id), totals
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    return lexical.search(docs, items, k=10)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", periodic.repeated_tail_column(F.col("doc_id"), F.col("text")).alias("text"))
+    found, p = periodic.with_runs(docs)
+    lines = F.transform(f"{p}.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise(""))
+    return (found.withColumn("longest", periodic.longest_run(F.col(f"{p}.runs")))
+            .select("doc_id", F.size(f"{p}.runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+                    "longest.exponent_milli", F.sha2(listed, 256).alias("runs_sha256"),
+                    F.sha2(f"{p}.collapsed", 256).alias("collapsed_sha256")))
+
+
+@query("op13_license_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, s = licenses.with_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    places, spans = F.col(f"{s}.places"), F.col(f"{s}.spans")
+    words = F.transform(places, lambda x: x["word"])
+    return found.select("doc_id", f"{s}.n_words", F.size(places).cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
+                        F.array_max(words).alias("last_word"), licenses.labels_of(places).alias("base_labels"),
+                        licenses.labels_of(places, spans).alias("labels"), licenses.best_likeness(places, spans).alias("score"))

@@ -20,7 +20,7 @@ def canonical(rows, columns):
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.partition("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.partition("_")[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and set(catalogue.SQL) <= set(entry.oracle_sql())
 
 
@@ -29,7 +29,8 @@ def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SMALL_SF)
     rows = [tuple(r) for r in df.collect()]
     table = "pages" if name.startswith(("op1_", "op9_")) else "documents"
-    assert len(rows) == read(spark, SMALL_SF, table).count()
+    if name != "op11_lexical_search":
+        assert len(rows) == read(spark, SMALL_SF, table).count()
     if name in catalogue.SQL:
         want = duck.sql(catalogue.SQL[name])
         assert sorted(want.columns) == sorted(df.columns)
