@@ -126,3 +126,19 @@ def local_path(uri: str) -> tuple[object, str]:
     if "://" in uri or uri.startswith("file:"):
         return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
     return fs.LocalFileSystem(), os.path.abspath(uri)
+
+
+#: Rows that stages hand to Python at once.
+STAGE_ROWS = 500
+
+
+def limit_arrow_batches(spark: SparkSession, rows: int = STAGE_ROWS) -> None:
+    """Let plans of this session hand at most ``rows`` rows to Python at once from now on.
+
+    A stage returns a plan that its caller runs later, so a setting that ends with the stage
+    (``arrow_batches``) would come too early; a smaller setting stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "0") or 0)
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
