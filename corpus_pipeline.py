@@ -14,36 +14,52 @@ it reads back, so a lost executor never costs more than the stage at hand.
    that nothing was lost.
 
 All but the last keep the columns of ``documents``.
+
+Whole texts go through Python and the writer together, so every stage limits the rows that its
+session hands to Python at once (``limit_arrow_batches``); the setting stays on the session.
+
+Cases: null and empty texts fail the base rules of stage 2; a stage that keeps nothing, and an
+empty table, give empty results; repeated rows are treated alike until stage 3, where one of
+them stays; null sources mix as a source of their own; the last stage leaves out columns other
+than those of ``documents`` and takes nulls for missing ones of lang, source and n_chars.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradewise.llm import bytepair, mixing, ngramjoin, quality, toxicity
-from gradewise.llm.support import read, written
+from gradewise.llm.support import limit_arrow_batches, read, written
 from gradewise.llm.vocabularies import default_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_arrow_batches(spark)
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_arrow_batches(spark)
     return quality.keep_good(docs, default_path("piece_bpe_32k.model"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_arrow_batches(spark)
     return ngramjoin.one_of_each(docs, size=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_arrow_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    limit_arrow_batches(spark)
     path = default_path("byte_bpe_50k.json")
-    docs = docs.select("doc_id", "lang", "source", "n_chars", "text")  # others may clash with new names
+    has = {c.lower() for c in docs.columns}
+    kinds = {"lang": "string", "source": "string", "n_chars": "long"}  # other columns may clash with new names
+    docs = docs.select("doc_id", *[F.col(c) if c in has else F.lit(None).cast(k).alias(c) for c, k in kinds.items()], "text")
     both = bytepair.decode_documents(bytepair.encode_documents(docs, path), path)
     return both.selectExpr("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids",
                            "decoded_text = coalesce(text, '') AS lossless")
