@@ -111,6 +111,7 @@ class BytePairCodec:
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as packed little-endian unsigned 32-bit integers."""
         look = self.memo.__getitem__
+        Memo.in_use(self.memo)
         if self.special_cut is None or not any(s in text for s in self.special):
             return b"".join(map(look, UNIT.findall(text)))
         out = []

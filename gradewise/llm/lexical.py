@@ -323,7 +323,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
         names = spark.createDataFrame(pa.table({"item": pa.array(range(rows.num_rows), pa.int64()), "item_id": rows.column("item_id")}))
         out.append(found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"))
     if not out:
-        return spark.createDataFrame([], asked.select("item_id").schema.add("rank", "int").add("doc_id", "long").add("score", "long"))
+        nothing = {"rank": "int", "doc_id": "long", "score": "long"}
+        return asked.limit(0).select("item_id", *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()])
     found = out[0]
     for other in out[1:]:
         found = found.unionByName(other)

@@ -49,6 +49,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .hashing import Spans, mixed
 from .support import arrow_batches, byte_view, release, row_pieces, unused, written
+from .units import Memo
 
 SKETCH_BITS = 23
 SKETCH_BLOCKS = 64
@@ -81,6 +82,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_sets(column: pa.Array, size: int):
     """The sorted distinct shingle hashes of each row."""
+    Memo.in_use()
     for a, b in row_pieces(column):
         words, first = word_hashes(*byte_view(column.slice(a, b - a)))
         windows = np.zeros(max(words.size - size + 1, 0), np.uint64)

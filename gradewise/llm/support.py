@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gradewise.session import ensure_checkpoint_dir
 
 #: Bytes of text that numpy code handles at once; a single longer document is handled alone.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,10 @@ def release(spark: SparkSession) -> None:
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Hand at most ``rows`` rows to Python at once while plans run inside; texts are long, and
-    both sides of the exchange hold whole batches."""
+    both sides of the exchange hold whole batches.  A smaller setting stays as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    limit_arrow_batches(spark, rows)
     try:
         yield
     finally:

@@ -100,6 +100,7 @@ class Features:
         return (own, marks) if own is not None or marks else None
 
     def __call__(self, words: set[str]) -> np.ndarray:
+        Memo.in_use(self.memo)
         found, shared = set(), {}
         for hit in map(self.memo.__getitem__, words):
             if hit is not None:

@@ -30,7 +30,19 @@ MEMO_UNIT = 64
 
 
 class Memo(dict):
-    """unit -> value, computed when missing, emptied when full (bounded memory)."""
+    """unit -> value, computed when missing, emptied when full (bounded memory).
+
+    A worker process lives on from operator to operator; ``in_use`` keeps what one remembers and
+    empties what the operators before it did.
+    """
+
+    used: Memo | None = None
+
+    @classmethod
+    def in_use(cls, memo: Memo | None = None) -> None:
+        if cls.used is not None and cls.used is not memo:
+            cls.used.clear()
+        cls.used = memo
 
     def __init__(self, compute, entries: int = MEMO_ENTRIES):
         super().__init__()
