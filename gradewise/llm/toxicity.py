@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -225,10 +226,11 @@ def score_column(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
     chosen, weights = model
 
     @arrow_udf("double")
-    def toxicity(texts: pa.Array) -> pa.Array:
-        features = Features(chosen)
-        z = [weights[features(distinct_words(t))].sum() + weights[-1] for t in strings(texts)]
-        return pa.array(1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500))), pa.float64())
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        features = Features(chosen)  # once for all batches of a task
+        for texts in batches:
+            z = [weights[features(distinct_words(t))].sum() + weights[-1] for t in strings(texts)]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500))), pa.float64())
     return toxicity(text)
 
 
