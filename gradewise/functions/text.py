@@ -113,7 +113,7 @@ def remove_boxed(b) -> Column:
 def strip_latex(s) -> Column:
     """R4 normalisation of an answer string (string rules only).
 
-    Fixed replacement rules, in order: drop newlines and ``\\!``; ``\\\\`` to
+    Fixed values: the replacement rules, in order: drop newlines and ``\\!``; ``\\\\`` to
     ``\\``; tfrac/dfrac to frac; drop ``\\left``, ``\\right``, degree marks,
     ``\\$``; cut a single trailing ``\\text{ `` unit; drop ``\\%``; add a 0
     before a bare decimal point; keep the right side of a short ``x=`` prefix;
@@ -187,13 +187,13 @@ def predicted_identities(answer, names) -> Column:
     """Roles the answer gives each expected name; NULL when the number of
     role words differs from the number of names or a name is not resolved.
 
-    All ``is a knight / knave`` claims are taken out once with one constant
-    pattern; a name gets the role of the first claim whose words end with it.
+    The answer is cut at all ``is a knight / knave`` claims in one pass; a name gets the role
+    of the first claim whose words before it, back to the last claim, end with the name.
     """
     answer, names = as_col(answer), as_col(names)
     n_roles = let(F.lower(answer), lambda low: count_substr(low, "knight") + count_substr(low, "knave"))
-    claims = F.regexp_extract_all(answer, F.lit(r"(?is)(.*?)\b\s+is\s+a\s+\b(?:knight|knave)\b"), 1)
-    roles = F.regexp_extract_all(answer, F.lit(r"(?is).*?\b\s+is\s+a\s+\b(knight|knave)\b"), 1)
+    claims = F.split(answer, r"(?i)\b\s+is\s+a\s+\b(?:knight|knave)\b")  # and what comes after the last
+    roles = F.regexp_extract_all(answer, F.lit(r"(?i)\b\s+is\s+a\s+\b(knight|knave)\b"), 1)
 
     def resolved(found):
         def role_of(name):
@@ -204,7 +204,7 @@ def predicted_identities(answer, names) -> Column:
             return F.coalesce(F.try_element_at(ends, F.lit(1))["role"], F.lit(""))
         pred = F.transform(names, lambda n: F.struct(n.alias("name"), role_of(n).alias("role")))
         return let(pred, lambda p: F.when(F.forall(p, lambda x: x["role"] != ""), p))
-    found = F.zip_with(claims, roles, lambda c, r: F.struct(F.lower(c).alias("words"), F.lower(r).alias("role")))
+    found = F.zip_with(let(claims, lambda c: F.slice(c, 1, F.size(c) - 1)), roles, lambda c, r: F.struct(F.lower(c).alias("words"), F.lower(r).alias("role")))
     return F.when(answer.isNotNull() & (n_roles == F.size(names)), let(found, resolved))
 
 

@@ -42,7 +42,7 @@ def from_columns(spark, columns: dict[str, list], schema=None) -> DataFrame:
     n = next(iter(lengths.values()), 0)
     rows = [tuple(columns[k][i] for k in columns) for i in range(n)]
     df = spark.createDataFrame(rows, schema=schema or list(columns))
-    return with_global_index(df, [F.monotonically_increasing_id()], IDX) if n else df
+    return with_global_index(df.withColumn("_at", F.monotonically_increasing_id()), "_at", IDX).drop("_at") if n else df
 
 
 def consistency_report(df: DataFrame, required: list[str], array_lengths: dict[str, int] | None = None) -> DataFrame:

@@ -16,10 +16,16 @@ plan can cut partitions differently.  Reading one written copy twice gives the
 counting pass and the numbering pass the same partitions, and a lost executor
 re-reads the written copy instead of re-sampling.  The order key must be
 unique; ties make positions non-deterministic.
+
+The number of ranges follows from the rows themselves.  A frame that only reads
+one table is as large as its files at most; anything else (a join's estimate is
+the product of its sides) is written once first, and the written bytes count.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +38,37 @@ def _cols(order_cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
+#: Bytes of a range: of the files of a table, or of the written (compressed) rows.
 PARTITION_BYTES = 128 << 20
+WRITTEN_BYTES = 32 << 20
+
+
+def _reads_one_table(plan) -> bool:
+    leaves = plan.collectLeaves()
+    return leaves.size() == 1 and leaves.apply(0).getClass().getSimpleName() == "LogicalRelation"
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``df`` written once to the shared folder, and their bytes there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(df.schema).parquet(path), files.getContentSummary(folder).getLength()
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """The number asked for, else enough for the optimizer's estimate of the input's size,
-    and at least the session's shuffle partitions."""
+def sized(df: DataFrame, num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``df``, or its rows read back, and the number of ranges for them: the number asked for,
+    else enough for their bytes, and at least the session's shuffle partitions."""
     if num_partitions:
-        return int(num_partitions)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    sized = -(-size // PARTITION_BYTES) if size < 1 << 60 else 0  # an unknown size counts as huge
-    return max(sized, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return df, int(num_partitions)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if _reads_one_table(plan):
+        return df, max(least, -(-int(str(plan.stats().sizeInBytes())) // PARTITION_BYTES))
+    rows, size = _written(df)
+    return rows, max(least, -(-size // WRITTEN_BYTES))
 
 
 def with_global_index(df: DataFrame, order_cols, name: str = "idx",
@@ -62,8 +88,8 @@ def with_global_index(df: DataFrame, order_cols, name: str = "idx",
         positions = with_global_index(narrow, names, name, num_partitions).select(key, name)
         return df.join(positions, key)
     cols = _cols(order_cols)
-    n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
+    df, n = sized(df, num_partitions)
     ranged = (df.repartitionByRange(n, *cols)
               .sortWithinPartitions(*cols)
               .checkpoint(eager=True)

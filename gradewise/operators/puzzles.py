@@ -555,20 +555,21 @@ def render_steps(puzzles: DataFrame) -> DataFrame:
                    .withColumn("cot_foot", F.lit(PT.STEP_FOOTER_SUCCESS)))
 
 
-def replace_one_step(puzzles: DataFrame, seed: int = 5) -> DataFrame:
-    """Replace one step with a step of another puzzle (the next puzzle in a
-    seeded order), the partner's names mapped to ours by position; the first
-    partner step (from a seeded start) that differs from ours is used.
-    Adds ``replaced_steps`` and ``replaced_at``; rows without any differing
-    partner step get no row."""
-    from .index import with_global_index
+def replace_one_step(puzzles: DataFrame, seed: int = 5, widest: int = 64) -> DataFrame:
+    """Replace one step with a step of another puzzle, the partner's names mapped to ours by
+    position; the first partner step (from a seeded start) that differs from ours is used.
+
+    Partners are the next puzzles in a seeded order.  Round after round the puzzles that no
+    partner so far could serve try further ones (1, 2, 4, ... up to ``widest`` a round), until
+    every puzzle has a step or has tried all others.  Adds ``replaced_steps`` and
+    ``replaced_at``; a puzzle that no other one can serve has no row.
+    """
+    from .index import sized, with_global_index
     base = puzzles.select("k", "n", "names", "cot_repeat_steps")
-    ranked = with_global_index(base.withColumn("_h", seeded_draw("k", seed)), ["_h", "k"], "_i")
-    total = ranked.select(F.count(F.lit(1))).scalar()
-    partner = ranked.select(F.pmod(F.col("_i") - 1, total).alias("_i"), F.col("names").alias("p_names"),
-                            F.col("cot_repeat_steps").alias("p_steps"))
-    j = ranked.join(partner, "_i")
+    ranked = with_global_index(base.withColumn("_h", seeded_draw("k", seed)), ["_h", "k"], "_i").drop("_h")
+    total = ranked.count()
     at = F.pmod(draw(F.col("k"), 9300, seed), F.size("cot_repeat_steps")).cast("int")
+    partner = ranked.select(F.col("_i").alias("_p"), F.col("names").alias("p_names"), F.col("cot_repeat_steps").alias("p_steps"))
 
     def mapped(text):
         # partner names -> placeholders -> our names (so swapped names do not collide)
@@ -583,9 +584,27 @@ def replace_one_step(puzzles: DataFrame, seed: int = 5) -> DataFrame:
     start = F.pmod(draw(F.col("k"), 9400, seed), F.size("p_steps")).cast("int")
     cands = F.transform(F.sequence(F.lit(0), F.size("p_steps") - 1), lambda o: mapped(
         F.element_at(F.col("p_steps"), F.pmod(start + o, F.size("p_steps")) + 1)))
-    j = j.withColumn("_at", at).withColumn("_new", F.try_element_at(F.filter(
-        cands, lambda c: c != F.element_at(F.col("cot_repeat_steps"), F.col("_at") + 1)), F.lit(1)))
-    j = j.filter(F.col("_new").isNotNull())
-    out = j.withColumn("replaced_steps", F.transform("cot_repeat_steps", lambda s, i: F.when(
-        i == F.col("_at"), F.col("_new")).otherwise(s))).withColumnRenamed("_at", "replaced_at")
+    differing = F.try_element_at(F.filter(cands, lambda c: c != F.element_at(F.col("cot_repeat_steps"), F.col("_at") + 1)), F.lit(1))
+
+    rounds, open_, first, width = [], ranked.withColumn("_at", at), 1, 1
+    while first < total:
+        last = min(first + width, total) - 1
+        tried = (open_.withColumn("_o", F.explode(F.sequence(F.lit(first), F.lit(last))))
+                 .withColumn("_p", F.pmod(F.col("_i") + F.col("_o"), F.lit(total))).join(partner, "_p"))
+        found = tried.withColumn("_new", F.when(F.size("p_steps") > 0, differing)).filter(F.col("_new").isNotNull())
+        if last > first:  # the nearest partner that serves
+            found = found.groupBy("k").agg(F.min_by("_new", "_o").alias("_new"))
+        found, _ = sized(found.select("k", "_new"))
+        rounds.append(found)
+        open_, _ = sized(open_.join(found.select("k"), "k", "left_anti"))
+        if open_.isEmpty():
+            break
+        first, width = last + 1, min(2 * width, widest)
+    if not rounds:
+        return ranked.limit(0).select("k", at.alias("replaced_at"), F.col("cot_repeat_steps").alias("replaced_steps"))
+    served = rounds[0]
+    for found in rounds[1:]:
+        served = served.unionByName(found)
+    out = ranked.withColumn("replaced_at", at).join(served, "k").withColumn("replaced_steps", F.transform(
+        "cot_repeat_steps", lambda s, i: F.when(i == F.col("replaced_at"), F.col("_new")).otherwise(s)))
     return out.select("k", "replaced_at", "replaced_steps")

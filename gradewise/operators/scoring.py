@@ -193,15 +193,28 @@ def boxed_score(response, ground_truth) -> Column:
 ROLE_MARKERS = r"(?i)(assistant:|user:|human:)"
 
 
+def text_before_last(s, marker: str) -> Column:
+    """Text before the last occurrence of ``marker``; NULL if absent."""
+    s = as_col(s)
+    return F.when(F.instr(s, marker) > 0, F.substring(s, F.lit(1), F.length(s) - F.length(F.substring_index(s, marker, -1)) - len(marker)))
+
+
+def box_to_last_brace(s) -> Column:
+    """From the first ``\\boxed{`` to the last closing brace of the text; NULL without both."""
+    s = as_col(s)
+    box = F.when(F.instr(s, "\\boxed{") > 0, F.substr(s, F.instr(s, "\\boxed{")))
+    return let(box, lambda b: F.when(F.instr(b, "}") > 0, F.substring(b, F.lit(1), F.length(b) - F.length(F.substring_index(b, "}", -1)))))
+
+
 def open_math_score(response, ground_truth) -> Column:
     """Last ``\\boxed{.*}`` (greedy) inside ``<answer>``, else anywhere;
     equal after normalisation 1, different -0.5, empty -1, none -2; -5 when a
     chat-role marker leaks into the response."""
     def on_processed(processed):
-        in_tags = F.regexp_extract_all(processed, F.lit(r"(?s)<answer>.*?(\\boxed\{.*\}).*?</answer>"), 1)
-        anywhere = F.regexp_extract_all(processed, F.lit(r"(?s)(\\boxed\{.*\})"), 1)
-        found = let(in_tags, lambda it: F.when(F.size(it) > 0, F.try_element_at(it, F.lit(-1))).otherwise(
-            let(anywhere, lambda an: F.try_element_at(an, F.lit(-1)))))
+        # from the first box after the first <answer> to the last brace before the last </answer>
+        in_tags = let(text_before_last(processed, "</answer>"), lambda head: let(
+            F.when(F.instr(head, "<answer>") > 0, T.after_first(head, "<answer>")), box_to_last_brace))
+        found = F.coalesce(in_tags, box_to_last_brace(processed))
         chat = F.when(processed.rlike(ROLE_MARKERS), -5.0).otherwise(0.0)
 
         def on_answer(answer):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.common import seeded_draw, seeded_sql
+from ..operators import expressions as X
 from ..operators import scoring as S
+from ..operators import workers as U
 from ..session import spread, table
 from .registry import register
 
@@ -1058,3 +1062,106 @@ def k12_all_digit_prompts(spark, sf):
     drawn = table(spark, sf, "orders").select(index.alias("prompt_index")).groupBy("prompt_index").agg(F.count(F.lit(1)).alias("n"))
     return S.all_digit_prompts(spark, *DIGIT_TASK).join(drawn, "prompt_index", "left").select(
         "prompt_index", "prompt", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_orders"))
+
+
+# --- R16, R19, R20 as expressions, intervals and matrices ----------------------------------
+
+def _number_parts(spark, sf):
+    """Small whole numbers from parts; ``d`` is 0 where the two sides are the same."""
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", (F.col("p_size") % 9 + 2).alias("a"), (F.col("p_partkey") % 7 + 1).alias("b"),
+                    (F.col("p_partkey") % 5 + 1).alias("c"), (F.floor(F.col("p_retailprice")).cast("long") % 3).alias("d"))
+
+
+def _written(template: str, **numbers) -> F.Column:
+    """``template`` with <name> replaced by numbers."""
+    out = F.lit(template)
+    for name, value in numbers.items():
+        out = F.replace(out, F.lit(f"<{name}>"), value.cast("string"))
+    return out
+
+
+def _pairs_of(parts, templates: list[tuple[str, str]]):
+    """Both sides of each part's pair, the templates in turn."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    numbers = {"a": a, "b": b, "c": c, "d": d, "ab": a * b, "ac": a * c, "abd": a * b + d, "acd": a * c + d, "bc": b + c, "bcd": b + c + d,
+               "b*c+d": b * c + d, "bb": b * b, "aab": a * a * b, "ad": a + d, "bd": b + d, "cd": c + d}
+    kind = F.col("p_partkey") % len(templates)
+    left = right = F.lit(None).cast("string")
+    for k, (x, y) in enumerate(templates):
+        used = {n: v for n, v in numbers.items() if f"<{n}>" in x + y}
+        left = F.when(kind == k, _written(x, **used)).otherwise(left)
+        right = F.when(kind == k, _written(y, **used)).otherwise(right)
+    return parts.select("p_partkey", left.alias("given"), right.alias("truth"))
+
+
+_SAME_SQL = "SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) % 3 = 0 AS same FROM part"
+
+EXPRESSION_PAIRS = [
+    ("<a>(<b>x+<c>)", "<ab>x+<acd>"), ("(x+<b>)(x+<c>)", "x^2+<bc>x+<b*c+d>"), ("\\frac{x^2-<bb>}{x-<b>}", "x+<bd>"),
+    ("\\sqrt{<aab>}", "<ad>\\sqrt{<b>}"), ("<b>\\pi+<c>", "\\pi \\cdot <b> + <cd>"), ("\\frac{<a>x}{<ab>}", "x/<bd>"),
+    ("x^{<b>}x^{<c>}", "x^{<bcd>}"), ("no answer <b>", "no answer  <bd>"), ("-(y-<b>)^2+<c>", "2*<b>y-y**2-<bb>+<cd>"),
+]
+FORM_PAIRS = [
+    ("Interval.open(<a>, <ab>)", "(<a>,<abd>)"), ("Interval.Ropen(-<a>, <b>)", "[-<a>, <bd>)"),
+    ("Matrix([[<a>, <b>], [<c>, <ab>]])", "\\begin{pmatrix}<a>&<b>\\\\<c>&<abd>\\end{pmatrix}"), ("((<a>,<b>),<c>)", "((<a>, <b>), <cd>)"),
+    ("(<a>(t+<b>), <c>)", "(<a>t+<abd>, <c>)"), ("[<a>, <b>), [<c>, 9]", "[<a>,<bd>),[<c>,9]"), ("\\left(\\frac12, <b>\\right)", "(1/2, <bd>)"),
+]
+
+
+@register("R16_symbolic", _SAME_SQL)
+def r16_symbolic(spark, sf):
+    """Answers as expressions; the two sides are written so that they agree where d is 0 only."""
+    pairs = _pairs_of(_number_parts(spark, sf), EXPRESSION_PAIRS)
+    return pairs.select("p_partkey", X.expressions_equal("given", "truth").alias("same"))
+
+
+@register("R19_nested", _SAME_SQL)
+def r19_nested(spark, sf):
+    """Tuples with inner brackets, intervals and matrices."""
+    pairs = _pairs_of(_number_parts(spark, sf), FORM_PAIRS)
+    return X.with_forms_equal(pairs, "given", "truth", "same").select("p_partkey", "same")
+
+
+# --- R25 with a deadline, scorers by name, functions over chunks ---------------------------
+
+def patient_score(response: str, truth: str) -> float:
+    """1 where the text after the marker is the truth; waits for a marker for ever."""
+    at = 0
+    while not response.startswith("####", at):
+        at = (at + 1) % (len(response) + 1)
+    return float(int(response[at + 4:]) == int(truth))
+
+
+@register("R25_deadline", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 997 IN (0, 1) THEN 0.0 WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score,
+       CASE o_orderkey % 997 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error: ValueError' END AS reason
+FROM orders
+""")
+def r25_deadline(spark, sf):
+    """Responses of which some have no marker (the scorer never ends) or no number (it fails)."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    o = o.select("o_orderkey", F.when(k % 997 == 0, F.lit("no marker")).when(k % 997 == 1, F.lit("so #### none"))
+                 .otherwise(F.concat(F.lit("so #### "), k.cast("string"))).alias("response"),
+                 (k + F.when(k % 5 == 0, 1).otherwise(0)).cast("string").alias("truth"))
+    scorer = U.named_scorer("gradewise.plans.scoring", "patient_score")
+    return U.score_with_deadline(spread(o), scorer, ["response", "truth"], 0.25).select("o_orderkey", "score", "reason")
+
+
+def running_share(chunk):
+    """Each order's place and its price's rank among the prices of its chunk."""
+    import pyarrow.compute as pc
+    return pa.table({"o_orderkey": chunk["o_orderkey"], "place": pa.array(range(chunk.num_rows), pa.int64()),
+                     "price_rank": pc.rank(chunk["o_totalprice"], tiebreaker="first").cast(pa.int64())})
+
+
+@register("D1_chunks", """
+WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT o_orderkey, i % 256 AS place, row_number() OVER (PARTITION BY i // 256 ORDER BY o_totalprice, i) AS price_rank FROM o
+""")
+def d1_chunks(spark, sf):
+    """A user function over chunks of 256 orders in the order of their keys."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    schema = StructType().add("o_orderkey", "long").add("place", "long").add("price_rank", "long")
+    return U.map_chunks(o, running_share, schema, 256, "o_orderkey")

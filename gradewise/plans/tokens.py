@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.common import rnd
+from ..functions.repetition import REPEATS_ABOVE, repetition_score
 from ..session import spread, table
 from .credit import _EMB_LSE_SQL
 from .fixtures import ROLLOUT_TOKENS_SQL, rollouts
@@ -258,12 +259,22 @@ def t16_score_last_token(spark, sf):
 
 # --- T17-T20 over documents --------------------------------------------------------------------
 
-@register("T17", f"""
+@register("T17")
+def t17_repetition(spark, sf):
+    """Exact repetition score of every whole document; no SQL (a suffix array), tests compare with
+    sorted suffixes."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return (d.select("doc_id", repetition_score("text").alias("score"))
+            .select("doc_id", rnd("score").alias("score"), (F.col("score") > REPEATS_ABOVE).alias("repeats")))
+
+
+@register("T17_ngrams", f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL.format(t='text')} AS w FROM documents),
 g AS (SELECT doc_id, w, list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], chr(1))) AS grams FROM d)
 SELECT doc_id, round(CASE WHEN len(w) < 3 THEN 0.0 ELSE 1.0 - len(list_distinct(grams)) / len(grams) END, 6) AS dup_fraction FROM g
 """)
-def t17_repetition(spark, sf):
+def t17_ngrams(spark, sf):
+    """A cheaper stand-in: the share of word trigrams that repeat an earlier one."""
     d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", K.words("text").alias("w"))
     return d.select("doc_id", rnd(K.duplicate_ngram_fraction("w", 3)).alias("dup_fraction"))
 
