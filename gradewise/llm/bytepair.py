@@ -13,7 +13,6 @@ any other; ids that the vocabulary does not have raise ValueError on decoding.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .support import strings, unused
+from .support import strings, unused, worker_cache, working_for
 from .units import UNIT, Memo, special_pattern
 from .vocabularies import library_tokenizer
 
@@ -111,7 +110,6 @@ class BytePairCodec:
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as packed little-endian unsigned 32-bit integers."""
         look = self.memo.__getitem__
-        Memo.in_use(self.memo)
         if self.special_cut is None or not any(s in text for s in self.special):
             return b"".join(map(look, UNIT.findall(text)))
         out = []
@@ -127,7 +125,7 @@ class BytePairCodec:
         return b"".join(map(self.strings.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def codec(path: str) -> BytePairCodec:
     """One codec per worker process; its memory of units lives as long as the worker."""
     return BytePairCodec(path)
@@ -137,6 +135,7 @@ def encode_column(text: Column, path: str) -> Column:
     """Packed ids (BINARY, little-endian unsigned 32 bits) of a text column."""
     @arrow_udf("binary")
     def packed_ids(texts: pa.Array) -> pa.Array:
+        working_for("byte pairs")
         c = codec(path)
         return pa.array([c.encode(t) for t in strings(texts)], pa.binary())
     return packed_ids(text)
@@ -146,6 +145,7 @@ def decode_column(ids: Column, path: str) -> Column:
     """Text of a packed id column (null ids: the empty text)."""
     @arrow_udf("string")
     def decoded_text(packed: pa.Array) -> pa.Array:
+        working_for("byte pairs")
         c = codec(path)
         return pa.array([c.decode(p or b"") for p in packed.to_pylist()], pa.string())
     return decoded_text(ids)

@@ -48,9 +48,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .hashing import Spans, mixed
-from .support import arrow_batches, byte_view, release, row_pieces, unused, written
-from .units import Memo
+from .support import arrow_batches, byte_view, release, row_pieces, unused, working_for, written
 
+PIECE_BYTES = 1 << 18  # of text whose shingles are hashed at once
 SKETCH_BITS = 23
 SKETCH_BLOCKS = 64
 RANGES = 64
@@ -82,8 +82,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def shingle_sets(column: pa.Array, size: int):
     """The sorted distinct shingle hashes of each row."""
-    Memo.in_use()
-    for a, b in row_pieces(column):
+    working_for("shingles")
+    for a, b in row_pieces(column, PIECE_BYTES):
         words, first = word_hashes(*byte_view(column.slice(a, b - a)))
         windows = np.zeros(max(words.size - size + 1, 0), np.uint64)
         for k in range(size):

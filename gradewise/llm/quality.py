@@ -37,9 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .support import strings, unused, written
+from .support import strings, unused, working_for, written
 from .tokencount import BATCH_CHARS
-from .units import Memo
 from .vocabularies import piece_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,7 +113,7 @@ def measure_column(text: Column, path: str) -> Column:
     """Struct of MEASURES for each whole text."""
     @arrow_udf(MEASURES)
     def measures(column: pa.Array) -> pa.Array:
-        Memo.in_use()
+        working_for("quality")
         texts, model, out = strings(column), piece_model(path), []
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         for t, ids in zip(texts, encoded_in_batches(model, texts)):

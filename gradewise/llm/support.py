@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import gc
 import os
 import re
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from gradewise.session import ensure_checkpoint_dir
 
 #: Bytes of text that numpy code handles at once; a single longer document is handled alone.
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,3 +144,30 @@ def limit_arrow_batches(spark: SparkSession, rows: int = STAGE_ROWS) -> None:
     now = int(spark.conf.get(key, "0") or 0)
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+_caches: list = []
+_operator: str | None = None
+
+
+def worker_cache(load):
+    """Remember what ``load`` returns (codecs, vocabularies) while the process works for one operator."""
+    cached = functools.lru_cache(maxsize=4)(load)
+    _caches.append(cached)
+    return cached
+
+
+def working_for(operator: str) -> None:
+    """Called by an operator's functions in a worker.  Workers live on from operator to operator; what
+    they held for the one before goes, and freed memory goes back to the system."""
+    global _operator
+    if _operator == operator:
+        return
+    if _operator is not None:
+        for cached in _caches:
+            cached.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _operator = operator

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .support import strings, unused, written
+from .support import strings, unused, working_for, written
 from .units import Memo
 
 WORD = re.compile(r"\w+")
@@ -86,6 +86,7 @@ class Features:
     """Buckets of a text, all of them or only chosen ones (then as positions among those)."""
 
     def __init__(self, chosen: np.ndarray | None = None):
+        working_for("toxicity")
         self.place = None if chosen is None else {int(b): i for i, b in enumerate(chosen)}
         self.memo = Memo(self._word, 1 << 18)
 
@@ -101,7 +102,6 @@ class Features:
         return (own, marks) if own is not None or marks else None
 
     def __call__(self, words: set[str]) -> np.ndarray:
-        Memo.in_use(self.memo)
         found, shared = set(), {}
         for hit in map(self.memo.__getitem__, words):
             if hit is not None:

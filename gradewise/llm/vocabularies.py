@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+from .support import worker_cache
 
 
 def default_path(name: str) -> str:
@@ -10,13 +10,13 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=4)
+@worker_cache
 def piece_model(path: str):
     import sentencepiece
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@functools.lru_cache(maxsize=4)
+@worker_cache
 def library_tokenizer(path: str):
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
