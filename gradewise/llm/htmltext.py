@@ -8,16 +8,20 @@ so on), then a renderer walks the tree and emits all visible text:
   (margins of neighbours do not add up);
 * list items start with ``- `` or their number and are indented by their nesting;
 * tables are aligned: every column is as wide as its widest cell, cells are joined by two
-  spaces, a cell that spans columns takes their width, and a cell of several lines keeps them;
+  spaces, a cell that spans columns takes their width, one that spans rows keeps its columns free
+  in the rows below, and a cell of several lines keeps them;
 * ``pre`` and ``textarea`` keep their white space; elsewhere runs of it become one space;
 * images give their alternative text, form fields their value, objects their fallback;
 * formulas (MathML) and drawings (SVG) give their texts, the labels of a drawing apart.
 
 Invisible: head contents other than the title (which is not part of the page's body and is
-left out as well), script, style, template, noscript, comments, elements with ``hidden``,
-``aria-hidden="true"``, ``display:none`` or ``visibility:hidden``, closed ``details``
-beyond their summary, hidden inputs, contents of iframe, audio, video, canvas and datalist,
-and inside formulas and drawings annotation, annotation-xml, defs, metadata, desc and title.
+left out as well), script, style, template, noscript, comments, elements with ``hidden`` or the
+style ``display:none``, what has or inherits the style ``visibility:hidden`` or ``collapse``
+(parts of it may be ``visible`` again), closed ``details`` beyond their summary, closed
+``dialog``, hidden inputs, contents of iframe, audio, video, canvas and datalist, and inside
+formulas and drawings annotation, annotation-xml, defs, metadata, desc and title.  Styles count
+where an element's own ``style`` attribute has them; rules of style sheets (``<style>``, linked
+ones) and what scripts do are not applied.  ``aria-hidden`` hides nothing from the eye.
 
 Cases: null and empty pages give the empty text; unclosed, crossed and stray tags are
 repaired as above; nesting of any depth is walked without recursion; text of any length is
@@ -63,7 +67,8 @@ IMPLIED = {
 }
 IMPLIED["tbody"] = IMPLIED["tfoot"] = IMPLIED["thead"]
 
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -156,13 +161,20 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
+def rendered(node: Node) -> bool:
+    """Whether an element has a box at all."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return False
     if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
-    return not ("style" in a and HIDDEN_STYLE.search(a["style"]))
+    return not ("style" in a and NO_BOX.search(a["style"]))
+
+
+def shown_in(node: Node, inherited: bool) -> bool:
+    """Whether the box of an element shows: its own style's last word, else what it inherits."""
+    own = VISIBILITY.findall(node.attrs.get("style", ""))
+    return own[-1].lower() == "visible" if own else inherited
 
 
 def width(text: str) -> int:
@@ -234,71 +246,95 @@ def span(node: Node, name: str) -> int:
     return min(max(int(found[1]), 1), 1000) if found else 1
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table; rows of cells (lines, columns that it spans)."""
-    n = max((sum(s for _, s in row) for row in rows), default=0)
-    widths = [0] * n
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Cells (lines, columns, rows) of each row as (first column, lines, columns): a cell takes the
+    first column that no cell from above still takes."""
+    taken: dict[int, int] = {}  # column -> rows from here on that a cell above takes
+    out = []
+    for row in rows:
+        cells, at, new = [], 0, {}
+        for lines, s, down in row:
+            while taken.get(at, 0):
+                at += 1
+            cells.append((at, lines, s))
+            if down > 1:
+                new.update(dict.fromkeys(range(at, at + s), down - 1))
+            at += s
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table; rows of cells (lines, columns that it spans, rows that it spans)."""
+    rows = placed(rows)
+    widths = [0] * max((at + s for row in rows for at, _, s in row), default=0)
     spans = []
     for row in rows:
-        at = 0
-        for lines, s in row:
+        for at, lines, s in row:
             size = max(map(width, lines), default=0)
             if s == 1:
                 widths[at] = max(widths[at], size)
             else:
                 spans.append((s, at, size))
-            at += s
     for s, at, size in sorted(spans):
         missing = size - sum(widths[at:at + s]) - 2 * (s - 1)
         if missing > 0:
             widths[at + s - 1] += missing
     out = []
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, s in row:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            parts, end = [], 0
+            for at, lines, s in row:
+                parts += [" " * w for w in widths[end:at]]  # columns of cells from above
                 room = sum(widths[at:at + s]) + 2 * (s - 1)
                 text = lines[k] if k < len(lines) else ""
                 parts.append(text + " " * (room - width(text)))
-                at += s
+                end = at + s
             out.append("  ".join(parts).rstrip())
     return out
 
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
-        self.row: list[tuple[list[str], int]] | None = None
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.row: list[tuple[list[str], int, int]] | None = None
 
 
 def render(root: Node) -> str:
     """All visible text of the tree: an explicit stack of (action, argument)."""
     flows, tables, lists, pre = [Lines()], [], [], 0
+    shows = [True]  # of the open elements
     stack: list[tuple[str, object]] = [("node", root)]
     while stack:
         action, x = stack.pop()
         flow = flows[-1]
         if action == "node":
             if isinstance(x, str):
-                flow.verbatim(x) if pre else flow.text(x)
+                if shows[-1]:
+                    flow.verbatim(x) if pre else flow.text(x)
                 continue
             tag = x.tag
-            if not visible(x):
+            if not rendered(x):
                 continue
+            shown = shown_in(x, shows[-1])
             if tag == "br":
-                flow.end(keep=True)
+                if shown:
+                    flow.end(keep=True)
                 continue
             if tag == "img":
-                flow.text(x.attrs.get("alt", ""))
+                if shown:
+                    flow.text(x.attrs.get("alt", ""))
                 continue
             if tag == "input":
-                if x.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "file", "image"):
+                if shown and x.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "file", "image"):
                     flow.text(x.attrs.get("value") or x.attrs.get("placeholder", ""))
                 continue
             children = x.children
             if tag == "details" and "open" not in x.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             stack.append(("end", x))
+            shows.append(shown)
             if tag in BLOCK:
                 flow.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag == "table":
@@ -323,20 +359,20 @@ def render(root: Node) -> str:
                     mark = f"{kind[1]}. "
                     kind[1] += 1
                 flow.indent.append(" " * len(mark))
-                flow.marker = mark
+                flow.marker = mark if shown else None
             elif tag in ("blockquote", "dd"):
                 flow.indent.append("  ")
             elif tag in ("pre", "textarea"):
                 pre += 1
                 if children and isinstance(children[0], str) and children[0].startswith("\n"):
                     children = [children[0][1:], *children[1:]]  # the line break after the tag is no content
-            elif tag == "q":
+            elif tag == "q" and shown:
                 flow.text('"')
             elif tag == "text":
                 flow.space = True  # a label of a drawing
             stack += [("node", c) for c in reversed(children)]
             continue
-        tag = x.tag
+        tag, shown = x.tag, shows.pop()
         if tag in CELLS and tables:
             flows.pop().end()
             lists.pop()
@@ -345,7 +381,8 @@ def render(root: Node) -> str:
             if table.row is None:
                 table.row = []
                 table.rows.append(table.row)
-            table.row.append((flow.lines, span(x, "colspan")))
+            down = 65534 if x.attrs.get("rowspan", "").strip() == "0" else span(x, "rowspan")  # 0: to the end
+            table.row.append((flow.lines, span(x, "colspan"), down))
             continue
         if tag == "caption" and tables:
             flows.pop().end()
@@ -355,7 +392,7 @@ def render(root: Node) -> str:
         if tag in BLOCK:
             flow.end()
         if tag == "table":
-            flow.whole(aligned([r for r in tables.pop().rows if r]))
+            flow.whole(aligned(tables.pop().rows))
         elif tag == "tr" and tables:
             tables[-1].row = None
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -367,7 +404,7 @@ def render(root: Node) -> str:
             flow.indent.pop()
         elif tag in ("pre", "textarea"):
             pre -= 1
-        elif tag == "q":
+        elif tag == "q" and shown:
             flow.text('"')
         elif tag == "text":
             flow.space = True
@@ -391,9 +428,9 @@ def visible_text(html: str) -> str:
 
 def text_column(html: Column) -> Column:
     @arrow_udf("string")
-    def rendered(pages: pa.Array) -> pa.Array:
+    def page_texts(pages: pa.Array) -> pa.Array:
         return pa.array([visible_text(p) for p in strings(pages)], pa.string())
-    return rendered(html)
+    return page_texts(html)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

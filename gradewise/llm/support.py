@@ -146,6 +146,9 @@ def limit_arrow_batches(spark: SparkSession, rows: int = STAGE_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Fixed value: the C library's name for the size from which memory is mapped.
+M_MMAP_THRESHOLD = -3
+
 _caches: list = []
 _operator: str | None = None
 
@@ -163,11 +166,15 @@ def working_for(operator: str) -> None:
     global _operator
     if _operator == operator:
         return
-    if _operator is not None:
-        for cached in _caches:
-            cached.cache_clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has these
+        libc = ctypes.CDLL("libc.so.6")
+        if _operator is None:
+            # large arrays get pages of their own for good, which go back when they are freed
+            libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        else:
+            for cached in _caches:
+                cached.cache_clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            libc.malloc_trim(0)
     _operator = operator

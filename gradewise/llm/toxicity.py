@@ -3,11 +3,17 @@
 Features of a text are its distinct lower-cased words, their prefixes of PREFIXES letters,
 and marks for prefixes that two or four distinct words share, hashed into 2**HASH_BITS
 buckets.  Training takes a bounded sample of labelled documents, keeps the buckets whose
-presence depends most on the label, and fits a logistic regression whose loss has, besides
-the usual squared weights, a penalty on the squared change of the log-odds when the identity
-terms of a document are swapped for others of their kind.  Naming a group then moves the
-score no more than naming another, so neutral mentions are not rejected for the company
-that a group's name keeps in toxic documents.
+presence depends most on the label (at most MAX_FEATURES of them, a bound of the fitted model
+like its sample) and those of all identity terms, and fits a logistic regression whose loss
+has, besides the usual squared weights, a penalty on the squared change of the log-odds between
+the two sentences of counterfactual pairs.  Naming a group then moves the score no more than
+naming another, so neutral mentions are not rejected for the company that a group's name keeps
+in toxic documents.
+
+Pairs are made from the sentences of the sampled documents: every sentence that names a member
+of an identity group against itself with each other member in its place; and, whatever the
+corpus names, one sentence of each document (drawn by its hash) with one word (drawn alike) as a
+slot, filled with two members of a drawn group.  ``train`` returns their number.
 
 The sample: labelled documents whose id hashes below the share that gives ``max_train``
 of them (20,000), chosen by a broadcast of those ids and labels.  Everything that the
@@ -41,7 +47,7 @@ MAX_TRAIN = 20_000
 MAX_FEATURES = 4096
 REJECT_AT = 0.7
 
-#: Identity terms, grouped; a term is swapped for the next one of its group.
+#: Identity terms, grouped; a term is swapped for the others of its group.
 IDENTITY_GROUPS = [
     "woman man", "women men", "girl boy", "girls boys", "female male", "mother father", "wife husband",
     "muslim christian jewish hindu buddhist sikh atheist", "muslims christians jews hindus buddhists sikhs atheists",
@@ -57,16 +63,35 @@ IDENTITY_GROUPS = [
 ]
 
 
-def swaps() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for group in IDENTITY_GROUPS:
-        terms = group.split()
-        for term, other in zip(terms, terms[1:] + terms[:1]):
-            out.setdefault(term, other)
+GROUPS = [group.split() for group in IDENTITY_GROUPS]
+
+
+def others() -> dict[str, list[str]]:
+    """term -> the other members of the first group that has it."""
+    out: dict[str, list[str]] = {}
+    for group in GROUPS:
+        for term in group:
+            out.setdefault(term, [x for x in group if x != term])
     return out
 
 
-SWAPS = swaps()
+SWAPS = others()
+SENTENCE_END = re.compile(r"[.!?\n]+")
+
+
+def sentence_pairs(text: str) -> list[tuple[list[str], list[str]]]:
+    """Counterfactual pairs of a text, as the words of both sentences."""
+    sentences = [w for w in (WORD.findall(x) for x in SENTENCE_END.split(text.lower())) if w]
+    pairs = [(words, [*words[:k], other, *words[k + 1:]]) for words in sentences
+             for k, word in enumerate(words) if word in SWAPS for other in SWAPS[word]]
+    if sentences:
+        draw = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        words = sentences[draw % len(sentences)]
+        group, slot = GROUPS[draw % len(GROUPS)], draw // 7 % len(words)
+        first = draw // 11 % len(group)
+        filled = [[*words[:slot], group[(first + step) % len(group)], *words[slot + 1:]] for step in (0, 1)]
+        pairs.append((filled[0], filled[1]))
+    return pairs
 
 
 def bucket(feature: str) -> int:
@@ -152,13 +177,13 @@ def bucket_counts(sample: DataFrame) -> DataFrame:
             .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], n_features: int, l2: float, counterfactual: float,
-        steps: int) -> np.ndarray:
-    """Weights and, last, the intercept; rows of (label, positions, positions after the swap)."""
+def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]], n_features: int, l2: float,
+        counterfactual: float, steps: int) -> np.ndarray:
+    """Weights and, last, the intercept; rows of (label, positions), pairs of positions."""
     y = np.array([r[0] for r in rows], np.float64)
     cols = np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)])
     at = np.repeat(np.arange(len(rows)), [r[1].size for r in rows])
-    changed = [(r[1], r[2]) for r in rows if not np.array_equal(r[1], r[2])]
+    changed = [pair for pair in pairs if not np.array_equal(*pair)]
     d_cols = np.concatenate([np.concatenate(c) for c in changed] or [np.zeros(0, np.int64)])
     d_at = np.repeat(np.arange(len(changed)), [a.size + b.size for a, b in changed])
     d_sign = np.concatenate([np.concatenate((np.ones(a.size), -np.ones(b.size))) for a, b in changed] or [np.zeros(0)])
@@ -187,13 +212,14 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], n_features: int, l2: flo
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, l2: float = 1e-4,
-          counterfactual: float = 10.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """(chosen buckets, weights with the intercept last); empty buckets without both labels."""
+          counterfactual: float = 10.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray, int]:
+    """(chosen buckets, weights with the intercept last, pairs that differ in them); empty buckets
+    without both labels."""
     sample = training_sample(docs, labels, doc_id, text, label, max_train)
     sizes = {r[0]: r[1] for r in sample.groupBy("__label").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
-        return np.zeros(0, np.int64), np.zeros(1)
+        return np.zeros(0, np.int64), np.zeros(1), 0
     n = clean + toxic
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     expected = (a + b) * toxic / n
@@ -201,29 +227,33 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chi2 = F.pow(a - expected, 2) * n * n / ((a + b) * (n - a - b + 1) * toxic * clean / n)
     chosen = (bucket_counts(sample).filter("clean + toxic >= 4").withColumn("chi2", chi2).filter("chi2 > 10.8")
               .orderBy(F.desc("chi2"), "bucket").limit(max_features).select("bucket").collect())
-    chosen = np.array(sorted(r[0] for r in chosen), np.int64)
+    named = {bucket("w" + term) for term in SWAPS}
+    chosen = np.array(sorted(named.union(r[0] for r in chosen)), np.int64)
 
     def positions(batches):
         features = Features(chosen)
         for batch in batches:
             rows = []
             for t, y in zip(strings(batch.column(0)), batch.column(1).to_pylist()):
-                words = distinct_words(t)
-                swapped = {SWAPS.get(w, w) for w in words}
-                rows.append((y, features(words).tolist(), features(swapped).tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
-                names=["y", "own", "swapped"])
-
-    drawn = sample.mapInArrow(positions, "y int, own array<long>, swapped array<long>").collect()
-    rows = sorted((int(r[0]), tuple(r[1]), tuple(r[2])) for r in drawn)  # the same sums in every run
-    rows = [(y, np.array(o, np.int64), np.array(s, np.int64)) for y, o, s in rows]
-    return chosen, fit(rows, chosen.size, l2, counterfactual, steps)
-
-
-def score_column(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
+                both = [(features(set(a)).tolist(), features(set(b)).tolist()) for a, b in sentence_pairs(t)]
+                both = [p for p in both if p[0] != p[1]]
+                rows.append((y, features(distinct_words(t)).tolist(), [p[0] for p in both], [p[1] for p in both]))
+            kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)],
+                                             names=["y", "own", "one", "other"])
+
+    drawn = sample.mapInArrow(positions, "y int, own array<long>, one array<array<long>>, other array<array<long>>").collect()
+    # sorted: the same sums in every run
+    rows = sorted((int(r[0]), tuple(r[1])) for r in drawn)
+    pairs = sorted((tuple(a), tuple(b)) for r in drawn for a, b in zip(r[2], r[3]))
+    weights = fit([(y, np.array(o, np.int64)) for y, o in rows],
+                  [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs], chosen.size, l2, counterfactual, steps)
+    return chosen, weights, len(pairs)
+
+
+def score_column(text: Column, model: tuple[np.ndarray, np.ndarray, int]) -> Column:
     """Probability (0 to 1) that a text is toxic."""
-    chosen, weights = model
+    chosen, weights, _ = model
 
     @arrow_udf("double")
     def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

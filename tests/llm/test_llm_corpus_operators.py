@@ -102,7 +102,7 @@ def test_held_out_labels_are_not_read(spark):
     held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
     true = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     turned = spark.createDataFrame([(i, 1 - y if i in held else y) for i, _, y in rows], "doc_id long, toxic int")
-    (a, v), (b, w) = toxicity.train(docs, true), toxicity.train(docs, turned)
+    (a, v, _), (b, w, _) = toxicity.train(docs, true), toxicity.train(docs, turned)
     assert a.tolist() == b.tolist() and np.array_equal(v, w)
 
 
@@ -301,3 +301,47 @@ def test_mixed_documents_repeat_and_cut(spark):
     assert first == [" x  y z "] * 3  # capped at three passes
     second = [r for r in rows if r.doc_id == 2]
     assert sum(len(r.text.split()) for r in second) == 94 and all(r.n_chars == len(r.text) for r in second)
+
+
+def test_counterfactual_pairs_of_sentences():
+    pairs = toxicity.sentence_pairs("A muslim came. Nobody else!\nThe woman and the man")
+    swapped = [p for p in pairs[:-1]]
+    groups = {t: g for g in reversed(toxicity.GROUPS) for t in g}
+    assert len(swapped) == len(groups["muslim"]) - 1 + 2 * (len(groups["woman"]) - 1)
+    for one, other in pairs:  # one word differs, and both are members of one group
+        (at,) = [k for k, (a, b) in enumerate(zip(one, other)) if a != b]
+        assert len(one) == len(other) and any(one[at] in g and other[at] in g for g in toxicity.GROUPS)
+    assert toxicity.sentence_pairs("") == [] == toxicity.sentence_pairs(" .!")
+    (slot,) = toxicity.sentence_pairs("plain words only")
+    assert slot[0] != slot[1]
+
+
+def test_the_penalty_has_pairs_whatever_the_corpus_names(spark):
+    rows = labelled(300, random.Random(9), False)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    n_fitted = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in rows)
+    assert toxicity.train(docs, labels)[2] >= n_fitted * 0.9
+
+
+def test_fit_is_that_of_plain_gradient_descent():
+    """The weights of a small problem against gradients summed row by row."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.random() < 0.4), np.sort(rng.choice(6, rng.integers(1, 5), replace=False))) for _ in range(60)]
+    pairs = [(np.sort(rng.choice(6, 2, replace=False)), np.sort(rng.choice(6, 2, replace=False))) for _ in range(15)]
+    w = toxicity.fit(rows, pairs, 6, 1e-2, 3.0, 4000)
+
+    def loss(w):
+        total = 0.0
+        for y, at in rows:
+            z = w[at].sum() + w[-1]
+            total += (np.logaddexp(0, z) - y * z) / len(rows)
+        for a, b in pairs:
+            total += 3.0 / 2 * (w[a].sum() - w[b].sum()) ** 2 / len(rows)
+        return total + 1e-2 / 2 * (w[:-1] ** 2).sum()
+    best = loss(w)
+    for k in range(7):
+        for step in (-1e-2, 1e-2):
+            other = w.copy()
+            other[k] += step
+            assert loss(other) >= best

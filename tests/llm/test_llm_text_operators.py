@@ -230,6 +230,53 @@ def test_visible_text(page, text):
     assert htmltext.visible_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<span aria-hidden="true">seen</span>', "seen"), ("<dialog>a</dialog><dialog open>b</dialog>", "b"),
+    ('<div style="visibility:hidden">a<b style="visibility:visible">b</b>c</div>d', "b\nd"),
+    ('<p style="color:red;visibility:collapse">a</p>b', "b"), ('<ul style="visibility:hidden"><li>a<li style="visibility:visible">b</ul>', "- b"),
+    ('<table><tr><td rowspan=2>a1</td><td>b1</td></tr><tr><td>b2</td></tr><tr><td>a3<td>b3</table>', "a1  b1\n    b2\na3  b3"),
+    ('<table><tr><td>x</td><td rowspan=0>y</td><td>z</td></tr><tr><td>long</td><td>w</td></tr></table>', "x     y  z\nlong     w"),
+    ('<table><tr><td rowspan=2 colspan=2>ab</td><td>c</td></tr><tr><td>c2</td></tr></table>', "ab  c\n    c2"),
+])
+def test_visibility_and_spanned_rows(page, text):
+    assert htmltext.visible_text(page) == text
+
+
+def test_visible_words_of_generated_trees():
+    """Words of random trees against a plain recursion over the same choices."""
+    rng, names = random.Random(17), iter(range(10 ** 6))
+
+    def tree(depth, shown, boxed):
+        page, seen = [], []
+        for _ in range(rng.randrange(0, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                word = f"w{next(names)}"
+                page.append(f" {word} ")
+                seen += [word] if shown and boxed else []
+                continue
+            tag = rng.choice(["div", "p", "span", "b", "section", "blockquote", "dialog", "script", "object", "h2"])
+            if tag == "p":
+                tag = "div" if depth > 1 else "p"  # blocks inside a paragraph would end it
+            attr, inner_shown, inner_boxed = rng.choice([
+                ("", shown, boxed), (" hidden", shown, False), (' style="display: none"', shown, False),
+                (' style="visibility:hidden"', False, boxed), (' style="margin:0; visibility: visible"', True, boxed),
+                (' aria-hidden="true"', shown, boxed)])
+            if tag == "dialog":
+                attr, inner_boxed = (attr + " open", inner_boxed) if rng.random() < 0.5 else (attr, False)
+            if tag == "script":
+                page.append("<script>not shown</script>")
+                continue
+            inner = tree(depth - 1, inner_shown, inner_boxed) if tag != "p" else (f" p{next(names)} ", None)
+            if tag == "p":
+                inner = (inner[0], [inner[0].strip()] if inner_shown and inner_boxed else [])
+            page.append(f"<{tag}{attr}>{inner[0]}</{tag}>")
+            seen += inner[1]
+        return "".join(page), seen
+    for _ in range(400):
+        page, seen = tree(4, True, True)
+        assert htmltext.visible_text(page).split() == seen, page
+
+
 def test_deep_and_long_pages_do_not_break():
     assert htmltext.visible_text("<div>" * 20000 + "x") == "x"
     assert htmltext.visible_text("<p>a" * 3000).count("a") == 3000
