@@ -142,7 +142,7 @@ def choice_text_clean(text) -> Column:
 def py_capitalize(s) -> Column:
     """Python ``str.capitalize``: first character upper, the rest lower (Q21)."""
     s = as_col(s)
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))
 
 
 def multiple_choice_records(df: DataFrame, label: str, activity: str, ctx_a: str, ctx_b: str, endings: str,

@@ -279,10 +279,17 @@ WITH c AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text
 """
 
 
+#: Turns of a chat; more fit no context.
+MAX_TURNS = 10_000
+
+
 def conversation_chats(spark, sf):
-    """One chat per conversation (turns in order).  A chat is bounded by the
-    model context length, so collecting its turns is a bounded group."""
+    """One chat per conversation (turns in order).  A chat is bounded by the model's context
+    length; turns are counted before any is collected, and a longer one raises."""
     c = table(spark, sf, "conversations")
+    longest = c.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    if longest > MAX_TURNS:
+        raise ValueError(f"a conversation has {longest} turns, a chat at most {MAX_TURNS}")
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return g.select("conv_id", F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
 
