@@ -146,8 +146,9 @@ def limit_arrow_batches(spark: SparkSession, rows: int = STAGE_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-#: Fixed value: the C library's name for the size from which memory is mapped.
-M_MMAP_THRESHOLD = -3
+#: The C library's names for the size from which memory is mapped, and for what may
+#: stay free at the end of the heap.
+M_MMAP_THRESHOLD, M_TRIM_THRESHOLD = -3, -1
 
 _caches: list = []
 _operator: str | None = None
@@ -169,8 +170,10 @@ def working_for(operator: str) -> None:
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has these
         libc = ctypes.CDLL("libc.so.6")
         if _operator is None:
-            # large arrays get pages of their own for good, which go back when they are freed
-            libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+            # large arrays get pages of their own, which go back when they are freed; those of a
+            # piece of text are smaller and reuse the heap
+            libc.mallopt(M_MMAP_THRESHOLD, 4 << 20)
+            libc.mallopt(M_TRIM_THRESHOLD, 32 << 20)
         else:
             for cached in _caches:
                 cached.cache_clear()
