@@ -63,6 +63,36 @@ def length_features(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("n_chars_text", F.length(text)).withColumn("n_words_text", F.size(words(F.col(text))))
 
 
+#: M5: what a field can give; in this order.
+METHODS = ("tfidf", "bow", "wordlength", "charlength")
+
+
+def field_columns(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Tokens and lengths of every text field, as ``combined_features`` needs them (null: empty)."""
+    for f in fields:
+        df = clean_tokens(df.withColumn(f"_{f}_text", F.coalesce(f, F.lit(""))), f"_{f}_text", f"_{f}_tokens")
+        df = (df.withColumn(f"_{f}_wordlength", F.size(words(F.col(f"_{f}_text"))))
+              .withColumn(f"_{f}_charlength", F.length(f"_{f}_text")).drop(f"_{f}_text"))
+    return df
+
+
+def combined_features(fields: list[str], methods: tuple[str, ...] = METHODS, vocab: int = 5000) -> Pipeline:
+    """M5: the vectors of every method over every field side by side (field by field, methods in the
+    order given), to be fitted on training rows alone.  A field's vocabulary is its ``vocab`` most
+    frequent terms, so the fitted model stays small; TF-IDF is of length one over that vocabulary."""
+    unknown = set(methods) - set(METHODS)
+    if unknown or not fields or not methods:
+        raise ValueError(f"methods are some of {METHODS}, and a field is needed; got {fields}, {methods}")
+    stages, parts = [], []
+    for f in fields:
+        if {"tfidf", "bow"} & set(methods):
+            stages.append(CountVectorizer(inputCol=f"_{f}_tokens", outputCol=f"_{f}_bow", vocabSize=vocab))
+        if "tfidf" in methods:
+            stages += [IDF(inputCol=f"_{f}_bow", outputCol=f"_{f}_weights"), Normalizer(inputCol=f"_{f}_weights", outputCol=f"_{f}_tfidf")]
+        parts += [f"_{f}_{m}" for m in methods]
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")])
+
+
 def feature_pipeline(tokens: str = "tokens", vocab: int = 5000, method: str = "tfidf") -> Pipeline:
     """M2 (tfidf: counts -> IDF -> L2 norm) / M3 (bag of words) / M5 (+ lengths)."""
     cv = CountVectorizer(inputCol=tokens, outputCol="bow", vocabSize=vocab)
@@ -118,35 +148,35 @@ def predictions(train: DataFrame, test: DataFrame, label: str = "label", feature
     return parts[0].unionByName(parts[1])
 
 
-def report(found: DataFrame) -> DataFrame:
+def report(found: DataFrame, by: tuple[str, ...] = ("split",)) -> DataFrame:
     """M8: accuracy, AUC and per-class precision / recall / F1 / support of predictions, as a
-    long table (split, cls, metric, value).
+    long table (*by, cls, metric, value); each combination of ``by`` has its own metrics.
 
     The AUC is the rank statistic from counts per probability, of which there are at most a
     million (six places), whatever the number of rows.
     """
-    counts = found.groupBy("split", "y", "prediction").agg(F.count(F.lit(1)).alias("c"))
+    counts = found.groupBy(*by, "y", "prediction").agg(F.count(F.lit(1)).alias("c"))
     out = None
     for cls in (0.0, 1.0):
         true, said = F.col("y") == cls, F.col("prediction") == cls
         tp, fp, fn = (F.sum(F.when(x, F.col("c")).otherwise(0)) for x in (true & said, ~true & said, true & ~said))
-        one = counts.groupBy("split").agg(
+        one = counts.groupBy(*by).agg(
             F.lit(str(int(cls))).alias("cls"), F.try_divide(tp, tp + fp).cast("double").alias("precision"),
             F.try_divide(tp, tp + fn).cast("double").alias("recall"),
             F.try_divide(2 * tp, 2 * tp + fp + fn).cast("double").alias("f1"), (tp + fn).cast("double").alias("support"))
-        part = one.unpivot(["split", "cls"], ["precision", "recall", "f1", "support"], "metric", "value")
+        part = one.unpivot([*by, "cls"], ["precision", "recall", "f1", "support"], "metric", "value")
         out = part if out is None else out.unionByName(part)
     right = F.sum(F.when(F.col("y") == F.col("prediction"), F.col("c")).otherwise(0))
-    accuracy = counts.groupBy("split").agg(F.try_divide(right, F.sum("c")).cast("double").alias("value"))
-    levels = found.groupBy("split", "probability").agg(
+    accuracy = counts.groupBy(*by).agg(F.try_divide(right, F.sum("c")).cast("double").alias("value"))
+    levels = found.groupBy(*by, "probability").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
-    below = Window.partitionBy("split").orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*by).orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
     ranked = levels.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    auc = ranked.groupBy("split").agg(F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)),
+    auc = ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)),
                                                    F.sum("pos") * F.sum("neg")).cast("double").alias("value"))
     for metric, frame in (("accuracy", accuracy), ("auc", auc)):
-        out = out.unionByName(frame.select("split", F.lit("all").alias("cls"), F.lit(metric).alias("metric"), "value"))
-    return out.select("split", "cls", "metric", "value")
+        out = out.unionByName(frame.select(*by, F.lit("all").alias("cls"), F.lit(metric).alias("metric"), "value"))
+    return out.select(*by, "cls", "metric", "value")
 
 
 def fit_and_report(train: DataFrame, test: DataFrame, label: str = "label", features: str = "features",

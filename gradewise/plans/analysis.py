@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.common import seeded_sql
 from ..operators import analysis as M
+from ..operators import layers as N
 from ..session import table
 from ..sources.io import scratch_path
+from .puzzles import _RENDER_SQL, corpus
 from .registry import register
 
 
@@ -96,6 +98,48 @@ def m5_combined(spark, sf):
     return f.select("doc_id", F.size("v").alias("dim"), (F.element_at("v", -2) + F.element_at("v", -1)).alias("lengths"))
 
 
+FIELDS = ["quiz", "solution_text"]
+
+
+def _field_sql(f: str) -> str:
+    """CTEs with a field's tokens, lengths, terms and weights by puzzle."""
+    punct = M.PUNCTUATION.replace("'", "''")
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in M.STOP_WORDS)
+    return f""",
+{f}_d AS (SELECT k, len(string_split({f}, ' ')) AS wordlength, length({f}) AS charlength,
+          list_filter(string_split_regex(trim(translate(lower({f}), '{punct}', '')), '\\s+'), lambda t: NOT list_contains([{stops}], t)) AS tokens FROM fin),
+{f}_t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(tokens) AS term FROM {f}_d) GROUP BY ALL),
+{f}_f AS (SELECT term, ln(((SELECT count(*) FROM {f}_d) + 1.0) / (count(*) + 1.0)) AS idf FROM {f}_t GROUP BY term),
+{f}_w AS (SELECT k, sum(tf) AS bow, CASE WHEN sum(power(tf * idf, 2)) > 0 THEN sum(tf * idf) / sqrt(sum(power(tf * idf, 2))) ELSE 0 END AS tfidf
+          FROM {f}_t JOIN {f}_f USING (term) GROUP BY k)"""
+
+
+@register("M5_fields", "WITH " + _RENDER_SQL + "".join(map(_field_sql, FIELDS)) + """
+SELECT k, CAST(2 * (SELECT count(*) FROM quiz_f) + 2 * (SELECT count(*) FROM solution_text_f) + 4 AS INT) AS dim,
+       round(coalesce(a.tfidf, 0.0), 6) AS quiz_tfidf, CAST(coalesce(a.bow, 0) AS DOUBLE) AS quiz_bow,
+       CAST(quiz_d.wordlength AS DOUBLE) AS quiz_wordlength, CAST(quiz_d.charlength AS DOUBLE) AS quiz_charlength,
+       round(coalesce(b.tfidf, 0.0), 6) AS solution_text_tfidf, CAST(coalesce(b.bow, 0) AS DOUBLE) AS solution_text_bow,
+       CAST(solution_text_d.wordlength AS DOUBLE) AS solution_text_wordlength, CAST(solution_text_d.charlength AS DOUBLE) AS solution_text_charlength
+FROM quiz_d JOIN solution_text_d USING (k) LEFT JOIN quiz_w a USING (k) LEFT JOIN solution_text_w b USING (k)""")
+def m5_fields(spark, sf):
+    """All methods over two fields of the puzzles in one vector: its width, and the sum of the entries
+    of every method and field."""
+    from pyspark.ml.functions import vector_to_array
+    path = scratch_path(spark, "m5_puzzles")
+    corpus(spark, sf).select("k", *FIELDS).write.parquet(path)  # read by every fit
+    d = M.field_columns(spark.read.parquet(path), FIELDS)
+    model = M.combined_features(FIELDS).fit(d)
+    sizes = [len(stage.vocabulary) for stage in model.stages if hasattr(stage, "vocabulary")]
+    v = model.transform(d).select("k", vector_to_array("features").alias("v"))
+    sums, at = [], 1
+    for f, n in zip(FIELDS, sizes):
+        for method, width in zip(M.METHODS, (n, n, 1, 1)):
+            part = F.aggregate(F.slice("v", at, width), F.lit(0.0), lambda total, x: total + x)
+            sums.append((F.round(part, 6) if method == "tfidf" else part).alias(f"{f}_{method}"))
+            at += width
+    return v.select("k", F.size("v").alias("dim"), *sums)
+
+
 _M6_SQL = f"""
 WITH d AS (SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {seeded_sql('doc_id', 42)}, doc_id) - 1 AS rk,
@@ -142,19 +186,22 @@ def m9_result_log(spark, sf):
     return spark.read.parquet(path)
 
 
+LAYERS = [16] * 4  # lengths of the slices of an embedding
+
+
 @register("M10")
 def m10_per_layer(spark, sf):
-    """One classifier per 'layer' (16-value slices of the 64-d embeddings), label 0 vs rest; rows-only."""
-    from pyspark.ml.functions import array_to_vector
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("double").alias("y"))
-    out = None
-    for layer in range(4):
-        x = e.select("vec_id", "y", array_to_vector(F.slice("embedding", layer * 16 + 1, 16)).alias("features"))
-        sp = M.stratified_split(x, "y", "vec_id")
-        rep = M.fit_and_report(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"), label="y")
-        rep = rep.filter(F.col("metric").isin("accuracy", "auc")).withColumn("layer", F.lit(layer))
-        out = rep if out is None else out.unionByName(rep)
-    return out
+    """One classifier per 'layer' (16-value slices of the 64-d embeddings), label 0 vs rest, all fitted
+    together; rows-only, a test compares with separate fits."""
+    slices = F.array(*[F.slice("embedding", sum(LAYERS[:i]) + 1, d).cast("array<double>") for i, d in enumerate(LAYERS)])
+    e = table(spark, sf, "embeddings").select("vec_id", slices.alias("features"), (F.col("label") == 0).cast("double").alias("y"))
+    path = scratch_path(spark, "m10_layers")
+    split = M.stratified_split(e.select("vec_id", "y"), "y", "vec_id").select("vec_id", "split")
+    e.join(split, "vec_id").write.parquet(path)
+    rows = spark.read.parquet(path)
+    models = N.fit_layers(rows.filter(F.col("split") == "train"), LAYERS, label="y")
+    rep = M.report(N.layer_predictions(rows, models, label="y", keep=("split",)), by=("split", "layer"))
+    return rep.filter(F.col("metric").isin("accuracy", "auc")).select("split", "cls", "metric", "value", "layer")
 
 
 @register("M11", """

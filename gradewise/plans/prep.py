@@ -12,7 +12,7 @@ from ..operators import puzzle_text as PT
 from ..operators import puzzles as K
 from ..operators.index import with_global_index
 from ..session import table
-from .puzzles import _RENDER_SQL, _draw, corpus
+from .puzzles import _RENDER_SQL, _draw, corpus, generated, rendered
 from .registry import register
 from .scoring import _BOXED_SQL, _PUZZLE_SQL, boxed_responses
 from .tokens import ids_sql
@@ -105,9 +105,10 @@ def p3_boxed_prep(spark, sf):
 # --- P4 / P11 / P13 / P15 / P16 / P20 / P25 on the puzzle corpus --------------------------------
 
 def _split_corpus(spark, sf):
-    c = corpus(spark, sf)
-    return P.positional_split(c, "k", [("train", lambda n: (n * 0.9).cast("long")),
-                                       ("test", lambda n: n - (n * 0.9).cast("long"))])
+    """Puzzles are numbered and split before their texts are rendered."""
+    c = P.positional_split(generated(spark, sf), "k", [("train", lambda n: (n * 0.9).cast("long")),
+                                                       ("test", lambda n: n - (n * 0.9).cast("long"))])
+    return rendered(c)
 
 
 _P4_SQL = "WITH " + _RENDER_SQL + """,
@@ -138,7 +139,7 @@ def p4_puzzle_prep_base(spark, sf):
 SELECT k, CASE WHEN idx < total // 10 THEN 'test' WHEN idx < total // 10 + (total * 8) // 10 THEN 'train' ELSE 'val' END AS split
 FROM sp""")
 def p11_range_split(spark, sf):
-    c = corpus(spark, sf)
+    c = generated(spark, sf)
     out = P.positional_split(c, "k", [("test", lambda n: (n / 10).cast("long")),
                                       ("train", lambda n: (n * 8 / 10).cast("long")),
                                       ("val", lambda n: n - (n / 10).cast("long") - (n * 8 / 10).cast("long"))])

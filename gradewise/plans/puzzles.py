@@ -31,9 +31,18 @@ def candidates(spark, sf):
     return K.sample_puzzles(puzzle_keys(spark, sf))
 
 
+def generated(spark, sf):
+    """Generated, solved and de-duplicated puzzles."""
+    return K.generate(puzzle_keys(spark, sf), seed=SEED)
+
+
+def rendered(puzzles):
+    return K.render(puzzles, seed=SEED)
+
+
 def corpus(spark, sf):
     """Generated, solved, de-duplicated and rendered puzzles."""
-    return K.render(K.generate(puzzle_keys(spark, sf), seed=SEED), seed=SEED)
+    return rendered(generated(spark, sf))
 
 
 def _draw(k: str, salt: str, seed: int = SEED) -> str:

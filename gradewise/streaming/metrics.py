@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 SCORED_SCHEMA = "run string, step long, source string, event_id long, ts timestamp_ntz, score double"
 
 
-def scored_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(SCORED_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(folder))
+def scored_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = 1) -> DataFrame:
+    """The log as a stream; without a number of files a micro-batch takes all that is there."""
+    reader = spark.readStream.schema(SCORED_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(folder)
 
 
 def running_means(stream: DataFrame, out_path: str, checkpoint: str):
@@ -80,3 +83,31 @@ def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:
     best = r.groupBy("window_start", "window_end", "source").agg(
         F.max_by(F.struct("n", "mean_score"), "batch_id").alias("v"))
     return best.select("window_start", "window_end", "source", "v.n", "v.mean_score")
+
+
+def late_rows(stream: DataFrame, out_path: str, checkpoint: str, window_seconds: int = 86400, delay_seconds: int = 3600):
+    """What the watermark drops, as a table.
+
+    A row is late if its window ended at or before the watermark: the latest event time of earlier
+    micro-batches less the delay, as for ``windowed_metrics`` over the same micro-batches.  Each
+    micro-batch writes its late rows, with the watermark they missed, and its own latest event time
+    below folders of its number, so a batch that is run again replaces what it wrote.  ``read_late_rows``
+    reads them."""
+    second = F.unix_seconds(event_time("ts"))
+
+    def write(batch_df, batch_id):
+        spark = batch_df.sparkSession
+        batch_df.agg(F.max(second).alias("latest")).write.mode("overwrite").parquet(f"{out_path}/latest/batch_id={batch_id}")
+        before = spark.read.schema("latest long, batch_id long").parquet(f"{out_path}/latest").filter(F.col("batch_id") < batch_id)
+        # one row per micro-batch: a scalar
+        mark = before.select(F.max("latest") - delay_seconds).scalar()
+        end = (F.floor(second / window_seconds) + 1) * window_seconds
+        late = batch_df.withColumn("watermark", F.timestamp_seconds(mark)).filter(end <= F.unix_seconds("watermark"))
+        late.write.mode("overwrite").parquet(f"{out_path}/late/batch_id={batch_id}")
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_late_rows(spark: SparkSession, out_path: str) -> DataFrame:
+    """Late rows with their micro-batch (``batch_id``) and the ``watermark`` they missed."""
+    return spark.read.schema(f"{SCORED_SCHEMA}, watermark timestamp, batch_id long").parquet(f"{out_path}/late")

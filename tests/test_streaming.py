@@ -32,3 +32,25 @@ def test_late_rows_are_dropped(spark):
             X.latest_windows(spark, out).select(X.utc_day("window_start").cast("string"), "n", "mean_score").collect()}
     assert rows["2024-01-01"] == (1, 1.0)          # the late row did not change the closed day
     assert rows["2024-01-03"] == (2, 4.0)          # the on-time row was added
+
+
+def test_late_and_kept_rows_add_up(spark):
+    """Rows in any order: what the windows counted and what the table of late rows holds are all rows,
+    and a micro-batch that is run again replaces its late rows."""
+    base = scratch_path(spark, "t_late").replace("file:", "")
+    log = os.path.join(base, "log")
+    slices = [[_row(1, "2024-01-03 12:00:00", 1.0), _row(2, "2024-01-01 10:00:00", 2.0)],  # nothing before: none is late
+              [_row(3, "2024-01-02 23:59:59", 3.0), _row(4, "2024-01-03 00:00:00", 4.0)],   # a closed day, an open one
+              [],
+              [_row(5, "2024-01-05 01:00:00", 5.0), _row(6, "2024-01-01 00:00:00", 6.0)],
+              [_row(7, "2024-01-04 23:00:00", 7.0)],  # its day ended at the watermark
+              [_row(8, "2024-01-05 00:00:00", 8.0)]]
+    paths = {k: os.path.join(base, k) for k in ("out", "ck", "late", "late_ck")}
+    for i, rows in enumerate(slices):
+        _write(log, f"{i}.json", rows)
+        X.windowed_metrics(X.scored_stream(spark, log, None), paths["out"], paths["ck"]).awaitTermination()
+        X.late_rows(X.scored_stream(spark, log, None), paths["late"], paths["late_ck"]).awaitTermination()
+    late = {r.event_id: r.watermark.isoformat(sep=" ") for r in X.read_late_rows(spark, paths["late"]).collect()}
+    assert set(late) == {3, 6, 7}
+    kept = X.latest_windows(spark, paths["out"]).selectExpr("sum(n)", "sum(n * mean_score)").first()
+    assert tuple(kept) == (5, 1.0 + 2.0 + 4.0 + 5.0 + 8.0)
