@@ -1,9 +1,9 @@
 """Token-balanced partitioning.
 
 L1/L2 are the per-batch algorithms (largest differencing and greedy).  Both decide item
-by item, so they run as grouped pandas functions, one batch (the trainer's batch) a group;
-the caller chooses the native snake rule (L8), which needs only positions, for batches
-that are too large for one task.  Everything else is aggregates on the assignment table
+by item, so they run as grouped pandas functions, one batch (the trainer's batch) a group.
+For batches that are too large for one task the caller chooses largest differencing as a tree
+(``merge_tree_partition``) or the native snake rule (L8), which needs only positions.  Everything else is aggregates on the assignment table
 and positions from the global index.
 """
 
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .index import with_global_index
 
 
@@ -37,25 +38,31 @@ def largest_differencing(lengths: list[int], k: int, equal_size: bool = False) -
         starts = [order[o:o + k] for o in range(0, n, k)]
     else:
         starts = [[i] for i in order]
-    heap = []
-    for seq, items in enumerate(starts):
+    states = []
+    for items in starts:
         subsets = [([i], lengths[i]) for i in items] + [([], 0)] * (k - len(items))
-        subsets.sort(key=lambda s: -s[1])
-        spread = subsets[0][1] - subsets[-1][1]
-        heapq.heappush(heap, (-spread, seq, subsets))
-    seq = len(starts)
+        states.append(sorted(subsets, key=lambda s: -s[1]))
+    parts = [0] * n
+    for p, (items, _) in enumerate(_merged(states, k)):
+        for i in items:
+            parts[i] = p
+    return parts
+
+
+def _merged(states: list[list[tuple[list, int]]], k: int) -> list[tuple[list, int]]:
+    """One state from states of k (members, sum) in descending order: the two with the largest
+    spread (then the oldest) merge first.  The spread of two merged is at most the larger one."""
+    heap = [(subsets[-1][1] - subsets[0][1], seq, subsets) for seq, subsets in enumerate(states)]
+    heapq.heapify(heap)
+    seq = len(states)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         merged = [(a[i][0] + b[k - 1 - i][0], a[i][1] + b[k - 1 - i][1]) for i in range(k)]
         merged.sort(key=lambda s: -s[1])
-        heapq.heappush(heap, (-(merged[0][1] - merged[-1][1]), seq, merged))
+        heapq.heappush(heap, (merged[-1][1] - merged[0][1], seq, merged))
         seq += 1
-    parts = [0] * n
-    for p, (items, _) in enumerate(heap[0][2] if heap else []):
-        for i in items:
-            parts[i] = p
-    return parts
+    return heap[0][2] if heap else []
 
 
 def greedy(lengths: list[int], k: int, equal_size: bool = False) -> list[int]:
@@ -118,6 +125,78 @@ def balance(df: DataFrame, group: str, item: str, length: str, k: int, method: s
     return df.select(group, item, length).groupBy(group).applyInPandas(per_batch, schema)
 
 
+def merge_tree_partition(df: DataFrame, group: str, item: str, length: str, k: int, equal_size: bool = False,
+                         chunk: int = 4096, fan: int = 64) -> DataFrame:
+    """L1 for batches of any size: (group, item, part), by largest differencing as a tree.
+
+    The items of a batch are dealt by their rank of length into chunks of about ``chunk`` items, each
+    divided as in ``balance``; then ``fan`` divisions at a time, of which only the k sums count, merge
+    by the same rule until one is left.  What became of every part is kept as a table for each
+    level, and the items are joined with these once.  A task has one chunk or ``fan`` * k sums.
+
+    Merging never raises the spread, so the largest and the smallest part differ by at most the longest
+    item, as for one heap over all items; a batch of one chunk has the parts of ``balance``.  Items
+    must be unique in their batch; null lengths count 0; a null batch is a batch; with ``equal_size`` the
+    number of items must be a multiple of k.  The table of parts is bounded by items * k / chunk."""
+    if chunk < k or fan < 2:
+        raise ValueError("a chunk needs k items or more, and two or more divisions must merge")
+    kinds = dict(df.dtypes)
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("n"))
+    ranked = position_in_group(rows, "g", ["n", "item"], "rank")
+    sizes = ranked.groupBy(F.col("g").alias("g_")).agg(F.count(F.lit(1)).alias("size"))
+    nodes = F.ceil(F.col("size") / F.lit(chunk // k * k if equal_size else chunk))
+    run = F.floor(F.col("rank") / k) if equal_size else F.col("rank")
+    dealt = (ranked.join(sizes, F.col("g").eqNullSafe(F.col("g_")))
+             .select("g", "item", "n", F.pmod(run, nodes).cast("long").alias("node"), nodes.cast("long").alias("nodes")))
+    key = f"g {kinds[group]}, node long"
+
+    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item", kind="stable").reset_index(drop=True)
+        parts = largest_differencing([int(x) for x in pdf["n"]], k, equal_size)
+        return pdf[["g", "node", "nodes", "item", "n"]].assign(part=np.asarray(parts, np.int32))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["node", "total", "part"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
+        states = []
+        for _, rows in pdf.groupby("node", sort=True):
+            state = [([at], int(t)) for at, t in zip(rows.index, rows["total"])]
+            states.append(state + [([], 0)] * (k - len(state)))
+        into = np.zeros(len(pdf), np.int32)
+        for p, (members, _) in enumerate(_merged(states, k)):
+            into[members] = p
+        return pdf[["g", "node", "part", "total", "parent"]].assign(new_part=into)
+
+    items = _kept(dealt.groupBy("g", "node").applyInPandas(divide, f"{key}, nodes long, item {kinds[item]}, n long, part int"))
+    sums = items.groupBy("g", "node", "part").agg(F.sum("n").alias("total"))
+    left = items.agg(F.max("nodes")).first()[0] or 1
+    levels = []
+    while left > 1:
+        sums = sums.withColumn("parent", F.floor(F.col("node") / fan))
+        levels.append(_kept(sums.groupBy("g", "parent").applyInPandas(merge, f"{key}, part int, total long, parent long, new_part int")))
+        sums = levels[-1].groupBy("g", F.col("parent").alias("node"), F.col("new_part").alias("part")).agg(F.sum("total").alias("total"))
+        left = -(-left // fan)
+    place = None
+    for level in reversed(levels):  # where each part of a level ends up
+        if place is None:
+            place = level.select("g", "node", "part", F.col("new_part").alias("final"))
+        else:
+            above = place.select(F.col("g").alias("g_"), F.col("node").alias("node_"), F.col("part").alias("part_"), "final")
+            place = level.join(above, F.col("g").eqNullSafe(F.col("g_")) & (F.col("parent") == F.col("node_"))
+                               & (F.col("new_part") == F.col("part_"))).select("g", "node", "part", "final")
+    if place is None:
+        found = items.withColumn("final", F.col("part"))
+    else:
+        place = place.select(F.col("g").alias("g_"), F.col("node").alias("node_"), F.col("part").alias("part_"), "final")
+        found = items.join(place, F.col("g").eqNullSafe(F.col("g_")) & (F.col("node") == F.col("node_")) & (F.col("part") == F.col("part_")))
+    return found.select(F.col("g").alias(group), F.col("item").alias(item), F.col("final").alias("part"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once to the shared checkpoint folder: later levels read it again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def partition_report(assign: DataFrame, lengths: DataFrame, group: str, item: str, length: str, k: int) -> DataFrame:
     """L3 + L4: per batch the parts used, items assigned, and token sums before and after.
 

@@ -120,6 +120,22 @@ def l1_karmarkar_karp_equal(spark, sf):
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk", equal_size=True)
 
 
+@register("L1_tree", f"""
+SELECT lang, count(*) AS n_items, CAST(sum(n_chars) AS BIGINT) AS n_tokens, CAST(least(count(*), {K_PARTS}) AS BIGINT) AS n_parts, true AS balanced
+FROM documents GROUP BY lang""")
+def l1_merge_tree(spark, sf):
+    """All documents of a language as one batch, divided in chunks and merged as a tree: items, tokens and
+    parts, and whether the parts differ by no more than the longest document."""
+    d = table(spark, sf, "documents").select("lang", "doc_id", "n_chars")
+    a = L.merge_tree_partition(d, "lang", "doc_id", "n_chars", K_PARTS, chunk=64, fan=8)
+    j = a.join(d.select("doc_id", "n_chars"), "doc_id")
+    per_part = j.groupBy("lang", "part").agg(F.sum("n_chars").alias("t"), F.count(F.lit(1)).alias("c"), F.max("n_chars").alias("longest"))
+    n_parts = F.count(F.lit(1))
+    spread = F.max("t") - F.when(n_parts < K_PARTS, 0).otherwise(F.min("t"))
+    return per_part.groupBy("lang").agg(F.sum("c").alias("n_items"), F.sum("t").alias("n_tokens"), n_parts.alias("n_parts"),
+                                        (spread <= F.max("longest")).alias("balanced"))
+
+
 @register("L2", """
 WITH RECURSIVE items AS (
   SELECT doc_id // 128 AS batch, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) AS rn

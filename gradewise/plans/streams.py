@@ -12,7 +12,7 @@ from ..sources.io import scratch_path
 from ..streaming import metrics as X
 from .registry import register
 
-SLICES = 4
+SLICES = 3
 LATE_EVERY, LATE_SECONDS = 10, 5 * 86400  # every tenth event arrives five days after its time
 
 
