@@ -35,6 +35,12 @@ def let(value, fn) -> Column:
     return F.element_at(F.transform(F.array(as_col(value)), fn), 1)
 
 
+def seeded_digits(key, seed: int, *more) -> Column:
+    """The 15 hex digits of ``seeded_draw``; as text they sort like the number."""
+    parts = [as_col(p).cast("string") for p in (key, *more)]
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15)
+
+
 def seeded_draw(key, seed: int, *more) -> Column:
     """Seeded pseudo-random integer in [0, 2^60) for a key (and more key parts).
 
@@ -42,9 +48,7 @@ def seeded_draw(key, seed: int, *more) -> Column:
     unrelated order, keys of any size are told apart, and any engine with md5
     reproduces it.
     """
-    parts = [as_col(p).cast("string") for p in (key, *more)]
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return F.conv(seeded_digits(key, seed, *more), 16, 10).cast("long")
 
 
 def seeded_sql(key_sql: str, seed: int, *more: str) -> str:

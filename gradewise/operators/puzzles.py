@@ -12,15 +12,10 @@ operations over them (``solution_words``); no join, no UDF.
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from ..functions.common import as_col, let, seeded_draw
+from ..functions.common import as_col, let, seeded_digits, seeded_draw
 from ..session import ensure_checkpoint_dir
 from . import puzzle_text as PT
 
@@ -123,13 +118,22 @@ def _leaf_word(arg: Column, w: Column) -> Column:
     return F.when(arg["lie"], F.bitwise_not(k)).otherwise(k)
 
 
+_BY_OP = {"leaf": lambda a, b: a, "not": lambda a, b: F.bitwise_not(a),
+          "and": lambda a, b: a.bitwiseAND(b), "or": lambda a, b: a.bitwiseOR(b),
+          "->": lambda a, b: F.bitwise_not(a).bitwiseOR(b), "<=>": lambda a, b: F.bitwise_not(a.bitwiseXOR(b))}
+
+
+def _combined_word(op: Column, a: Column, b: Column) -> Column:
+    """Truth word of a statement from the words of its arguments (an only one given twice)."""
+    word = F.when(op == OPS[0], _BY_OP[OPS[0]](a, b))
+    for name in OPS[1:-1]:
+        word = word.when(op == name, _BY_OP[name](a, b))
+    return word.otherwise(_BY_OP[OPS[-1]](a, b))
+
+
 def _statement_word(s: Column, w: Column) -> Column:
     second = F.coalesce(F.try_element_at(s["args"], F.lit(2)), s["args"][0])
-    return let(_leaf_word(s["args"][0], w), lambda v1: let(_leaf_word(second, w), lambda v2: (
-        F.when(s["op"] == "leaf", v1).when(s["op"] == "not", F.bitwise_not(v1))
-         .when(s["op"] == "and", v1.bitwiseAND(v2)).when(s["op"] == "or", v1.bitwiseOR(v2))
-         .when(s["op"] == "->", F.bitwise_not(v1).bitwiseOR(v2))
-         .otherwise(F.bitwise_not(v1.bitwiseXOR(v2))))))
+    return let(_leaf_word(s["args"][0], w), lambda v1: let(_leaf_word(second, w), lambda v2: _combined_word(s["op"], v1, v2)))
 
 
 def _valid_word(n: Column, w: Column) -> Column:
@@ -325,100 +329,132 @@ def format_solution_text(solution_text) -> Column:
 
 
 # --- K3 / K4: perturbations --------------------------------------------------------
-# Every candidate is tried.  With m = 2n - 1 leaf options per speaker, the statements of a
-# speaker are numbered: m leaves, m negations, then for each of the four two-leaf operators
-# m * (m - 1) ordered pairs of different leaves; candidate = speaker * (statements per
-# speaker) + statement.  Leaf changes are numbered (speaker * 2 + place) * m + leaf.
-
-PERTURBED = "cand int, n int, statements array<struct<op:string,args:array<struct<lie:boolean,who:int>>>>, solution_bits int"
-
-
-def _leaf_option(j: int, n: int, p: int) -> tuple[bool, int]:
-    return (j >= n, j if j < n else j - n + (j - n >= p))
-
-
-def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
-    first = np.repeat(np.arange(m), m - 1)
-    return first, (first + 1 + np.tile(np.arange(m - 1), m)) % m
-
-
-def _combined(op: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return {"leaf": lambda: a, "not": lambda: ~a, "and": lambda: a & b, "or": lambda: a | b,
-            "->": lambda: ~a | b, "<=>": lambda: ~(a ^ b)}[op]()
-
-
-def _perturbed(k: int, n: int, statements: list[dict], solution: int, leaf: bool, seed: int) -> dict | None:
-    """The valid candidate with the smallest draw: a bitset over all 2^n assignments per
-    statement, the other speakers' bitsets ANDed once."""
-    size = 1 << n
-    full = np.full(max(1, size >> 6), np.uint64(0xFFFFFFFFFFFFFFFF) if size >= 64 else np.uint64((1 << size) - 1))
-    bits = (np.arange(size)[None, :] >> np.arange(n)[:, None]) & 1
-    knights = np.zeros((n, full.size * 64), np.uint8)
-    knights[:, :size] = bits
-    knights = np.packbits(knights, axis=1, bitorder="little").view(np.uint64)
-    holds = []
-    for s in statements:
-        words = [~knights[a["who"]] if a["lie"] else knights[a["who"]] for a in s["args"]]
-        holds.append(_combined(s["op"], words[0], words[-1]))
-    agrees = [~(h ^ w) for h, w in zip(holds, knights)]
-    m, found = 2 * n - 1, []
-    first, second = _pairs(m)
-    for p in range(n):
-        others = full.copy()
-        for q in range(n):
-            if q != p:
-                others &= agrees[q]
-        options = [_leaf_option(j, n, p) for j in range(m)]
-        leaves = np.stack([~knights[w] if lie else knights[w] for lie, w in options])
-        if leaf:
-            s = statements[p]
-            old = [np.broadcast_to(~knights[a["who"]] if a["lie"] else knights[a["who"]], leaves.shape) for a in s["args"]]
-            truth = [_combined(s["op"], leaves, old[-1] if len(old) > 1 else leaves)]
-            truth += [_combined(s["op"], old[0], leaves)] if len(old) > 1 else []
-            truth, base = np.concatenate(truth), p * 2 * m
-        else:
-            a, b = leaves[first], leaves[second]
-            truth = np.concatenate([leaves, ~leaves, *[_combined(op, a, b) for op in OPS[2:]]])
-            base = p * truth.shape[0]
-        left = ~(truth ^ knights[p]) & others
-        unique = np.flatnonzero(np.bitwise_count(left).sum(axis=1) == 1)
-        word = (left[unique] != 0).argmax(axis=1)
-        bit = 64 * word + np.log2(left[unique, word].astype(np.float64)).astype(np.int64)  # a power of two
-        for i, x in zip(unique[bit != solution].tolist(), bit[bit != solution].tolist()):
-            found.append((hashlib.md5(f"{seed}:{k}:{base + i}".encode()).hexdigest()[:15], base + i, p, i, x))
-    if not found:
-        return None
-
-    def as_dict(option):
-        return {"lie": bool(option[0]), "who": int(option[1])}
-    _, cand, p, i, bit = min(found)  # another solution: the statement differs from the original
-    options = [as_dict(_leaf_option(j, n, p)) for j in range(m)]
-    if leaf:
-        place, j = divmod(i, m)
-        args = [options[j] if at == place else dict(a) for at, a in enumerate(statements[p]["args"])]
-        new = {"op": statements[p]["op"], "args": args}
-    elif i < 2 * m:
-        new = {"op": OPS[i // m], "args": [options[i % m]]}
-    else:
-        op, pair = divmod(i - 2 * m, m * (m - 1))
-        new = {"op": OPS[2 + op], "args": [options[first[pair]], options[second[pair]]]}
-    return {"cand": cand, "n": n, "statements": [new if q == p else s for q, s in enumerate(statements)], "solution_bits": bit}
+# Every candidate is tried, inside the row.  With m = 2n - 1 leaf options per speaker, the
+# statements of a speaker are numbered: m leaves, m negations, then for each of the four
+# two-leaf operators m * (m - 1) ordered pairs of different leaves; candidate = speaker *
+# (statements per speaker) + statement.  Leaf changes are numbered (speaker * 2 + place) * m + leaf.
+
+def _views(agrees: Column, n: Column, p: Column) -> Column:
+    """The words in which the other speakers leave assignments to speaker ``p``: index ``w``,
+    what is left ``o``, "p is a knight" ``kp`` and the truth ``v`` of each leaf option of p."""
+    def left(w):
+        return F.aggregate(F.filter(agrees, lambda a, q: q != p), _valid_word(n, w), lambda acc, a: acc.bitwiseAND(a[w]))
+
+    def view(e):
+        leaves = F.transform(F.sequence(F.lit(0), 2 * n - 2), lambda j: let(_leaf(j, n, p), lambda a: _leaf_word(a, e["w"])))
+        return F.struct(e["w"].alias("w"), e["o"].alias("o"), _knight_word(p, e["w"]).alias("kp"), leaves.alias("v"))
+    words = F.transform(word_indexes(n), lambda w: F.struct(w.alias("w"), left(w).alias("o")))
+    return F.transform(F.filter(words, lambda e: e["o"] != 0), view)
+
+
+def _left(e: Column, word: Column) -> Column:
+    """Assignments of view ``e`` that remain when the speaker's statement is true in ``word``."""
+    return e["o"].bitwiseAND(F.bitwise_not(word.bitwiseXOR(e["kp"])))
+
+
+def _valid(views: Column, choices: Column, truth, *numbers) -> Column:
+    """struct(i, bit) for each of ``numbers`` of the choices whose statement ``truth(view, choice)``
+    leaves one assignment, ``bit``.  Counting comes first: few choices pass, only they are looked
+    at again."""
+    def position(c):
+        words = F.transform(views, lambda e: F.struct(e["w"].alias("w"), _left(e, truth(e, c)).alias("x")))
+        return let(F.filter(words, lambda f: f["x"] != 0)[0], lambda f: (f["w"] * 64 + _single_bit_index(f["x"])).cast("int"))
+    passing = F.filter(choices, lambda c: F.aggregate(
+        views, F.lit(0), lambda acc, e: acc + F.bit_count(_left(e, truth(e, c)))) == 1)
+    return F.flatten(F.transform(passing, lambda c: let(position(c), lambda bit: F.array(*[
+        F.struct(number(c).cast("int").alias("i"), bit.alias("bit")) for number in numbers]))))
+
+
+def _statement_changes(views: Column, m: Column) -> Column:
+    """All statements of one speaker that leave one assignment: array<struct<i, bit>>."""
+    options = F.sequence(F.lit(0), m - 1)
+
+    def pairs(at, op):
+        def with_first(j1):
+            seen = F.transform(views, lambda e: F.struct(*[e[c].alias(c) for c in ("w", "o", "kp", "v")], e["v"][j1].alias("first")))
+            both_ways = op != "->"       # the other operators say the same with leaves swapped
+            others = F.filter(options, lambda j2: j2 > j1 if both_ways else j2 != j1)
+
+            def number(a, b):
+                return 2 * m + at * m * (m - 1) + a * (m - 1) + F.pmod(b - a - 1, m)
+            numbers = [lambda j2: number(j1, j2)] + ([lambda j2: number(j2, j1)] if both_ways else [])
+            return let(seen, lambda seen: _valid(seen, others, lambda e, j2: _BY_OP[op](e["first"], e["v"][j2]), *numbers))
+        return F.flatten(F.transform(options, with_first))
+    return F.concat(_valid(views, options, lambda e, j: e["v"][j], lambda j: j),
+                    _valid(views, options, lambda e, j: F.bitwise_not(e["v"][j]), lambda j: m + j),
+                    *[pairs(at, op) for at, op in enumerate(OPS[2:])])
+
+
+def _leaf_changes(views: Column, m: Column, statement: Column) -> Column:
+    """The statement of one speaker with each of its leaves replaced, as ``_statement_changes``."""
+    def changed(place, a):
+        def truth(e, j):
+            kept = let(a, lambda x: _leaf_word(x, e["w"]))
+            return let(e["v"][j], lambda new: F.when(F.size(statement["args"]) == 1, _combined_word(statement["op"], new, new))
+                       .when(place == 0, _combined_word(statement["op"], new, kept))
+                       .otherwise(_combined_word(statement["op"], kept, new)))
+        return _valid(views, F.sequence(F.lit(0), m - 1), truth, lambda j: place * m + j)
+    # beside each leaf stands the one that stays: the other of two
+    return F.flatten(F.transform(F.reverse(statement["args"]), lambda a, place: changed(place, a)))
+
+
+def _new_statement(n: Column, p: Column, i: Column) -> Column:
+    """Statement number ``i`` of speaker ``p``."""
+    def build(m, pair):
+        single = i < 2 * m
+        op = F.when(single, F.floor(i / m)).otherwise(F.floor((i - 2 * m) / (m * (m - 1))) + 2).cast("int")
+        j1 = F.when(single, F.pmod(i, m)).otherwise(F.floor(pair / (m - 1))).cast("int")
+        first = let(j1, lambda j: _leaf(j, n, p))
+        second = let(F.pmod(j1 + 1 + F.pmod(pair, m - 1), m), lambda j: _leaf(j, n, p))
+        return F.struct(F.element_at(F.array(*[F.lit(o) for o in OPS]), op + 1).alias("op"),
+                        F.when(single, F.array(first)).otherwise(F.array(first, second)).alias("args"))
+    return let(2 * n - 1, lambda m: let(F.pmod(i - 2 * m, m * (m - 1)), lambda pair: build(m, pair)))
+
+
+def _with_new_leaf(statement: Column, n: Column, p: Column, i: Column) -> Column:
+    """``statement`` with change number ``i`` of one leaf."""
+    m = 2 * n - 1
+    args = F.transform(statement["args"], lambda a, place: F.when(
+        place == F.floor(i / m), let(F.pmod(i, m), lambda j: _leaf(j, n, p))).otherwise(a))
+    return F.struct(statement["op"].alias("op"), args.alias("args"))
 
 
 def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1) -> DataFrame:
     """K3 (whole statement) / K4 (one leaf): of all changes whose statements differ and whose
     solution is unique and differs from the original, the one first in a seeded order.
-    Puzzles without any such change get no row."""
-    @arrow_udf(PERTURBED)
-    def change(keys: pa.Array, people: pa.Array, claims: pa.Array, solution: pa.Array) -> pa.Array:
-        rows = [_perturbed(*row, leaf, seed) for row in
-                zip(keys.to_pylist(), people.to_pylist(), claims.to_pylist(), solution.to_pylist())]
-        claim = pa.list_(pa.struct([("op", pa.string()), ("args", pa.list_(pa.struct([("lie", pa.bool_()), ("who", pa.int32())])))]))
-        return pa.array(rows, pa.struct([("cand", pa.int32()), ("n", pa.int32()), ("statements", claim), ("solution_bits", pa.int32())]))
-
-    changed = puzzles.select("k", change("k", "n", "statements", "solution_bits").alias("_c")).filter("_c is not null")
-    return (changed.select("k", "_c.*").withColumn("solution", bits_to_roles("solution_bits", "n"))
-            .withColumn("n_solutions", F.lit(1)))
+    Puzzles without any such change, and those with nulls, get no row.
+
+    One row in, one row out: the other speakers' words are ANDed once, words without any
+    assignment left are dropped, and a candidate is a few word operations on the rest.  No
+    shuffle; candidates with a valid solution alone get a draw."""
+    k, n, solution = F.col("k"), F.col("n"), F.col("solution_bits")
+
+    def valid(st, agrees):
+        def of_speaker(statement, p):
+            m = 2 * n - 1
+            per_speaker = 2 * m if leaf else 2 * m + 4 * m * (m - 1)
+            tried = let(_views(agrees, n, p), lambda views: _leaf_changes(views, m, statement) if leaf
+                        else _statement_changes(views, m))
+            return F.transform(F.filter(tried, lambda c: c["bit"] != solution), lambda c: let(
+                (p * per_speaker + c["i"]).cast("int"), lambda cand: F.struct(
+                    seeded_digits(k, seed, cand).alias("d"), cand.alias("cand"), p.alias("p"), c["i"].alias("i"), c["bit"].alias("bit"))))
+        return F.flatten(F.transform(st, of_speaker))
+
+    def changed(st, best):
+        def statement(s, q):
+            return F.when(q == best["p"], _with_new_leaf(s, n, q, best["i"]) if leaf else _new_statement(n, q, best["i"])).otherwise(s)
+        return F.struct(best["cand"].alias("cand"), n.alias("n"), F.transform(st, statement).alias("statements"),
+                        best["bit"].alias("solution_bits"))
+
+    def row(st):
+        agreeing = F.transform(st, lambda s, q: F.transform(word_indexes(n), lambda w: F.bitwise_not(
+            _statement_word(s, w).bitwiseXOR(_knight_word(q, w)))))
+        best = F.array_min(let(agreeing, lambda agrees: valid(st, agrees)))
+        return F.transform(F.filter(F.array(best), lambda b: b.isNotNull()), lambda b: changed(st, b))
+
+    # a generator keeps its argument: a filter on the result would evaluate it twice
+    changes = puzzles.select("k", F.inline(let("statements", row)))
+    return changes.withColumn("solution", bits_to_roles("solution_bits", "n")).withColumn("n_solutions", F.lit(1))
 
 
 # --- K9 / K10: wrong solutions and shuffled steps ------------------------------------

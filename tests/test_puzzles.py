@@ -143,3 +143,21 @@ def test_generator_delivers_the_number_asked_for(spark):
     assert len(rows) == 75 and len({r.statements_repr for r in rows}) == 75 and all(r.n_solutions == 1 for r in rows)
     with pytest.raises(ValueError, match="distinct puzzles"):
         K.generate_exactly(spark, 5000, n_people=2)
+
+
+def test_perturbation_of_odd_rows(spark):
+    """Nulls, one person and no statement give no row; a repeated puzzle gives its row twice."""
+    good = K.generate(spark.range(40).withColumnRenamed("id", "k"), n_people=3).select("k", "n", "statements", "solution_bits")
+    one = good.orderBy("k").limit(1)
+    odd = one.selectExpr("-1L AS k", "n", "cast(null AS array<struct<op:string,args:array<struct<lie:boolean,who:int>>>>) AS statements", "solution_bits")
+    alone = one.selectExpr("-2L AS k", "1 AS n", "array(named_struct('op', 'leaf', 'args', array(named_struct('lie', false, 'who', 0)))) AS statements", "0 AS solution_bits")
+    unknown = one.selectExpr("-3L AS k", "n", "statements", "cast(null AS int) AS solution_bits")
+    rows = K.perturb(one.unionByName(one).unionByName(odd).unionByName(alone).unionByName(unknown)).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0].k >= 0
+    assert K.perturb(good.limit(0)).count() == 0
+
+
+def test_perturbation_works_on_columns_alone(spark):
+    g = K.generate(spark.range(40).withColumnRenamed("id", "k"), n_people=4)
+    plan = K.perturb(g.checkpoint())._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
