@@ -3,8 +3,9 @@
 L1/L2 are the per-batch algorithms (largest differencing and greedy).  Both decide item
 by item, so they run as grouped pandas functions, one batch (the trainer's batch) a group.
 For batches that are too large for one task the caller chooses largest differencing as a tree
-(``merge_tree_partition``) or the native snake rule (L8), which needs only positions.  Everything else is aggregates on the assignment table
-and positions from the global index.
+(``merge_tree_partition``), micro-batches under a token budget (``budget_partition``) or the
+native snake rule (L8), which needs only positions.  Everything else is aggregates on the
+assignment table and positions from the global index.
 """
 
 from __future__ import annotations
@@ -191,6 +192,43 @@ def merge_tree_partition(df: DataFrame, group: str, item: str, length: str, k: i
     return found.select(F.col("g").alias(group), F.col("item").alias(item), F.col("final").alias("part"))
 
 
+def budget_partition(df: DataFrame, group: str, item: str, length: str, budget: int,
+                     chunk: int = 4096, width: int = 64) -> DataFrame:
+    """L5 for batches of any size: (group, item, part) with ceil(total / budget) parts a batch.
+
+    The number of parts grows with the batch, so their sums cannot be a state.  The items are dealt
+    to all parts by the snake rule over their lengths, which needs positions only; then up to
+    ``width`` neighbouring parts with about ``chunk`` items in all are divided anew by largest
+    differencing, one such run of parts a task.  Parts that have more than half of ``chunk`` items
+    each stay as the snake rule dealt them.
+
+    The snake rule's parts differ by at most the longest item, and so do those of a run; the largest
+    and the smallest part of a batch differ by three times the longest item at most.  A batch of one
+    run has the parts of ``balance``.  As there, a part may exceed the budget, and there may be more
+    parts than items.  Items must be unique in their batch; null lengths count 0; a null batch is a
+    batch; one without tokens has one part."""
+    if budget < 1 or chunk < 1 or width < 1:
+        raise ValueError("a budget, a chunk and a width are positive")
+    kinds = dict(df.dtypes)
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("item"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("n"))
+    ranked = position_in_group(rows, "g", [F.col("n").desc(), "item"], "rank")
+    whole = (ranked.groupBy(F.col("g").alias("g_")).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+             .withColumn("k", F.greatest(F.lit(1), F.expr(f"(total + {budget - 1}) div {budget}")))
+             .withColumn("run", F.least(F.lit(width), F.greatest(F.lit(1), F.floor(F.col("k") / F.col("size") * chunk)))))
+    dealt = (ranked.join(whole, F.col("g").eqNullSafe(F.col("g_"))).withColumn("slot", _snake("rank", F.col("k")))
+             .withColumn("node", F.expr("slot div run")))
+    dealt = _kept(dealt.select("g", "item", "n", "slot", "node", "run", F.least("run", F.expr("k - node * run")).alias("parts")))
+
+    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item", kind="stable").reset_index(drop=True)
+        parts = largest_differencing([int(x) for x in pdf["n"]], int(pdf["parts"].iloc[0]))
+        return pdf[["g", "item"]].assign(part=(pdf["node"] * pdf["run"] + np.asarray(parts, np.int64)).astype(np.int64))
+
+    runs = dealt.filter("run > 1").groupBy("g", "node").applyInPandas(divide, f"g {kinds[group]}, item {kinds[item]}, part long")
+    single = dealt.filter("run = 1").select("g", "item", F.col("slot").cast("long").alias("part"))
+    return runs.unionByName(single).select(F.col("g").alias(group), F.col("item").alias(item), "part")
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Written once to the shared checkpoint folder: later levels read it again."""
     ensure_checkpoint_dir(df.sparkSession)

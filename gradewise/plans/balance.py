@@ -173,6 +173,23 @@ def l5_token_budget(spark, sf):
     return L.balance(batches(spark, sf), "batch", "doc_id", "n_chars", K_PARTS, "kk", budget=40000)
 
 
+@register("L5_whole", """
+SELECT lang, count(*) AS n_items, CAST(sum(n_chars) AS BIGINT) AS n_tokens,
+       greatest(CAST(1 AS BIGINT), CAST((sum(n_chars) + 39999) // 40000 AS BIGINT)) AS n_parts, true AS balanced
+FROM documents GROUP BY lang""")
+def l5_budget_of_whole_tables(spark, sf):
+    """All documents of a language as one batch under a budget of 40000 tokens a part: items, tokens,
+    parts, and whether the parts differ by three times the longest document at most."""
+    d = table(spark, sf, "documents").select("lang", "doc_id", "n_chars")
+    a = L.budget_partition(d, "lang", "doc_id", "n_chars", 40000)
+    j = a.join(d.select("doc_id", "n_chars"), "doc_id")
+    per_part = j.groupBy("lang", "part").agg(F.sum("n_chars").alias("t"), F.count(F.lit(1)).alias("c"), F.max("n_chars").alias("longest"))
+    parts = F.max("part") + 1
+    spread = F.max("t") - F.when(F.count(F.lit(1)) < parts, 0).otherwise(F.min("t"))
+    return per_part.groupBy("lang").agg(F.sum("c").alias("n_items"), F.sum("t").alias("n_tokens"), parts.alias("n_parts"),
+                                        (spread <= 3 * F.max("longest")).alias("balanced"))
+
+
 @register("L7", _kk_sql(equal_size=True) + """
 SELECT batch, doc_id, part, row_number() OVER (PARTITION BY batch ORDER BY part, doc_id) - 1 AS new_pos FROM kk_out""")
 def l7_balanced_reorder(spark, sf):
