@@ -3,7 +3,9 @@
 Every document gets a hash-random key.  Within each source the documents are ordered by
 key: the key space is cut into equal ranges ("slots") of about ROWS_PER_SLOT documents,
 each slot is sorted alone, and a document's place among the words of its source is the sum
-of the slots before it plus the running sum in its slot.  A source's budget is taken from
+of the slots before it plus the running sum in its slot.  The slots before it are summed in two
+levels, whole stretches of SLOTS_PER_STRETCH slots and the slots of its own stretch, so that the
+longest run that one task orders is a millionth of the largest source.  A source's budget is taken from
 that order: whole passes while it lasts, then a prefix cut at the exact word.
 
 Targets: source k in code-point order (null last) weighs ``weights[k mod len]``; together
@@ -33,6 +35,7 @@ from gradewise.operators.index import with_global_index
 from .support import unused, written
 
 ROWS_PER_SLOT = 1000
+SLOTS_PER_STRETCH = 1000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,6 +66,12 @@ def source_targets(sized: DataFrame, src: str, size: str, weights, max_epochs: i
                         F.least(F.col("__weight") * level, F.col("__cap")).alias("__target"))
 
 
+def _before(words: str, group: list[str], *order: str) -> Column:
+    """Sum of ``words`` over the rows before in the group."""
+    rows = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(words).over(rows), F.lit(0))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         weights=(1, 2, 3), max_epochs: int = 3, seed: int = 0, drop_text: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with a struct column (size, source_size, target, taken); and its name.
@@ -87,14 +96,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     keyed = (sized.withColumn(key, key_of).withColumn(slot, F.floor(lead * slots / F.lit(1 << 28)).cast("long"))
              .withColumns({c: f(F.col(source)) for c, f in whose.items()}))
     place = [named, nameless, slot]
-    before = W.partitionBy(named, nameless).orderBy(slot).rowsBetween(W.unboundedPreceding, -1)
     targets = targets.withColumns({c: f(F.col("__src")) for c, f in whose.items()}).drop("__src", "__rows")
-    offsets = (keyed.groupBy(*place).agg(F.sum(size).alias("__words"))
-               .withColumn("__offset", F.coalesce(F.sum("__words").over(before), F.lit(0))).drop("__words")
-               .join(targets, [named, nameless]))
+    whole = [named, nameless, "__stretch"]
+    sums = written(keyed.groupBy(*place).agg(F.sum(size).alias("__words"))
+                   .withColumn("__stretch", F.floor(F.col(slot) / SLOTS_PER_STRETCH)), "mix-slots")
+    stretches = sums.groupBy(*whole).agg(F.sum("__words").alias("__words"))
+    stretches = stretches.select(*whole, _before("__words", [named, nameless], "__stretch").alias("__earlier"))
+    offsets = (sums.withColumn("__offset", _before("__words", whole, slot)).join(stretches, whole)
+               .withColumn("__offset", F.col("__offset") + F.col("__earlier"))
+               .drop("__words", "__earlier", "__stretch").join(targets, [named, nameless]))
     offsets = written(offsets, "mix-offsets")
-    inside = W.partitionBy(*place).orderBy(key, doc_id, size).rowsBetween(W.unboundedPreceding, -1)
-    joined = keyed.withColumn("__before", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, place)
+    joined = keyed.withColumn("__before", _before(size, place, key, doc_id, size)).join(offsets, place)
     budget = F.floor("__target").cast("long")
     passes = F.when(F.col("__source_size") > 0, F.floor(budget / F.col("__source_size"))).otherwise(0).cast("long")
     rest = budget - passes * F.col("__source_size") - F.col("__offset") - F.col("__before")

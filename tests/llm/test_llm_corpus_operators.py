@@ -291,6 +291,20 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0))[0].count() == 0
 
 
+def test_mixing_does_not_depend_on_slots(spark, monkeypatch):
+    """Slots and stretches of slots only divide the sums: any number of them takes the same words."""
+    rows = [(i, "hot" if i % 3 else None, "w " * (i * 7 % 23)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+    def taken(rows_per_slot, slots_per_stretch):
+        monkeypatch.setattr(mixing, "ROWS_PER_SLOT", rows_per_slot)
+        monkeypatch.setattr(mixing, "SLOTS_PER_STRETCH", slots_per_stretch)
+        mixed, m = mixing.mix(docs)
+        return sorted((r.doc_id, r.taken) for r in mixed.select("doc_id", f"{m}.*").collect())
+    one_slot = taken(10 ** 9, 1000)
+    assert taken(9, 4) == one_slot and taken(9, 10 ** 6) == one_slot
+
+
 def test_mixed_documents_repeat_and_cut(spark):
     docs = spark.createDataFrame([(1, "a", " x  y z ", 8, "k"), (2, "b", "q " * 100, 200, "k"), (3, "c", "", 0, "k"), (4, "c", None, None, "k")],
                                  "doc_id long, source string, text string, n_chars long, mix_copy string")
