@@ -44,6 +44,23 @@ def latest_means(spark: SparkSession, out_path: str) -> DataFrame:
     return best.select("run", "step", "source", "v.n", "v.score_sum")
 
 
+def closed_means(stream: DataFrame, out_path: str, checkpoint: str, idle: str = "1 day", delay: str = "1 hour"):
+    """X1 with a timeout of the state: count and sum per (run, step, source), written once, when no row
+    came for ``idle`` of event time and the watermark has passed that.
+
+    ``running_means`` keeps a state for every key that ever came; here a key leaves the state when it is
+    written, so the state is bounded by the open keys.  A key that comes back later has a further row
+    (``first_at`` and ``closed_at`` tell them apart); rows older than the watermark by ``idle`` are
+    dropped, unless an open row of their key takes them in.  Keys still open at the end of the log stay
+    in the checkpoint for the next run."""
+    agg = (stream.withColumn("event_time", event_time("ts")).withWatermark("event_time", delay)
+           .groupBy("run", "step", "source", F.session_window("event_time", idle).alias("w"))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum")))
+    out = agg.select("run", "step", "source", F.col("w.start").alias("first_at"), F.col("w.end").alias("closed_at"), "n", "score_sum")
+    return (out.writeStream.outputMode("append").format("parquet").option("path", out_path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def event_time(ts_ntz) -> "F.Column":
     """Absolute event time from a wall-clock (NTZ) value read as UTC, computed
     from its fields so the session time zone plays no part."""

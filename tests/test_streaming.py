@@ -54,3 +54,22 @@ def test_late_and_kept_rows_add_up(spark):
     assert set(late) == {3, 6, 7}
     kept = X.latest_windows(spark, paths["out"]).selectExpr("sum(n)", "sum(n * mean_score)").first()
     assert tuple(kept) == (5, 1.0 + 2.0 + 4.0 + 5.0 + 8.0)
+
+
+def test_idle_keys_are_written_once_and_leave_the_state(spark):
+    base = scratch_path(spark, "t_closed").replace("file:", "")
+    log, out, ck = (os.path.join(base, k) for k in ("log", "out", "ck"))
+
+    def at(step, i, ts, score):
+        return _row(i, ts, score) | {"step": step}
+    slices = [[at(0, 1, "2024-01-01 20:00:00", 2.0), at(0, 2, "2024-01-01 10:00:00", 1.0)],
+              [at(0, 3, "2024-01-02 06:00:00", 3.0), at(1, 4, "2024-01-03 08:00:00", 4.0)],  # step 0 is idle from here
+              [at(0, 5, "2024-01-01 12:00:00", 100.0),                                       # too late: step 0 is closed
+               at(0, 6, "2024-01-04 00:00:00", 5.0), at(1, 7, "2024-01-06 12:00:00", 6.0)],  # step 0 comes back
+              [at(2, 8, "2024-01-06 12:00:00", 7.0)]]                                        # still open, as step 1 is
+    for i, rows in enumerate(slices):
+        _write(log, f"{i}.json", rows)
+        X.closed_means(X.scored_stream(spark, log, None), out, ck).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("step", "first_at").collect()
+    assert [(r.step, r.n, r.score_sum) for r in rows] == [(0, 3, 6.0), (0, 1, 5.0), (1, 1, 4.0)]
+    assert (rows[0].closed_at - rows[0].first_at).total_seconds() == 86400 + 20 * 3600
