@@ -23,18 +23,20 @@ from .index import with_global_index
 
 # --- per-batch algorithms (small helpers on one batch's lengths) -----------------
 
-def largest_differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[int]:
+def largest_differencing(lengths: list[int], k: int, equal_size: bool = False, uneven: bool = False) -> list[int]:
     """L1: k-way Karmarkar-Karp.  Returns the part of every item.
 
     Each state is k subsets kept in descending sum order; the two states with
     the largest spread are merged by pairing the largest subset of one with
     the smallest of the other.  With ``equal_size`` the starting states are
     runs of k consecutive items in length order, so every part gets n/k items.
+    Other numbers of items raise, or with ``uneven`` the last run is short and
+    parts differ by one item at most.
     """
     n = len(lengths)
     order = sorted(range(n), key=lambda i: (lengths[i], i))
     if equal_size:
-        if n % k:
+        if n % k and not uneven:
             raise ValueError(f"{n} items cannot be split into {k} equal parts")
         starts = [order[o:o + k] for o in range(0, n, k)]
     else:
@@ -66,9 +68,10 @@ def _merged(states: list[list[tuple[list, int]]], k: int) -> list[tuple[list, in
     return heap[0][2] if heap else []
 
 
-def greedy(lengths: list[int], k: int, equal_size: bool = False) -> list[int]:
+def greedy(lengths: list[int], k: int, equal_size: bool = False, uneven: bool = False) -> list[int]:
     """L2: items in input order to the least-loaded part (Q16: no sorting);
-    ``equal_size`` adds a bias larger than the total so counts stay equal."""
+    ``equal_size`` adds a bias larger than the total so counts stay equal (with
+    ``uneven`` they may differ by one)."""
     bias = (sum(lengths) + 1) if equal_size else 0
     loads = [0] * k
     parts = []
@@ -76,7 +79,7 @@ def greedy(lengths: list[int], k: int, equal_size: bool = False) -> list[int]:
         j = min(range(k), key=lambda p: (loads[p], p))
         parts.append(j)
         loads[j] += x + bias
-    if equal_size and len(lengths) % k:
+    if equal_size and not uneven and len(lengths) % k:
         raise ValueError(f"{len(lengths)} items cannot be split into {k} equal parts")
     return parts
 
@@ -109,7 +112,9 @@ def balance(df: DataFrame, group: str, item: str, length: str, k: int, method: s
     """Part per item, computed per batch.
 
     With ``budget`` (L5) the part count of a batch is ceil(total / budget), so
-    a part may still exceed the budget (as in the reference).
+    a part may still exceed the budget (as in the reference).  With
+    ``equal_size`` the parts of a batch differ by one item at most: a table's
+    last batch need not be a multiple of ``k``.
     """
     algo = {"kk": largest_differencing, "greedy": greedy}[method]
     gtype = dict(df.dtypes)[group]
@@ -120,7 +125,7 @@ def balance(df: DataFrame, group: str, item: str, length: str, k: int, method: s
         pdf = pdf.sort_values(item, kind="stable").reset_index(drop=True)
         lens = [int(x) for x in pdf[length].to_numpy()]
         kk = k if budget is None else max(1, -(-sum(lens) // budget))
-        parts = algo(lens, kk, equal_size)
+        parts = algo(lens, kk, equal_size, uneven=True)
         return pd.DataFrame({group: pdf[group], item: pdf[item], "part": np.asarray(parts, dtype=np.int32)})
 
     return df.select(group, item, length).groupBy(group).applyInPandas(per_batch, schema)
