@@ -107,7 +107,9 @@ def feature_pipeline(tokens: str = "tokens", vocab: int = 5000, method: str = "t
 
 def term_counts(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """M3 over the whole vocabulary, as a long table: (key, term, tf) of every term of every document."""
-    return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # on the column itself, explode would add a filter that makes the tokens a second time
+    listed = F.coalesce(tokens, F.array().cast("array<string>"))
+    return df.select(key, F.explode(listed).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_weights(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -115,7 +117,8 @@ def term_weights(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     The vocabulary is a table of the cluster; smoothing is that of Spark ML's IDF."""
     counts = term_counts(df, key, tokens)
     n = df.select(F.count(F.lit(1))).scalar()
-    idf = counts.groupBy("term").agg(F.log((n + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("idf"))
+    # counted by tf, which is never 0: with the same columns in both uses the counts are shuffled once
+    idf = counts.groupBy("term").agg(F.log((n + 1.0) / (F.count_if(F.col("tf") > 0) + 1.0)).alias("idf"))
     return counts.join(idf, "term").select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 

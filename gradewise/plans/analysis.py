@@ -126,8 +126,9 @@ def m5_fields(spark, sf):
     of every method and field."""
     from pyspark.ml.functions import vector_to_array
     path = scratch_path(spark, "m5_puzzles")
-    corpus(spark, sf).select("k", *FIELDS).write.parquet(path)  # read by every fit
-    d = M.field_columns(spark.read.parquet(path), FIELDS)
+    # tokens and lengths are read by every fit
+    M.field_columns(corpus(spark, sf).select("k", *FIELDS), FIELDS).drop(*FIELDS).write.parquet(path)
+    d = spark.read.parquet(path)
     model = M.combined_features(FIELDS).fit(d)
     sizes = [len(stage.vocabulary) for stage in model.stages if hasattr(stage, "vocabulary")]
     v = model.transform(d).select("k", vector_to_array("features").alias("v"))
