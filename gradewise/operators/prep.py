@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.common import as_col
+from ..functions.common import as_col, seeded_digits
 from . import puzzle_text as PT
 from .index import row_count, with_global_index
 from .scoring import first_rows_per_key
@@ -231,10 +231,9 @@ def finetune_text_cot(quiz, steps, foot, solution_text_format, eos: str = "") ->
 
 def probe_statements(puzzles: DataFrame, seed: int = 4) -> DataFrame:
     """P25: two seeded people per puzzle; for each a correct and a wrong claim."""
-    from .puzzles import draw
     order = F.transform(F.sequence(F.lit(0), F.col("n") - 1),
-                        lambda p: F.struct(draw(F.col("k"), 9500 + p, seed).alias("h"), p.alias("p")))
-    chosen = F.transform(F.slice(F.array_sort(order), 1, 2), lambda e: e["p"])
+                        lambda p: F.struct(seeded_digits(F.col("k"), seed, 9500 + p).alias("h"), p.alias("p")))
+    chosen = F.transform(F.slice(F.sort_array(order), 1, 2), lambda e: e["p"])
     ex = puzzles.select("k", "quiz", "names", "solution", F.explode(chosen).alias("p"))
     name = F.element_at(F.col("names"), F.col("p") + 1)
     is_knight = F.element_at(F.col("solution"), F.col("p") + 1)

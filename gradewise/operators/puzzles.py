@@ -57,9 +57,13 @@ def sample_puzzles(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0
     n = F.lit(n_people) if isinstance(n_people, int) else (
         as_col(n_people) if n_people is not None else (F.pmod(F.col(key), F.lit(7)) + 2))
     df = keys.select(F.col(key).alias("k"), n.cast("int").alias("n"))
-    stm = F.transform(F.sequence(F.lit(0), F.col("n") - 1),
-                      lambda p: sample_statement(F.col("k"), F.col("n"), p, p * 16, seed))
-    return df.withColumn("statements", stm)
+    return df.withColumn("statements", sampled_statements("k", "n", seed))
+
+
+def sampled_statements(k, n, seed: int = 0) -> Column:
+    """The statements of the candidate puzzle of key ``k`` with ``n`` people."""
+    k, n = as_col(k), as_col(n)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda p: sample_statement(k, n, p, p * 16, seed))
 
 
 def knight(a: Column, i: Column) -> Column:
@@ -201,19 +205,39 @@ def statements_repr(statements) -> Column:
     return F.concat(F.lit("("), F.array_join(F.transform(as_col(statements), statement_repr), ", "), F.lit(")"))
 
 
+def unique_puzzles(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> DataFrame:
+    """The puzzles of ``generate`` as narrow rows: ``k``, ``n``, ``solution_bits``, ``statements_repr``.
+
+    Candidates without a unique solution go first, inside the row.  The de-duplication is a hash
+    aggregate over the text with the smallest key as its only buffer (a struct in the buffer would
+    sort whole rows), partial before the shuffle, so a very common puzzle does not make a hot task."""
+    def row(st, found):
+        one = F.struct(statements_repr(st).alias("statements_repr"), found["solution_bits"].alias("solution_bits"))
+        return F.when(found["n_solutions"] == 1, F.array(one)).otherwise(F.array().cast(UNIQUE_TYPE))
+    tried = let("statements", lambda st: let(solution_summary(st, "n"), lambda found: row(st, found)))
+    # a generator keeps its argument: a filter on the result would sample and solve twice
+    valid = sample_puzzles(keys, key, n_people, seed).select("k", "n", F.inline(tried))
+    return valid.groupBy("statements_repr", "n", "solution_bits").agg(F.min("k").alias("k"))
+
+
+UNIQUE_TYPE = "array<struct<statements_repr:string,solution_bits:int>>"
+
+
+def restored(puzzles: DataFrame, seed: int = 0) -> DataFrame:
+    """Puzzles of ``unique_puzzles`` with what follows from key and solution: ``statements``,
+    ``n_solutions`` and ``solution``."""
+    return (puzzles.withColumn("statements", sampled_statements("k", "n", seed)).withColumn("n_solutions", F.lit(1))
+            .withColumn("solution", bits_to_roles("solution_bits", "n")))
+
+
 def generate(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> DataFrame:
-    """K2: candidates -> solve -> keep unique-solution puzzles -> drop
-    duplicate statement sets (the smallest key wins).  The de-duplication is
-    a partial aggregate (``min_by``), so a very common puzzle does not make a
-    hot task."""
-    # identical statements have identical solutions, so de-duplicating before
-    # the validity filter gives the same corpus; the aggregate also keeps the
-    # filter from being pushed below (and re-running) the solver
-    solved = solve(sample_puzzles(keys, key, n_people, seed))
-    solved = solved.withColumn("statements_repr", statements_repr("statements"))
-    best = solved.groupBy("statements_repr").agg(
-        F.min_by(F.struct(*[c for c in solved.columns if c != "statements_repr"]), F.col("k")).alias("p"))
-    return best.select("p.*", "statements_repr").filter(F.col("n_solutions") == 1)
+    """K2: candidates -> solve -> keep unique-solution puzzles -> drop duplicate statement sets
+    (the smallest key wins).  Statements do not go through the shuffle: a puzzle is a pure
+    function of its key, those that are left are sampled again.  The rows are dealt to as many
+    tasks as the keys came in: work on puzzles takes far longer than the bytes of these rows tell."""
+    dealt = unique_puzzles(keys, key, n_people, seed).repartition(keys.rdd.getNumPartitions())
+    found = restored(dealt, seed)
+    return found.select("k", "n", "statements", "n_solutions", "solution_bits", "solution", "statements_repr")
 
 
 def generate_exactly(spark: SparkSession, count: int, n_people: int | None = None, seed: int = 0) -> DataFrame:
@@ -263,8 +287,8 @@ def render(puzzles: DataFrame, seed: int = 0, uncommon_names: bool = False, rand
     """
     name_pool = PT.UNCOMMON_NAMES if uncommon_names else PT.COMMON_NAMES
     pool = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(nm).alias("name")) for i, nm in enumerate(name_pool)])
-    ranked = F.transform(pool, lambda e: F.struct(draw(F.col("k"), 5000 + e["i"], seed).alias("h"), e["name"].alias("name")))
-    names = F.transform(F.slice(F.array_sort(ranked), 1, F.col("n")), lambda e: e["name"])
+    ranked = F.transform(pool, lambda e: F.struct(seeded_digits(F.col("k"), seed, 5000 + e["i"]).alias("h"), e["name"].alias("name")))
+    names = F.transform(F.slice(F.sort_array(ranked), 1, F.col("n")), lambda e: e["name"])
     d = puzzles.withColumn("names", names)
     pair_index = F.pmod(draw(F.col("k"), 9000, seed), F.lit(len(PT.KNIGHT_KNAVE_PAIRS))).cast("int") if random_pairs else None
     a_knight, a_knave, knight_w, knave_w = _role_words(pair_index, flip_roles)
@@ -290,8 +314,8 @@ def render(puzzles: DataFrame, seed: int = 0, uncommon_names: bool = False, rand
     d = d.withColumn("_stm", stm_text)
     if reorder:
         order = F.transform(F.sequence(F.lit(0), F.col("n") - 1),
-                            lambda p: F.struct(draw(F.col("k"), 7000 + p, seed).alias("h"), p.alias("p")))
-        perm = F.transform(F.array_sort(order), lambda e: e["p"])
+                            lambda p: F.struct(seeded_digits(F.col("k"), seed, 7000 + p).alias("h"), p.alias("p")))
+        perm = F.transform(F.sort_array(order), lambda e: e["p"])
         ident = F.sequence(F.lit(0), F.col("n") - 1)
         rotated = F.transform(ident, lambda p: F.pmod(p + 1, F.col("n")))
         d = d.withColumn("_perm", F.when(perm == ident, rotated).otherwise(perm))
@@ -385,6 +409,73 @@ def _statement_changes(views: Column, m: Column) -> Column:
                     *[pairs(at, op) for at, op in enumerate(OPS[2:])])
 
 
+#: Survivors that fit in one word of ``_few_changes``.
+FEW = 62
+
+
+def _survivors(views: Column) -> Column:
+    """The assignments the other speakers leave, in the words of ``_views``."""
+    def of_half(e):
+        def pop(acc, _):
+            x = acc["x"]
+            at = e["first"] + F.bit_count(x.bitwiseAND(-x) - 1)
+            return F.struct(x.bitwiseAND(x - 1).alias("x"), F.concat(acc["found"], F.array(at.cast("int"))).alias("found"))
+        start = F.struct(e["o"].alias("x"), F.array().cast("array<int>").alias("found"))
+        return F.aggregate(F.sequence(F.lit(1), F.bit_count(e["o"])), start, pop)["found"]
+    halves = F.flatten(F.transform(views, lambda e: F.array(  # without the sign bit
+        F.struct((e["w"] * 64).alias("first"), e["o"].bitwiseAND(F.lit((1 << 32) - 1)).alias("o")),
+        F.struct((e["w"] * 64 + 32).alias("first"), F.call_function("shiftrightunsigned", e["o"], F.lit(32)).alias("o")))))
+    return F.flatten(F.transform(F.filter(halves, lambda e: e["o"] != 0), of_half))
+
+
+def _few_changes(found: Column, n: Column, p: Column, solution: Column) -> Column:
+    """All statements of speaker ``p`` that leave one assignment other than the solution, where the
+    others leave those of ``found``: array<struct<bit, numbers>>.
+
+    Bit t of a word stands for ``found[t]``.  A statement leaves ``found[t]`` alone exactly when
+    its word is the opposite of "p is a knight" everywhere but at t, so there is one word to meet
+    per assignment, and a conjunction, say, can only meet it with leaves that hold wherever it does."""
+    def word(i):
+        return F.aggregate(F.transform(found, lambda a, t: F.call_function(
+            "shiftleft", F.call_function("shiftright", a, i).bitwiseAND(F.lit(1)).cast("long"), t)),
+            F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+
+    def of_people(people, mask):
+        leaves = F.transform(F.sequence(F.lit(0), 2 * n - 2), lambda j: let(_leaf(j, n, p), lambda a: F.struct(
+            j.alias("j"), F.when(a["lie"], people[a["who"]].bitwiseXOR(mask)).otherwise(people[a["who"]]).alias("v"))))
+        wrong = people[p].bitwiseXOR(mask)
+        targets = F.filter(F.transform(found, lambda a, t: F.struct(
+            a.alias("bit"), wrong.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t)).alias("r"))),
+            lambda e: e["bit"] != solution)
+        return let(leaves, lambda v: F.transform(targets, lambda e: F.struct(e["bit"].alias("bit"), let(
+            e["r"].bitwiseXOR(mask), lambda q: meeting(v, e["r"], q)).alias("numbers"))))
+
+    def meeting(v, r, q):
+        m = 2 * n - 1
+
+        def number(at, a, b):
+            return (2 * m + at * m * (m - 1) + a * (m - 1) + F.pmod(b - a - 1, m)).cast("int")
+
+        def pairs(at, firsts, seconds, fits, both_ways):
+            def with_first(f, seconds):
+                ok = F.filter(seconds, lambda g: (g["j"] > f["j"] if both_ways else g["j"] != f["j"]) & fits(f["v"], g["v"]))
+                return F.flatten(F.transform(ok, lambda g: F.array(number(at, f["j"], g["j"]), number(at, g["j"], f["j"])))) \
+                    if both_ways else F.transform(ok, lambda g: number(at, f["j"], g["j"]))
+            return let(seconds, lambda kept: F.flatten(F.transform(kept if firsts is None else firsts, lambda f: with_first(f, kept))))
+        holds = F.filter(v, lambda e: e["v"].bitwiseAND(r) == r)
+        within = F.filter(v, lambda e: e["v"].bitwiseAND(q) == 0)
+        covers = F.filter(v, lambda e: e["v"].bitwiseAND(q) == q)
+        return F.concat(
+            F.transform(F.filter(v, lambda e: e["v"] == r), lambda e: e["j"].cast("int")),
+            F.transform(F.filter(v, lambda e: e["v"] == q), lambda e: (m + e["j"]).cast("int")),
+            pairs(0, None, holds, lambda a, b: a.bitwiseAND(b) == r, True),
+            pairs(1, None, within, lambda a, b: a.bitwiseOR(b) == r, True),
+            pairs(2, covers, within, lambda a, b: a.bitwiseAND(F.bitwise_not(b)) == q, False),
+            pairs(3, None, v, lambda a, b: a.bitwiseXOR(b) == q, True))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(found)) - 1
+    return let(F.transform(F.sequence(F.lit(0), n - 1), word), lambda people: let(mask, lambda x: of_people(people, x)))
+
+
 def _leaf_changes(views: Column, m: Column, statement: Column) -> Column:
     """The statement of one speaker with each of its leaves replaced, as ``_statement_changes``."""
     def changed(place, a):
@@ -424,20 +515,44 @@ def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1) -> DataFrame:
     solution is unique and differs from the original, the one first in a seeded order.
     Puzzles without any such change, and those with nulls, get no row.
 
-    One row in, one row out: the other speakers' words are ANDed once, words without any
-    assignment left are dropped, and a candidate is a few word operations on the rest.  No
+    One row in, one row out: the other speakers' words are ANDed once.  They mostly leave a handful
+    of assignments, which give the words a new statement has to meet (``_few_changes``); only where
+    they leave more than ``FEW`` is every statement tried on the words that have any left.  No
     shuffle; candidates with a valid solution alone get a draw."""
     k, n, solution = F.col("k"), F.col("n"), F.col("solution_bits")
 
-    def valid(st, agrees):
+    prefix = F.concat(F.lit(f"{seed}:"), k.cast("string"), F.lit(":"))
+
+    def valid(st, agrees, prefix):
         def of_speaker(statement, p):
             m = 2 * n - 1
-            per_speaker = 2 * m if leaf else 2 * m + 4 * m * (m - 1)
-            tried = let(_views(agrees, n, p), lambda views: _leaf_changes(views, m, statement) if leaf
-                        else _statement_changes(views, m))
-            return F.transform(F.filter(tried, lambda c: c["bit"] != solution), lambda c: let(
-                (p * per_speaker + c["i"]).cast("int"), lambda cand: F.struct(
-                    seeded_digits(k, seed, cand).alias("d"), cand.alias("cand"), p.alias("p"), c["i"].alias("i"), c["bit"].alias("bit"))))
+            first = (p * (2 * m if leaf else 2 * m + 4 * m * (m - 1))).cast("int")
+
+            def drawn(c):
+                return let(first + c["i"], lambda cand: F.struct(F.substring(F.md5(F.concat(prefix, cand.cast("string"))), 1, 15).alias("d"),
+                                                                 cand.alias("cand"), p.alias("p"), c["i"].alias("i"), c["bit"].alias("bit")))
+
+            def tried(changes):
+                return F.transform(F.filter(changes, lambda c: c["bit"] != solution), drawn)
+
+            def first_of(e):  # a draw and a number each; what else there is to say follows for the first alone
+                draws = F.transform(e["numbers"], lambda i: F.struct(
+                    F.substring(F.md5(F.concat(prefix, (first + i).cast("string"))), 1, 15).alias("d"), i.alias("i")))
+                return let(F.array_min(draws), lambda b: F.struct(b["d"].alias("d"), (first + b["i"]).alias("cand"), p.alias("p"),
+                                                                  b["i"].alias("i"), e["bit"].alias("bit")))
+
+            def few(found):
+                return F.transform(F.filter(_few_changes(found, n, p, solution), lambda e: F.size(e["numbers"]) > 0), first_of)
+            if leaf:
+                return let(_views(agrees, n, p), lambda views: tried(_leaf_changes(views, m, statement)))
+            left = F.aggregate(agrees_left(p), F.lit(0), lambda acc, o: acc + F.bit_count(o))
+            views = F.transform(agrees_left(p), lambda o, w: F.struct(w.alias("w"), o.alias("o")))
+            return let(left, lambda size: F.when(size <= FEW, let(_survivors(F.filter(views, lambda e: e["o"] != 0)), few)).otherwise(
+                let(_views(agrees, n, p), lambda views: tried(_statement_changes(views, m)))))
+
+        def agrees_left(p):
+            return F.transform(word_indexes(n), lambda w: F.aggregate(
+                F.filter(agrees, lambda a, q: q != p), _valid_word(n, w), lambda acc, a: acc.bitwiseAND(a[w])))
         return F.flatten(F.transform(st, of_speaker))
 
     def changed(st, best):
@@ -449,7 +564,7 @@ def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1) -> DataFrame:
     def row(st):
         agreeing = F.transform(st, lambda s, q: F.transform(word_indexes(n), lambda w: F.bitwise_not(
             _statement_word(s, w).bitwiseXOR(_knight_word(q, w)))))
-        best = F.array_min(let(agreeing, lambda agrees: valid(st, agrees)))
+        best = F.array_min(let(agreeing, lambda agrees: let(prefix, lambda start: valid(st, agrees, start))))
         return F.transform(F.filter(F.array(best), lambda b: b.isNotNull()), lambda b: changed(st, b))
 
     # a generator keeps its argument: a filter on the result would evaluate it twice
@@ -481,10 +596,6 @@ def _role_mask(person: Column, value: Column, w: Column) -> Column:
     return F.when(value, k).otherwise(F.bitwise_not(k))
 
 
-def _any_bits(words: Column) -> Column:
-    return F.exists(words, lambda x: x != 0)
-
-
 STEP_TYPE = ("array<struct<person:int,assignment:boolean,outcome:string,"
              "conflict_person:int,conflict_assignment:boolean>>")
 
@@ -506,38 +617,37 @@ def reasoning_steps(puzzles: DataFrame, dynamic_order: bool = True) -> DataFrame
     Adds ``steps``: array<struct<person, assignment, outcome, conflict_person,
     conflict_assignment>>.
     """
+    st, n, sol = F.col("statements"), F.col("n"), F.col("solution")
+
     def word_list(f):
         return F.transform(word_indexes(n), f)
 
-    st, n, sol = F.col("statements"), F.col("n"), F.col("solution")
-
-    def steps_for(p, before):
+    def steps_for(claims, p, before):
         """Steps for person ``p`` given the people ``before`` (already decided)."""
         truth = F.element_at(sol, p + 1)
-        decided = F.array_sort(F.concat(before, F.array(p)))      # index order for the conflict search
+        decided = F.sort_array(F.concat(before, F.array(p)))      # index order for the conflict search
 
-        def conflict_with(assumed):
+        def conflict():
+            """The first decided speaker whose claim has no extension when ``p`` is taken for a knight."""
             def ext_word(w):
-                fixed = F.aggregate(decided, F.lit(-1).cast("long"), lambda acc, q: acc.bitwiseAND(
-                    _role_mask(q, F.when(q == p, assumed).otherwise(F.element_at(sol, q + 1)), w)))
-                return fixed.bitwiseAND(_valid_word(n, w))
-            ext = word_list(ext_word)
-
-            def broken(q):
-                val = F.when(q == p, assumed).otherwise(F.element_at(sol, q + 1))
-                claim = F.element_at(st, q + 1)
-                words = F.zip_with(word_list(lambda w: _statement_word(claim, w)), ext, lambda s, e: F.when(
-                    val, s).otherwise(F.bitwise_not(s)).bitwiseAND(e))
-                return F.struct(q.alias("q"), val.alias("v"), (~_any_bits(words)).alias("broken"))
-            checks = F.filter(F.transform(decided, broken), lambda c: c["broken"])
-            return F.try_element_at(checks, F.lit(1))
+                return F.aggregate(before, _knight_word(p, w).bitwiseAND(_valid_word(n, w)), lambda acc, q: acc.bitwiseAND(
+                    _role_mask(q, F.element_at(sol, q + 1), w)))
+
+            def broken(ext):
+                def of_speaker(q):
+                    val = (q == p) | F.element_at(sol, q + 1)
+                    claim = F.element_at(claims, q + 1)
+                    return ~F.exists(F.zip_with(claim, ext, lambda s, e: F.when(val, s).otherwise(F.bitwise_not(s)).bitwiseAND(e)),
+                                     lambda x: x != 0)
+                return F.try_element_at(F.filter(decided, of_speaker), F.lit(1))
+            return let(word_list(ext_word), broken)
 
         def step(assignment, outcome, cq, cv):
             return F.struct(p.cast("int").alias("person"), assignment.alias("assignment"), F.lit(outcome).alias("outcome"),
                             cq.cast("int").alias("conflict_person"), cv.alias("conflict_assignment"))
         ok = step(truth, "ok", F.lit(None), F.lit(None).cast("boolean"))
-        return let(F.when(~truth, conflict_with(F.lit(True))), lambda c: F.when(
-            c.isNotNull(), F.array(step(F.lit(True), "conflict", c["q"], c["v"]), ok)).otherwise(F.array(ok)))
+        return let(F.when(~truth, conflict()), lambda q: F.when(q.isNotNull(), F.array(
+            step(F.lit(True), "conflict", q, (q == p) | F.element_at(sol, q + 1)), ok)).otherwise(F.array(ok)))
 
     def advance(acc, j):
         order = acc["order"]
@@ -549,8 +659,9 @@ def reasoning_steps(puzzles: DataFrame, dynamic_order: bool = True) -> DataFrame
             front = F.filter(mentioned, lambda x: F.array_contains(rest, x))
             rest = F.concat(front, F.filter(rest, lambda x: ~F.array_contains(mentioned, x)))
         new_order = F.concat(F.slice(order, 1, j + 1), rest)
-        return F.struct(new_order.alias("order"), F.concat(acc["steps"], steps_for(p, before)).alias("steps"))
-    init = F.struct(F.sequence(F.lit(0), n - 1).alias("order"), F.array().cast(STEP_TYPE).alias("steps"))
+        return F.struct(new_order.alias("order"), F.concat(acc["steps"], steps_for(acc["claims"], p, before)).alias("steps"), acc["claims"].alias("claims"))
+    claims = F.transform(st, lambda s: word_list(lambda w: _statement_word(s, w)))
+    init = F.struct(F.sequence(F.lit(0), n - 1).alias("order"), F.array().cast(STEP_TYPE).alias("steps"), claims.alias("claims"))
     steps = F.aggregate(F.sequence(F.lit(0), n - 1), init, advance)["steps"]
     return puzzles.withColumn("steps", steps)
 

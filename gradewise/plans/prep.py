@@ -12,7 +12,7 @@ from ..operators import puzzle_text as PT
 from ..operators import puzzles as K
 from ..operators.index import with_global_index
 from ..session import table
-from .puzzles import _RENDER_SQL, _draw, corpus, generated, rendered
+from .puzzles import _RENDER_SQL, _draw, corpus, rendered, restored, unique
 from .registry import register
 from .scoring import _BOXED_SQL, _PUZZLE_SQL, boxed_responses
 from .tokens import ids_sql
@@ -106,9 +106,9 @@ def p3_boxed_prep(spark, sf):
 
 def _split_corpus(spark, sf):
     """Puzzles are numbered and split before their texts are rendered."""
-    c = P.positional_split(generated(spark, sf), "k", [("train", lambda n: (n * 0.9).cast("long")),
+    c = P.positional_split(unique(spark, sf), "k", [("train", lambda n: (n * 0.9).cast("long")),
                                                        ("test", lambda n: n - (n * 0.9).cast("long"))])
-    return rendered(c)
+    return rendered(restored(c))
 
 
 _P4_SQL = "WITH " + _RENDER_SQL + """,
@@ -139,7 +139,7 @@ def p4_puzzle_prep_base(spark, sf):
 SELECT k, CASE WHEN idx < total // 10 THEN 'test' WHEN idx < total // 10 + (total * 8) // 10 THEN 'train' ELSE 'val' END AS split
 FROM sp""")
 def p11_range_split(spark, sf):
-    c = generated(spark, sf)
+    c = unique(spark, sf).select("k")
     out = P.positional_split(c, "k", [("test", lambda n: (n / 10).cast("long")),
                                       ("train", lambda n: (n * 8 / 10).cast("long")),
                                       ("val", lambda n: n - (n / 10).cast("long") - (n * 8 / 10).cast("long"))])
@@ -190,7 +190,8 @@ def p16_prompt_modes(spark, sf):
 SELECT k FROM sp WHERE len({ids_sql("quiz")}) <= 120""")
 def p20_length_filter(spark, sf):
     c = corpus(spark, sf)
-    return c.filter(F.size(tokenize("quiz", "codepoint")) <= 120).select("k")
+    # a generator keeps its argument: a filter would render the puzzle again for every use of its parts
+    return c.select(F.explode(F.filter(F.array("k"), lambda k: F.size(tokenize("quiz", "codepoint")) <= 120)).alias("k"))
 
 
 @register("P25", _P4_SQL + f""",

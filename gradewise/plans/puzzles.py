@@ -13,7 +13,7 @@ from ..operators import puzzle_text as PT
 from ..operators import puzzles as K
 from ..functions.common import seeded_sql
 from ..operators.index import row_count, with_global_index
-from ..session import spread, table
+from ..session import ROWS_A_TASK, spread, table
 from .registry import register
 
 
@@ -24,7 +24,7 @@ SEED = 0
 
 
 def puzzle_keys(spark, sf):
-    return spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")))
+    return spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), rows=ROWS_A_TASK)
 
 
 def candidates(spark, sf):
@@ -36,6 +36,15 @@ def generated(spark, sf):
     return K.generate(puzzle_keys(spark, sf), seed=SEED)
 
 
+def unique(spark, sf):
+    """The puzzles of ``generated`` as narrow rows, for numbering and splitting."""
+    return K.unique_puzzles(puzzle_keys(spark, sf), seed=SEED)
+
+
+def restored(puzzles):
+    return K.restored(puzzles, seed=SEED)
+
+
 def rendered(puzzles):
     return K.render(puzzles, seed=SEED)
 
@@ -275,7 +284,7 @@ SELECT k, CASE WHEN rk < floor(0.8 * total) THEN 'train' ELSE 'test' END AS spli
 """)
 def k13_split(spark, sf):
     from ..functions.common import seeded_draw
-    g = K.generate(puzzle_keys(spark, sf), seed=SEED).select("k")
+    g = unique(spark, sf).select("k")
     ranked = with_global_index(g.withColumn("_h", seeded_draw("k", 13)), ["_h", "k"], "rk")
     n = row_count(ranked)
     return ranked.select("k", F.when(F.col("rk") < F.floor(n * 0.8), "train").otherwise("test").alias("split"))
@@ -330,7 +339,8 @@ FROM steps
 def k7_reasoning_steps(spark, sf):
     """Reasoning steps per puzzle (person order)."""
     c = K.reasoning_steps(K.generate(puzzle_keys(spark, sf), seed=SEED))
-    ex = c.select("k", F.posexplode("steps").alias("pos", "s"))
+    # every puzzle has a step; the plain form would add a filter that derives the steps twice
+    ex = c.select("k", F.posexplode_outer("steps").alias("pos", "s"))
     return ex.select("k", "pos", "s.person", "s.assignment", "s.outcome", "s.conflict_person", "s.conflict_assignment")
 
 
