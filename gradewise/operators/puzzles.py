@@ -230,12 +230,14 @@ def restored(puzzles: DataFrame, seed: int = 0) -> DataFrame:
             .withColumn("solution", bits_to_roles("solution_bits", "n")))
 
 
-def generate(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> DataFrame:
+def generate(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0, tasks: int | None = None) -> DataFrame:
     """K2: candidates -> solve -> keep unique-solution puzzles -> drop duplicate statement sets
     (the smallest key wins).  Statements do not go through the shuffle: a puzzle is a pure
-    function of its key, those that are left are sampled again.  The rows are dealt to as many
-    tasks as the keys came in: work on puzzles takes far longer than the bytes of these rows tell."""
-    dealt = unique_puzzles(keys, key, n_people, seed).repartition(keys.rdd.getNumPartitions())
+    function of its key, those that are left are sampled again.  The rows are dealt to
+    ``tasks`` partitions (as many as the keys came in): work on puzzles takes far longer than the
+    bytes of these rows tell.  A hash of the key, which the aggregate leaves once, deals them
+    without the sort that dealing in turn would put into the aggregate's tasks."""
+    dealt = unique_puzzles(keys, key, n_people, seed).repartition(tasks or keys.rdd.getNumPartitions(), "k")
     found = restored(dealt, seed)
     return found.select("k", "n", "statements", "n_solutions", "solution_bits", "solution", "statements_repr")
 

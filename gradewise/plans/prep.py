@@ -12,7 +12,7 @@ from ..operators import puzzle_text as PT
 from ..operators import puzzles as K
 from ..operators.index import with_global_index
 from ..session import table
-from .puzzles import _RENDER_SQL, _draw, corpus, rendered, restored, unique
+from .puzzles import _RENDER_SQL, _draw, corpus, generated, rendered, restored, unique
 from .registry import register
 from .scoring import _BOXED_SQL, _PUZZLE_SQL, boxed_responses
 from .tokens import ids_sql
@@ -408,7 +408,6 @@ def j4_anti_join(spark, sf):
 def j5_clean_perturbed(spark, sf):
     """Clean puzzle joined with its perturbed version by key; missing perturbations dropped
     (oracle in perturb_checks)."""
-    from .puzzles import puzzle_keys
-    g = K.generate(puzzle_keys(spark, sf))
+    g = generated(spark, sf)
     p = K.perturb(g).select("k", F.col("solution_bits").alias("perturbed_bits"))
     return g.select("k", "n", "solution_bits").join(p, "k")

@@ -13,7 +13,7 @@ from ..operators import puzzle_text as PT
 from ..operators import puzzles as K
 from ..functions.common import seeded_sql
 from ..operators.index import row_count, with_global_index
-from ..session import ROWS_A_TASK, spread, table
+from ..session import ROWS_A_TASK, spread, table, tasks_for
 from .registry import register
 
 
@@ -23,8 +23,15 @@ def _q(v: str) -> str:
 SEED = 0
 
 
+def _dealt_keys(spark, sf):
+    """The puzzle keys and the number of tasks they are dealt to."""
+    keys = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    tasks = tasks_for(keys, ROWS_A_TASK)
+    return spread(keys, tasks), tasks
+
+
 def puzzle_keys(spark, sf):
-    return spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), rows=ROWS_A_TASK)
+    return _dealt_keys(spark, sf)[0]
 
 
 def candidates(spark, sf):
@@ -33,7 +40,8 @@ def candidates(spark, sf):
 
 def generated(spark, sf):
     """Generated, solved and de-duplicated puzzles."""
-    return K.generate(puzzle_keys(spark, sf), seed=SEED)
+    keys, tasks = _dealt_keys(spark, sf)
+    return K.generate(keys, seed=SEED, tasks=tasks)
 
 
 def unique(spark, sf):
@@ -110,7 +118,7 @@ SELECT gen.k, CAST(res.n AS INT) AS n, gen.statements_repr, CAST(res.solution_bi
 FROM gen JOIN res USING (k)
 """)
 def k2_generate(spark, sf):
-    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    g = generated(spark, sf)
     return g.select("k", "n", "statements_repr", F.col("solution_bits").cast("int").alias("solution_bits"))
 
 
@@ -166,7 +174,7 @@ def p12_numbered_solution(spark, sf):
 @register("K3")
 def k3_perturb_statement(spark, sf):
     """One whole statement replaced; unique, different solution (oracle in perturb_checks)."""
-    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    g = generated(spark, sf)
     p = K.perturb(g, leaf=False)
     return p.select("k", "cand", "n", K.statements_repr("statements").alias("statements_repr"),
                     F.col("solution_bits").cast("int").alias("solution_bits"))
@@ -175,7 +183,7 @@ def k3_perturb_statement(spark, sf):
 @register("K4")
 def k4_perturb_leaf(spark, sf):
     """One leaf replaced; unique, different solution (oracle in perturb_checks)."""
-    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    g = generated(spark, sf)
     p = K.perturb(g, leaf=True)
     return p.select("k", "cand", "n", K.statements_repr("statements").alias("statements_repr"),
                     F.col("solution_bits").cast("int").alias("solution_bits"))
@@ -249,7 +257,7 @@ UNION ALL SELECT k, 'reorder', quiz, solution_text FROM vrf
 @register("K5", _K5_SQL)
 def k5_surface_variants(spark, sf):
     """Role-word pairs, flipped roles, uncommon names and reordered statements."""
-    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    g = generated(spark, sf)
     variants = []
     for name, kw in [("pairs", dict(random_pairs=True)), ("flip", dict(flip_roles=True)),
                      ("uncommon", dict(uncommon_names=True)), ("reorder", dict(reorder=True))]:
@@ -273,7 +281,7 @@ SELECT k, array_to_string(list_transform(range(n), lambda i:
 FROM w
 """)
 def k9_wrong_solutions(spark, sf):
-    g = K.generate(puzzle_keys(spark, sf), seed=SEED)
+    g = generated(spark, sf)
     wrong = K.flipped_solution("k", "n", "solution", seed=2)
     return g.select("k", F.array_join(F.transform(wrong, lambda b: F.when(b, "1").otherwise("0")), "").alias("wrong_solution"))
 
@@ -338,7 +346,7 @@ FROM steps
 @register("K7", _K7_SQL)
 def k7_reasoning_steps(spark, sf):
     """Reasoning steps per puzzle (person order)."""
-    c = K.reasoning_steps(K.generate(puzzle_keys(spark, sf), seed=SEED))
+    c = K.reasoning_steps(generated(spark, sf))
     # every puzzle has a step; the plain form would add a filter that derives the steps twice
     ex = c.select("k", F.posexplode_outer("steps").alias("pos", "s"))
     return ex.select("k", "pos", "s.person", "s.assignment", "s.outcome", "s.conflict_person", "s.conflict_assignment")
