@@ -54,10 +54,14 @@ def sample_statement(k, n, p, salt_base, seed: int = 0, leaf_only: bool = False)
 def sample_puzzles(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> DataFrame:
     """K2 (sampling part): one candidate puzzle per key.  ``n_people`` is an
     int or a column; by default 2 + key % 7 (sizes 2..8)."""
+    return numbered_people(keys, key, n_people).withColumn("statements", sampled_statements("k", "n", seed))
+
+
+def numbered_people(keys: DataFrame, key: str = "k", n_people=None) -> DataFrame:
+    """Key ``k`` and number of people ``n`` of each candidate."""
     n = F.lit(n_people) if isinstance(n_people, int) else (
         as_col(n_people) if n_people is not None else (F.pmod(F.col(key), F.lit(7)) + 2))
-    df = keys.select(F.col(key).alias("k"), n.cast("int").alias("n"))
-    return df.withColumn("statements", sampled_statements("k", "n", seed))
+    return keys.select(F.col(key).alias("k"), n.cast("int").alias("n"))
 
 
 def sampled_statements(k, n, seed: int = 0) -> Column:
@@ -170,13 +174,18 @@ def _single_bit_index(x: Column) -> Column:
 def solution_summary(statements, n) -> Column:
     """struct(n_solutions, solution_bits): count of consistent assignments and,
     when it is exactly one, that assignment (else -1)."""
+    return words_summary(solution_words(statements, n))
+
+
+def words_summary(words: Column) -> Column:
+    """``solution_summary`` of the words of ``solution_words``."""
     def summarize(words):
         count = F.aggregate(words, F.lit(0), lambda acc, x: acc + F.bit_count(x))
         first = F.filter(F.transform(words, lambda x, w: F.struct(w.alias("w"), x.alias("x"))), lambda e: e["x"] != 0)
         bits = let(F.try_element_at(first, F.lit(1)), lambda e: e["w"] * 64 + _single_bit_index(e["x"]))
         return F.struct(count.cast("int").alias("n_solutions"),
                         F.when(count == 1, bits).otherwise(F.lit(-1)).cast("int").alias("solution_bits"))
-    return let(solution_words(statements, n), summarize)
+    return let(words, summarize)
 
 
 def solve(puzzles: DataFrame) -> DataFrame:
@@ -205,41 +214,108 @@ def statements_repr(statements) -> Column:
     return F.concat(F.lit("("), F.array_join(F.transform(as_col(statements), statement_repr), ", "), F.lit(")"))
 
 
+# --- statements as numbers -------------------------------------------------------------
+# Until puzzles with several solutions and copies are gone, a statement is one number: the place
+# of its operator in OPS, then a byte for each leaf (128 for "lying", plus who; an only one twice).
+
+def _leaf_code(j: Column, n: Column, p: Column) -> Column:
+    """Leaf option j of ``_leaf`` as a byte."""
+    return F.when(j < n, j).otherwise(j - n + F.when(j - n >= p, 129).otherwise(128))
+
+
+def sampled_codes(k, n, seed: int = 0) -> Column:
+    """The statements of ``sampled_statements`` as numbers, array<int>; the draws share the text they begin with."""
+    k, n = as_col(k), as_col(n)
+
+    def of_speaker(start, p):
+        def drawn(place):
+            return F.conv(F.substring(F.md5(F.concat(start, (p * 16 + place).cast("string"))), 1, 15), 16, 10).cast("long")
+        opts = 2 * n - 1
+
+        def second(j1):
+            return F.pmod(j1 + 1 + F.pmod(drawn(2), opts - 1), opts)
+
+        def code(d, j1):
+            return let(_leaf_code(j1, n, p), lambda a: d * 65536 + a * 256 + F.when(d <= 1, a).otherwise(
+                let(second(j1), lambda j2: _leaf_code(j2, n, p))))
+        return let(F.pmod(drawn(1), opts), lambda j1: let(F.pmod(drawn(0), F.lit(len(OPS))), lambda d: code(d, j1))).cast("int")
+    start = F.concat(F.concat_ws(":", F.lit(str(seed)), k.cast("string")), F.lit(":"))
+    return let(start, lambda start: F.transform(F.sequence(F.lit(0), n - 1), lambda p: of_speaker(start, p)))
+
+
+def _code_byte(c: Column, place: int) -> Column:
+    return F.call_function("shiftright", c, F.lit(8 - 8 * place)).bitwiseAND(F.lit(255))
+
+
+def coded_statement(c: Column) -> Column:
+    """The statement of a number."""
+    def leaf(place):
+        return let(_code_byte(c, place), lambda x: F.struct((x >= 128).alias("lie"), x.bitwiseAND(F.lit(127)).alias("who")))
+    op = F.call_function("shiftright", c, F.lit(16))
+    return F.struct(F.element_at(F.array(*[F.lit(o) for o in OPS]), op + 1).alias("op"),
+                    F.when(op <= 1, F.array(leaf(0))).otherwise(F.array(leaf(0), leaf(1))).alias("args"))
+
+
+def coded_solution_words(codes: Column, n: Column) -> Column:
+    """``solution_words`` of statements given as numbers."""
+    low = F.array(*[F.lit(x) for x in _LOW_PATTERNS])
+
+    def word(w):
+        def agreeing(c, p, knights):
+            def leaf(place):
+                return let(_code_byte(c, place), lambda x: let(knights[x.bitwiseAND(F.lit(127))], lambda k: F.when(
+                    x >= 128, F.bitwise_not(k)).otherwise(k)))
+
+            def truth(a, b):
+                found = F.when(c < 1 << 16, a)
+                for at, name in enumerate(OPS[1:-1], 2):
+                    found = found.when(c < at << 16, _BY_OP[name](a, b))
+                return found.otherwise(_BY_OP[OPS[-1]](a, b))
+            stated = let(leaf(0), lambda a: F.when(c < 1 << 16, a).when(c < 2 << 16, F.bitwise_not(a)).otherwise(
+                let(leaf(1), lambda b: truth(a, b))))
+            return F.bitwise_not(stated.bitwiseXOR(knights[p]))
+        knights = F.when(n <= 6, low).otherwise(F.concat(low, F.transform(F.sequence(F.lit(6), F.greatest(n - 1, F.lit(6))), lambda i: _knight_word(i, w))))
+        ok = let(knights, lambda knights: F.transform(codes, lambda c, p: agreeing(c, p, knights)))
+        return F.aggregate(ok, F.lit(-1).cast("long"), lambda acc, x: acc.bitwiseAND(x)).bitwiseAND(_valid_word(n, w))
+    return F.transform(word_indexes(n), word)
+
+
+CODED_TYPE = "array<struct<codes:array<int>,solution_bits:int>>"
+
+
 def unique_puzzles(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0) -> DataFrame:
-    """The puzzles of ``generate`` as narrow rows: ``k``, ``n``, ``solution_bits``, ``statements_repr``.
+    """The puzzles of ``generate`` as narrow rows: ``k``, ``n``, ``solution_bits`` and ``codes``, the
+    statements as numbers.
 
     Candidates without a unique solution go first, inside the row.  The de-duplication is a hash
-    aggregate over the text with the smallest key as its only buffer (a struct in the buffer would
+    aggregate over the numbers with the smallest key as its only buffer (a struct in the buffer would
     sort whole rows), partial before the shuffle, so a very common puzzle does not make a hot task."""
-    def row(st, found):
-        one = F.struct(statements_repr(st).alias("statements_repr"), found["solution_bits"].alias("solution_bits"))
-        return F.when(found["n_solutions"] == 1, F.array(one)).otherwise(F.array().cast(UNIQUE_TYPE))
-    tried = let("statements", lambda st: let(solution_summary(st, "n"), lambda found: row(st, found)))
+    def row(codes, found):
+        one = F.struct(codes.alias("codes"), found["solution_bits"].alias("solution_bits"))
+        return F.when(found["n_solutions"] == 1, F.array(one)).otherwise(F.array().cast(CODED_TYPE))
+    tried = let(sampled_codes("k", "n", seed), lambda codes: let(
+        words_summary(coded_solution_words(codes, F.col("n"))), lambda found: row(codes, found)))
     # a generator keeps its argument: a filter on the result would sample and solve twice
-    valid = sample_puzzles(keys, key, n_people, seed).select("k", "n", F.inline(tried))
-    return valid.groupBy("statements_repr", "n", "solution_bits").agg(F.min("k").alias("k"))
-
-
-UNIQUE_TYPE = "array<struct<statements_repr:string,solution_bits:int>>"
+    valid = numbered_people(keys, key, n_people).select("k", "n", F.inline(tried))
+    return valid.groupBy("codes", "n", "solution_bits").agg(F.min("k").alias("k"))
 
 
-def restored(puzzles: DataFrame, seed: int = 0) -> DataFrame:
-    """Puzzles of ``unique_puzzles`` with what follows from key and solution: ``statements``,
-    ``n_solutions`` and ``solution``."""
-    return (puzzles.withColumn("statements", sampled_statements("k", "n", seed)).withColumn("n_solutions", F.lit(1))
+def restored(puzzles: DataFrame) -> DataFrame:
+    """Puzzles of ``unique_puzzles`` with what follows from numbers and solution: ``statements``,
+    ``statements_repr``, ``n_solutions`` and ``solution``."""
+    return (puzzles.withColumn("statements", F.transform("codes", coded_statement)).drop("codes")
+            .withColumn("statements_repr", statements_repr("statements")).withColumn("n_solutions", F.lit(1))
             .withColumn("solution", bits_to_roles("solution_bits", "n")))
 
 
 def generate(keys: DataFrame, key: str = "k", n_people=None, seed: int = 0, tasks: int | None = None) -> DataFrame:
     """K2: candidates -> solve -> keep unique-solution puzzles -> drop duplicate statement sets
-    (the smallest key wins).  Statements do not go through the shuffle: a puzzle is a pure
-    function of its key, those that are left are sampled again.  The rows are dealt to
+    (the smallest key wins).  Statements go through the shuffle as numbers.  The rows are dealt to
     ``tasks`` partitions (as many as the keys came in): work on puzzles takes far longer than the
     bytes of these rows tell.  A hash of the key, which the aggregate leaves once, deals them
     without the sort that dealing in turn would put into the aggregate's tasks."""
     dealt = unique_puzzles(keys, key, n_people, seed).repartition(tasks or keys.rdd.getNumPartitions(), "k")
-    found = restored(dealt, seed)
-    return found.select("k", "n", "statements", "n_solutions", "solution_bits", "solution", "statements_repr")
+    return restored(dealt).select("k", "n", "statements", "n_solutions", "solution_bits", "solution", "statements_repr")
 
 
 def generate_exactly(spark: SparkSession, count: int, n_people: int | None = None, seed: int = 0) -> DataFrame:
@@ -288,9 +364,11 @@ def render(puzzles: DataFrame, seed: int = 0, uncommon_names: bool = False, rand
     a random role-word pair, swapped roles, statements in a different order.
     """
     name_pool = PT.UNCOMMON_NAMES if uncommon_names else PT.COMMON_NAMES
-    pool = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(nm).alias("name")) for i, nm in enumerate(name_pool)])
-    ranked = F.transform(pool, lambda e: F.struct(seeded_digits(F.col("k"), seed, 5000 + e["i"]).alias("h"), e["name"].alias("name")))
-    names = F.transform(F.slice(F.sort_array(ranked), 1, F.col("n")), lambda e: e["name"])
+    # the draws share the text they begin with; 15 digits and the name in one text sort as the two do
+    pool = F.array(*[F.struct(F.lit(f":{5000 + i}").alias("end"), F.lit(nm).alias("name")) for i, nm in enumerate(name_pool)])
+    ranked = let(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string")), lambda start: F.transform(
+        pool, lambda e: F.concat(F.substring(F.md5(F.concat(start, e["end"])), 1, 15), e["name"])))
+    names = F.transform(F.slice(F.sort_array(ranked), 1, F.col("n")), lambda e: F.substr(e, F.lit(16)))
     d = puzzles.withColumn("names", names)
     pair_index = F.pmod(draw(F.col("k"), 9000, seed), F.lit(len(PT.KNIGHT_KNAVE_PAIRS))).cast("int") if random_pairs else None
     a_knight, a_knave, knight_w, knave_w = _role_words(pair_index, flip_roles)

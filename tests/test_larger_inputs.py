@@ -108,3 +108,25 @@ def test_the_keys_are_dealt_once(spark):
             spark.sparkContext._jsc.clearJobGroup()
     counted = stages("rows-counted", lambda: tasks_for(table(spark, sf, "orders")))
     assert counted and stages("keys-dealt", lambda: Q.generated(spark, sf)) == counted
+
+
+def test_numbers_stand_for_the_sampled_statements(spark):
+    """P25, K2: statements as numbers, their solutions and texts against the statements themselves; null keys too."""
+    keys = _keys(spark, 150).unionByName(spark.sql("SELECT cast(null AS bigint) AS k"))
+    for n_people in (None, 9):
+        d = K.numbered_people(keys, n_people=n_people).withColumn("codes", K.sampled_codes("k", "n", 3)).withColumn(
+            "st", K.sampled_statements("k", "n", 3))
+        same = d.select((F.transform("codes", K.coded_statement).eqNullSafe(F.col("st"))).alias("a"), K.coded_solution_words(
+            F.col("codes"), F.col("n")).eqNullSafe(K.solution_words("st", "n")).alias("b")).collect()
+        assert len(same) == 151 and all(r.a and r.b for r in same)
+
+
+def test_names_are_in_the_order_of_their_draws(spark):
+    """Names sorted as one text each against draws and names."""
+    from gradewise.functions.common import seeded_digits
+    from gradewise.operators import puzzle_text as PT
+    g = K.generate(_keys(spark, 40))
+    for uncommon, pool in ((False, PT.COMMON_NAMES), (True, PT.UNCOMMON_NAMES)):
+        draws = F.array(*[F.struct(seeded_digits("k", 0, 5000 + i).alias("h"), F.lit(x).alias("name")) for i, x in enumerate(pool)])
+        rows = K.render(g, uncommon_names=uncommon).select("names", F.slice(F.sort_array(draws)["name"], 1, F.col("n")).alias("plain")).collect()
+        assert rows and all(r.names == r.plain for r in rows)
