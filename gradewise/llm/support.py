@@ -8,6 +8,8 @@ import functools
 import gc
 import os
 import re
+import threading
+import time
 import uuid
 
 import numpy as np
@@ -150,6 +152,9 @@ def limit_arrow_batches(spark: SparkSession, rows: int = STAGE_ROWS) -> None:
 #: stay free at the end of the heap.
 M_MMAP_THRESHOLD, M_TRIM_THRESHOLD = -3, -1
 
+#: Seconds in which a worker that used next to no CPU time counts as idle.
+IDLE_SECONDS = 2.0
+
 _caches: list = []
 _operator: str | None = None
 
@@ -161,23 +166,42 @@ def worker_cache(load):
     return cached
 
 
+def give_back() -> None:
+    """Empty the caches; freed memory goes back to the system."""
+    for cached in _caches:
+        cached.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has this
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _watch() -> None:
+    """An executor keeps more workers than it has cores at work; one that waits gives back what it held."""
+    global _operator
+    used = time.process_time()
+    while True:
+        time.sleep(IDLE_SECONDS)
+        before, used = used, time.process_time()
+        if _operator and used - before < IDLE_SECONDS / 50:
+            _operator = ""
+            give_back()
+
+
 def working_for(operator: str) -> None:
     """Called by an operator's functions in a worker.  Workers live on from operator to operator; what
-    they held for the one before goes, and freed memory goes back to the system."""
+    they held for the one before goes, and freed memory goes back to the system, also when they wait."""
     global _operator
     if _operator == operator:
         return
-    with contextlib.suppress(OSError, AttributeError):  # only where the C library has these
-        libc = ctypes.CDLL("libc.so.6")
-        if _operator is None:
+    if _operator is None:
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has these
+            libc = ctypes.CDLL("libc.so.6")
             # large arrays get pages of their own, which go back when they are freed; those of a
             # piece of text are smaller and reuse the heap
             libc.mallopt(M_MMAP_THRESHOLD, 4 << 20)
             libc.mallopt(M_TRIM_THRESHOLD, 32 << 20)
-        else:
-            for cached in _caches:
-                cached.cache_clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            libc.malloc_trim(0)
+        threading.Thread(target=_watch, daemon=True).start()
+    elif _operator:
+        give_back()
     _operator = operator
