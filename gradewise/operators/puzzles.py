@@ -12,12 +12,15 @@ operations over them (``solution_words``); no join, no UDF.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.common import as_col, let, seeded_digits, seeded_draw
 from ..session import ensure_checkpoint_dir
 from . import puzzle_text as PT
+from .perturbations import first_changes
 
 OPS = ["leaf", "not", "and", "or", "->", "<=>"]
 
@@ -590,15 +593,52 @@ def _with_new_leaf(statement: Column, n: Column, p: Column, i: Column) -> Column
     return F.struct(statement["op"].alias("op"), args.alias("args"))
 
 
-def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1) -> DataFrame:
+def _statement_code(s: Column) -> Column:
+    """A statement as a number; who is 127, nobody, where it is null."""
+    def leaf(arg):
+        return F.when(arg["lie"], 128).otherwise(0) + F.coalesce(arg["who"], F.lit(127))
+    op = F.when(s["op"] == OPS[0], 0)
+    for at, name in enumerate(OPS[1:-1], 1):
+        op = op.when(s["op"] == name, at)
+    second = F.coalesce(F.try_element_at(s["args"], F.lit(2)), s["args"][0])
+    return op.otherwise(len(OPS) - 1) * 65536 + leaf(s["args"][0]) * 256 + leaf(second)
+
+
+def _perturb_batches(puzzles: DataFrame, seed: int) -> DataFrame:
+    """The rows of ``perturb`` for whole statements from Arrow batches."""
+    k, n = F.col("k"), F.col("n")
+    few = FEW
+
+    @arrow_udf("array<struct<cand:int,bit:int>>")
+    def first_change(starts: pa.Array, n: pa.Array, codes: pa.Array, solution: pa.Array) -> pa.Array:
+        return first_changes(starts, n, codes, solution, few)
+    start = F.concat(F.lit(f"{seed}:"), k.cast("string"), F.lit(":"))
+    found = first_change(start, n, F.transform("statements", _statement_code), F.col("solution_bits").cast("int"))
+    # a generator keeps its argument: a filter on the result would evaluate it twice
+    changes = puzzles.select("k", "n", "statements", F.inline(found))
+    m = 2 * n - 1
+    each = 2 * m + 4 * m * (m - 1)
+    p, i = F.floor(F.col("cand") / each).cast("int"), F.pmod(F.col("cand"), each)
+    new = let(p, lambda p: let(i, lambda i: F.transform("statements", lambda s, q: F.when(q == p, _new_statement(n, q, i)).otherwise(s))))
+    return changes.select("k", "cand", "n", new.alias("statements"), F.col("bit").alias("solution_bits"))
+
+
+def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1, batches: bool = False) -> DataFrame:
     """K3 (whole statement) / K4 (one leaf): of all changes whose statements differ and whose
     solution is unique and differs from the original, the one first in a seeded order.
     Puzzles without any such change, and those with nulls, get no row.
 
+    With ``batches`` whole statements are tried in Arrow batches (perturbations.py), all puzzles of a
+    size together, in Python workers: much faster.  Otherwise columns alone do it:
+
     One row in, one row out: the other speakers' words are ANDed once.  They mostly leave a handful
     of assignments, which give the words a new statement has to meet (``_few_changes``); only where
     they leave more than ``FEW`` is every statement tried on the words that have any left.  No
     shuffle; candidates with a valid solution alone get a draw."""
+    if batches:
+        if leaf:
+            raise ValueError("changes of one leaf are tried in columns")
+        return _with_roles(_perturb_batches(puzzles, seed))
     k, n, solution = F.col("k"), F.col("n"), F.col("solution_bits")
 
     prefix = F.concat(F.lit(f"{seed}:"), k.cast("string"), F.lit(":"))
@@ -648,7 +688,10 @@ def perturb(puzzles: DataFrame, leaf: bool = False, seed: int = 1) -> DataFrame:
         return F.transform(F.filter(F.array(best), lambda b: b.isNotNull()), lambda b: changed(st, b))
 
     # a generator keeps its argument: a filter on the result would evaluate it twice
-    changes = puzzles.select("k", F.inline(let("statements", row)))
+    return _with_roles(puzzles.select("k", F.inline(let("statements", row))))
+
+
+def _with_roles(changes: DataFrame) -> DataFrame:
     return changes.withColumn("solution", bits_to_roles("solution_bits", "n")).withColumn("n_solutions", F.lit(1))
 
 

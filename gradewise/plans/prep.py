@@ -409,5 +409,5 @@ def j5_clean_perturbed(spark, sf):
     """Clean puzzle joined with its perturbed version by key; missing perturbations dropped
     (oracle in perturb_checks)."""
     g = generated(spark, sf)
-    p = K.perturb(g).select("k", F.col("solution_bits").alias("perturbed_bits"))
+    p = K.perturb(g, batches=True).select("k", F.col("solution_bits").alias("perturbed_bits"))
     return g.select("k", "n", "solution_bits").join(p, "k")
