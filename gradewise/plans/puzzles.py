@@ -175,7 +175,7 @@ def p12_numbered_solution(spark, sf):
 def k3_perturb_statement(spark, sf):
     """One whole statement replaced; unique, different solution (oracle in perturb_checks)."""
     g = generated(spark, sf)
-    p = K.perturb(g, leaf=False)
+    p = K.perturb(g, leaf=False, batches=True)
     return p.select("k", "cand", "n", K.statements_repr("statements").alias("statements_repr"),
                     F.col("solution_bits").cast("int").alias("solution_bits"))
 
